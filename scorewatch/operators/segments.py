@@ -97,7 +97,7 @@ def subset_labels(df: DataFrame, key: str, member: str) -> DataFrame:
         lambda m, i: F.floor(F.col("__mask") / F.pow(F.lit(2.0), i)) % 2 == 1,
     )
     return (
-        found.withColumn("__mask", F.explode(F.sequence(F.lit(1), F.shiftleft(F.lit(1), F.size("__m")) - 1)))
+        found.withColumn("__mask", F.explode(F.sequence(F.lit(1), (F.pow(F.lit(2.0), F.size("__m")) - 1).cast("int"))))
         .withColumn("members", subset)
         .select(
             key,

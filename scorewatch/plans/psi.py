@@ -581,10 +581,13 @@ def whole_frame_feature_psi(
     baseline: str | None = None,
     policy: str | ZeroPolicy = "add_1e-6",
     by_bin: bool = False,
+    top: int = 6,
 ) -> DataFrame:
     """PSI against the first month with bins of the whole frame; the baseline's own row is 0."""
-    make = binning.whole_frame_bins if kind == "numerical" else binning.whole_frame_categories
-    binned = make(df, feature, "Bin")
+    if kind == "numerical":
+        binned = binning.whole_frame_bins(df, feature, "Bin")
+    else:
+        binned = binning.whole_frame_categories(df, feature, "Bin", top)
     counts = binned.groupBy(month, "Bin").agg(F.count(F.lit(1)).alias("n"))
     first = F.lit(baseline) if baseline is not None else df.agg(F.min(month)).scalar()
     counts = counts.withColumn("base_month", first)

@@ -87,3 +87,8 @@ def broadcast_if_small(df: DataFrame) -> DataFrame:
     written = materialise(df)
     limit = int(df.sparkSession.conf.get(BROADCAST_ROWS, str(BROADCAST_ROWS_DEFAULT)))
     return F.broadcast(written) if written.count() <= limit else written
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Write a small result of large sources once, so that later uses do not recompute it."""
+    return df if fits_one_task(df) else materialise(df)
