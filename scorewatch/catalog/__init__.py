@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("psi",)
+MODULES = ("psi", "csi", "gini")
 
 
 def collect(name: str) -> dict:
