@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("psi", "csi", "gini")
+MODULES = ("psi", "csi", "gini", "data")
 
 
 def collect(name: str) -> dict:

@@ -143,7 +143,7 @@ def gini_cube_dimension(spark, sf_dir):
     "gini_cube_published",
     f"""with {CUBE}, kept as (select * from fa where gini_value is not null),
  ids as (select segment_type, row_number() over (order by min(segment_id)) - 1 id from kept group by segment_type)
-select id as segment_id, * exclude (segment_id, modelVersionId, trenchCategory, osType), 'cash_beta' as Model_display_name, 'CASH' as Product_Category,
+select id as segment_id, * exclude (segment_id, id, modelVersionId, trenchCategory, osType), 'cash_beta' as Model_display_name, 'CASH' as Product_Category,
  coalesce(modelVersionId, 'Overall') as modelVersionId, coalesce(trenchCategory, 'Overall') as trenchCategory, coalesce(osType, 'Overall') as osType
 from kept join ids using (segment_type)""",
 )
@@ -269,7 +269,7 @@ def accounts(spark, sf_dir):
 def decile_sql(source: str, keys: str, account: str = "digitalLoanAccountId") -> str:
     return f"""select {keys}, cast(decile as int) as decile, {r('min(score)')} as score_min, {r('max(score)')} as score_max, {r('avg(score)', 4)} as score_avg,
    count(*) as records_in_decile, cast(sum(label) as bigint) as bads_in_decile, cast(count(*) - sum(label) as bigint) as goods_in_decile
-  from (select *, 11 - greatest(ceil((rn - 1) * cast(10 as double) / (nn - 1)), 1) decile from
+  from (select *, 11 - case when nn = 1 then 1 else greatest(ceil((rn - 1) * cast(10 as double) / (nn - 1)), 1) end decile from
     (select *, row_number() over (partition by {keys} order by score, {account}, label) rn, count(*) over (partition by {keys}) nn from {source})) group by {keys}, decile"""
 
 
