@@ -129,8 +129,9 @@ def pack_features(spark, sf_dir):
  from events group by 1) unpivot (filled for feature in (k, gap)) where filled > 0""",
 )
 def feature_fill_counts(spark, sf_dir):
-    wide = payload.expand_payload(payload_events(spark, sf_dir), "calcFeature", prefix="", keys=["k", "gap"])
-    return payload.feature_fill_counts(wide.select("event_type", wide["gap"], F.get_json_object("calcFeature", "$.k").alias("k")), ["k", "gap"], ["event_type"])
+    rows = payload_events(spark, sf_dir).select("event_type", "calcFeature")
+    wide = payload.expand_payload(rows, "calcFeature", prefix="", keys=["k", "gap"])
+    return payload.feature_fill_counts(wide, ["k", "gap"], ["event_type"])
 
 
 @query("map_keys", f"select event_id, cast({K} as varchar) as feature_k, cast(null as varchar) as feature_z from events")
@@ -641,7 +642,7 @@ def _quality_sql(column: str, numeric: bool, kind: str) -> str:
     if not numeric:
         nulls = ", ".join(f"cast(null as double) as {c}" for c in ("min", "max", "mean", "median", "std", "q25", "q50", "q75", "iqr", "skewness", "kurtosis", "correlation", "cv_pct"))
         return f"{head} {mode} {nulls} from rows0"
-    xs = f"list(cast({column} as double) order by {column})"
+    xs = f"list(cast({column} as double) order by {column}) filter (where {column} is not null)"
     q = {p: quantile_at(xs, p) for p in (0.25, 0.5, 0.75)}
     corr = "cast(null as double)" if column == "label" else r(f"corr(cast({column} as double), label)", 4)
     return f"""{head} {mode} {r(f'cast(min({column}) as double)')} as min, {r(f'cast(max({column}) as double)')} as max, {r(f'avg({column})', 4)} as mean, {r(q[0.5])} as median,

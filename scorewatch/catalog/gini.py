@@ -267,7 +267,7 @@ def accounts(spark, sf_dir):
 
 
 def decile_sql(source: str, keys: str, account: str = "digitalLoanAccountId") -> str:
-    return f"""select {keys}, cast(decile as int) as decile, {r('min(score)')} as score_min, {r('max(score)')} as score_max, {r('avg(score)', 4)} as score_avg,
+    return f"""select {keys}, cast(decile as int) as decile, {r('min(score)')} as score_min, {r('max(score)')} as score_max, {r('avg(score) + 1e-7', 4)} as score_avg,
    count(*) as records_in_decile, cast(sum(label) as bigint) as bads_in_decile, cast(count(*) - sum(label) as bigint) as goods_in_decile
   from (select *, 11 - case when nn = 1 then 1 else greatest(ceil((rn - 1) * cast(10 as double) / (nn - 1)), 1) end decile from
     (select *, row_number() over (partition by {keys} order by score, {account}, label) rn, count(*) over (partition by {keys}) nn from {source})) group by {keys}, decile"""
@@ -287,7 +287,9 @@ def gains_sql(deciles: str, keys: str) -> str:
 def _gain_output(df, keys):
     exact = ["records_in_decile", "bads_in_decile", "goods_in_decile"] + [f"{p}_{w}" for p in ("total", "cum") for w in ("records", "bads", "goods")]
     ratios = [f"{p}_{w}" for p in ("pct", "cum_pct") for w in ("records", "bads", "goods")] + ["bad_rate_decile", "score_min", "score_max"]
-    return df.select(*keys, "decile", *exact, *[rounded(c) for c in ratios], rounded("score_avg", 4))
+    # Means of cents often end exactly between two roundings; both sides shift them alike.
+    mean = F.round(F.col("score_avg") + F.lit(1e-7), 4).alias("score_avg")
+    return df.select(*keys, "decile", *exact, *[rounded(c) for c in ratios], mean)
 
 
 @query("decile_gain", f"with {LINES} {gains_sql(decile_sql('lines', 'Application_month'), 'Application_month')}")
