@@ -14,17 +14,23 @@ NO_BINS = "No_Bins"
 INFINITY = float("inf")
 
 
-def _count_edges(edges: Column, most: int, test) -> Column:
-    """How many of the first `most` edges pass `test`; absent edges do not."""
-    total = F.lit(0)
-    for i in range(most):
-        total = total + F.coalesce(test(F.get(edges, F.lit(i))).cast("int"), F.lit(0))
-    return total
+def _edges_passed(edges: Column, most: int, test) -> Column:
+    """How many of the first `most` sorted edges pass `test`, by binary search.
+
+    Absent edges fail every test, so shorter arrays need no padding.
+    """
+    def search(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        return F.when(test(F.get(edges, F.lit(middle))), search(middle + 1, high)).otherwise(search(low, middle))
+
+    return search(0, most)
 
 
 def right_closed(value: Column, edges: Column, most: int = 11, include_lowest: bool = True) -> Column:
     """1-based bin with (low, high] bins; null below the first edge or above the last."""
-    below = _count_edges(edges, most, lambda e: e < value)
+    below = _edges_passed(edges, most, lambda e: e < value)
     first, last = F.get(edges, F.lit(0)), F.element_at(edges, -1)
     lowest = F.when(value == first, F.lit(1)) if include_lowest else F.when(F.lit(False), F.lit(1))
     return F.when(
@@ -35,7 +41,7 @@ def right_closed(value: Column, edges: Column, most: int = 11, include_lowest: b
 
 def left_closed(value: Column, edges: Column, most: int = 11) -> Column:
     """1-based bin with [low, high) bins, the last one closed on both sides."""
-    upto = _count_edges(edges, most, lambda e: e <= value)
+    upto = _edges_passed(edges, most, lambda e: e <= value)
     first, last = F.get(edges, F.lit(0)), F.element_at(edges, -1)
     return F.when(
         value.isNotNull() & (F.size(edges) > 1) & (value >= first) & (value <= last),
@@ -51,13 +57,25 @@ def open_ended(edges: Column) -> Column:
     ).otherwise(edges)
 
 
-def numeric_label(value: Column, edges: Column, most: int = 11, include_lowest: bool = True) -> Column:
+# Positions of rows without a bin number.
+POSITION_MISSING, POSITION_NO_BINS = -1, -2
+
+
+def numeric_position(value: Column, edges: Column, most: int = 11, include_lowest: bool = True) -> Column:
+    """Bin number, or a marker for null values and for features without edges."""
+    return (
+        F.when(value.isNull(), F.lit(POSITION_MISSING))
+        .when(edges.isNull() | (F.size(edges) < 2), F.lit(POSITION_NO_BINS))
+        .otherwise(right_closed(value, edges, most, include_lowest))
+    )
+
+
+def numeric_label(position: Column) -> Column:
     """`Bin_i`, `Missing` for null and `No_Bins` when the baseline had no values."""
-    number = right_closed(value, edges, most, include_lowest)
     return (
-        F.when(value.isNull(), F.lit(MISSING))
-        .when(edges.isNull() | (F.size(edges) < 2), F.lit(NO_BINS))
-        .otherwise(F.concat(F.lit("Bin_"), number.cast("string")))
+        F.when(position == POSITION_MISSING, F.lit(MISSING))
+        .when(position == POSITION_NO_BINS, F.lit(NO_BINS))
+        .when(position > 0, F.concat(F.lit("Bin_"), position.cast("string")))
     )
 
 

@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 from scorewatch.functions import bins as B
+from scorewatch.operators.aggregates import stacked
 from scorewatch.operators.dedup import top_per_key
 from scorewatch.operators.ordered import join_null_safe, quantiles, quantiles_of_counts, value_counts
-from scorewatch.session import broadcast_if_small
+from scorewatch.session import broadcast_if_small, spread_if_few
 
 DECILES = [i / 10 for i in range(11)]
 # Positions of the three-bin step of the ladder, as published.
@@ -108,7 +109,7 @@ def long_features(
                 category.alias("category"),
             )
         )
-    return df.select(*keep, F.inline(F.array(*entries)))
+    return spread_if_few(df.select(*keep, *types)).select(*keep, F.inline(F.array(*entries)))
 
 
 # --- edges ------------------------------------------------------------------------------
@@ -173,10 +174,11 @@ def category_spec(long_train: DataFrame, keys: Sequence[str] = (), top: int = 6)
     return best.groupBy(*groups).agg(F.array_sort(F.collect_list("category")).alias("top"))
 
 
-def with_feature_bins(
+def feature_bin_counts(
     long: DataFrame,
     long_train: DataFrame,
     types: dict[str, str],
+    by: Sequence[str],
     keys: Sequence[str] = (),
     policy: str = "ladder",
     top: int = 6,
@@ -184,35 +186,50 @@ def with_feature_bins(
     include_lowest: bool = True,
     others: str = B.OTHERS,
 ) -> DataFrame:
-    """Add Bin, Bin_Min and Bin_Max to the long rows using the baseline's specification."""
+    """Rows `n` per (by, Feature, Feature_Type, Bin) with Bin_Min and Bin_Max.
+
+    Bins come from the baseline rows of each key. Rows are counted by bin number in the task
+    that reads them; labels are made afterwards, on the counts.
+    """
     groups = [*keys, "Feature"]
-    result = long
-    for kind, spec in (
-        ("numerical", lambda: numeric_spec(long_train, keys, policy, method)),
-        ("categorical", lambda: category_spec(long_train, keys, top)),
-    ):
-        name = "edges" if kind == "numerical" else "top"
-        if kind not in types.values():
-            empty = "array<double>" if kind == "numerical" else "array<string>"
-            result = result.withColumn(name, F.lit(None).cast(empty))
-            continue
+    specs = []
+    if "numerical" in types.values():
+        specs.append(numeric_spec(long_train, keys, policy, method))
+    if "categorical" in types.values():
+        specs.append(category_spec(long_train, keys, top))
+    spec = stacked(specs)
+    for name, kind in (("edges", "array<double>"), ("top", "array<string>")):
+        if name not in spec.columns:
+            spec = spec.withColumn(name, F.lit(None).cast(kind))
+    if keys:
+        placed = join_null_safe(long, broadcast_if_small(spec), groups, "left")
+    else:
         # Without keys the specification has one row per named feature.
-        small = broadcast_if_small(spec()) if keys else F.broadcast(spec())
-        result = (
-            join_null_safe(result, small, groups, "left") if keys else result.join(small, "Feature", "left")
-        )
-    number, edges = F.col("number"), F.col("edges")
-    position = B.right_closed(number, edges, 11, include_lowest)
-    return (
-        result.withColumn(
-            "Bin",
-            F.when(F.col("Feature_Type") == "numerical", B.numeric_label(number, edges, 11, include_lowest)).otherwise(
-                B.category_label(F.col("category"), F.col("top"), others)
+        placed = long.join(F.broadcast(spec), "Feature", "left")
+    numerical = F.col("Feature_Type") == "numerical"
+    placed = placed.withColumns(
+        {
+            "__position": F.when(
+                numerical, B.numeric_position(F.col("number"), F.col("edges"), 11, include_lowest)
             ),
-        )
-        .withColumn("Bin_Min", F.get(edges, position - 1))
-        .withColumn("Bin_Max", F.get(edges, position))
-        .drop("edges", "top", "number", "category")
+            "__category": F.when(~numerical, B.category_label(F.col("category"), F.col("top"), others)),
+        }
+    )
+    position = F.col("__position")
+    counts = placed.groupBy(*by, "Feature", "Feature_Type", "__position", "__category").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.first(F.get("edges", F.greatest(position - 1, F.lit(0)))).alias("Bin_Min"),
+        F.first(F.get("edges", F.greatest(position, F.lit(0)))).alias("Bin_Max"),
+    )
+    inside = position > 0
+    return counts.select(
+        *by,
+        "Feature",
+        "Feature_Type",
+        F.coalesce(B.numeric_label(position), "__category").alias("Bin"),
+        F.when(inside, F.col("Bin_Min")).alias("Bin_Min"),
+        F.when(inside, F.col("Bin_Max")).alias("Bin_Max"),
+        "n",
     )
 
 

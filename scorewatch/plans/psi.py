@@ -180,12 +180,9 @@ def _feature_counts(
     keep = list(dict.fromkeys([*keys, *segments, month, "__train"]))
     train_long = binning.long_features(flagged.where("__train"), kinds, keep)
     counted = flagged if within is None else flagged.where(within)
-    binned = binning.with_feature_bins(
-        binning.long_features(counted, kinds, keep), train_long, kinds, keys, policy, top, method
-    )
     what = ["Feature", "Feature_Type", "Bin"]
-    counts = binned.groupBy(*keep, *what).agg(
-        F.count(F.lit(1)).alias("n"), F.first("Bin_Min").alias("Bin_Min"), F.first("Bin_Max").alias("Bin_Max")
+    counts = binning.feature_bin_counts(
+        binning.long_features(counted, kinds, keep), train_long, kinds, keep, keys, policy, top, method
     )
     shared = [c for c in segments if c in keys]
     copies = counts.withColumns({f"__k_{c}": F.col(c) for c in shared})
@@ -388,8 +385,9 @@ def psi_report(
     flagged = df.withColumn("__train", F.coalesce(F.col(selection) == train, F.lit(False)))
     keep = [version, trench, *further, month, "__train"]
     long = binning.long_features(flagged, kinds, keep)
-    binned = binning.with_feature_bins(long, long.where("__train"), kinds, (), bin_policy, top, method)
-    counts = binned.groupBy(*keep, "Feature", "Feature_Type", "Bin").agg(F.count(F.lit(1)).alias("n"))
+    counts = binning.feature_bin_counts(
+        long, long.where("__train"), kinds, keep, (), bin_policy, top, method
+    ).drop("Bin_Min", "Bin_Max")
 
     subsets = subset_labels(df, version, trench)
     subset = f"{trench}_set"
@@ -500,12 +498,10 @@ def _baseline_month_shares(
     present = long.where(F.col("number").isNotNull() | F.col("category").isNotNull())
     dated = present.join(broadcast_if_small(bases), SEGMENT, "inner")
     base_rows = dated.where(F.col(month) == F.col("baseline_month"))
-    binned = binning.with_feature_bins(
-        dated, base_rows, kinds, SEGMENT, "quantile", top, include_lowest=False, others="Other"
-    )
     groups = [*SEGMENT, "baseline_month", "Feature", "Feature_Type"]
-    counts = binned.groupBy(*groups, month, "Bin").agg(
-        F.count(F.lit(1)).alias("n"), F.first("Bin_Min").alias("Bin_Min"), F.first("Bin_Max").alias("Bin_Max")
+    counts = binning.feature_bin_counts(
+        dated, base_rows, kinds, [*SEGMENT, "baseline_month", month], SEGMENT, "quantile", top,
+        include_lowest=False, others="Other",
     )
     is_base = F.col(month) == F.col("baseline_month")
     expected = counts.where(is_base).drop(month)

@@ -92,3 +92,13 @@ def broadcast_if_small(df: DataFrame) -> DataFrame:
 def settle(df: DataFrame) -> DataFrame:
     """Write a small result of large sources once, so that later uses do not recompute it."""
     return df if fits_one_task(df) else materialise(df)
+
+
+def spread_if_few(df: DataFrame) -> DataFrame:
+    """Use all cores for a small source that one task would read.
+
+    Large sources keep their own partitions: there the extra shuffle would only cost.
+    """
+    if not fits_one_task(df):
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
