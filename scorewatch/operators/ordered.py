@@ -109,23 +109,27 @@ def quantiles_of_counts(
 
     Returns one row per group: keys, `rows` (sum of weights) and `quantiles` (array).
     """
-    ranked = running_totals(counts, keys, [value], [weight])
-    upto, total = F.col(f"cum_{weight}"), F.col(f"all_{weight}")
-    before = upto - F.col(weight)
+    ranked = running_totals(counts, keys, [value], [weight]).withColumns(
+        {
+            "__value": F.col(value),
+            "__upto": F.col(f"cum_{weight}"),
+            "__before": F.col(f"cum_{weight}") - F.col(weight),
+            "__last": F.col(f"all_{weight}") - 1,
+        }
+    )
+    # The two order statistics around each position; SQL text keeps the plan quick to build.
     picks = []
     for i, p in enumerate(probabilities):
-        position = F.lit(float(p)) * (total - 1).cast("double")
-        for side, rank in (("lo", F.floor(position)), ("hi", F.ceil(position))):
-            picks.append(F.max(F.when((before <= rank) & (rank < upto), F.col(value))).alias(f"{side}{i}"))
-    points = []
-    for i, p in enumerate(probabilities):
-        position = F.lit(float(p)) * (F.col("rows") - 1).cast("double")
-        low, high = F.col(f"lo{i}"), F.col(f"hi{i}")
-        points.append(low + (high - low) * (position - F.floor(position)))
+        for side, rank in (("lo", f"floor({float(p)}D * __last)"), ("hi", f"ceil({float(p)}D * __last)")):
+            picks.append(F.expr(f"max(CASE WHEN __before <= {rank} AND {rank} < __upto THEN __value END) AS {side}{i}"))
+    points = [
+        f"lo{i} + (hi{i} - lo{i}) * ({float(p)}D * (rows - 1) - floor({float(p)}D * (rows - 1)))"
+        for i, p in enumerate(probabilities)
+    ]
     return (
         ranked.groupBy(*keys)
-        .agg(F.max(total).alias("rows"), *picks)
-        .select(*keys, "rows", F.array(*points).alias("quantiles"))
+        .agg((F.max("__last") + 1).alias("rows"), *picks)
+        .select(*keys, "rows", F.expr(f"array({', '.join(points)}) AS quantiles"))
     )
 
 

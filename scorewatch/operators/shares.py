@@ -12,8 +12,7 @@ from scorewatch.operators.segments import one_at_a_time
 
 
 def compare_bins(
-    expected: DataFrame,
-    actual: DataFrame,
+    counts: DataFrame,
     groups: Sequence[str],
     period: str,
     policy: str | ZeroPolicy,
@@ -21,45 +20,43 @@ def compare_bins(
     denominator: str = "all",
     attributes: Sequence[str] = (),
 ) -> DataFrame:
-    """One row per (groups, period, bin).
+    """One row per (groups, period, bin) with the baseline's and the period's share.
+
+    `counts` holds (groups, period, bin, n); baseline rows have a null period, and rows of a
+    period are unique per bin. Both sides come from this one frame, so its source is read
+    once. A null bin counts in the denominators when `denominator` is 'all' and is left out
+    otherwise. Groups without baseline rows drop out.
 
-    `expected` holds (groups, bin, n) and `actual` (groups, period, bin, n). A null bin
-    counts in the denominators when `denominator` is 'all' and is left out otherwise.
     Adds e_n, a_n, e_total, a_total, raw shares e_share and a_share (null when the bin is
     absent on that side), adjusted shares e and a, and the bin's term.
     """
     policy = policy_named(policy)
     groups, attributes = list(groups), list(attributes)
     if denominator == "binned":
-        expected = expected.where(F.col(bin_column).isNotNull())
-        actual = actual.where(F.col(bin_column).isNotNull())
+        counts = counts.where(F.col(bin_column).isNotNull())
     elif denominator != "all":
         raise ValueError(f"unknown denominator {denominator!r}")
 
-    # Every period of a group meets every baseline bin of that group.
-    if groups:
-        periods = actual.select(*groups, period).distinct()
-        spread = expected.join(periods, groups, "inner")
-    else:
-        periods = actual.agg(F.collect_set(period))
-        spread = expected.withColumn(period, F.explode(periods.scalar()))
-    none = F.lit(None).cast("long")
-    columns = [*groups, period, bin_column, *attributes]
-    both = (
-        spread.select(*columns, F.col("n").alias("e_n"), none.alias("a_n"))
-        .unionByName(actual.select(*columns, none.alias("e_n"), F.col("n").alias("a_n")))
-        .groupBy(*groups, period, bin_column)
-        .agg(
-            F.sum("e_n").alias("e_n"),
-            F.sum("a_n").alias("a_n"),
-            *[F.max(c).alias(c) for c in attributes],
-        )
+    baseline = F.col(period).isNull()
+    per_bin = counts.groupBy(*groups, bin_column).agg(
+        F.sum(F.when(baseline, F.col("n"))).alias("e_n"),
+        F.map_from_entries(F.collect_list(F.when(~baseline, F.struct(period, "n")))).alias("__periods"),
+        *[F.max(c).alias(c) for c in attributes],
     )
+    # A group has few bins and each of them few periods, so these windows stay small.
+    group = Window.partitionBy(*groups)
+    every = F.array_distinct(F.flatten(F.collect_list(F.map_keys("__periods")).over(group)))
+    grid = per_bin.select(
+        "*", F.sum("e_n").over(group).alias("e_total"), every.alias("__every")
+    ).where(F.col("e_total").isNotNull())
     within = Window.partitionBy(*groups, period)
     shares = (
-        both.withColumn("e_total", F.sum("e_n").over(within))
+        grid.select("*", F.explode("__every").alias(period))
+        .withColumn("a_n", F.col("__periods")[F.col(period)])
         .withColumn("a_total", F.sum("a_n").over(within))
-        .where(F.col("e_total").isNotNull() & F.col(bin_column).isNotNull())
+        .drop("__every", "__periods")
+        .where(F.col(bin_column).isNotNull())
+        .where(F.col("e_n").isNotNull() | F.col("a_n").isNotNull())
         .withColumn("e_share", F.try_divide(F.col("e_n").cast("double"), F.col("e_total")))
         .withColumn("a_share", F.try_divide(F.col("a_n").cast("double"), F.col("a_total")))
         .withColumn("e", adjusted(F.col("e_share"), policy))
@@ -72,15 +69,12 @@ def compare_bins(
     return shares.withColumn("term", term(F.col("e"), F.col("a"), policy.on_zero))
 
 
-def with_all_bins(counts: DataFrame, bins: DataFrame, groups: Sequence[str], bin_column: str = "Bin") -> DataFrame:
-    """Add the bins that a side did not fill, with a count of zero."""
-    empty = bins.select(*groups, bin_column, F.lit(0).cast("long").alias("n"))
-    return (
-        counts.select(*groups, bin_column, "n")
-        .unionByName(empty)
-        .groupBy(*groups, bin_column)
-        .agg(F.sum("n").alias("n"))
-    )
+def with_baseline_copy(df: DataFrame, period: str, is_baseline: Column) -> DataFrame:
+    """Rows of a baseline period twice: as that period and, with a null period, as the baseline."""
+    own = F.array(F.col(period))
+    both = F.array(F.col(period), F.lit(None).cast(df.schema[period].dataType))
+    rest = [c for c in df.columns if c != period]
+    return df.select(*rest, F.explode(F.when(is_baseline, both).otherwise(own)).alias(period))
 
 
 def index_of(shares: DataFrame, keys: Sequence[str], name: str, extra: Sequence[Column] = ()) -> DataFrame:

@@ -22,10 +22,11 @@ SEGMENT = ["Segment_Column", "Segment_Value"]
 def _counts(
     df: DataFrame, features: Sequence[str], segments: Sequence[str], month: str, selection: str,
     train: str, test: str, min_rows: int,
-) -> tuple[DataFrame, DataFrame]:
-    """(expected, actual) counts per segment, feature and bin column value, nulls as null bins.
+) -> DataFrame:
+    """Counts per segment, feature, month and bin column value; train rows have a null month.
 
-    Segments with fewer than `min_rows` rows in total, or without rows on one side, drop out.
+    Nulls are null bins. Segments with fewer than `min_rows` rows, or without rows on one
+    side, drop out.
     """
     rows = df.withColumn("__side", F.col(selection))
     pairs = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("string").alias("Bin")) for f in features])
@@ -34,21 +35,24 @@ def _counts(
         .groupBy(*segments, month, "__side", "feature", "Bin")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    by_segment = one_at_a_time(counts, segments)
-    sizes = by_segment.groupBy(*SEGMENT, "feature").agg(
-        F.sum("n").alias("all_n"),
-        F.sum(F.when(F.col("__side") == train, F.col("n"))).alias("train_n"),
-        F.sum(F.when(F.col("__side") == test, F.col("n"))).alias("test_n"),
+    by_segment = one_at_a_time(counts.where(F.col("__side").isin(train, test)), segments)
+    whole = Window.partitionBy(*SEGMENT, "feature")
+    known = F.col("__side") == train
+    sized = (
+        by_segment.groupBy(*SEGMENT, "feature", month, "__side", "Bin")
+        .agg(F.sum("n").alias("n"))
+        .withColumns(
+            {
+                "__all": F.sum("n").over(whole),
+                "__train_n": F.sum(F.when(known, F.col("n"))).over(whole),
+                "__test_n": F.sum(F.when(~known, F.col("n"))).over(whole),
+            }
+        )
     )
-    enough = sizes.where(
-        ((F.col("Segment_Column") == "Overall") | (F.col("all_n") >= min_rows))
-        & (F.col("train_n") > 0)
-        & (F.col("test_n") > 0)
+    enough = (F.col("Segment_Column") == "Overall") | (F.col("__all") >= min_rows)
+    return sized.where(enough & (F.col("__train_n") > 0) & (F.col("__test_n") > 0)).select(
+        *SEGMENT, "feature", month, "Bin", "n"
     )
-    kept = by_segment.join(enough.select(*SEGMENT, "feature"), [*SEGMENT, "feature"], "left_semi")
-    expected = kept.where(F.col("__side") == train).groupBy(*SEGMENT, "feature", "Bin").agg(F.sum("n").alias("n"))
-    actual = kept.where(F.col("__side") == test).groupBy(*SEGMENT, "feature", month, "Bin").agg(F.sum("n").alias("n"))
-    return expected, actual
 
 
 def segmented_csi(
@@ -56,9 +60,9 @@ def segmented_csi(
     month: str = MONTH, selection: str = SELECTION, train: str = "Train", test: str = "Test", min_rows: int = 50,
 ) -> DataFrame:
     """CSI per feature and month with a Training row of 0, overall and per segment value."""
-    expected, actual = _counts(df, features, segments, month, selection, train, test, min_rows)
+    counts = _counts(df, features, segments, month, selection, train, test, min_rows)
     groups = [*SEGMENT, "feature"]
-    shares = compare_bins(expected, actual, groups, month, "absent_1e-4", denominator="binned")
+    shares = compare_bins(counts, groups, month, "absent_1e-4", denominator="binned")
     values = index_of(shares, [*groups, month], "csi")
     now = segment_accounts(df.where(F.col(selection) == test), segments, [month], account, "account_count")
     monthly = values.join(now, [*SEGMENT, month], "left").withColumn("DateCategory", F.lit("Monthly"))
@@ -66,7 +70,7 @@ def segmented_csi(
     last = df.where(F.col(selection) == train).select(*segments, month)
     last_month = one_at_a_time(last, segments).groupBy(*SEGMENT).agg(F.max(month).alias(month))
     training = (
-        expected.select(*groups).distinct()
+        counts.select(*groups).distinct()
         .join(base, SEGMENT, "left")
         .join(last_month, SEGMENT, "left")
         .withColumns({"csi": F.lit(0.0), "DateCategory": F.lit("Training")})
@@ -83,11 +87,11 @@ def bin_csi(
     Bin shares are of all rows with a floor of 1e-4; the feature's CSI uses shares of the rows
     that have a bin, and 1e-4 for bins absent on one side.
     """
-    expected, actual = _counts(df, features, segments, month, selection, train, test, min_rows)
+    counts = _counts(df, features, segments, month, selection, train, test, min_rows)
     groups = [*SEGMENT, "feature"]
-    per_bin = compare_bins(expected, actual, groups, month, "floor_1e-4")
+    per_bin = compare_bins(counts, groups, month, "floor_1e-4")
     whole = index_of(
-        compare_bins(expected, actual, groups, month, "absent_1e-4", denominator="binned"),
+        compare_bins(counts, groups, month, "absent_1e-4", denominator="binned"),
         [*groups, month],
         "feature_csi",
     )
@@ -110,7 +114,9 @@ def bin_csi(
     )
     share = F.col("n") / F.sum("n").over(Window.partitionBy(*groups))
     training = (
-        expected.withColumn("share", share)
+        counts.where(F.col(month).isNull())
+        .drop(month)
+        .withColumn("share", share)
         .where(F.col("Bin").isNotNull())
         .join(base, SEGMENT, "left")
         .join(last_month, SEGMENT, "left")
@@ -136,12 +142,13 @@ def month_key(position, month):
 
 def pair_bin_csi(train: DataFrame, test: DataFrame, feature: str) -> DataFrame:
     """Bin and feature CSI of one bin column between two frames."""
-    def counted(df: DataFrame) -> DataFrame:
-        return df.groupBy(F.col(feature).cast("string").alias("Bin")).agg(F.count(F.lit(1)).alias("n"))
+    def counted(df: DataFrame, side: str | None) -> DataFrame:
+        bins = df.groupBy(F.col(feature).cast("string").alias("Bin")).agg(F.count(F.lit(1)).alias("n"))
+        return bins.withColumn("side", F.lit(side).cast("string"))
 
-    expected, actual = counted(train), counted(test).withColumn("side", F.lit("test"))
-    bins = compare_bins(expected, actual, [], "side", "floor_1e-4")
-    whole = compare_bins(expected, actual, [], "side", "absent_1e-4", denominator="binned").agg(F.sum("term"))
+    counts = counted(train, None).unionByName(counted(test, "test"))
+    bins = compare_bins(counts, [], "side", "floor_1e-4")
+    whole = compare_bins(counts, [], "side", "absent_1e-4", denominator="binned").agg(F.sum("term"))
     return bins.select(
         F.lit(feature).alias("feature"), F.col("Bin").alias("bin_value"), F.col("e").alias("train_pct"),
         F.col("a").alias("test_pct"), F.col("term").alias("bin_csi"), whole.scalar().alias("feature_csi"),
@@ -182,18 +189,18 @@ def psi_table(train: DataFrame, test: DataFrame, score: str, bins: int = 10) ->
         F.array_sort(F.array_distinct("quantiles"))
     )
 
-    def counted(df: DataFrame) -> DataFrame:
+    def counted(df: DataFrame, side: str | None) -> DataFrame:
         return (
             df.where(F.col(score).isNotNull())
             .withColumn("__edges", spec.scalar())
             .withColumn("Bin", B.right_closed(F.col(score), F.col("__edges"), bins + 1))
             .groupBy("Bin")
             .agg(F.count(F.lit(1)).alias("n"))
+            .withColumn("side", F.lit(side).cast("string"))
         )
 
-    shares = compare_bins(
-        counted(train), counted(test).withColumn("side", F.lit("test")), [], "side", "unprotected", denominator="binned"
-    )
+    counts = counted(train, None).unionByName(counted(test, "test"))
+    shares = compare_bins(counts, [], "side", "unprotected", denominator="binned")
     return shares.select(
         F.col("Bin").alias("bin"), F.col("e").alias("train_pct"), F.col("a").alias("test_pct"),
         F.col("term").alias("psi"), F.sum("term").over(Window.partitionBy("side")).alias("total_psi"),
@@ -218,7 +225,7 @@ def csi_table(
     # One row per named feature.
     spec = F.broadcast(q.select("Feature", F.array_sort(F.array_distinct(chain)).alias("edges")))
 
-    def counted(long: DataFrame) -> DataFrame:
+    def counted(long: DataFrame, side: str | None) -> DataFrame:
         number = B.right_closed(F.col("number"), F.col("edges"), max(sizes) + 1)
         return (
             long.join(spec, "Feature", "left")
@@ -226,13 +233,13 @@ def csi_table(
             .where(F.col("Bin").isNotNull())
             .groupBy("Feature", "Feature_Type", "Bin")
             .agg(F.count(F.lit(1)).alias("n"))
+            .withColumn("side", F.lit(side).cast("string"))
         )
 
     groups = ["Feature", "Feature_Type"]
-    actual = counted(test_long).withColumn("side", F.lit("test"))
-    expected = counted(train_long)
+    counts = counted(train_long, None).unionByName(counted(test_long, "test"))
     # A numeric bin always exists on both sides, so an empty one is a zero share.
-    mixed = compare_bins(expected, actual, groups, "side", "absent_1e-4")
+    mixed = compare_bins(counts, groups, "side", "absent_1e-4")
     strict = term(F.coalesce("e_share", F.lit(0.0)), F.coalesce("a_share", F.lit(0.0)))
     value = F.when(F.col("Feature_Type") == "numerical", strict).otherwise(F.col("term"))
     result = mixed.groupBy("Feature").agg(F.sum(value).alias("csi"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scorewatch.functions import bins as B
@@ -19,7 +19,7 @@ from scorewatch.operators.shares import (
     distinct_accounts,
     index_of,
     segment_accounts,
-    with_all_bins,
+    with_baseline_copy,
 )
 from scorewatch.session import broadcast_if_small
 
@@ -71,13 +71,11 @@ def waterfall_score_psi(
     placed = (
         by_set.join(edges, keys, "inner")
         .withColumn("Bin", B.right_closed(F.col(score), F.col("edges"), num_bins + 1))
-        .groupBy(*keys, selection, "__period", "Bin")
+        .groupBy(*keys, "__period", "Bin")
         .agg(F.sum("n").alias("n"))
     )
-    expected = placed.where(F.col(selection) == train).select(*keys, "Bin", "n")
-    actual = placed.where(F.col(selection) == test).select(*keys, "__period", "Bin", "n")
     monthly = index_of(
-        compare_bins(expected, actual, keys, "__period", policy), [*keys, "__period"], "psivalues"
+        compare_bins(placed, keys, "__period", policy), [*keys, "__period"], "psivalues"
     )
 
     people = rows.select(*segments, selection, "__period", account).distinct()
@@ -93,7 +91,7 @@ def waterfall_score_psi(
     last = rows.where(F.col(selection) == train).agg(F.max(month))
     training = (
         accounts.where(F.col(selection) == train)
-        .join(actual.select(*keys).distinct(), keys, "left_semi")
+        .join(monthly.select(*keys).distinct(), keys, "left_semi")
         .select(
             last.scalar().alias("Month"),
             F.lit("Training").alias("DateCategory"),
@@ -133,12 +131,10 @@ def monthly_score_psi(
         rows.withColumn("__edges", spec.scalar())
         .withColumn("Bin", B.right_closed(F.col(score), F.col("__edges"), num_bins + 1))
         .withColumn("__period", F.when(F.col(selection) == test, F.col(month)))
-        .groupBy(selection, "__period", "Bin")
+        .groupBy("__period", "Bin")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    expected = placed.where(F.col(selection) == train).select("Bin", "n")
-    actual = placed.where(F.col(selection) == test).select("__period", "Bin", "n")
-    values = index_of(compare_bins(expected, actual, [], "__period", policy), ["__period"], "psivalues")
+    values = index_of(compare_bins(placed, [], "__period", policy), ["__period"], "psivalues")
     flagged = rows.withColumn("__period", F.when(F.col(selection) == test, F.col(month)))
     accounts = distinct_accounts(flagged, [selection, "__period"], account, "account_count")
     monthly = values.join(
@@ -168,8 +164,8 @@ def _feature_counts(
     include_train_in_month: bool,
     within: Column | None,
     method: str,
-) -> tuple[DataFrame, DataFrame]:
-    """(expected, actual) bin counts per segment, key and feature.
+) -> DataFrame:
+    """Bin counts per segment, key, feature and month; the baseline has a null month.
 
     Bins come from all train rows of a key; `within` restricts the counted rows afterwards.
     The rows are counted over all segment columns first, so the segment copies are small.
@@ -187,18 +183,21 @@ def _feature_counts(
     shared = [c for c in segments if c in keys]
     copies = counts.withColumns({f"__k_{c}": F.col(c) for c in shared})
     by_segment = one_at_a_time(copies, segments).withColumnsRenamed({f"__k_{c}": c for c in shared})
-    bounds = [F.first("Bin_Min", True).alias("Bin_Min"), F.first("Bin_Max", True).alias("Bin_Max")]
-    expected = (
-        by_segment.where("__train").groupBy(*SEGMENT, *keys, *what).agg(F.sum("n").alias("n"), *bounds)
-    )
-    months = by_segment.where(F.col(month).isNotNull())
+    dated = by_segment.where(F.col("__train") | F.col(month).isNotNull())
     if include_train_in_month:
         tested = df.where(~F.coalesce(F.col(selection) == train, F.lit(False))).select(month).distinct()
-        months = months.join(tested, month, "left_semi")
+        inside = dated.where(F.col("__train")).join(tested, month, "left_semi")
+        dated = with_null_period(dated, month).unionByName(inside)
     else:
-        months = months.where(~F.col("__train"))
-    actual = months.groupBy(*SEGMENT, *keys, month, *what).agg(F.sum("n").alias("n"), *bounds)
-    return expected, actual
+        dated = with_null_period(dated, month)
+    return dated.groupBy(*SEGMENT, *keys, month, *what).agg(
+        F.sum("n").alias("n"), F.first("Bin_Min", True).alias("Bin_Min"), F.first("Bin_Max", True).alias("Bin_Max")
+    )
+
+
+def with_null_period(df: DataFrame, month: str) -> DataFrame:
+    """Train rows get a null month: they are the baseline and belong to no period."""
+    return df.withColumn(month, F.when(~F.col("__train"), F.col(month)))
 
 
 def _with_account_counts(
@@ -213,20 +212,28 @@ def _with_account_counts(
     include_train_in_month: bool,
     within: Column | None,
 ) -> DataFrame:
-    """Distinct accounts of the baseline and of each month, per segment."""
+    """Distinct accounts of the baseline and of each month, per segment, from one pass."""
     rows = df if within is None else df.where(within)
     is_train = F.coalesce(F.col(selection) == train, F.lit(False))
-    shared = [c for c in segments if c in keys]
-    named = {c: f"__k_{c}" for c in shared}
-    rows = rows.withColumns({named[c]: F.col(c) for c in shared})
+    named = {c: f"__k_{c}" for c in segments if c in keys}
+    none = F.lit(None).cast("string")
+    as_train = F.array(none, F.col(month)) if include_train_in_month else F.array(none)
+    rows = rows.where(is_train | F.col(month).isNotNull()).withColumns(
+        {
+            **{named[c]: F.col(c) for c in named},
+            "__period": F.explode(F.when(is_train, as_train).otherwise(F.array(F.col(month)))),
+        }
+    )
     inner = [named.get(k, k) for k in keys]
-    back = {v: k for k, v in named.items()}
-    base = segment_accounts(
-        rows.where(is_train), segments, inner, account, "Base_Count"
-    ).withColumnsRenamed(back)
-    monthly = rows if include_train_in_month else rows.where(~is_train)
-    now = segment_accounts(monthly, segments, [*inner, month], account, "Actual_Count").withColumnsRenamed(back)
-    return result.join(base, [*SEGMENT, *keys], "left").join(now, [*SEGMENT, *keys, month], "left")
+    counts = segment_accounts(rows, segments, [*inner, "__period"], account, "__accounts")
+    counts = counts.withColumnsRenamed({v: k for k, v in named.items()})
+    # All periods of a segment next to its baseline count.
+    base = F.max(F.when(F.col("__period").isNull(), F.col("__accounts"))).over(
+        Window.partitionBy(*SEGMENT, *keys)
+    )
+    sized = counts.withColumn("Base_Count", base).where(F.col("__period").isNotNull())
+    sized = sized.withColumnsRenamed({"__period": month, "__accounts": "Actual_Count"})
+    return result.join(sized, [*SEGMENT, *keys, month], "left")
 
 
 def feature_psi(
@@ -251,12 +258,12 @@ def feature_psi(
     Bins are common to all segments of a key. Expected and actual percentages are the mean
     share of a non-empty bin.
     """
-    expected, actual = _feature_counts(
+    counts = _feature_counts(
         df, features, segments, keys, month, selection, train, types, bin_policy, top,
         include_train_in_month, within, method,
     )
     groups = [*SEGMENT, *keys, "Feature", "Feature_Type"]
-    shares = compare_bins(expected, actual, groups, month, policy)
+    shares = compare_bins(counts, groups, month, policy)
     filled = lambda side: F.count(F.when(F.col(f"{side}_n") > 0, 1))
     values = index_of(
         shares,
@@ -298,15 +305,13 @@ def feature_bin_psi(
     method: str = "exact",
 ) -> DataFrame:
     """The parts of `feature_psi` per bin, with bounds; empty bins count as 1e-4 unscaled."""
-    expected, actual = _feature_counts(
+    counts = _feature_counts(
         df, features, segments, keys, month, selection, train, types, bin_policy, top,
         include_train_in_month, within, method,
     )
     groups = [*SEGMENT, *keys, "Feature", "Feature_Type"]
     no_scaling = ZeroPolicy(absent=1e-4, zero=1e-4)
-    shares = compare_bins(
-        expected, actual, groups, month, no_scaling, attributes=["Bin_Min", "Bin_Max"]
-    )
+    shares = compare_bins(counts, groups, month, no_scaling, attributes=["Bin_Min", "Bin_Max"])
     bins = shares.select(
         *groups,
         month,
@@ -400,9 +405,9 @@ def psi_report(
     groups = [*level_keys, "Feature", "Feature_Type"]
     by_level = spread(counts).where((F.col("Segment_Column") != "Overall") | (F.col("Feature") == score))
     by_level = by_level.where((F.col("Segment_Column") == "Overall") | F.col("Feature").isin(*features))
-    expected = by_level.where("__train").groupBy(*groups, "Bin").agg(F.sum("n").alias("n"))
-    actual = by_level.where(~F.col("__train")).groupBy(*groups, month, "Bin").agg(F.sum("n").alias("n"))
-    shares = compare_bins(expected, actual, groups, month, policy)
+    dated = with_null_period(by_level.where(F.col("__train") | F.col(month).isNotNull()), month)
+    level_counts = dated.groupBy(*groups, month, "Bin").agg(F.sum("n").alias("n"))
+    shares = compare_bins(level_counts, groups, month, policy)
     values = index_of(
         shares,
         [*groups, month],
@@ -413,10 +418,12 @@ def psi_report(
         ],
     )
     people = flagged.select(*keep, account).distinct()
-    seen = spread(people)
-    base = distinct_accounts(seen.where("__train"), level_keys, account, "Base_Count")
-    now = distinct_accounts(seen.where(~F.col("__train")), [*level_keys, month], account, "Actual_Count")
-    full = values.join(base, level_keys, "left").join(now, [*level_keys, month], "left")
+    seen = with_null_period(spread(people), month)
+    sized = distinct_accounts(seen, [*level_keys, month], account, "Actual_Count").withColumn(
+        "Base_Count",
+        F.max(F.when(F.col(month).isNull(), F.col("Actual_Count"))).over(Window.partitionBy(*level_keys)),
+    )
+    full = values.join(sized.where(F.col(month).isNotNull()), [*level_keys, month], "left")
     names = F.concat(
         F.lit("Model_"), F.col(version).cast("string"), F.lit("_Trench_"), F.regexp_replace(subset, ",", "_"),
         F.when(F.col("Segment_Column") == "Overall", F.lit("")).otherwise(
@@ -443,7 +450,7 @@ def first_period_psi(
     score: str,
     when: str,
     account: str = ACCOUNT,
-    policy: str | ZeroPolicy = "absent_1e-4_renormalised",
+    policy: str | ZeroPolicy = "zero_1e-4_renormalised",
 ) -> DataFrame:
     """Monthly PSI against each model's first month, with sample statistics."""
     rows = clean_scores(df, score).withColumn("month", month_label(F.col(when))).where(F.col("month").isNotNull())
@@ -455,10 +462,11 @@ def first_period_psi(
     all_bins = counts.groupBy(model).agg(F.max("bins").alias("bins")).select(
         model, F.explode(F.sequence(F.lit(1), F.col("bins"))).alias("Bin")
     )
-    base = counts.where(F.col("month") == F.col("baseline"))
-    # Bins that the baseline leaves empty take part with the absent share on both sides.
-    expected = all_bins.join(base.select(model, "Bin", "n"), [model, "Bin"], "left")
-    shares = compare_bins(expected, counts.select(model, "month", "Bin", "n"), [model], "month", policy)
+    # Bins that the baseline leaves empty take part with a zero share.
+    empty = all_bins.select(model, F.lit(None).cast("string").alias("month"), "Bin", F.lit(0).cast("long").alias("n"))
+    own = with_baseline_copy(counts, "month", F.col("month") == F.col("baseline"))
+    both = own.select(model, "month", "Bin", "n").unionByName(empty)
+    shares = compare_bins(both, [model], "month", policy)
     values = index_of(shares, [model, "month"], "PSI").withColumn("PSI", F.round("PSI", 6))
     stats = placed.groupBy(model, "month").agg(
         F.max("baseline").alias("baseline_month"),
@@ -504,10 +512,8 @@ def _baseline_month_shares(
         include_lowest=False, others="Other",
     )
     is_base = F.col(month) == F.col("baseline_month")
-    expected = counts.where(is_base).drop(month)
-    shares = compare_bins(
-        expected, counts.where(~is_base), groups, month, policy, attributes=["Bin_Min", "Bin_Max"]
-    )
+    dated_counts = counts.withColumn(month, F.when(~is_base, F.col(month)))
+    shares = compare_bins(dated_counts, groups, month, policy, attributes=["Bin_Min", "Bin_Max"])
     return shares, sizes
 
 
@@ -587,8 +593,8 @@ def whole_frame_feature_psi(
     counts = binned.groupBy(month, "Bin").agg(F.count(F.lit(1)).alias("n"))
     first = F.lit(baseline) if baseline is not None else df.agg(F.min(month)).scalar()
     counts = counts.withColumn("base_month", first)
-    expected = counts.where(F.col(month) == F.col("base_month")).select("base_month", "Bin", "n")
-    shares = compare_bins(expected, counts, ["base_month"], month, policy)
+    counts = with_baseline_copy(counts, month, F.col(month) == F.col("base_month"))
+    shares = compare_bins(counts, ["base_month"], month, policy)
     if by_bin:
         return shares.select(
             "base_month", F.col(month).alias("month"), "Bin", F.col("e").alias("expected_share"),
@@ -631,9 +637,10 @@ def pooled_bin_psi(
         .groupBy(period, "side", "Bin")
         .agg(F.sum("n").alias("n"))
     )
-    expected = placed.where(F.col("side") == "expected").select(F.col(period).alias("__of"), "Bin", "n")
-    actual = placed.where(F.col("side") == "actual").select(F.col(period).alias("__of"), period, "Bin", "n")
-    shares = compare_bins(expected, actual, ["__of"], period, policy)
+    sided = placed.select(
+        F.col(period).alias("__of"), F.when(F.col("side") == "actual", F.col(period)).alias(period), "Bin", "n"
+    )
+    shares = compare_bins(sided, ["__of"], period, policy)
     return index_of(shares, [period], "psi")
 
 
@@ -651,17 +658,15 @@ def period_psi_detail(
     placed = (
         rows.withColumn("__edges", spec.scalar())
         .withColumn("Bin", B.left_closed(F.col(score), F.col("__edges"), bins + 1))
-        .withColumn("__side", F.when(F.col(selection) == train, "train").otherwise("test"))
+        .withColumn("__side", F.when(F.col(selection) != train, "test"))
         .groupBy("__side", "Bin")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    expected = with_all_bins(
-        placed.where(F.col("__side") == "train").select("Bin", "n"),
-        df.sparkSession.range(1, bins + 1).select(F.col("id").cast("int").alias("Bin")),
-        [],
+    numbers = df.sparkSession.range(1, bins + 1)
+    empty = numbers.select(
+        F.lit(None).cast("string").alias("__side"), F.col("id").cast("int").alias("Bin"), F.lit(0).cast("long").alias("n")
     )
-    actual = placed.where(F.col("__side") == "test").select("__side", "Bin", "n")
-    shares = compare_bins(expected, actual, [], "__side", "empty_is_nothing")
+    shares = compare_bins(placed.unionByName(empty), [], "__side", "empty_is_nothing")
     e, a = F.coalesce("e_share", F.lit(0.0)), F.coalesce("a_share", F.lit(0.0))
     ratio = F.when((e > 0) & (a > 0), F.ln(F.try_divide(a, e))).otherwise(F.lit(0.0))
     detail = shares.select(
