@@ -99,7 +99,12 @@ def _policy_sql() -> str:
         e, a = side("es"), side("sa")
         if p.renormalise:
             e, a = f"({e}) / sum({e}) over (partition by m)", f"({a}) / sum({a}) over (partition by m)"
-        parts.append(f"select '{name}' as policy, m as Month, {r('sum(t)')} as psivalues from (select m, {term('e', 'a')} t from (select m, {e} e, {a} a from sh)) group by m")
+        empty = "0.0" if p.on_zero == "nothing" else "cast('infinity' as double)"
+        part = f"case when e > 0 and a > 0 then {term('e', 'a')} when e > 0 or a > 0 then {empty} end"
+        parts.append(
+            f"select '{name}' as policy, m as Month, case when not isinf(sum(t)) then {r('sum(t)')} end as psivalues "
+            f"from (select m, {part} t from (select m, {e} e, {a} a from sh)) group by m"
+        )
     return " union all ".join(parts)
 
 
@@ -109,7 +114,7 @@ def psi_zero_policies(spark, sf_dir):
     each = [
         psi.monthly_score_psi(rows, "score", policy=name)
         .where(F.col("DateCategory") == "Monthly")
-        .select(F.lit(name).alias("policy"), "Month", rounded("psivalues"))
+        .select(F.lit(name).alias("policy"), "Month", finite("psivalues"))
         for name in POLICIES
     ]
     return stacked(each)
@@ -288,13 +293,16 @@ def psi_trench_subsets(spark, sf_dir):
  s1 as (select k, m, e / sum(e) over w e, a / sum(a) over w a from s0 window w as (partition by k, m)),
  ps as (select k, m, sum({term('e', 'a')}) p from s1 group by k, m)
 select k as modelVersionId, m as month, {r('p')} as PSI, tt.b as baseline_month, tt.t as sample_size, {r('mn')} as prediction_min,
-  {r('mx')} as prediction_max, {r('av', 4)} as prediction_mean, cast(nb as int) as num_bins, c as account_count from ps join tt using (k, m)""",
+  {r('mx')} as prediction_max, {r('av + 1e-7', 4)} as prediction_mean, cast(nb as int) as num_bins, c as account_count from ps join tt using (k, m)""",
 )
 def psi_first_period(spark, sf_dir):
     result = psi.first_period_psi(lines(spark, sf_dir), "modelVersionId", "score", "disbursementdate")
     return result.select(
         "modelVersionId", "month", rounded("PSI"), "baseline_month", "sample_size", rounded("prediction_min"),
-        rounded("prediction_max"), rounded("prediction_mean", 4), "num_bins", "account_count",
+        rounded("prediction_max"),
+        # Means of cents often end exactly between two roundings; both sides shift them alike.
+        F.round(F.col("prediction_mean") + F.lit(1e-7), 4).alias("prediction_mean"),
+        "num_bins", "account_count",
     )
 
 
@@ -317,7 +325,7 @@ def _baseline_month_sql(final: str) -> str:
  bn as (select sc, sv, m, b, f, ft, case when bi is not null then 'Bin_' || bi else cb end bin, e[bi] lo, e[bi + 1] hi from pl),
  tot as (select sc, sv, f, m, count(*) t from bn group by sc, sv, f, m),
  cn as (select sc, sv, f, ft, b, m, bin, count(*) n, max(lo) lo, max(hi) hi from bn where bin is not null group by sc, sv, f, ft, b, m, bin),
- gr as (select x.sc, x.sv, x.f, x.ft, x.b, y.m, x.bin, x.lo, x.hi from cn x join (select distinct sc, sv, f, m from cn where m <> b) y
+ gr as (select x.sc, x.sv, x.f, x.ft, x.b, y.m, x.bin, x.lo, x.hi from cn x join (select distinct sc, sv, f, m from bn where m <> b) y
      on x.sc = y.sc and x.sv = y.sv and x.f = y.f where x.m = x.b
    union select sc, sv, f, ft, b, m, bin, lo, hi from cn where m <> b),
  sh as (select gr.*, coalesce(x.n, 0) en, coalesce(y.n, 0) an,

@@ -33,7 +33,8 @@ def compare_bins(
     policy = policy_named(policy)
     groups, attributes = list(groups), list(attributes)
     if denominator == "binned":
-        counts = counts.where(F.col(bin_column).isNotNull())
+        # The rows stay, so that a period without any binned row still shows up as empty.
+        counts = counts.withColumn("n", F.when(F.col(bin_column).isNotNull(), F.col("n")))
     elif denominator != "all":
         raise ValueError(f"unknown denominator {denominator!r}")
 

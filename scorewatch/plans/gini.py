@@ -171,6 +171,9 @@ def gini_cube(
         )
     )
     names = ["Model_Name", "bad_rate", "segment_type", *columns]
+    if not columns:
+        with_id = fact.withColumn("segment_id", F.lit(0).cast("long"))
+        return _cube_tables(with_id, with_id.select("segment_id", *names).distinct(), names)
     dimension = numbered(
         fact.select("set_id", *names).distinct().withColumn("__inactive", -F.bit_count("set_id")),
         ["__inactive", "set_id", *columns],
@@ -180,8 +183,13 @@ def gini_cube(
     with_id = join_null_safe(
         fact, dimension.select("set_id", *columns, "segment_id"), ["set_id", *columns], "left"
     )
+    return _cube_tables(with_id, dimension, names)
+
+
+def _cube_tables(fact: DataFrame, dimension: DataFrame, names: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Both tables with their published columns."""
     return (
-        with_id.select(
+        fact.select(
             "segment_id", "start_date", "end_date", "period", "gini_value", "distinct_accounts", "bad_count", *names
         ),
         dimension.select("segment_id", *names),

@@ -174,7 +174,7 @@ def _feature_counts(
     kinds = {f: kinds[f] for f in features if f in kinds}
     flagged = df.withColumn("__train", F.coalesce(F.col(selection) == train, F.lit(False)))
     keep = list(dict.fromkeys([*keys, *segments, month, "__train"]))
-    train_long = binning.long_features(flagged.where("__train"), kinds, keep)
+    train_long = binning.long_features(flagged.where(F.col(selection) == train), kinds, keep)
     counted = flagged if within is None else flagged.where(within)
     what = ["Feature", "Feature_Type", "Bin"]
     counts = binning.feature_bin_counts(
