@@ -62,6 +62,25 @@ def grouped_by_sets(
     return grouped.where(keep).withColumn("set_id", set_id).drop(*[f"__g_{c}" for c in dims])
 
 
+def copied_to_sets(df: DataFrame, sets: Sequence[Sequence[str]], dims: Sequence[str]) -> DataFrame:
+    """A copy of each row per set with the inactive dims null, not aggregated, with `set_id`.
+
+    For rows that hardly ever fall together, where aggregating the copies would not shrink
+    them. Rows with a null in an active dim are left out of that set.
+    """
+    dims = list(dims)
+    rest = [c for c in df.columns if c not in dims]
+    copies = []
+    for chosen in sets:
+        set_id = sum(1 << (len(dims) - 1 - i) for i, c in enumerate(dims) if c not in chosen)
+        known = F.lit(True)
+        for c in chosen:
+            known = known & F.col(c).isNotNull()
+        shown = [(F.col(c) if c in chosen else F.lit(None).cast(df.schema[c].dataType)).alias(c) for c in dims]
+        copies.append(F.when(known, F.struct(F.lit(set_id).alias("set_id"), *shown)))
+    return df.select(*rest, F.explode(F.array_compact(F.array(*copies))).alias("__set")).select("__set.*", *rest)
+
+
 def prefixes(segments: Sequence[str]) -> list[list[str]]:
     """[c1], [c1, c2], ... without the grand total."""
     return [list(segments[: i + 1]) for i in range(len(segments))]
@@ -119,48 +138,34 @@ def version_trench_config(
     )
 
 
-def hierarchical_segments(
-    df: DataFrame,
-    keys: Sequence[str],
-    aggregates: Sequence[Column],
-    model: str = "modelDisplayName",
-    version: str = "modelVersionId",
-    trench: str = "trenchCategory",
-    loan: str = "new_loan_type",
-    product: str = "loan_product_type",
-    known_trenches: Sequence[str] | None = ("Trench 1", "Trench 2", "Trench 3"),
+# Columns of each hierarchical level, as positions in (model, version, trench, loan, product).
+LEVELS = {
+    "Trench_Level": (0, 1, 2),
+    "Model_Level": (0, 1),
+    "Loan_Type_Level": (0, 1, 2, 3),
+    "Product_Type_Level": (0, 1, 2, 4),
+    "Full_Level": (0, 1, 2, 3, 4),
+}
+
+
+def hierarchical_copies(
+    df: DataFrame, dims: Sequence[str], known_trenches: Sequence[str] | None = ("Trench 1", "Trench 2", "Trench 3")
 ) -> DataFrame:
-    """Trench, model, loan type, product type and full level segments with 'All' labels.
+    """A copy of each row per trench, model, loan type, product type and full level segment.
 
-    The model level counts only `known_trenches`.
+    `dims` are model, version, trench, loan type and product; inactive ones read 'All'. The
+    model level counts only `known_trenches`. Rows with a null in an active column drop out.
     """
-    levels = {
-        "Trench_Level": [model, version, trench],
-        "Model_Level": [model, version],
-        "Loan_Type_Level": [model, version, trench, loan],
-        "Product_Type_Level": [model, version, trench, product],
-        "Full_Level": [model, version, trench, loan, product],
-    }
-    dims = [model, version, trench, loan, product]
-    rows = df
-    if known_trenches is not None:
-        rows = rows.withColumn("__known", F.col(trench).isin(*known_trenches))
-    else:
-        rows = rows.withColumn("__known", F.lit(True))
-    below = grouped_by_sets(
-        rows, [s for n, s in levels.items() if n != "Model_Level"], dims, keys, aggregates
-    )
-    top = grouped_by_sets(rows.where("__known"), [levels["Model_Level"]], dims, keys, aggregates)
-    names = F.create_map(
-        *[
-            F.lit(x)
-            for name, chosen in levels.items()
-            for x in (sum(1 << (4 - i) for i, d in enumerate(dims) if d not in chosen), name)
+    rest = [c for c in df.columns if c not in dims]
+    copies = []
+    for name, active in LEVELS.items():
+        known = F.lit(True)
+        for i in active:
+            known = known & F.col(dims[i]).isNotNull()
+        if name == "Model_Level" and known_trenches is not None:
+            known = known & F.col(dims[2]).isin(*known_trenches)
+        shown = [
+            (F.col(c).cast("string") if i in active else F.lit("All")).alias(c) for i, c in enumerate(dims)
         ]
-    )
-    return (
-        below.unionByName(top)
-        .withColumn("segment_type", F.element_at(names, F.col("set_id")))
-        .withColumns({c: F.coalesce(F.col(c).cast("string"), F.lit("All")) for c in (trench, loan, product)})
-        .drop("set_id")
-    )
+        copies.append(F.when(known, F.struct(F.lit(name).alias("segment_type"), *shown)))
+    return df.select(*rest, F.explode(F.array_compact(F.array(*copies))).alias("__level")).select("__level.*", *rest)

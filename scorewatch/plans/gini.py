@@ -18,11 +18,12 @@ from scorewatch.operators.joins import outer_on
 from scorewatch.operators.ordered import join_null_safe, numbered, running_totals
 from scorewatch.operators.segments import (
     all_combinations,
+    copied_to_sets,
     grouped_by_sets,
-    hierarchical_segments,
+    hierarchical_copies,
     one_at_a_time,
 )
-from scorewatch.session import settle
+from scorewatch.session import fits_one_task, settle
 
 ACCOUNT = "digitalLoanAccountId"
 METHODS = ("auc", "cumulative", "trapezoid", "hybrid")
@@ -45,6 +46,9 @@ def collapse(df: DataFrame, keys: Sequence[str], score: str, label: str) -> Data
 def gini_of_counts(counts: DataFrame, keys: Sequence[str], score: str, method: str = "auc") -> DataFrame:
     """Gini per group from (keys, score, n, bad): keys, n, bad, good, gini.
 
+    A score may have several rows in a group. In small frames the window adds up equal
+    scores; large ones are grouped by score first, so that groups can be split by range.
+
     auc: 2 * AUC - 1, null for one class or fewer than two rows
     cumulative: 1 - 2 * sum of cumulative bads / (n * bads), ties averaged
     trapezoid: area under cumulative bads over cumulative goods from the lowest score, 0 for one class
@@ -53,16 +57,35 @@ def gini_of_counts(counts: DataFrame, keys: Sequence[str], score: str, method: s
     if method not in METHODS:
         raise ValueError(f"unknown Gini method {method!r}")
     rows = counts.withColumn("good", F.col("n") - F.col("bad"))
-    ranked = running_totals(rows, keys, [score], ["good", "bad"], totals=False)
-    n, bad, good = (F.col(c).cast("double") for c in ("n", "bad", "good"))
+    if fits_one_task(counts):
+        upto = Window.partitionBy(*keys).orderBy(score).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+        equal = Window.partitionBy(*keys, score)
+        measures = ("good", "bad") if method == "cumulative" else ("good",)
+        ranked = rows.withColumns({f"cum_{c}": F.sum(c).over(upto) for c in measures}).withColumns(
+            {f"tie_{c}": F.sum(c).over(equal) for c in measures}
+        )
+    else:
+        merged = rows.groupBy(*keys, score).agg(*[F.sum(c).alias(c) for c in ("n", "bad", "good")])
+        ranked = running_totals(merged, keys, [score], ["good", "bad"], totals=False).withColumns(
+            {"tie_good": F.col("good"), "tie_bad": F.col("bad")}
+        )
+    n, bad = (F.col(c).cast("double") for c in ("n", "bad"))
+    good = F.col("tie_good").cast("double")
     goods_below = F.col("cum_good").cast("double") - good
-    bads_below = F.col("cum_bad").cast("double") - bad
+    # Each row of a tie stands at the average of the tie's positions.
+    if method == "cumulative":
+        tie_bad = F.col("tie_bad").cast("double")
+        bads_below = F.col("cum_bad").cast("double") - tie_bad
+        tie_n = good + tie_bad
+        cumulated = n * bads_below + n / tie_n * tie_bad * (tie_n + F.lit(1.0)) / F.lit(2.0)
+    else:
+        cumulated = F.lit(None).cast("double")
     sums = ranked.groupBy(*keys).agg(
         F.sum("n").alias("n"),
         F.sum("bad").alias("bad"),
         F.sum("good").alias("good"),
         F.sum(bad * (goods_below + good / F.lit(2.0))).alias("__area"),
-        F.sum(n * bads_below + bad * (n + F.lit(1.0)) / F.lit(2.0)).alias("__cumulated"),
+        F.sum(cumulated).alias("__cumulated"),
         F.min(score).alias("__low"),
         F.max(score).alias("__high"),
     )
@@ -132,9 +155,7 @@ def gini_cube(
 
     counts = collapse(rows, [*columns, "__week", "__month"], score, label)
     dated = explode_periods(counts, periods).drop("__week", "__month")
-    by_set = grouped_by_sets(
-        dated, sets, columns, [*when, score], [F.sum("n").alias("n"), F.sum("bad").alias("bad")]
-    )
+    by_set = copied_to_sets(dated, sets, columns)
     keys = ["set_id", *columns, *when]
     ginis = gini_of_counts(by_set, keys, score, method).select(*keys, "n", F.col("gini").alias("gini_value"))
 
@@ -491,10 +512,7 @@ def dashboard_metrics(
     counts = collapse(rows, [*DASHBOARD_DIMS, date], score, label)
     timed = _dashboard_periods(counts, date)
     keys = ["segment_type", *DASHBOARD_DIMS, "time_type", "time_period"]
-    by_segment = hierarchical_segments(
-        timed, ["time_type", "time_period", score], [F.sum("n").alias("n"), F.sum("bad").alias("bad")],
-        known_trenches=known_trenches,
-    )
+    by_segment = hierarchical_copies(timed, DASHBOARD_DIMS, known_trenches)
     return gini_of_counts(by_segment, keys, score).select(
         *keys,
         ((F.col("gini") + 1) / F.lit(2.0)).alias("auc"),
@@ -516,12 +534,8 @@ def dashboard_deciles(
 ) -> DataFrame:
     """Gain tables for the segments and periods of `dashboard_metrics`."""
     rows = scored_outcomes(df, score, label).withColumn(date, F.to_date(date))
-    counts = rows.groupBy(*DASHBOARD_DIMS, date, score, account, label).agg(F.count(F.lit(1)).alias("n"))
-    by_segment = hierarchical_segments(
-        _dashboard_periods(counts, date), ["time_type", "time_period", score, account, label],
-        [F.sum("n").alias("n")], known_trenches=known_trenches,
-    )
-    each = by_segment.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))).drop("n", "__copy")
+    wanted = rows.select(*DASHBOARD_DIMS, date, score, account, label)
+    each = hierarchical_copies(_dashboard_periods(wanted, date), DASHBOARD_DIMS, known_trenches)
     keys = ["segment_type", *DASHBOARD_DIMS, "time_type", "time_period"]
     return decile_gains(each, keys, score, label, [account])
 
