@@ -373,6 +373,24 @@ def psi_baseline_month_bins(spark, sf_dir):
     return result.select(*kept, *[rounded(c) for c in numbers], "baseline_count", "current_count", "change_interpretation")
 
 
+LARGEST_ORDER = ["Segment_Column", "Segment_Value", "Feature", "current_month", "Bin"]
+
+
+@query(
+    "psi_largest_bins",
+    f"""select 'component' as by, * from (select * from ({CHECKS['psi_baseline_month_bins']}) order by psi_component desc, {', '.join(LARGEST_ORDER)} limit 10)
+ union all select 'change', * from (select * from ({CHECKS['psi_baseline_month_bins']}) order by abs(percentage_change) desc, {', '.join(LARGEST_ORDER)} limit 10)""",
+)
+def psi_largest_bins(spark, sf_dir):
+    rows = psi_baseline_month_bins(spark, sf_dir)
+    return stacked(
+        [
+            reports.largest(rows, "psi_component", 10, ties=LARGEST_ORDER).withColumn("by", F.lit("component")),
+            reports.largest(rows, "percentage_change", 10, True, LARGEST_ORDER).withColumn("by", F.lit("change")),
+        ]
+    )
+
+
 @query(
     "psi_whole_frame_bins",
     f"""with {LINES}, v as (select list(quantity order by quantity) v from lines where quantity is not null),

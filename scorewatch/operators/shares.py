@@ -44,12 +44,16 @@ def compare_bins(
         F.map_from_entries(F.collect_list(F.when(~baseline, F.struct(period, "n")))).alias("__periods"),
         *[F.max(c).alias(c) for c in attributes],
     )
-    # A group has few bins and each of them few periods, so these windows stay small.
-    group = Window.partitionBy(*groups)
-    every = F.array_distinct(F.flatten(F.collect_list(F.map_keys("__periods")).over(group)))
-    grid = per_bin.select(
-        "*", F.sum("e_n").over(group).alias("e_total"), every.alias("__every")
-    ).where(F.col("e_total").isNotNull())
+    # One row per group with its bins; their counts by period are as many as the output rows.
+    entry = F.struct(bin_column, "e_n", "__periods", *attributes)
+    every = F.array_distinct(F.flatten(F.transform("__bins", lambda b: F.map_keys(b["__periods"]))))
+    grid = (
+        per_bin.groupBy(*groups)
+        .agg(F.sum("e_n").alias("e_total"), F.collect_list(entry).alias("__bins"))
+        .where(F.col("e_total").isNotNull())
+        .withColumn("__every", every)
+        .select(*groups, "e_total", "__every", F.inline("__bins"))
+    )
     within = Window.partitionBy(*groups, period)
     shares = (
         grid.select("*", F.explode("__every").alias(period))
