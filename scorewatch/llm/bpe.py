@@ -318,8 +318,9 @@ def encode_ids(docs: DataFrame, path: str) -> DataFrame:
     return documents(docs).mapInArrow(run, "doc_id long, ids array<int>, ends array<long>")
 
 
-def round_trip(docs: DataFrame, path: str) -> DataFrame:
-    """Encode, then decode: doc_id, n_tokens, ids_sha256 (decimal ids), decoded_sha256 (bytes).
+def round_trip(docs: DataFrame, path: str, keep_ids: bool = False) -> DataFrame:
+    """Encode, then decode: doc_id, n_tokens, ids_sha256 (decimal ids), decoded_sha256 (bytes)
+    and, if asked for, the ids themselves.
 
     `path`: ranks, one token a line. Null texts count as empty (no ids, digest of nothing).
     """
@@ -328,14 +329,18 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
         codec = Codec(path)
         for batch in slices(batches):
             texts = [b"" if x is None else x for x in batch.column("text").cast(pa.binary()).to_pylist()]
-            counts, digests, back = [], [], []
+            counts, digests, back, kept = [], [], [], []
             for entries in codec.encode(texts):
                 counts.append(sum([e[1] for e in entries]))
                 digests.append(hashlib.sha256(b" ".join([e[0] for e in entries])).hexdigest())
-                back.append(hashlib.sha256(codec.decode([i for e in entries for i in e[2]])).hexdigest())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(digests), pa.array(back)],
-                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
-
-    return documents(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+                ids = [i for e in entries for i in e[2]]
+                back.append(hashlib.sha256(codec.decode(ids)).hexdigest())
+                if keep_ids:
+                    kept.append(np.array(ids, dtype=np.int32))
+            columns = {"doc_id": batch.column("doc_id"), "n_tokens": pa.array(counts, pa.int64()), "ids_sha256": pa.array(digests, pa.string()), "decoded_sha256": pa.array(back, pa.string())}
+            if keep_ids:
+                columns["ids"] = pa.array(kept, pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_pydict(columns)
+
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if keep_ids else "")
+    return documents(docs).mapInArrow(run, schema)

@@ -6,22 +6,44 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorewatch.llm import bpe, simhash, token_files, winnow
-from scorewatch.llm.common import new_folder, table
+from scorewatch.llm import bpe, decontaminate, pii, simhash, token_files, toxicity, warc, winnow
+from scorewatch.llm.common import crc_remainder, new_folder, table
 
 BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 END_ID = 2
 
 
+def op1_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.replace_entities(docs).withColumnRenamed("__entities", "n_entities")
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.scored(docs, model).select(
+        "doc_id", (crc_remainder(F.col("doc_id"), 4) == 2).alias("held_out"), "score", "predicted", "neighbours", "cosines"
+    )
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnow.edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = warc.write_archives(table(spark, sf_dir, "pages"), new_folder(spark, "warc"))
+    return warc.read_archives(manifest)
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     manifest = token_files.write_tokens(docs, new_folder(spark, "tokens"), WORD_TOKENIZER, END_ID)
@@ -32,5 +54,18 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), BYTE_RANKS)
 
 
-QUERIES = {f.__name__: f for f in (op5_simhash, op7_winnowing, op9_token_files, op10_byte_bpe)}
-CHECKS: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_surrogates, op4_toxicity, op5_simhash, op6_string_tiling, op7_winnowing, op8_warc, op9_token_files, op10_byte_bpe)}
+
+# Base32 takes five bits at a time: four letters from every five hexadecimal digits.
+OP8_WARC = """
+with paged as (
+  select page_id, octet_length(encode(coalesce(html, ''))) as payload_bytes, sha1(coalesce(html, '')) as hex from pages),
+groups as (select *, max(page_id) over (partition by hex) as largest from paged)
+select page_id, payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    ((cast('0x' || substr(hex, cast(1 + 5 * (i // 4) as int), 5) as bigint) >> cast(15 - 5 * (i % 4) as int)) & 31) + 1, 1)), '') as payload_digest,
+  case when page_id = largest then 'response' else 'revisit' end as record_type,
+  case when page_id = largest then null else largest end as refers_to
+from groups"""
+
+CHECKS = {"op8_warc": OP8_WARC}
