@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorewatch.llm import bpe, decontaminate, pii, quality, simhash, token_files, toxicity, warc, winnow
+from scorewatch.llm import bpe, decontaminate, pii, quality, simhash, suffixes, token_files, toxicity, warc, winnow
 from scorewatch.llm.common import crc_remainder, new_folder, table
 
 BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -25,6 +25,10 @@ def op2_byte_network(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(docs, model).select("doc_id", (crc_remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
 
 
+def op3_deep_shallow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
@@ -60,7 +64,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), BYTE_RANKS)
 
 
-QUERIES = {f.__name__: f for f in (op1_surrogates, op2_byte_network, op4_toxicity, op5_simhash, op6_string_tiling, op7_winnowing, op8_warc, op9_token_files, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_surrogates, op2_byte_network, op3_deep_shallow, op4_toxicity, op5_simhash, op6_string_tiling, op7_winnowing, op8_warc, op9_token_files, op10_byte_bpe)}
 
 # Base32 takes five bits at a time: four letters from every five hexadecimal digits.
 OP8_WARC = """
