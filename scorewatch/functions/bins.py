@@ -14,11 +14,15 @@ NO_BINS = "No_Bins"
 INFINITY = float("inf")
 
 
-def _edges_passed(edges: Column, most: int, test) -> Column:
-    """How many of the first `most` sorted edges pass `test`, by binary search.
+def _edges_passed(edges: Column, most: int | None, test) -> Column:
+    """How many of the sorted edges pass `test`.
 
-    Absent edges fail every test, so shorter arrays need no padding.
+    By binary search where `most`, a bound on their number, is known; absent edges fail every
+    test, so shorter arrays need no padding. Without a bound all edges are looked at.
     """
+    if most is None:
+        return F.size(F.filter(edges, test))
+
     def search(low: int, high: int) -> Column:
         if low == high:
             return F.lit(low)
@@ -28,7 +32,7 @@ def _edges_passed(edges: Column, most: int, test) -> Column:
     return search(0, most)
 
 
-def right_closed(value: Column, edges: Column, most: int = 11, include_lowest: bool = True) -> Column:
+def right_closed(value: Column, edges: Column, most: int | None = None, include_lowest: bool = True) -> Column:
     """1-based bin with (low, high] bins; null below the first edge or above the last."""
     below = _edges_passed(edges, most, lambda e: e < value)
     first, last = F.get(edges, F.lit(0)), F.element_at(edges, -1)
@@ -39,7 +43,7 @@ def right_closed(value: Column, edges: Column, most: int = 11, include_lowest: b
     )
 
 
-def left_closed(value: Column, edges: Column, most: int = 11) -> Column:
+def left_closed(value: Column, edges: Column, most: int | None = None) -> Column:
     """1-based bin with [low, high) bins, the last one closed on both sides."""
     upto = _edges_passed(edges, most, lambda e: e <= value)
     first, last = F.get(edges, F.lit(0)), F.element_at(edges, -1)
@@ -61,7 +65,7 @@ def open_ended(edges: Column) -> Column:
 POSITION_MISSING, POSITION_NO_BINS = -1, -2
 
 
-def numeric_position(value: Column, edges: Column, most: int = 11, include_lowest: bool = True) -> Column:
+def numeric_position(value: Column, edges: Column, most: int | None = None, include_lowest: bool = True) -> Column:
     """Bin number, or a marker for null values and for features without edges."""
     return (
         F.when(value.isNull(), F.lit(POSITION_MISSING))

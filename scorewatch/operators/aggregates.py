@@ -196,8 +196,13 @@ def column_differences(left: DataFrame, right: DataFrame) -> dict[str, list[str]
 def pivoted(
     df: DataFrame, rows: Sequence[str], column: str, value: str, values: Sequence | None = None
 ) -> DataFrame:
-    """One column per value of `column`; pass `values` to spare the pass that finds them."""
-    return df.groupBy(*rows).pivot(column, list(values) if values else None).agg(F.first(value, True))
+    """One column per value of `column`; pass `values` to spare the pass that finds them.
+
+    The values become column names, so the driver has to know them; their number is not limited.
+    """
+    if values is None:
+        values = [r[0] for r in df.select(column).distinct().orderBy(column).collect()]
+    return df.groupBy(*rows).pivot(column, list(values)).agg(F.first(value, True))
 
 
 def pivoted_by_rank(df: DataFrame, rows: Sequence[str], rank: str, values: Sequence[str], most: int = 3) -> DataFrame:

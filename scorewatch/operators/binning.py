@@ -16,7 +16,6 @@ from scorewatch.functions import bins as B
 from scorewatch.operators.aggregates import stacked
 from scorewatch.operators.dedup import top_per_key
 from scorewatch.operators.ordered import join_null_safe, quantiles, quantiles_of_counts, value_counts
-from scorewatch.session import broadcast_if_small, spread_if_few
 
 DECILES = [i / 10 for i in range(11)]
 # Positions of the three-bin step of the ladder, as published.
@@ -109,7 +108,7 @@ def long_features(
                 category.alias("category"),
             )
         )
-    return spread_if_few(df.select(*keep, *types)).select(*keep, F.inline(F.array(*entries)))
+    return df.select(*keep, F.inline(F.array(*entries)))
 
 
 # --- edges ------------------------------------------------------------------------------
@@ -202,7 +201,7 @@ def feature_bin_counts(
         if name not in spec.columns:
             spec = spec.withColumn(name, F.lit(None).cast(kind))
     if keys:
-        placed = join_null_safe(long, broadcast_if_small(spec), groups, "left")
+        placed = join_null_safe(long, spec, groups, "left")
     else:
         # Without keys the specification has one row per named feature.
         placed = long.join(F.broadcast(spec), "Feature", "left")
@@ -210,7 +209,7 @@ def feature_bin_counts(
     placed = placed.withColumns(
         {
             "__position": F.when(
-                numerical, B.numeric_position(F.col("number"), F.col("edges"), 11, include_lowest)
+                numerical, B.numeric_position(F.col("number"), F.col("edges"), len(DECILES), include_lowest)
             ),
             "__category": F.when(~numerical, B.category_label(F.col("category"), F.col("top"), others)),
         }
@@ -327,7 +326,7 @@ def bin_audit(train: DataFrame, value: str) -> DataFrame:
     q = quantiles_of_counts(counts, [], value, DECILES)
     spec = q.select(F.struct(B.open_ended(_distinct_sorted(F.col("quantiles"))).alias("edges"), "rows"))
     placed = counts.withColumn("__spec", spec.scalar()).select("*", "__spec.edges", "__spec.rows")
-    position = B.left_closed(F.col(value), F.col("edges"))
+    position = B.left_closed(F.col(value), F.col("edges"), len(DECILES))
     return (
         placed.withColumn("bin", position)
         .groupBy("bin", F.get("edges", position - 1).alias("lower_bound"), F.get("edges", position).alias("upper_bound"))

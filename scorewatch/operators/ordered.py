@@ -1,9 +1,9 @@
 """Running totals and exact quantiles that never put a large group into one task.
 
-Both start from one row per (keys, value). While the sources are small a plain window does
-the work. Beyond the size limit the rows are range-partitioned on (keys, value), which
-splits even a group that holds most of the data; each range is summed on its own and the
-totals of the earlier ranges of the same group are added.
+Both start from one row per (keys, value). The rows are range-partitioned on (keys, value),
+which splits even a group that holds most of the data; each range is summed on its own and
+the totals of the earlier ranges of the same group are added. Ranges begin as many as the
+session has shuffle partitions and are merged by size, so small frames have one or a few.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scorewatch.session import fits_one_task, materialise
+from scorewatch.session import materialise
 
 RANGE = "__range"
 
@@ -46,22 +46,10 @@ def running_totals(
     keys, order, columns = list(keys), list(order), list(columns)
     direction = [F.col(c).desc() if descending else F.col(c).asc() for c in order]
 
-    if fits_one_task(df):
-        group = Window.partitionBy(*keys)
-        running = group.orderBy(*direction).rowsBetween(Window.unboundedPreceding, 0)
-        added = {f"cum_{c}": F.sum(c).over(running) for c in columns}
-        if totals:
-            added |= {f"all_{c}": F.sum(c).over(group) for c in columns}
-        return df.withColumns(added)
-
-    spark = df.sparkSession
-    pieces = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = materialise(
-        df.repartitionByRange(pieces, *[F.col(k) for k in keys], *direction).withColumn(
-            RANGE, F.spark_partition_id()
-        )
+        df.repartitionByRange(*[F.col(k) for k in keys], *direction).withColumn(RANGE, F.spark_partition_id())
     )
-    # One row per group and range it touches: at most `pieces` rows for any one group.
+    # One row per group and range it touches: at most as many rows as ranges for any one group.
     group = Window.partitionBy(*keys)
     before = group.orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)
     offsets = (

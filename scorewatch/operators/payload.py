@@ -9,9 +9,6 @@ from pyspark.sql import functions as F
 
 from scorewatch.functions.text import literal_to_json
 
-# A payload with more keys than this is data, not a set of features.
-MAX_KEYS = 5_000
-
 
 def with_payload_map(df: DataFrame, payload: str, output: str = "payload_map") -> DataFrame:
     """Parse the payload into a string map.
@@ -29,16 +26,8 @@ def with_payload_map(df: DataFrame, payload: str, output: str = "payload_map") -
 
 
 def payload_keys(df: DataFrame, payload_map: str = "payload_map", exclude: Sequence[str] = ()) -> list[str]:
-    """Sorted distinct keys. Only the key names reach the driver."""
-    keys = (
-        df.select(F.explode(F.map_keys(payload_map)).alias("key"))
-        .distinct()
-        .orderBy("key")
-        .limit(MAX_KEYS + 1)
-        .collect()
-    )
-    if len(keys) > MAX_KEYS:
-        raise ValueError(f"payload has more than {MAX_KEYS} different keys")
+    """Sorted distinct keys. Only the key names reach the driver, where they become columns."""
+    keys = df.select(F.explode(F.map_keys(payload_map)).alias("key")).distinct().orderBy("key").collect()
     return [r["key"] for r in keys if r["key"] not in set(exclude)]
 
 

@@ -95,34 +95,20 @@ def all_combinations(segments: Sequence[str], max_depth: int | None = None) -> l
 def subset_labels(df: DataFrame, key: str, member: str) -> DataFrame:
     """Every non-empty subset of the members found under each key, one row per (subset, member).
 
-    Members are category labels such as trenches; the number of subsets doubles with each,
-    so more than 20 of them is refused.
+    The number of subsets doubles with each member, which is what is asked for; they are made
+    by adding one member after the other, each row on its own.
     """
-    found = (
-        df.where(F.col(member).isNotNull())
-        .select(key, member)
-        .distinct()
-        .groupBy(key)
-        .agg(F.array_sort(F.collect_set(F.col(member).cast("string"))).alias("__m"))
-        .withColumn(
-            "__m",
-            F.when(F.size("__m") <= 20, F.col("__m")).otherwise(
-                F.raise_error(F.lit(f"more than 20 values of {member} under one {key}"))
-            ),
-        )
-    )
-    subset = F.filter(
-        F.col("__m"),
-        lambda m, i: F.floor(F.col("__mask") / F.pow(F.lit(2.0), i)) % 2 == 1,
-    )
-    return (
-        found.withColumn("__mask", F.explode(F.sequence(F.lit(1), (F.pow(F.lit(2.0), F.size("__m")) - 1).cast("int"))))
-        .withColumn("members", subset)
-        .select(
-            key,
-            F.array_join("members", ",").alias(f"{member}_set"),
-            F.explode("members").alias(member),
-        )
+    found = df.where(F.col(member).isNotNull()).select(key, F.col(member).cast("string").alias("__m")).distinct()
+    ranked = found.groupBy(key).agg(F.array_sort(F.collect_set("__m")).alias("__all"))
+    most = ranked.agg(F.max(F.size("__all"))).first()[0] or 0
+    grown = ranked.withColumn("__set", F.array().cast("array<string>"))
+    for i in range(most):
+        own = F.get("__all", F.lit(i))
+        without = F.array(F.col("__set"))
+        both = F.array(F.col("__set"), F.concat("__set", F.array(own)))
+        grown = grown.select(key, "__all", F.explode(F.when(own.isNull(), without).otherwise(both)).alias("__set"))
+    return grown.where(F.size("__set") > 0).select(
+        key, F.array_join("__set", ",").alias(f"{member}_set"), F.explode("__set").alias(member)
     )
 
 

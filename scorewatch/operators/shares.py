@@ -8,7 +8,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scorewatch.functions.stability import ZeroPolicy, adjusted, policy_named, term
+from scorewatch.operators.ordered import join_null_safe
 from scorewatch.operators.segments import one_at_a_time
+from scorewatch.session import materialise
+
+ALL = "__all"  # one value: the key of groups without columns
 
 
 def compare_bins(
@@ -38,29 +42,23 @@ def compare_bins(
     elif denominator != "all":
         raise ValueError(f"unknown denominator {denominator!r}")
 
+    # Counts are as many as the bins of all periods; written once, they serve all that follows.
+    counts = materialise(counts.select("*", F.lit(0).alias(ALL)))
+    keys = [ALL, *groups]
     baseline = F.col(period).isNull()
-    per_bin = counts.groupBy(*groups, bin_column).agg(
+    per_bin = counts.groupBy(*keys, bin_column).agg(
         F.sum(F.when(baseline, F.col("n"))).alias("e_n"),
         F.map_from_entries(F.collect_list(F.when(~baseline, F.struct(period, "n")))).alias("__periods"),
         *[F.max(c).alias(c) for c in attributes],
     )
-    # One row per group with its bins; their counts by period are as many as the output rows.
-    entry = F.struct(bin_column, "e_n", "__periods", *attributes)
-    every = F.array_distinct(F.flatten(F.transform("__bins", lambda b: F.map_keys(b["__periods"]))))
-    grid = (
-        per_bin.groupBy(*groups)
-        .agg(F.sum("e_n").alias("e_total"), F.collect_list(entry).alias("__bins"))
-        .where(F.col("e_total").isNotNull())
-        .withColumn("__every", every)
-        .select(*groups, "e_total", "__every", F.inline("__bins"))
-    )
+    totals = counts.where(baseline).groupBy(*keys).agg(F.sum("n").alias("e_total")).where(F.col("e_total").isNotNull())
+    periods = counts.where(~baseline).groupBy(*keys, period).agg(F.sum("n").alias("a_total"))
+    grid = join_null_safe(periods, totals, keys, "inner")
     within = Window.partitionBy(*groups, period)
     shares = (
-        grid.select("*", F.explode("__every").alias(period))
+        join_null_safe(per_bin.where(F.col(bin_column).isNotNull()), grid, keys, "inner")
         .withColumn("a_n", F.col("__periods")[F.col(period)])
-        .withColumn("a_total", F.sum("a_n").over(within))
-        .drop("__every", "__periods")
-        .where(F.col(bin_column).isNotNull())
+        .drop("__periods", ALL)
         .where(F.col("e_n").isNotNull() | F.col("a_n").isNotNull())
         .withColumn("e_share", F.try_divide(F.col("e_n").cast("double"), F.col("e_total")))
         .withColumn("a_share", F.try_divide(F.col("a_n").cast("double"), F.col("a_total")))
@@ -97,5 +95,7 @@ def segment_accounts(
     overall: tuple[str, str] = ("Overall", "All"),
 ) -> DataFrame:
     """Distinct accounts per one-at-a-time segment and key."""
-    rows = one_at_a_time(df.select(*segments, *keys, account), segments, overall)
+    # Distinct before the copies, so that a row is copied once per account and not once per read.
+    people = df.select(*dict.fromkeys([*segments, *keys, account])).distinct()
+    rows = one_at_a_time(people, segments, overall)
     return distinct_accounts(rows, ["Segment_Column", "Segment_Value", *keys], account, name)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from scorewatch.functions.dates import month_start, period_end, week_start
 from scorewatch.functions.text import number_or_null
+from scorewatch.operators.aggregates import pivoted
 from scorewatch.operators.joins import outer_on
 from scorewatch.operators.ordered import join_null_safe, numbered, running_totals
 from scorewatch.operators.segments import (
@@ -23,7 +24,7 @@ from scorewatch.operators.segments import (
     hierarchical_copies,
     one_at_a_time,
 )
-from scorewatch.session import fits_one_task, settle
+from scorewatch.session import materialise
 
 ACCOUNT = "digitalLoanAccountId"
 METHODS = ("auc", "cumulative", "trapezoid", "hybrid")
@@ -46,8 +47,7 @@ def collapse(df: DataFrame, keys: Sequence[str], score: str, label: str) -> Data
 def gini_of_counts(counts: DataFrame, keys: Sequence[str], score: str, method: str = "auc") -> DataFrame:
     """Gini per group from (keys, score, n, bad): keys, n, bad, good, gini.
 
-    A score may have several rows in a group. In small frames the window adds up equal
-    scores; large ones are grouped by score first, so that groups can be split by range.
+    A score may have several rows in a group; they are added up before the running totals.
 
     auc: 2 * AUC - 1, null for one class or fewer than two rows
     cumulative: 1 - 2 * sum of cumulative bads / (n * bads), ties averaged
@@ -57,27 +57,15 @@ def gini_of_counts(counts: DataFrame, keys: Sequence[str], score: str, method: s
     if method not in METHODS:
         raise ValueError(f"unknown Gini method {method!r}")
     rows = counts.withColumn("good", F.col("n") - F.col("bad"))
-    if fits_one_task(counts):
-        upto = Window.partitionBy(*keys).orderBy(score).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-        equal = Window.partitionBy(*keys, score)
-        measures = ("good", "bad") if method == "cumulative" else ("good",)
-        ranked = rows.withColumns({f"cum_{c}": F.sum(c).over(upto) for c in measures}).withColumns(
-            {f"tie_{c}": F.sum(c).over(equal) for c in measures}
-        )
-    else:
-        merged = rows.groupBy(*keys, score).agg(*[F.sum(c).alias(c) for c in ("n", "bad", "good")])
-        ranked = running_totals(merged, keys, [score], ["good", "bad"], totals=False).withColumns(
-            {"tie_good": F.col("good"), "tie_bad": F.col("bad")}
-        )
+    merged = rows.groupBy(*keys, score).agg(*[F.sum(c).alias(c) for c in ("n", "bad", "good")])
+    ranked = running_totals(merged, keys, [score], ["good", "bad"], totals=False)
     n, bad = (F.col(c).cast("double") for c in ("n", "bad"))
-    good = F.col("tie_good").cast("double")
+    good = F.col("good").cast("double")
     goods_below = F.col("cum_good").cast("double") - good
     # Each row of a tie stands at the average of the tie's positions.
     if method == "cumulative":
-        tie_bad = F.col("tie_bad").cast("double")
-        bads_below = F.col("cum_bad").cast("double") - tie_bad
-        tie_n = good + tie_bad
-        cumulated = n * bads_below + n / tie_n * tie_bad * (tie_n + F.lit(1.0)) / F.lit(2.0)
+        bads_below = F.col("cum_bad").cast("double") - bad
+        cumulated = n * bads_below + bad * (n + F.lit(1.0)) / F.lit(2.0)
     else:
         cumulated = F.lit(None).cast("double")
     sums = ranked.groupBy(*keys).agg(
@@ -181,7 +169,7 @@ def gini_cube(
         fact = fact.where(F.col("gini_value").isNotNull())
     parts = [F.concat(F.lit(f"{name}_"), F.col(c).cast("string")) for name, c in dims]
     joined = F.concat_ws("_", *parts) if parts else F.lit("")
-    fact = settle(
+    fact = materialise(
         fact.withColumns(
             {
                 "end_date": period_end(F.col("start_date"), F.col("period")),
@@ -251,7 +239,7 @@ def periodic_gini(
 
 def wide_gini(fact: DataFrame, keys: Sequence[str] = ("start_date", "end_date", "period")) -> DataFrame:
     """One Gini column per segment, one row per period."""
-    return fact.groupBy(*keys).pivot("segment_type").agg(F.first("gini_value"))
+    return pivoted(fact, keys, "segment_type", "gini_value")
 
 
 # --- named periods, several scores -----------------------------------------------------------

@@ -21,7 +21,6 @@ from scorewatch.operators.shares import (
     segment_accounts,
     with_baseline_copy,
 )
-from scorewatch.session import broadcast_if_small
 
 ACCOUNT, MONTH, SELECTION = "digitalLoanAccountId", "Application_month", "Data_selection"
 SEGMENT = ["Segment_Column", "Segment_Value"]
@@ -454,7 +453,7 @@ def first_period_psi(
 ) -> DataFrame:
     """Monthly PSI against each model's first month, with sample statistics."""
     rows = clean_scores(df, score).withColumn("month", month_label(F.col(when))).where(F.col("month").isNotNull())
-    spec = broadcast_if_small(binning.first_period_edges(rows, model, score, "month"))
+    spec = binning.first_period_edges(rows, model, score, "month")
     placed = rows.join(spec, model, "inner").withColumn("Bin", B.right_closed(F.col(score), F.col("edges")))
     counts = placed.groupBy(model, "baseline", "month", "Bin").agg(
         F.count(F.lit(1)).alias("n"), F.max(F.size("edges") - 1).alias("bins")
@@ -504,7 +503,7 @@ def _baseline_month_shares(
 
     long = binning.long_features(rows, kinds, [*SEGMENT, month])
     present = long.where(F.col("number").isNotNull() | F.col("category").isNotNull())
-    dated = present.join(broadcast_if_small(bases), SEGMENT, "inner")
+    dated = present.join(bases, SEGMENT, "inner")
     base_rows = dated.where(F.col(month) == F.col("baseline_month"))
     groups = [*SEGMENT, "baseline_month", "Feature", "Feature_Type"]
     counts = binning.feature_bin_counts(

@@ -1,19 +1,10 @@
-"""Session set-up, shared checkpoint folder and size checks."""
+"""Session set-up and the shared checkpoint folder."""
 
 from __future__ import annotations
 
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-# Above this much source data an ordered scan of one group is split over many tasks.
-SINGLE_TASK_BYTES = "spark.scorewatch.singleTaskBytes"
-SINGLE_TASK_BYTES_DEFAULT = 512 * 1024 * 1024
-
-# Keyed lookups with at most this many rows may be broadcast.
-BROADCAST_ROWS = "spark.scorewatch.broadcastRows"
-BROADCAST_ROWS_DEFAULT = 100_000
 
 
 def build_session(
@@ -22,7 +13,11 @@ def build_session(
     shuffle_partitions: int | None = None,
     **conf: str,
 ) -> SparkSession:
-    """A session with the settings the library expects (AQE, skew join, UTC)."""
+    """A session with the settings the library expects (AQE, skew join, UTC).
+
+    Shuffles begin with `shuffle_partitions` pieces and are merged by size from there, so on
+    large data it should be set so high that a piece fits into a task.
+    """
     builder = (
         SparkSession.builder.appName(app)
         .config("spark.sql.adaptive.enabled", "true")
@@ -30,6 +25,7 @@ def build_session(
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     if master:
         builder = builder.master(master)
@@ -59,46 +55,3 @@ def materialise(df: DataFrame) -> DataFrame:
     """Write `df` to the shared checkpoint folder and cut its lineage."""
     use_checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def source_bytes(df: DataFrame) -> int:
-    """Bytes of the sources under `df`, as Spark's own statistics give them.
-
-    Sources are added up rather than asking for the root's estimate, because the estimate
-    of a join is the product of its sides.
-    """
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
-
-
-def fits_one_task(df: DataFrame) -> bool:
-    limit = int(df.sparkSession.conf.get(SINGLE_TASK_BYTES, str(SINGLE_TASK_BYTES_DEFAULT)))
-    return source_bytes(df) <= limit
-
-
-def broadcast_if_small(df: DataFrame) -> DataFrame:
-    """Broadcast `df` when its source, or failing that its counted rows, is small.
-
-    A table too large to broadcast is returned materialised without a hint, so that the
-    join shuffles and AQE may split its hot keys.
-    """
-    if fits_one_task(df):
-        return F.broadcast(df)
-    written = materialise(df)
-    limit = int(df.sparkSession.conf.get(BROADCAST_ROWS, str(BROADCAST_ROWS_DEFAULT)))
-    return F.broadcast(written) if written.count() <= limit else written
-
-
-def settle(df: DataFrame) -> DataFrame:
-    """Write a small result of large sources once, so that later uses do not recompute it."""
-    return df if fits_one_task(df) else materialise(df)
-
-
-def spread_if_few(df: DataFrame) -> DataFrame:
-    """Use all cores for a small source that one task would read.
-
-    Large sources keep their own partitions: there the extra shuffle would only cost.
-    """
-    if not fits_one_task(df):
-        return df
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)

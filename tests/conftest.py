@@ -6,7 +6,7 @@ import pytest
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path[:0] = [ROOT, os.path.join(ROOT, "tools")]
 
-from scorewatch.session import SINGLE_TASK_BYTES, build_session  # noqa: E402
+from scorewatch.session import build_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -17,16 +17,5 @@ def spark(tmp_path_factory):
         spark__sql__warehouse__dir=str(folder / "warehouse"), spark__checkpoint__dir=str(folder / "checkpoint"),
     )
     session.sparkContext.setLogLevel("ERROR")
-    # Frames made from Python lists have no known size; tests read them in one task.
-    session.conf.set(SINGLE_TASK_BYTES, str(2**63 - 1))
     yield session
     session.stop()
-
-
-@pytest.fixture
-def distributed(spark):
-    """Make every ordered scan take the range-partitioned way."""
-    before = spark.conf.get(SINGLE_TASK_BYTES)
-    spark.conf.set(SINGLE_TASK_BYTES, "-1")
-    yield spark
-    spark.conf.set(SINGLE_TASK_BYTES, before)

@@ -106,3 +106,11 @@ def test_feature_typing_rules(spark):
 def test_whole_frame_bins_of_one_value(spark):
     df = spark.createDataFrame([(5.0,), (5.0,), (None,)], "v double")
     assert sorted(r["b"] for r in binning.whole_frame_bins(df, "v", "b").collect()) == ["All", "All", "Missing"]
+
+
+def test_twenty_bins_without_a_stated_bound(spark):
+    edges = [float(i) for i in range(21)]
+    df = spark.createDataFrame([(i + 0.5,) for i in range(20)], "x double").withColumn("e", F.lit(edges))
+    for function in (B.right_closed, B.left_closed):
+        got = df.select("x", function(F.col("x"), F.col("e")).alias("b")).collect()
+        assert sorted((r["x"], r["b"]) for r in got) == [(i + 0.5, i + 1) for i in range(20)]

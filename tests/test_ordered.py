@@ -64,40 +64,47 @@ def check_numbers(spark):
 CHECKS = [check_quantiles, check_running, check_gini, check_numbers]
 
 
+@pytest.fixture
+def many_ranges(spark):
+    """Keep every range of an ordered scan, however small."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield spark
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
 @pytest.mark.parametrize("check", CHECKS)
-def test_in_one_task(spark, check):
+def test_merged_ranges(spark, check):
     check(spark)
 
 
 @pytest.mark.parametrize("check", CHECKS)
-def test_range_partitioned(distributed, check):
-    check(distributed)
-
+def test_many_ranges(many_ranges, check):
+    check(many_ranges)
 
-def test_range_partitioned_plans_agree(spark, distributed):
-    """Deciles, descending curves and keyed bins give the same rows both ways."""
-    from scorewatch.session import SINGLE_TASK_BYTES
 
+def test_range_counts_agree(spark):
+    """Deciles, descending curves and keyed bins give the same rows from one range and from many."""
     _, df = hot_rows(spark)
     df = df.where("k is not null")
 
     def both(make):
         results = []
-        for limit in ("-1", str(2**63 - 1)):
-            spark.conf.set(SINGLE_TASK_BYTES, limit)
+        for merged in ("true", "false"):
+            spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", merged)
             results.append(sorted(map(tuple, make().collect())))
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
         return results
 
-    far, near = both(lambda: gini.decile_gains(df, ["k"], "x", "y", ["id"]))
-    assert far == near and len(near) > 10
-    far, near = both(lambda: gini.roc_points(df, ["k"], "x", "y"))
-    assert far == near
-    far, near = both(
+    one, many = both(lambda: gini.decile_gains(df, ["k"], "x", "y", ["id"]))
+    assert one == many and len(one) > 10
+    one, many = both(lambda: gini.roc_points(df, ["k"], "x", "y"))
+    assert one == many
+    one, many = both(
         lambda: gini.gini_cube(
             df.withColumn("d", F.lit("2024-01-01").cast("date")), "x", "y", "bad", [("K", "k")], "d", "id"
         )[0]
     )
-    assert far == near and len(near) > 4
+    assert one == many and len(one) > 4
 
 
 def test_approximate_quantiles_are_observed_values(spark):

@@ -4,6 +4,7 @@ import pytest
 
 import compare
 import __spark_entry__ as entry
+from scorewatch.catalog import collect
 
 DATA = "/root/testdata/sf0.001"
 
@@ -13,14 +14,14 @@ def duck():
     return compare.duck(DATA)
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(collect("QUERIES")))
 def test_query_matches_check(spark, duck, name):
     good, note = compare.compare(spark, duck, DATA, name)
     assert good, note
 
 
 def test_every_query_has_a_check():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(collect("QUERIES")) == set(collect("CHECKS"))
 
 
 def test_entry(spark):
