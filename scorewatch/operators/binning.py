@@ -16,6 +16,7 @@ from scorewatch.functions import bins as B
 from scorewatch.operators.aggregates import stacked
 from scorewatch.operators.dedup import top_per_key
 from scorewatch.operators.ordered import join_null_safe, quantiles, quantiles_of_counts, value_counts
+from scorewatch.session import broadcast_checked
 
 DECILES = [i / 10 for i in range(11)]
 # Positions of the three-bin step of the ladder, as published.
@@ -153,21 +154,24 @@ def edges_by_policy(q: Column, policy: str) -> Column:
 
 
 def numeric_spec(
-    long_train: DataFrame, keys: Sequence[str] = (), policy: str = "ladder", method: str = "exact"
+    long_train: DataFrame, keys: Sequence[str] = (), policy: str = "ladder", method: str = "exact",
+    weight: str | None = None,
 ) -> DataFrame:
-    """(keys, Feature, edges) from the baseline's long rows."""
+    """(keys, Feature, edges) from the baseline's long rows, or from counts of them in `weight`."""
     groups = [*keys, "Feature"]
     q = quantiles(
-        long_train.where(F.col("Feature_Type") == "numerical"), groups, "number", DECILES + THIRDS, method
+        long_train.where(F.col("Feature_Type") == "numerical"), groups, "number", DECILES + THIRDS, method, weight
     )
     return q.select(*groups, edges_by_policy(F.col("quantiles"), policy).alias("edges"))
 
 
-def category_spec(long_train: DataFrame, keys: Sequence[str] = (), top: int = 6) -> DataFrame:
+def category_spec(
+    long_train: DataFrame, keys: Sequence[str] = (), top: int = 6, weight: str | None = None
+) -> DataFrame:
     """(keys, Feature, top) with the most frequent categories, ties by name."""
     groups = [*keys, "Feature"]
     counts = value_counts(
-        long_train.where(F.col("Feature_Type") == "categorical"), groups, "category"
+        long_train.where(F.col("Feature_Type") == "categorical"), groups, "category", weight
     )
     best = top_per_key(counts, groups, [F.col("n").desc(), F.col("category").asc()], top)
     return best.groupBy(*groups).agg(F.array_sort(F.collect_list("category")).alias("top"))
@@ -184,8 +188,9 @@ def feature_bin_counts(
     method: str = "exact",
     include_lowest: bool = True,
     others: str = B.OTHERS,
+    weight: str | None = None,
 ) -> DataFrame:
-    """Rows `n` per (by, Feature, Feature_Type, Bin) with Bin_Min and Bin_Max.
+    """Rows `n` (or the sum of `weight`) per (by, Feature, Feature_Type, Bin) with Bin_Min and Bin_Max.
 
     Bins come from the baseline rows of each key. Rows are counted by bin number in the task
     that reads them; labels are made afterwards, on the counts.
@@ -193,15 +198,15 @@ def feature_bin_counts(
     groups = [*keys, "Feature"]
     specs = []
     if "numerical" in types.values():
-        specs.append(numeric_spec(long_train, keys, policy, method))
+        specs.append(numeric_spec(long_train, keys, policy, method, weight))
     if "categorical" in types.values():
-        specs.append(category_spec(long_train, keys, top))
+        specs.append(category_spec(long_train, keys, top, weight))
     spec = stacked(specs)
     for name, kind in (("edges", "array<double>"), ("top", "array<string>")):
         if name not in spec.columns:
             spec = spec.withColumn(name, F.lit(None).cast(kind))
     if keys:
-        placed = join_null_safe(long, spec, groups, "left")
+        placed = join_null_safe(long, broadcast_checked(spec), groups, "left")
     else:
         # Without keys the specification has one row per named feature.
         placed = long.join(F.broadcast(spec), "Feature", "left")
@@ -216,7 +221,7 @@ def feature_bin_counts(
     )
     position = F.col("__position")
     counts = placed.groupBy(*by, "Feature", "Feature_Type", "__position", "__category").agg(
-        F.count(F.lit(1)).alias("n"),
+        (F.sum(weight) if weight else F.count(F.lit(1))).alias("n"),
         F.first(F.get("edges", F.greatest(position - 1, F.lit(0)))).alias("Bin_Min"),
         F.first(F.get("edges", F.greatest(position, F.lit(0)))).alias("Bin_Max"),
     )

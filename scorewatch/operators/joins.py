@@ -1,4 +1,4 @@
-"""Joins of the population builder. No side is broadcast without a size check by Spark."""
+"""Joins of the population builder. Broadcasts are left to Spark, which checks sizes."""
 
 from __future__ import annotations
 
@@ -11,6 +11,21 @@ from scorewatch.operators.dedup import earliest_per_key, latest_per_key
 from scorewatch.operators.ordered import join_null_safe
 
 
+SALTS = 16
+
+
+def join_salted(df: DataFrame, lookup: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Left join to a small table with one row per key, null matching null.
+
+    Each row of `df` draws one of `SALTS` numbers from its own columns and the lookup is
+    copied to all of them, so neither a popular key nor null puts its rows into one task.
+    """
+    own = [c for c, kind in df.dtypes if not kind.startswith(("map", "variant"))]
+    salted = df.withColumn("__salt", F.pmod(F.xxhash64(*own), F.lit(SALTS)).cast("int"))
+    copies = lookup.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return join_null_safe(salted, copies, [*keys, "__salt"], "left").drop("__salt")
+
+
 def with_latest(
     df: DataFrame,
     dimension: DataFrame,
@@ -20,11 +35,10 @@ def with_latest(
     columns: Sequence[str],
     ties: Sequence[str] = (),
 ) -> DataFrame:
-    """Left join to the latest dimension row per key."""
-    latest = latest_per_key(dimension, [right_key], by, ties).select(
-        F.col(right_key).alias("__key"), *columns
-    )
-    return df.join(latest, df[left_key] == F.col("__key"), "left").drop("__key")
+    """Left join to the latest dimension row per key; popular and null keys are dealt by a salt."""
+    latest = latest_per_key(dimension.where(F.col(right_key).isNotNull()), [right_key], by, ties)
+    lookup = latest.select(F.col(right_key).alias("__key"), *columns)
+    return join_salted(df.withColumn("__key", F.col(left_key)), lookup, ["__key"]).drop("__key")
 
 
 def with_train_precedence(train: DataFrame, test: DataFrame, account: str) -> DataFrame:

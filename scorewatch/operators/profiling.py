@@ -108,7 +108,9 @@ def quota_sample(
     kept = df.where(F.col(segment).isin(*keep_all))
     ticket = F.md5(F.concat(F.lit(f"{seed}-"), F.col(identifier).cast("string")))
     pool = df.where(F.col(segment) == fill_from).withColumn("__ticket", ticket)
-    ranked = numbered(pool, ["__ticket", identifier], "__rank")
+    # At most `size` rows can be drawn, so each task keeps its first ones and no more are ranked.
+    first = pool.orderBy("__ticket", identifier).limit(size)
+    ranked = numbered(first, ["__ticket", identifier], "__rank")
     room = F.lit(size) - kept.agg(F.count(F.lit(1))).scalar()
     drawn = ranked.where(F.col("__rank") <= room).drop("__ticket", "__rank")
     return kept.unionByName(drawn)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from scorewatch.functions.dates import month_start, period_end, week_start
 from scorewatch.functions.text import number_or_null
 from scorewatch.operators.aggregates import pivoted
-from scorewatch.operators.joins import outer_on
+from scorewatch.operators.joins import join_salted, outer_on
 from scorewatch.operators.ordered import join_null_safe, numbered, running_totals
 from scorewatch.operators.segments import (
     all_combinations,
@@ -279,12 +279,11 @@ def named_period_gini(
             for s in scores
         ]
     )
-    long = (
-        rows.select(label, values.alias("__values"), F.explode(matches).alias("Period"))
-        .select(label, "Period", F.inline("__values"))
-    )
+    long = rows.select(label, matches.alias("__periods"), F.inline(values)).where(F.size("__periods") > 0)
+    # Scores are collapsed before they are copied to each period they belong to.
+    counts = collapse(long, ["__periods", "score_name"], "value", label)
     found = gini_of_counts(
-        collapse(long, ["Period", "score_name"], "value", label), ["Period", "score_name"], "value"
+        counts.withColumn("Period", F.explode("__periods")).drop("__periods"), ["Period", "score_name"], "value"
     )
     def shown(c: Column) -> Column:
         return c if digits is None else F.round(c, digits)
@@ -340,7 +339,7 @@ def with_combined_scores(
         )
         facts = outer_on([facts, weights], keys)
     if keys:
-        joined = join_null_safe(df, facts, keys, "left")
+        joined = join_salted(df, facts, keys)
     else:
         added = [c for c in facts.columns]
         joined = df.withColumn("__f", facts.select(F.struct(*added)).scalar()).select("*", "__f.*").drop("__f")

@@ -21,6 +21,7 @@ from scorewatch.operators.shares import (
     segment_accounts,
     with_baseline_copy,
 )
+from scorewatch.session import broadcast_checked
 
 ACCOUNT, MONTH, SELECTION = "digitalLoanAccountId", "Application_month", "Data_selection"
 SEGMENT = ["Segment_Column", "Segment_Value"]
@@ -453,7 +454,7 @@ def first_period_psi(
 ) -> DataFrame:
     """Monthly PSI against each model's first month, with sample statistics."""
     rows = clean_scores(df, score).withColumn("month", month_label(F.col(when))).where(F.col("month").isNotNull())
-    spec = binning.first_period_edges(rows, model, score, "month")
+    spec = broadcast_checked(binning.first_period_edges(rows, model, score, "month"))
     placed = rows.join(spec, model, "inner").withColumn("Bin", B.right_closed(F.col(score), F.col("edges")))
     counts = placed.groupBy(model, "baseline", "month", "Bin").agg(
         F.count(F.lit(1)).alias("n"), F.max(F.size("edges") - 1).alias("bins")
@@ -491,24 +492,29 @@ def _baseline_month_shares(
 ) -> tuple[DataFrame, DataFrame]:
     """(per-bin shares, rows per segment and month) against each segment's baseline month."""
     kinds = dict(types) if types is not None else binning.feature_types(df, features, "at_most")
-    rows = one_at_a_time(
-        df.where(F.col(month).isNotNull()).select(*segments, month, *[F.col(f).alias(f"__f_{f}") for f in features]),
-        segments,
-        ("Overall", "Overall"),
-    ).withColumnsRenamed({f"__f_{f}": f for f in features})
-    sizes = rows.groupBy(*SEGMENT, month).agg(F.count(F.lit(1)).alias("records"))
+    dated_rows = df.where(F.col(month).isNotNull())
+    overall = ("Overall", "Overall")
+    # Counts come before the segment copies: copies are copies of counts.
+    sizes = one_at_a_time(
+        dated_rows.groupBy(*segments, month).agg(F.count(F.lit(1)).alias("__n")), segments, overall
+    ).groupBy(*SEGMENT, month).agg(F.sum("__n").alias("records"))
     first = F.min(month) if baseline is None else F.max(F.when(F.col(month) == baseline, F.col(month)))
     bases = sizes.groupBy(*SEGMENT).agg(first.alias("baseline_month"), F.count(F.lit(1)).alias("__months"))
     bases = bases.where((F.col("__months") >= 2) & F.col("baseline_month").isNotNull()).drop("__months")
 
-    long = binning.long_features(rows, kinds, [*SEGMENT, month])
-    present = long.where(F.col("number").isNotNull() | F.col("category").isNotNull())
-    dated = present.join(bases, SEGMENT, "inner")
+    long = binning.long_features(dated_rows, kinds, list(dict.fromkeys([*segments, month])))
+    counted = (
+        long.where(F.col("number").isNotNull() | F.col("category").isNotNull())
+        .groupBy(*dict.fromkeys([*segments, month]), "Feature", "Feature_Type", "number", "category")
+        .agg(F.count(F.lit(1)).alias("__n"))
+    )
+    present = one_at_a_time(counted, segments, overall)
+    dated = present.join(broadcast_checked(bases), SEGMENT, "inner")
     base_rows = dated.where(F.col(month) == F.col("baseline_month"))
     groups = [*SEGMENT, "baseline_month", "Feature", "Feature_Type"]
     counts = binning.feature_bin_counts(
         dated, base_rows, kinds, [*SEGMENT, "baseline_month", month], SEGMENT, "quantile", top,
-        include_lowest=False, others="Other",
+        include_lowest=False, others="Other", weight="__n",
     )
     is_base = F.col(month) == F.col("baseline_month")
     dated_counts = counts.withColumn(month, F.when(~is_base, F.col(month)))

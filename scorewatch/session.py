@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(
@@ -55,3 +56,17 @@ def materialise(df: DataFrame) -> DataFrame:
     """Write `df` to the shared checkpoint folder and cut its lineage."""
     use_checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+# A lookup of at most this many bytes, counted on its rows, may go to every task.
+BROADCAST_BYTES = 32 * 1024 * 1024
+
+
+def broadcast_checked(df: DataFrame) -> DataFrame:
+    """`df`, computed once; to be broadcast if its counted bytes allow it, else joined by a shuffle.
+
+    The sources may have any size: what counts is the lookup itself, written and measured.
+    """
+    lookup = materialise(df)
+    size = lookup.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0] or 0
+    return F.broadcast(lookup) if size <= BROADCAST_BYTES else lookup

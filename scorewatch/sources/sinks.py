@@ -9,15 +9,24 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from scorewatch.session import materialise
 from scorewatch.sources.files import FORMATS
 
 DISPOSITIONS = {"truncate": "overwrite", "append": "append"}
 
 
-def write_file(df: DataFrame, path: str, kind: str, mode: str = "overwrite") -> str:
-    """CSV with header or parquet; returns the path."""
+def ordered(df: DataFrame, order: Sequence[str | Column]) -> DataFrame:
+    """Rows in `order`, over all files written; as they are without one."""
+    return df.orderBy(*order) if order else df
+
+
+def write_file(
+    df: DataFrame, path: str, kind: str, mode: str = "overwrite", order: Sequence[str | Column] = ()
+) -> str:
+    """CSV with header or parquet, sorted if an order is given; returns the path."""
     if kind not in FORMATS:
         raise ValueError(f"unsupported format {kind!r}; use one of {FORMATS}")
+    df = ordered(df, order)
     writer = df.write.mode(mode)
     writer.csv(path, header=True) if kind == "csv" else writer.parquet(path)
     return path
@@ -28,10 +37,16 @@ def export(df: DataFrame, base_path: str, name: str, kinds: Sequence[str] = FORM
     return {kind: write_file(df, f"{base_path}/{kind}/{name}", kind) for kind in kinds}
 
 
-def load_table(df: DataFrame, table: str, disposition: str = "append") -> bool:
-    """Truncate-load or append; an empty frame is skipped and False returned."""
+def load_table(
+    df: DataFrame, table: str, disposition: str = "append", order: Sequence[str | Column] = ()
+) -> bool:
+    """Truncate-load or append, sorted if an order is given; an empty frame is skipped and False returned.
+
+    The frame is computed once, before it is known whether there is anything to load.
+    """
     if disposition not in DISPOSITIONS:
         raise ValueError(f"unknown disposition {disposition!r}; use one of {tuple(DISPOSITIONS)}")
+    df = materialise(ordered(df, order))
     if df.isEmpty():
         return False
     df.write.mode(DISPOSITIONS[disposition]).saveAsTable(table)
@@ -65,13 +80,13 @@ def rows_without(df: DataFrame, condition: Column) -> DataFrame:
 def delete_rows(spark: SparkSession, table: str, condition: Column) -> None:
     """Rewrite a table without the rows meeting the condition.
 
-    The remaining rows are written to a second table first, because a table cannot be
-    overwritten while it is read.
+    The remaining rows are written once, to a second table that then takes the first one's
+    name; until then the first one is untouched, and from then on the second one is whole.
     """
     interim = f"{table}__kept"
     rows_without(spark.table(table), condition).write.mode("overwrite").saveAsTable(interim)
-    spark.table(interim).write.mode("overwrite").saveAsTable(table)
-    spark.sql(f"DROP TABLE IF EXISTS {interim}")
+    drop_table(spark, table)
+    spark.sql(f"ALTER TABLE {interim} RENAME TO {table}")
 
 
 def drop_table(spark: SparkSession, table: str) -> None:
