@@ -11,9 +11,9 @@ is the prefix sum of the token counts of the ranges before it.
 from __future__ import annotations
 
 import os
-import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,17 +25,29 @@ from scorewatch.llm.common import documents, id_bounds, id_range, pieces_of, sli
 from scorewatch.llm.files import array_of, make_folder, open_store
 
 NO_ID = -(2**63)  # stands for a null document id in a .doc file
-CACHE_ENTRIES = 300_000
-TAIL = re.compile(rb"([a-z]+)([.,!?;:&$%*#()\"-]+)")
+CACHE_ENTRIES = 600_000
+TAIL = b".,!?;:&$%*#()\"-"
+LATIN_END = "\u0250"
+
+
+def byte_letters() -> list[str]:
+    """The character that stands for each byte in a byte-level vocabulary.
+
+    Printable bytes stand for themselves, the others for the code points from 256 on.
+    """
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in shown]
+    return [chr(b) if b in shown else chr(256 + hidden.index(b)) for b in range(256)]
 
 
 class ChunkEncoder:
-    """Ids of a text as bytes, through the library's own encoder.
+    """Ids of a text as bytes, through the library.
 
     The tokenizer splits at white space and drops it, so a text's ids are those of its
     chunks between ASCII white space, one after the other. Chunks already met come from a
-    cache, new ones go to the library in one call. Letters followed by plain punctuation
-    are two chunks, as the pattern separates them.
+    cache. A chunk of Latin letters, which no step but lower-casing changes or splits, goes to
+    the library's model at once; letters before plain punctuation are two such parts. All
+    other chunks go through the whole tokenizer in one call.
     """
 
     def __init__(self, path: str, dtype: str, lower: bool) -> None:
@@ -43,6 +55,8 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.dtype, self.lower = Tokenizer.from_file(path), dtype, lower
+        self.code = "H" if np.dtype(dtype).itemsize == 2 else "I"
+        self.letters = str.maketrans(dict(enumerate(byte_letters())))
         self.cache: dict[bytes, bytes] = {}
 
     def chunks(self, text: bytes) -> list[bytes]:
@@ -50,16 +64,38 @@ class ChunkEncoder:
         # may hold a special token's name are left as they are.
         return (text.lower() if self.lower and b"<|" not in text else text).split()
 
+    def packed(self, ids: list[int]) -> bytes:
+        return array(self.code, ids).tobytes()
+
+    def word(self, text: str) -> bytes:
+        """Ids of Latin letters, as one word of the model."""
+        if not text.isascii():
+            text = text.lower().encode().decode("latin-1").translate(self.letters)
+        return self.packed([t.id for t in self.tokenizer.model.tokenize(text)])
+
     def learn(self, wanted: set[bytes]) -> None:
         missing = wanted.difference(self.cache)
-        if len(self.cache) + 2 * len(missing) > CACHE_ENTRIES:
+        if len(self.cache) + len(missing) > CACHE_ENTRIES:
             self.cache.clear()
             missing = wanted
-        pairs = {c: m.groups() for c in missing if self.lower and (m := TAIL.fullmatch(c))}
-        plain = list((missing - pairs.keys()) | ({p for pair in pairs.values() for p in pair} - self.cache.keys()))
-        found = self.tokenizer.encode_batch([c.decode() for c in plain], add_special_tokens=False)
-        self.cache.update((c, np.array(e.ids, dtype=self.dtype).tobytes()) for c, e in zip(plain, found))
-        self.cache.update((c, self.cache[a] + self.cache[b]) for c, (a, b) in pairs.items())
+        cache, others, joined = self.cache, set(), []
+        for chunk in missing:
+            core = chunk.rstrip(TAIL)
+            text = core.decode()
+            if self.lower and text.isalpha() and (text.isascii() and text.islower() or not text.isascii() and max(text) < LATIN_END and "\u0130" not in text):
+                ids = cache.get(core)
+                if ids is None:
+                    ids = cache[core] = self.word(text)
+                if len(core) < len(chunk):
+                    tail = chunk[len(core) :]
+                    others.add(tail)
+                    joined.append((chunk, ids, tail))
+            else:
+                others.add(chunk)
+        unknown = list(others.difference(cache))
+        found = self.tokenizer.encode_batch_fast([c.decode() for c in unknown], add_special_tokens=False)
+        cache.update((c, self.packed(e.ids)) for c, e in zip(unknown, found))
+        cache.update((chunk, ids + cache[tail]) for chunk, ids, tail in joined)
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         split = [self.chunks(t) for t in texts]
@@ -76,7 +112,7 @@ def write_tokens(
     Manifest: piece, path (without ending), n_docs, n_tokens, base (tokens of all pieces
     before). Documents stand in ascending id order, null ids first, repeated ids by text;
     a null or empty text has only `end_id`. An empty table writes no file. `lower` says that
-    the tokenizer lowers its input and splits letters from punctuation.
+    the tokenizer is of the byte-level kind, lowers its input and splits letters from punctuation.
     """
     spark = docs.sparkSession
     make_folder(folder)
