@@ -30,22 +30,29 @@ FEMALE_TITLES = ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra",
 MALE_TITLES = ["Mr", "Herr", "Monsieur", "Señor", "Sr", "Don", "Господин", "Κύριος"]
 OPEN_TITLES = ["Dr", "Prof"]
 
-EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}(?![A-Za-z0-9-])"
-IP = r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\w)"
-SSN = r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"
+# Every pattern begins where no letter, digit or underscore stands before; GUARD says so once for
+# all of them, and the first character then leaves only the patterns that can begin with it, so
+# most positions of a text are passed with one look back.
+GUARD = r"(?<![\p{L}\p{N}_])"
+EMAIL = r"[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}(?![A-Za-z0-9-])"
+IP = r"(?<!\.)(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\w)"
+SSN = r"(?<!-)\d{3}-\d{2}-\d{4}(?![\w-])"
 PHONE = (
-    r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,4}(?:[ .-]?\d{2,4}){1,4}(?!\w)"
-    r"|(?<!\w)\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\w)|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?!\w)"
+    r"(?<!\+)\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,4}(?:[ .-]?\d{2,4}){1,4}(?!\w)"
+    r"|\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\w)|(?<![.-])\d{3}[.-]\d{3}[.-]\d{4}(?!\w)"
 )
-CARD = r"(?<![\w.])\d(?:[ -]?\d){12,18}(?!\w)"
-IBAN = r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?!\w)"
+CARD = r"(?<!\.)\d(?:[ -]?\d){12,18}(?!\w)"
+IBAN = r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?!\w)"
 ASSIGNED = r"(?i:password|passwd|pwd|secret|token|api_?key|access_?key)[ ]{0,2}[=:][ ]{0,2}[\"']?"
-SECRET = r"(?<!\w)AKIA[0-9A-Z]{16}(?!\w)|(?<!\w)(?:sk|ghp|gho|xox[abp])[-_][A-Za-z0-9_-]{16,200}(?!\w)"
+SECRET = r"AKIA[0-9A-Z]{16}(?!\w)|(?:sk|ghp|gho|xox[abp])[-_][A-Za-z0-9_-]{16,200}"
 NAME_WORD = r"\p{Lu}[\p{L}'’-]{1,40}"
 TITLES = "|".join(FEMALE_TITLES + MALE_TITLES + OPEN_TITLES)
-TITLED = rf"(?<!\p{{L}})(?:{TITLES})(?!\p{{L}})\.?[ ]{NAME_WORD}(?:[ ]{NAME_WORD}){{0,2}}"
-GIVEN = rf"(?<!\p{{L}})(?:{'|'.join(n for name in FEMALE + MALE for n in (name, name.upper()))})[ ]{NAME_WORD}"
-PATTERN = "|".join([EMAIL, IP, SSN, PHONE, IBAN, CARD, rf"(?<!\w){ASSIGNED}[A-Za-z0-9_/+.-]{{8,200}}", SECRET, TITLED, GIVEN])
+TITLED = rf"(?:{TITLES})(?!\p{{L}})\.?[ ]{NAME_WORD}(?:[ ]{NAME_WORD}){{0,2}}"
+GIVEN = rf"(?:{'|'.join(n for name in FEMALE + MALE for n in (name, name.upper()))})[ ]{NAME_WORD}"
+PATTERN = (
+    rf"{GUARD}(?:{EMAIL}|(?=[0-9+(])(?:{IP}|{SSN}|{PHONE}|{CARD})|(?=[A-Z][A-Z][0-9])(?:{IBAN})"
+    rf"|(?=[PpSsTtAaGgXx])(?:{ASSIGNED}[A-Za-z0-9_/+.-]{{8,200}}|{SECRET})|(?=\p{{Lu}})(?:{TITLED}|{GIVEN}))"
+)
 
 CONSONANTS = "bdfgklmnprstvz"
 VOWELS = "aeiou"
@@ -157,36 +164,43 @@ def _name(kind: Column, canon: Column, seed: Column, attempt: Column) -> Column:
     return out
 
 
-def surrogate(kind: Column, canon: Column, attempt: Column, key: str) -> Column:
-    """The draw number `attempt` for an entity, in canonical form."""
-    seed = F.concat_ws("|", F.lit(key), kind, attempt.cast("string"), canon)
-    drawn = _same_shape(canon, seed)
-    n = F.length(canon)
+def with_surrogate(df: DataFrame, attempt: int, key: str) -> DataFrame:
+    """Add `surrogate`, the draw number `attempt` for each entity (type, canon), in canonical form.
+
+    Parts that several expressions need are columns of their own, so that they are computed once.
+    """
+    kind, canon, n = F.col("type"), F.col("canon"), F.length("canon")
+    drawn, seed, body, account = F.col("__drawn"), F.col("__seed"), F.col("__body"), F.col("__account")
 
     def tail(column: Column, start) -> Column:
         return F.substring(column, F.lit(start) if isinstance(start, int) else start, F.lit(1_000_000))
 
-    domain = F.substring_index(canon, "@", -1)
-    host, ending = F.substring_index(canon, "@", -1), F.substring_index(canon, ".", -1)
+    domain, ending = F.substring_index(canon, "@", -1), F.substring_index(canon, ".", -1)
     host = F.substring(domain, F.lit(1), F.length(domain) - F.length(ending) - 1)
     # The domain depends on the domain alone, so colleagues stay colleagues.
     email = F.concat(F.substring_index(drawn, "@", 1), F.lit("@"), _same_shape(host, F.concat_ws("|", F.lit(key), F.lit("domain"), host)), F.lit("."), ending)
     code = F.when(~canon.startswith("+"), 0).when(F.substring(canon, 2, 1).isin("1", "7"), 2).otherwise(3)
     number = tail(drawn, code + 1)
     phone = F.concat(F.substring(canon, F.lit(1), code), F.when(number.startswith("0"), F.concat(F.lit("5"), tail(number, 2))).otherwise(number))
-    body = F.concat(F.substring(canon, 1, 1), F.substring(drawn, F.lit(2), n - 2))
-    check = ((F.lit(10) - _luhn_sum(F.concat(body, F.lit("0"))) % 10) % 10).cast("string")
-    card = F.concat(body, F.when(_luhn_sum(canon) % 10 == 0, check).otherwise(F.substring(drawn, n, F.lit(1))))
+    check = ((F.lit(10) - _luhn_sum(body) % 10) % 10).cast("string")
+    card = F.concat(F.substring(body, F.lit(1), n - 1), F.when(_luhn_sum(canon) % 10 == 0, check).otherwise(F.substring(drawn, n, F.lit(1))))
     octets = _stream(seed, F.lit(4))
     ip = F.concat_ws(".", (_byte(octets, F.lit(1)) % 223 + 1).cast("string"), *[(_byte(octets, F.lit(i)) % 254 + 1).cast("string") for i in (2, 3, 4)])
-    country, account = F.substring(canon, 1, 2), tail(drawn, 5)
-    iban = F.concat(country, F.lpad((F.lit(98) - _mod97(F.concat(account, country, F.lit("00")))).cast("string"), 2, "0"), account)
+    iban = F.concat(F.substring(canon, 1, 2), F.lpad((F.lit(98) - _mod97(account)).cast("string"), 2, "0"), tail(drawn, 5))
     kept = F.regexp_extract(canon, "^(AKIA|(?:sk|ghp|gho|xox[abp])[-_])", 1)
     secret = F.concat(kept, tail(drawn, F.length(kept) + 1))
     return (
-        F.when(kind == "email", email).when(kind == "phone", phone).when(kind == "card", card).when(kind == "ip", ip)
-        .when(kind == "ssn", F.concat(F.lit("9"), tail(drawn, 2))).when(kind == "iban", iban).when(kind == "secret", secret)
-        .otherwise(_name(kind, canon, seed, attempt))
+        df.withColumn("__seed", F.concat_ws("|", F.lit(key), kind, F.lit(str(attempt)), canon))
+        .withColumn("__drawn", _same_shape(canon, seed))
+        .withColumn("__body", F.concat(F.substring(canon, 1, 1), F.substring(drawn, F.lit(2), n - 2), F.lit("0")))
+        .withColumn("__account", F.concat(tail(drawn, 5), F.substring(canon, 1, 2), F.lit("00")))
+        .withColumn(
+            "surrogate",
+            F.when(kind == "email", email).when(kind == "phone", phone).when(kind == "card", card).when(kind == "ip", ip)
+            .when(kind == "ssn", F.concat(F.lit("9"), tail(drawn, 2))).when(kind == "iban", iban).when(kind == "secret", secret)
+            .otherwise(_name(kind, canon, seed, F.lit(attempt))),
+        )
+        .drop("__seed", "__drawn", "__body", "__account")
     )
 
 
@@ -201,7 +215,7 @@ def dictionary(found: DataFrame, key: str) -> DataFrame:
     taken: list[DataFrame] = []
     pending = originals
     for attempt in range(ROUNDS):
-        draws = pending.withColumn("surrogate", surrogate(F.col("type"), F.col("canon"), F.lit(attempt), key))
+        draws = with_surrogate(pending, attempt, key)
         firsts = draws.groupBy("type", "surrogate").agg(F.min("canon").alias("canon"))
         free = firsts.join(originals.select("type", F.col("canon").alias("surrogate")), ["type", "surrogate"], "left_anti")
         if taken:
