@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from scorewatch.llm.common import bounded_batches, documents, slices, utf8_values, written
 
 SEED = 42
-TREE_NODES = 2_000
+TREE_NODES = 50_000
 
 
 def shingle_digests(text: bytes, size: int) -> np.ndarray:
@@ -126,11 +126,13 @@ class BKTree:
                     break
                 at = child
 
-    def within(self, value: int, radius: int) -> Iterator[int]:
-        """Numbers of the nodes at most `radius` away."""
+    def within(self, value: int, radius: int, skip=None) -> Iterator[int]:
+        """Numbers of the nodes at most `radius` away; subtrees that `skip` accepts are left out."""
         stack = [0] if self.values else []
         while stack:
             at = stack.pop()
+            if skip is not None and skip(at):
+                continue
             distance = (self.values[at] ^ value).bit_count()
             if distance <= radius:
                 yield at
@@ -138,9 +140,14 @@ class BKTree:
 
 
 def star_links(members: list[str], searches: list[str], radius: int) -> list[tuple[str, str]]:
-    """Links found by searching the tree of `members`, as stars around the smallest of each group."""
+    """Links found by searching the tree of `members`, as stars around the smallest of each group.
+
+    A search leaves out subtrees that lie in its own group as a whole, which makes a dense
+    group cost little more than its nodes. Which subtrees do is noted anew whenever the number
+    of united groups has doubled, and 32 times in all at least.
+    """
     tree = BKTree([int(m, 16) for m in members])
-    parent: dict[str, str] = {}
+    parent: dict[str, str] = {name: name for name in members}
 
     def root(x: str) -> str:
         while parent.setdefault(x, x) != x:
@@ -148,11 +155,26 @@ def star_links(members: list[str], searches: list[str], radius: int) -> list[tup
             x = parent[x]
         return x
 
-    for name in searches:
-        for at in tree.within(int(name, 16), radius):
-            a, b = root(name), root(members[at])
-            if a != b:
-                parent[max(a, b)] = min(a, b)
+    whole: list[str | None] = [None if children else name for name, children in zip(members, tree.children)]
+
+    def note() -> None:
+        for at in range(len(members) - 1, -1, -1):  # children come after their parents
+            own = root(members[at])
+            below = (whole[child] for child in tree.children[at].values())
+            whole[at] = own if all(w is not None and root(w) == own for w in below) else None
+
+    united, next_note, every = 0, 8, len(searches) // 32 + 8
+    for number, name in enumerate(searches):
+        own = root(name)
+        for at in tree.within(int(name, 16), radius, lambda i: whole[i] is not None and root(whole[i]) == own):
+            other = root(members[at])
+            if own != other:
+                parent[max(own, other)] = min(own, other)
+                own = root(name)
+                united += 1
+        if united >= next_note or number % every == every - 1:
+            note()
+            next_note = max(8, 2 * united)
     return [(x, r) for x in parent if (r := root(x)) != x]
 
 
