@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("psi", "csi", "gini", "data")
+MODULES = ("psi", "csi", "gini", "data", "population")
 
 
 def collect(name: str) -> dict:
