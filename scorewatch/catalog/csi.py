@@ -224,3 +224,20 @@ def csi_table(spark, sf_dir):
         ["score", "quantity", "flag"], bins={"score": 10, "quantity": 5},
     )
     return tables["csi"].select("feature", rounded("csi"), "status")
+
+
+@query(
+    "monitor_gini",
+    f"""with {LINES}, t as (select score, label, rank() over (order by score) + (count(*) over (partition by score) - 1) / 2.0 as place from lines where Data_selection = 'Test'),
+ s as (select count(*) n, sum(label) bad, count(*) - sum(label) good, sum(place) filter (where label = 1) places from t)
+select n, cast(bad as bigint) as bad, cast(good as bigint) as good,
+ {r('2 * (places - bad * (bad + 1) / 2.0) / (bad * cast(good as double)) - 1')} as gini from s""",
+)
+def monitor_gini(spark, sf_dir):
+    """The Gini part of the combined monitor."""
+    rows = lines(spark, sf_dir)
+    tables = reports.monitor(
+        rows.where(F.col("Data_selection") == "Train"), rows.where(F.col("Data_selection") == "Test"), "score",
+        ["quantity"], target="label",
+    )
+    return tables["gini"].select("n", "bad", "good", rounded("gini"))

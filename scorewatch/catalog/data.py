@@ -316,6 +316,26 @@ def recode(spark, sf_dir):
     return joins.recoded(joins.recoded(counts, "p_type", names, "kept"), "p_type", names, "dropped", False)
 
 
+INDUSTRY_LABELS = [*rules.INDUSTRY_NAMES, "Retail", "Agriculture"]
+INDUSTRY_CASE = " ".join(
+    f"when {i} then {'null' if new is None else chr(39) + new + chr(39)}"
+    for i, new in enumerate([rules.INDUSTRY_NAMES.get(old, old) for old in INDUSTRY_LABELS])
+)
+
+
+@query(
+    "recode_industry",
+    f"select p_partkey, case p_partkey % {len(INDUSTRY_LABELS)} {INDUSTRY_CASE} end as industry from part",
+)
+def recode_industry(spark, sf_dir):
+    """Industries under their current name, discontinued ones null, others as they are."""
+    labels = F.array(*[F.lit(x) for x in INDUSTRY_LABELS])
+    parts = table(spark, sf_dir, "part").select(
+        "p_partkey", F.get(labels, (F.col("p_partkey") % len(INDUSTRY_LABELS)).cast("int")).alias("old")
+    )
+    return joins.recoded(parts, "old", rules.INDUSTRY_NAMES, "industry").drop("old")
+
+
 # --- scalar rules ------------------------------------------------------------------------------
 
 
@@ -705,6 +725,22 @@ def feature_types(spark, sf_dir):
     return spark.createDataFrame([(f, few[f], most[f]) for f in features], "feature string, few_integers string, at_most string")
 
 
+@query(
+    "feature_types_by_name",
+    f"""with {LINES}, c as (select 'score' f, count(distinct score) d, bool_and(score = floor(score)) w from lines union all select 'qty_max', count(distinct quantity), bool_and(quantity = floor(quantity)) from lines
+ union all select 'discount_type', count(distinct discount), bool_and(discount = floor(discount)) from lines union all select 'line', count(distinct line), true from lines union all select 'label', count(distinct label), true from lines)
+select f as feature, case when d <= 10 and w then 'categorical' else 'numerical' end as at_most_integers,
+ case when f = 'discount_type' then 'categorical' when f = 'qty_max' then 'numerical' when d <= 20 then 'categorical' else 'numerical' end as names from c
+union all select 'flag', 'categorical', 'categorical'""",
+)
+def feature_types_by_name(spark, sf_dir):
+    """The rules for few whole numbers and for words in the feature's name."""
+    rows = lines(spark, sf_dir).withColumnsRenamed({"quantity": "qty_max", "discount": "discount_type"})
+    features = ["score", "qty_max", "discount_type", "line", "label", "flag"]
+    whole, names = (binning.feature_types(rows, features, rule) for rule in ("at_most_integers", "names"))
+    return spark.createDataFrame([(f, whole[f], names[f]) for f in features], "feature string, at_most_integers string, names string")
+
+
 @query(
     "bin_audit",
     f"""with {LINES}, t as (select quantity x from lines where Data_selection = 'Train'), v as (select list(x order by x) v from t),

@@ -525,8 +525,15 @@ def psi_alerts(spark, sf_dir):
 @query(
     "psi_recount",
     MONTHLY_SQL
-    + """ select Feature, Segment_Column, Segment_Value, Month, Base_Count, Actual_Count, Base_Count as Actual_Train_Count, Actual_Count as Actual_Test_Count,
- true as Train_Match, true as Test_Match, cast(0 as bigint) as Train_Difference, cast(0 as bigint) as Test_Difference from res""",
+    + """, sides as (
+  select 'line' sc, cast(line as varchar) sv, Data_selection ds, "Application_month" am, "digitalLoanAccountId" id from lines
+  union all select 'Overall', 'All', Data_selection, "Application_month", "digitalLoanAccountId" from lines),
+ t as (select sc, sv, count(distinct id) c from sides where ds = 'Train' group by all),
+ m as (select sc, sv, am, count(distinct id) c from sides where ds <> 'Train' group by all),
+ counted as (select res.*, coalesce(t.c, 0) tc, coalesce(m.c, 0) mc from res
+  left join t on t.sc = Segment_Column and t.sv = Segment_Value left join m on m.sc = Segment_Column and m.sv = Segment_Value and m.am = Month)
+ select Feature, Segment_Column, Segment_Value, Month, Base_Count, Actual_Count, tc as Actual_Train_Count, mc as Actual_Test_Count,
+ Base_Count = tc as Train_Match, Actual_Count = mc as Test_Match, Base_Count - tc as Train_Difference, Actual_Count - mc as Test_Difference from counted""",
 )
 def psi_recount(spark, sf_dir):
     source = lines(spark, sf_dir)
