@@ -325,15 +325,20 @@ INDUSTRY_CASE = " ".join(
 
 @query(
     "recode_industry",
-    f"select p_partkey, case p_partkey % {len(INDUSTRY_LABELS)} {INDUSTRY_CASE} end as industry from part",
+    f"""select p_partkey, case p_partkey % {len(INDUSTRY_LABELS)} {INDUSTRY_CASE} end as industry,
+ case p_partkey % 6 when 0 then 'Salary' when 1 then 'Income from Business ' when 2 then 'Allowance ' when 3 then null when 4 then null else 'Pension' end as funds from part""",
 )
 def recode_industry(spark, sf_dir):
-    """Industries under their current name, discontinued ones null, others as they are."""
-    labels = F.array(*[F.lit(x) for x in INDUSTRY_LABELS])
+    """Industries and sources of funds under their reported name, some null, others as they are."""
+    key = F.col("p_partkey")
+    industries = F.array(*[F.lit(x) for x in INDUSTRY_LABELS])
+    funds = F.array(*[F.lit(x) for x in ("Salary", "Income from Business", "Allowance", "Others", "Commissions", "Pension")])
     parts = table(spark, sf_dir, "part").select(
-        "p_partkey", F.get(labels, (F.col("p_partkey") % len(INDUSTRY_LABELS)).cast("int")).alias("old")
+        "p_partkey", F.get(industries, (key % len(INDUSTRY_LABELS)).cast("int")).alias("old"),
+        F.get(funds, (key % 6).cast("int")).alias("source"),
     )
-    return joins.recoded(parts, "old", rules.INDUSTRY_NAMES, "industry").drop("old")
+    named = joins.recoded(parts, "old", rules.INDUSTRY_NAMES, "industry").drop("old")
+    return joins.recoded(named, "source", rules.FUNDS_SOURCES, "funds").drop("source")
 
 
 # --- scalar rules ------------------------------------------------------------------------------

@@ -151,6 +151,14 @@ INDUSTRY_NAMES: dict[str, str | None] = {
     "Publishing and Printing": None,
 }
 
+# Sources of funds reported under another name (two end in a blank) or as null.
+FUNDS_SOURCES: dict[str, str | None] = {
+    "Income from Business": "Income from Business ",
+    "Allowance": "Allowance ",
+    "Others": None,
+    "Commissions": None,
+}
+
 # Contract statuses counted as bad.
 BAD_STATUSES: tuple[str, ...] = (
     "Write-off (BLW)",
