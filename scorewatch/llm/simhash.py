@@ -273,12 +273,13 @@ def near_duplicates(docs: DataFrame, size: int = 3, radius: int = 2) -> DataFram
     return with_components(keyed, radius, F.col("keys")).select("doc_id", "fingerprint", "component_id")
 
 
-def similar_documents(docs: DataFrame, size: int = 5, radius: int = 45, band_count: int = 12, band_rows: int = 2) -> DataFrame:
+def similar_documents(docs: DataFrame, size: int = 5, radius: int = 49, band_count: int = 12, band_rows: int = 2) -> DataFrame:
     """doc_id, fingerprint, root, component_id for near copies of 0.8 similarity and more.
 
     256-bit fingerprints: sets with a Jaccard similarity of 0.8 have a cosine of 0.89, so
-    they differ in 39 of 256 bits on average, with a deviation of about 6. Shards are 12
-    bands of two minima each; two such sets miss all of them once in 200,000 times.
+    they differ in 39 of 256 bits on average, with a deviation of about 6; the radius leaves
+    room for nearly two deviations. Shards are 12 bands of two minima each; two such sets
+    miss all of them once in 200,000 times.
     """
     prints = written(signatures(docs, size, 4, band_count, band_rows), "fingerprints")
     return with_components(prints, radius, F.col("keys")).select("doc_id", "fingerprint", "root", "component_id")
