@@ -1,7 +1,9 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
-Terms are words that occur clearly more often in one label than the other (chi-square and
-odds over the labelled sample); their inverse document frequencies count all documents. The
+Terms are words and beginnings of words (for inflected forms never seen) that occur clearly
+more often in one label than the other, by chi-square and odds over the labelled sample; all
+other words together are one more term, so that a vector also says how dense its marks are.
+Inverse document frequencies count all documents. The
 labelled examples lie in a block-max inverted index: postings by example number in aligned
 blocks, and the largest weight of each term in each block. A search adds up a block's largest
 weights, visits blocks in falling order of that bound, and stops when no block left can
@@ -35,6 +37,7 @@ MOST_TERMS = 2_048
 LEAST_DOCUMENTS, LEAST_CHI_SQUARE, LEAST_ODDS = 5, 30.0, 4.0
 NEIGHBOURS = 15
 BLOCK = 64
+STEM = 5
 NEAR = 0.05  # added to a neighbour's distance before it is inverted
 DOUBT = 1.0  # weight of the label's share among all rows in each vote
 THRESHOLD = 0.3
@@ -44,6 +47,12 @@ def words_of(text: str | None) -> list[str]:
     return WORD.findall(text.lower()) if text else []
 
 
+def marks_of(words: list[str]) -> set[str]:
+    """The words, and their beginnings marked by a star."""
+    own = set(words)
+    return own | {w[:STEM] + "*" for w in own if len(w) > STEM}
+
+
 @dataclass
 class BlockMaxIndex:
     """Exact top-k cosine over unit vectors of examples."""
@@ -114,7 +123,7 @@ class Model:
     vectors: list[dict[int, float]]
     vote_weight: tuple[float, float]
     base: float
-    without: float  # score of texts with no term at all
+    without: float  # score of texts without words
     knots: tuple[np.ndarray, np.ndarray] | None = None
     neighbours: int = NEIGHBOURS
 
@@ -122,7 +131,18 @@ class Model:
         return {k: v for k, v in self.__dict__.items() if k not in ("index", "seen")}
 
     def vector(self, words: list[str]) -> dict[int, float]:
-        counts = Counter([i for i in map(self.terms.get, words) if i is not None])
+        """Unit vector of a text; the last term stands for all words without one."""
+        get, counts, others = self.terms.get, Counter(), 0
+        for word, n in Counter(words).items():
+            own, stem = get(word), get(word[:STEM] + "*") if len(word) > STEM else None
+            if own is not None:
+                counts[own] += n
+            if stem is not None:
+                counts[stem] += n
+            if own is None and stem is None:
+                others += n
+        if others:
+            counts[len(self.terms)] = others
         weights = {t: (1 + math.log(n)) * self.idf[t] for t, n in sorted(counts.items())}
         norm = math.sqrt(sum(w * w for w in weights.values()))
         return {t: w / norm for t, w in weights.items()} if norm else {}
@@ -162,7 +182,7 @@ def term_counts(docs: DataFrame) -> DataFrame:
         for batch in slices(batches):
             every, positive = Counter(), Counter()
             for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist()):
-                own = set(words_of(text))
+                own = marks_of(words_of(text))
                 every.update(own)
                 if label:
                     positive.update(own)
@@ -184,7 +204,7 @@ def document_frequencies(docs: DataFrame, terms: dict[str, int]) -> dict[str, in
         counts = Counter()
         for batch in slices(batches):
             for text in batch.column("text").to_pylist():
-                counts.update(wanted & set(words_of(text)))
+                counts.update(wanted & marks_of(words_of(text)))
         yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["term", "n"])
 
     rows = docs.select("text").mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
@@ -232,7 +252,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = MO
         return flat
     frequency = document_frequencies(own, terms)
     count = own.count()
-    idf = [math.log((1 + count) / (1 + frequency.get(t, 0))) + 1 for t in terms]
+    idf = [math.log((1 + count) / (1 + frequency.get(t, 0))) + 1 for t in terms] + [1.0]
     model = Model(terms, idf, [], [], [], (1.0, share[1] / share[0] if share[0] else 1.0), base, base)
 
     def reduced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,7 +266,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = MO
 
     # Texts come back as a few weights each, for at most 2 x `most` labelled rows.
     rows = learnt.select("doc_id", "label", "text").mapInArrow(reduced, "doc_id long, label int, terms array<int>, weights array<double>").collect()
-    rows = sorted(rows, key=lambda r: (r["doc_id"], r["terms"], r["weights"]))
+    # Examples of like density lie in the same blocks, which keeps the blocks' bounds tight.
+    rows = sorted(rows, key=lambda r: (r["weights"][-1:], r["terms"], r["doc_id"], r["weights"]))
     bare = [share[r["label"]] * np.array([1, r["label"]]) for r in rows if not r["terms"]]
     held = [r for r in rows if r["terms"]]
     model.ids = [r["doc_id"] for r in held]
@@ -255,7 +276,12 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = MO
     total = sum(bare, np.zeros(2))
     model.without = float((total[1] + base) / (total[0] + 1))
     if held:
-        raw = np.array([model.vote(v, i)[0] for i, v in enumerate(model.vectors)])
+        votes: dict = {}  # examples with equal vector and label see equal neighbours
+        for i, v in enumerate(model.vectors):
+            key = (tuple(v.items()), model.labels[i])
+            if key not in votes:
+                votes[key] = model.vote(v, i)[0]
+        raw = np.array([votes[tuple(v.items()), y] for v, y in zip(model.vectors, model.labels)])
         model.knots = isotonic(raw, np.array(model.labels, float), np.array([share[y] for y in model.labels]))
     return model
 
@@ -263,7 +289,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = MO
 def scored(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, score, predicted, neighbours (example ids, nearest first), cosines.
 
-    Null and empty texts have no term and get the score of such texts. Rows that repeat give
+    Null and empty texts have no term and get the score of texts without words. Rows that repeat give
     a row each.
     """
 
