@@ -131,7 +131,9 @@ class Model:
         return {k: v for k, v in self.__dict__.items() if k not in ("index", "seen")}
 
     def vector(self, words: list[str]) -> dict[int, float]:
-        """Unit vector of a text; the last term stands for all words without one."""
+        """Unit vector of a text; the last term stands for all words without one. A model without terms has none."""
+        if not self.terms:
+            return {}
         get, counts, others = self.terms.get, Counter(), 0
         for word, n in Counter(words).items():
             own, stem = get(word), get(word[:STEM] + "*") if len(word) > STEM else None
