@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from scorewatch.llm.common import crc_remainder, documents, slices, text_column
 
 WORD = re.compile(r"[^\W\d_]+")
-MOST_OF_LABEL = 8_000  # labelled rows of each label that are learnt from
+MOST_OF_LABEL = 4_000  # labelled rows of each label that are learnt from
 MOST_TERMS = 2_048
 LEAST_DOCUMENTS, LEAST_CHI_SQUARE, LEAST_ODDS = 5, 30.0, 4.0
 NEIGHBOURS = 15
@@ -270,21 +270,31 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = MO
     rows = learnt.select("doc_id", "label", "text").mapInArrow(reduced, "doc_id long, label int, terms array<int>, weights array<double>").collect()
     # Examples of like density lie in the same blocks, which keeps the blocks' bounds tight.
     rows = sorted(rows, key=lambda r: (r["weights"][-1:], r["terms"], r["doc_id"], r["weights"]))
+    # No search needs more than its number of neighbours, and one to leave out, of equal vectors.
+    copies: Counter = Counter()
     bare = [share[r["label"]] * np.array([1, r["label"]]) for r in rows if not r["terms"]]
-    held = [r for r in rows if r["terms"]]
+    held = []
+    for r in rows:
+        key = (tuple(r["terms"]), tuple(r["weights"]))
+        copies[key] += 1
+        if r["terms"] and copies[key] <= model.neighbours + 1:
+            held.append(r)
     model.ids = [r["doc_id"] for r in held]
     model.labels = [r["label"] for r in held]
     model.vectors = [dict(zip(r["terms"], r["weights"])) for r in held]
     total = sum(bare, np.zeros(2))
     model.without = float((total[1] + base) / (total[0] + 1))
     if held:
-        votes: dict = {}  # examples with equal vector and label see equal neighbours
-        for i, v in enumerate(model.vectors):
-            key = (tuple(v.items()), model.labels[i])
-            if key not in votes:
-                votes[key] = model.vote(v, i)[0]
-        raw = np.array([votes[tuple(v.items()), y] for v, y in zip(model.vectors, model.labels)])
-        model.knots = isotonic(raw, np.array(model.labels, float), np.array([share[y] for y in model.labels]))
+        place: dict = {}  # an example of each vector and label, to be left out of its own vote
+        for i, (v, y) in enumerate(zip(model.vectors, model.labels)):
+            place.setdefault((tuple(v), tuple(v.values()), y), i)
+        weight: Counter = Counter()  # over all rows, kept in the index or not
+        for r in rows:
+            if r["terms"]:
+                weight[tuple(r["terms"]), tuple(r["weights"]), r["label"]] += share[r["label"]]
+        keys = list(weight)
+        raw = np.array([model.vote(dict(zip(k[0], k[1])), place.get(k, -1))[0] for k in keys])
+        model.knots = isotonic(raw, np.array([k[2] for k in keys], float), np.array([weight[k] for k in keys]))
     return model
 
 
