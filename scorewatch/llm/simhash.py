@@ -6,11 +6,12 @@ more block than the radius, so that any two within the radius agree in one), or,
 radii, by bands of minima over the shingle hashes. Each shard is a BK-tree whose children
 are keyed by their integer Hamming distance to the parent; a search follows only edges within
 the radius. A shard with too many nodes is split into several trees, each searched by all of
-the shard's nodes. A tree travels to its searches by the shuffle, as the trees of all shards
-together grow with the data and so must not be broadcast.
+the shard's nodes; the searches of a tree are dealt over tasks and streamed past it. A tree
+travels to its searches by the shuffle, as the trees of all shards together grow with the data
+and so must not be broadcast.
 
-Links are united within a shard as soon as they are found and leave it as a star around the
-smallest node, never as all pairs; connected components follow by alternating star steps.
+Links are united within a shard as soon as they are found and leave it as stars, never as all
+pairs; connected components follow by alternating star steps.
 """
 
 from __future__ import annotations
@@ -26,7 +27,9 @@ from pyspark.sql import functions as F
 from scorewatch.llm.common import bounded_batches, documents, slices, utf8_values, written
 
 SEED = 42
-TREE_NODES = 50_000
+TREE_NODES = 50_000  # members of a tree
+SEARCHES = 500_000  # searches of a tree in one task
+MEMBER, BOTH, SEARCH = range(3)  # what a row is in its task; members come first
 
 
 def shingle_digests(text: bytes, size: int) -> np.ndarray:
@@ -139,81 +142,130 @@ class BKTree:
             stack += [child for key, child in self.children[at].items() if distance - radius <= key <= distance + radius]
 
 
-def star_links(members: list[str], searches: list[str], radius: int) -> list[tuple[str, str]]:
-    """Links found by searching the tree of `members`, as stars around the smallest of each group.
+class Shard:
+    """One tree and the searches of it that came to one task.
+
+    Members come first; the searches that follow are answered one at a time. Unions are kept
+    between members only, so neither lists nor unions grow with the number of searches.
 
     A search leaves out subtrees that lie in its own group as a whole, which makes a dense
     group cost little more than its nodes. Which subtrees do is noted anew whenever the number
-    of united groups has doubled, and 32 times in all at least.
+    of united groups has doubled, and after so many searches that noting stays a small part.
     """
-    tree = BKTree([int(m, 16) for m in members])
-    parent: dict[str, str] = {name: name for name in members}
 
-    def root(x: str) -> str:
-        while parent.setdefault(x, x) != x:
+    def __init__(self, radius: int) -> None:
+        self.radius = radius
+        self.names: list[str] = []
+        self.searched: list[int] = []
+        self.tree: BKTree | None = None
+
+    def take(self, kind: int, name: str) -> Iterator[tuple[str, str]]:
+        """Take a row; yield the link of a search that is no member."""
+        if kind != SEARCH:
+            if kind == BOTH:
+                self.searched.append(len(self.names))
+            self.names.append(name)
+            return
+        self._grow()
+        group = self._search(int(name, 16))
+        if group is not None:
+            yield name, self.names[group]
+
+    def stars(self) -> Iterator[tuple[str, str]]:
+        """The members' links, as stars around one of each group."""
+        self._grow()
+        for number, name in enumerate(self.names):
+            if (root := self._root(number)) != number:
+                yield name, self.names[root]
+
+    def _grow(self) -> None:
+        if self.tree is not None:
+            return
+        self.tree = BKTree([int(name, 16) for name in self.names])
+        self.parent = list(range(len(self.names)))
+        self.whole: list[int | None] = [None if children else i for i, children in enumerate(self.tree.children)]
+        self.united, self.next_note, self.count = 0, 8, 0
+        for number in self.searched:
+            self._search(self.tree.values[number], number)
+
+    def _root(self, x: int) -> int:
+        parent = self.parent
+        while parent[x] != x:
             parent[x] = parent[parent[x]]
             x = parent[x]
         return x
 
-    whole: list[str | None] = [None if children else name for name, children in zip(members, tree.children)]
-
-    def note() -> None:
-        for at in range(len(members) - 1, -1, -1):  # children come after their parents
-            own = root(members[at])
-            below = (whole[child] for child in tree.children[at].values())
-            whole[at] = own if all(w is not None and root(w) == own for w in below) else None
-
-    united, next_note, every = 0, 8, len(searches) // 32 + 8
-    for number, name in enumerate(searches):
-        own = root(name)
-        for at in tree.within(int(name, 16), radius, lambda i: whole[i] is not None and root(whole[i]) == own):
-            other = root(members[at])
-            if own != other:
-                parent[max(own, other)] = min(own, other)
-                own = root(name)
-                united += 1
-        if united >= next_note or number % every == every - 1:
-            note()
-            next_note = max(8, 2 * united)
-    return [(x, r) for x in parent if (r := root(x)) != x]
+    def _note(self) -> None:
+        for at in range(len(self.names) - 1, -1, -1):  # children come after their parents
+            own = self._root(at)
+            below = (self.whole[child] for child in self.tree.children[at].values())
+            self.whole[at] = own if all(w is not None and self._root(w) == own for w in below) else None
+
+    def _search(self, value: int, own: int | None = None) -> int | None:
+        """The group that a value belongs to, after uniting all groups it links; None without a link."""
+        mine = None if own is None else self._root(own)
+        whole, root = self.whole, self._root
+        for at in self.tree.within(value, self.radius, lambda i: mine is not None and whole[i] is not None and root(whole[i]) == mine):
+            other = root(at)
+            if mine is None:
+                mine = other
+            elif other != mine:
+                self.parent[max(mine, other)] = mine = min(mine, other)
+                self.united += 1
+        self.count += 1
+        if self.united >= self.next_note or self.count % (len(self.names) // 32 + 8) == 0:
+            self._note()
+            self.next_note = max(8, 2 * self.united)
+        return mine
+
+
+def dealt(rows: DataFrame) -> DataFrame:
+    """A row per place (key, tree, slice) of each member and search: `rows` has key and fingerprint.
+
+    A tree has TREE_NODES members on average, and its searches are dealt over slices of
+    SEARCHES; the members go to every slice. Keys of one row are left out.
+    """
+    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    sizes = sizes.select("key", F.ceil(F.col("n") / TREE_NODES).cast("int").alias("trees"), F.ceil(F.col("n") / SEARCHES).cast("int").alias("parts"))
+    home, own = (F.pmod(F.xxhash64("fingerprint", F.lit(seed)), F.col(n)).cast("int") for seed, n in ((7, "trees"), (11, "parts")))
+
+    def place(tree: Column, part: Column, kind: Column) -> Column:
+        return F.struct(tree.alias("tree"), part.alias("slice"), kind.alias("kind"))
+
+    as_member = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda s: place(F.col("home"), s, F.when(s == F.col("own"), BOTH).otherwise(MEMBER)))
+    others = F.filter(F.sequence(F.lit(0), F.col("trees") - 1), lambda t: t != F.col("home"))
+    as_search = F.transform(others, lambda t: place(t, F.col("own"), F.lit(SEARCH)))
+    placed = rows.join(sizes, "key").withColumns({"home": home, "own": own}).withColumn("place", F.explode(F.concat(as_member, as_search)))
+    return placed.select("key", "place.tree", "place.slice", "place.kind", "fingerprint")
 
 
 def links(nodes: DataFrame, radius: int) -> DataFrame:
-    """Links (a, b), a > b, that connect all fingerprints within `radius` sharing a key.
+    """Links (a, b) that connect all fingerprints within `radius` sharing a key.
 
     `nodes`: fingerprint (each once) and keys (array). Distances are exact; the links leave
     out only those that others already imply.
     """
     bounded_batches(nodes.sparkSession)
     rows = nodes.select(F.explode(F.array_distinct("keys")).alias("key"), "fingerprint")
-    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    trees = F.ceil(F.col("n") / TREE_NODES).cast("int")
-    home = F.pmod(F.xxhash64("fingerprint", F.lit(7)), trees).cast("int")
-    dealt = rows.join(sizes, "key").withColumns({"trees": trees, "home": home}).select(
-        "key", "fingerprint", "home", F.explode(F.sequence(F.lit(0), F.col("trees") - 1)).alias("tree")
-    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, members, searches = None, [], []
+        at, shard = None, Shard(radius)
 
-        def found() -> pa.RecordBatch:
-            pairs = star_links(members, searches, radius)
+        def batch_of(pairs: list[tuple[str, str]]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.string()) for i in (0, 1)], names=["a", "b"])
 
         for batch in batches:
-            for key, tree, name, home in zip(*(batch.column(c).to_pylist() for c in ("key", "tree", "fingerprint", "home"))):
-                if (key, tree) != at:
-                    if at is not None:
-                        yield found()
-                    at, members, searches = (key, tree), [], []
-                searches.append(name)
-                if home == tree:
-                    members.append(name)
-        if at is not None:
-            yield found()
-
-    shards = dealt.repartition("key", "tree").sortWithinPartitions("key", "tree", "fingerprint")
-    return shards.select("key", "tree", "fingerprint", "home").mapInArrow(run, "a string, b string")
+            found: list[tuple[str, str]] = []
+            for *place, kind, name in zip(*(batch.column(c).to_pylist() for c in ("key", "tree", "slice", "kind", "fingerprint"))):
+                if place != at:
+                    found += shard.stars()
+                    at, shard = place, Shard(radius)
+                found += shard.take(kind, name)
+            yield batch_of(found)
+        yield batch_of(list(shard.stars()))
+
+    shards = dealt(rows).repartition("key", "tree", "slice").sortWithinPartitions("key", "tree", "slice", "kind", "fingerprint")
+    return shards.mapInArrow(run, "a string, b string")
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -146,6 +146,30 @@ def test_simhash_components(docs, rows, spark, monkeypatch):
     assert sorted(got, key=str) == sorted(want, key=str)
 
 
+def test_searches_of_a_tree_are_dealt_and_streamed(spark, monkeypatch):
+    draw = random.Random(11)
+    values = [draw.getrandbits(64) for _ in range(40)]
+    values += [v ^ 1 << draw.randrange(64) ^ 1 << draw.randrange(64) for v in values * 4]
+    names = sorted({f"{v:016x}" for v in values})
+    nodes = spark.createDataFrame([(n, [5]) for n in names], "fingerprint string, keys array<long>")
+    monkeypatch.setattr(simhash, "TREE_NODES", 40)
+    monkeypatch.setattr(simhash, "SEARCHES", 30)
+    rows = nodes.select(F.lit(5).alias("key"), "fingerprint")
+    placed = simhash.dealt(rows).groupBy("tree", "slice").agg(F.sum((F.col("kind") != simhash.MEMBER).cast("int")).alias("n"), F.sum((F.col("kind") != simhash.SEARCH).cast("int")).alias("m")).collect()
+    assert sum(r["n"] for r in placed) == len(names) * len({r["tree"] for r in placed}) and max(r["n"] for r in placed) < 60 and max(r["m"] for r in placed) < 80
+    shard = simhash.Shard(2)
+    for kind, name in [(simhash.BOTH, names[0]), (simhash.MEMBER, names[1])]:
+        assert list(shard.take(kind, name)) == []
+    assert all(len(list(shard.take(simhash.SEARCH, name))) <= 1 for name in names[2:]) and len(shard.names) == len(shard.parent) == 2
+    got = dict(map(tuple, simhash.components(simhash.links(nodes, 2)).collect()))
+    want = groups_of([(int(n, 16) % 2**62, n) for n in names], 2)
+    sets = [{}, {}]
+    for (_, name, root) in want:
+        sets[0].setdefault(root, set()).add(name)
+        sets[1].setdefault(got.get(name, name), set()).add(name)
+    assert sorted(map(sorted, sets[0].values())) == sorted(map(sorted, sets[1].values()))
+
+
 def test_components_of_chains(spark):
     edges = [(f"{a:03}", f"{a + 1:03}") for a in range(60) if a % 20 != 19]
     got = dict(map(tuple, simhash.components(spark.createDataFrame(edges, "a string, b string")).collect()))
