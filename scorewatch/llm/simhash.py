@@ -12,6 +12,9 @@ and so must not be broadcast.
 
 Links are united within a shard as soon as they are found and leave it as stars, never as all
 pairs; connected components follow by alternating star steps.
+
+Where copies are dropped, fingerprints only find candidates: a node is a set of shingles, and
+each link is confirmed on the sets themselves before its groups are united.
 """
 
 from __future__ import annotations
@@ -24,10 +27,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scorewatch.llm.common import bounded_batches, documents, slices, utf8_values, written
+from scorewatch.llm.common import bounded_batches, documents, slices, text_column, utf8_values, written
+from scorewatch.session import broadcast_checked
 
 SEED = 42
 TREE_NODES = 50_000  # members of a tree
+TREE_BYTES = 32_000_000  # of their texts, where links are confirmed
 SEARCHES = 500_000  # searches of a tree in one task
 MEMBER, BOTH, SEARCH = range(3)  # what a row is in its task; members come first
 
@@ -68,6 +73,26 @@ def majority(digests: np.ndarray, words: int = 1) -> bytes:
     return np.packbits(2 * votes > len(digests)).tobytes()
 
 
+def shingle_set(text: bytes, size: int) -> np.ndarray:
+    """The different hashes of the word shingles, in order."""
+    return np.unique(shingle_digests(text, size).reshape(-1).view(">u8").astype(np.uint64))
+
+
+def set_digest(values: np.ndarray) -> str:
+    return xxhash.xxh3_128_hexdigest(values.tobytes())
+
+
+def alike(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sets have a Jaccard similarity of 0.8 at least; sets without members are equal."""
+    few, many = (a, b) if len(a) <= len(b) else (b, a)
+    if 5 * len(few) < 4 * len(many):
+        return False
+    if not len(few):
+        return True
+    both = np.count_nonzero(many[np.minimum(np.searchsorted(many, few), len(many) - 1)] == few)
+    return bool(5 * both >= 4 * (len(a) + len(b) - both))
+
+
 def bands(digests: np.ndarray, count: int, rows: int) -> list[int]:
     """One key per band: the minima of `rows` multiplications of the hashes, mixed together."""
     values = np.zeros(1, np.uint64) if not len(digests) else digests.reshape(-1).view(">u8").astype(np.uint64)
@@ -83,15 +108,23 @@ def bands(digests: np.ndarray, count: int, rows: int) -> list[int]:
     return keys
 
 
-def signatures(docs: DataFrame, size: int, words: int = 1, band_count: int = 0, band_rows: int = 2) -> DataFrame:
-    """doc_id, fingerprint (hex) and, for bands, keys (array of long). Null texts count as empty."""
+def signatures(docs: DataFrame, size: int, words: int = 1, band_count: int = 0, band_rows: int = 2, of_sets: bool = False) -> DataFrame:
+    """doc_id, fingerprint (hex) and, for bands, keys (array of long). Null texts count as empty.
+
+    `of_sets`: repeated shingles vote once, and 32 digits that tell sets apart follow the bits.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             prints, keys = [], []
             for text in utf8_values(batch.column("text")):
-                digests = shingle_digests(text, size)
-                prints.append(majority(digests, words).hex())
+                if of_sets:
+                    values = shingle_set(text, size)
+                    digests = values.astype(">u8").view(np.uint8).reshape(-1, 8)
+                    prints.append(majority(digests, words).hex() + set_digest(values))
+                else:
+                    digests = shingle_digests(text, size)
+                    prints.append(majority(digests, words).hex())
                 keys.append(bands(digests, band_count, band_rows) if band_count else None)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(prints), pa.array(keys, pa.list_(pa.int64()))],
@@ -153,21 +186,24 @@ class Shard:
     of united groups has doubled, and after so many searches that noting stays a small part.
     """
 
-    def __init__(self, radius: int) -> None:
-        self.radius = radius
+    def __init__(self, radius: int, digits: int | None = None, size: int | None = None) -> None:
+        self.radius, self.digits, self.size = radius, digits, size
         self.names: list[str] = []
+        self.sets: list[np.ndarray] = []
         self.searched: list[int] = []
         self.tree: BKTree | None = None
 
-    def take(self, kind: int, name: str) -> Iterator[tuple[str, str]]:
+    def take(self, kind: int, name: str, text: bytes | None = None) -> Iterator[tuple[str, str]]:
         """Take a row; yield the link of a search that is no member."""
         if kind != SEARCH:
             if kind == BOTH:
                 self.searched.append(len(self.names))
             self.names.append(name)
+            if self.size:
+                self.sets.append(shingle_set(text or b"", self.size))
             return
         self._grow()
-        group = self._search(int(name, 16))
+        group = self._search(int(name[: self.digits], 16), mine=shingle_set(text or b"", self.size) if self.size else None)
         if group is not None:
             yield name, self.names[group]
 
@@ -181,12 +217,12 @@ class Shard:
     def _grow(self) -> None:
         if self.tree is not None:
             return
-        self.tree = BKTree([int(name, 16) for name in self.names])
+        self.tree = BKTree([int(name[: self.digits], 16) for name in self.names])
         self.parent = list(range(len(self.names)))
         self.whole: list[int | None] = [None if children else i for i, children in enumerate(self.tree.children)]
         self.united, self.next_note, self.count = 0, 8, 0
         for number in self.searched:
-            self._search(self.tree.values[number], number)
+            self._search(self.tree.values[number], number, self.sets[number] if self.size else None)
 
     def _root(self, x: int) -> int:
         parent = self.parent
@@ -201,32 +237,37 @@ class Shard:
             below = (self.whole[child] for child in self.tree.children[at].values())
             self.whole[at] = own if all(w is not None and self._root(w) == own for w in below) else None
 
-    def _search(self, value: int, own: int | None = None) -> int | None:
+    def _search(self, value: int, own: int | None = None, mine: np.ndarray | None = None) -> int | None:
         """The group that a value belongs to, after uniting all groups it links; None without a link."""
-        mine = None if own is None else self._root(own)
+        group = None if own is None else self._root(own)
         whole, root = self.whole, self._root
-        for at in self.tree.within(value, self.radius, lambda i: mine is not None and whole[i] is not None and root(whole[i]) == mine):
+        for at in self.tree.within(value, self.radius, lambda i: group is not None and whole[i] is not None and root(whole[i]) == group):
             other = root(at)
-            if mine is None:
-                mine = other
-            elif other != mine:
-                self.parent[max(mine, other)] = mine = min(mine, other)
+            if other == group or mine is not None and not alike(mine, self.sets[at]):
+                continue
+            if group is None:
+                group = other
+            else:
+                self.parent[max(group, other)] = group = min(group, other)
                 self.united += 1
         self.count += 1
         if self.united >= self.next_note or self.count % (len(self.names) // 32 + 8) == 0:
             self._note()
             self.next_note = max(8, 2 * self.united)
-        return mine
+        return group
 
 
 def dealt(rows: DataFrame) -> DataFrame:
     """A row per place (key, tree, slice) of each member and search: `rows` has key and fingerprint.
 
-    A tree has TREE_NODES members on average, and its searches are dealt over slices of
-    SEARCHES; the members go to every slice. Keys of one row are left out.
+    A tree has TREE_NODES members and, if `rows` has texts, TREE_BYTES of them on average; its
+    searches are dealt over slices of SEARCHES; the members go to every slice. Keys of one row
+    are left out.
     """
-    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    sizes = sizes.select("key", F.ceil(F.col("n") / TREE_NODES).cast("int").alias("trees"), F.ceil(F.col("n") / SEARCHES).cast("int").alias("parts"))
+    text = [c for c in ("text",) if c in rows.columns]
+    held = F.sum(F.octet_length("text")) / TREE_BYTES if text else F.lit(0)
+    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), held.alias("held")).where("n > 1")
+    sizes = sizes.select("key", F.ceil(F.greatest(F.col("n") / TREE_NODES, F.coalesce("held", F.lit(0)))).cast("int").alias("trees"), F.ceil(F.col("n") / SEARCHES).cast("int").alias("parts"))
     home, own = (F.pmod(F.xxhash64("fingerprint", F.lit(seed)), F.col(n)).cast("int") for seed, n in ((7, "trees"), (11, "parts")))
 
     def place(tree: Column, part: Column, kind: Column) -> Column:
@@ -236,31 +277,35 @@ def dealt(rows: DataFrame) -> DataFrame:
     others = F.filter(F.sequence(F.lit(0), F.col("trees") - 1), lambda t: t != F.col("home"))
     as_search = F.transform(others, lambda t: place(t, F.col("own"), F.lit(SEARCH)))
     placed = rows.join(sizes, "key").withColumns({"home": home, "own": own}).withColumn("place", F.explode(F.concat(as_member, as_search)))
-    return placed.select("key", "place.tree", "place.slice", "place.kind", "fingerprint")
+    return placed.select("key", "place.tree", "place.slice", "place.kind", "fingerprint", *text)
 
 
-def links(nodes: DataFrame, radius: int) -> DataFrame:
+def links(nodes: DataFrame, radius: int, digits: int | None = None, size: int | None = None) -> DataFrame:
     """Links (a, b) that connect all fingerprints within `radius` sharing a key.
 
     `nodes`: fingerprint (each once) and keys (array). Distances are exact; the links leave
-    out only those that others already imply.
+    out only those that others already imply. The first `digits` of a fingerprint are its bits.
+    With `size` the nodes have a text too, and only those whose sets of shingles of so many
+    words are alike are linked.
     """
     bounded_batches(nodes.sparkSession)
-    rows = nodes.select(F.explode(F.array_distinct("keys")).alias("key"), "fingerprint")
+    text = ["text"] if size else []
+    rows = nodes.select(F.explode(F.array_distinct("keys")).alias("key"), "fingerprint", *text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, shard = None, Shard(radius)
+        at, shard = None, Shard(radius, digits, size)
 
         def batch_of(pairs: list[tuple[str, str]]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.string()) for i in (0, 1)], names=["a", "b"])
 
         for batch in batches:
             found: list[tuple[str, str]] = []
-            for *place, kind, name in zip(*(batch.column(c).to_pylist() for c in ("key", "tree", "slice", "kind", "fingerprint"))):
+            texts = utf8_values(batch.column("text")) if size else [None] * batch.num_rows
+            for *place, kind, name, words in zip(*(batch.column(c).to_pylist() for c in ("key", "tree", "slice", "kind", "fingerprint")), texts):
                 if place != at:
                     found += shard.stars()
-                    at, shard = place, Shard(radius)
-                found += shard.take(kind, name)
+                    at, shard = place, Shard(radius, digits, size)
+                found += shard.take(kind, name, words)
             yield batch_of(found)
         yield batch_of(list(shard.stars()))
 
@@ -296,15 +341,15 @@ def components(edges: DataFrame) -> DataFrame:
     return current.select(F.col("a").alias("node"), F.col("b").alias("root")).union(current.select("b", "b").distinct())
 
 
-def with_components(prints: DataFrame, radius: int, keys: Column) -> DataFrame:
-    """Add component_id, the smallest doc_id reachable over links, to `prints`.
+def with_components(prints: DataFrame, edges: DataFrame) -> DataFrame:
+    """Add root and component_id, the smallest doc_id reachable over links, to `prints`.
 
-    `prints`: doc_id, fingerprint, keys. Rows without an id take part; a component whose ids
+    `prints`: doc_id, fingerprint. Rows without an id take part; a component whose ids
     are all null has a null component_id.
     """
-    nodes = prints.groupBy("fingerprint").agg(F.min(keys).alias("keys"), F.min("doc_id").alias("least"))
-    roots = components(links(nodes, radius)).withColumnRenamed("node", "fingerprint")
-    joined = nodes.select("fingerprint", "least").join(roots, "fingerprint", "left").withColumn("root", F.coalesce("root", "fingerprint"))
+    nodes = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least"))
+    roots = components(edges).withColumnRenamed("node", "fingerprint")
+    joined = nodes.join(roots, "fingerprint", "left").withColumn("root", F.coalesce("root", "fingerprint"))
     lowest = joined.groupBy("root").agg(F.min("least").alias("component_id"))
     named = joined.join(lowest, "root").select("fingerprint", "root", "component_id")
     # One fingerprint may hold a third of the rows: the large side is dealt by a salt.
@@ -321,20 +366,39 @@ def near_duplicates(docs: DataFrame, size: int = 3, radius: int = 2) -> DataFram
     fingerprint zero and are linked like any other. Repeated rows give a row each.
     """
     prints = written(signatures(docs, size).drop("keys"), "fingerprints")
-    keyed = prints.withColumn("keys", bit_blocks(F.col("fingerprint"), 64, radius + 1))
-    return with_components(keyed, radius, F.col("keys")).select("doc_id", "fingerprint", "component_id")
+    nodes = prints.select("fingerprint").distinct().withColumn("keys", bit_blocks(F.col("fingerprint"), 64, radius + 1))
+    return with_components(prints, links(nodes, radius)).select("doc_id", "fingerprint", "component_id")
+
+
+def digests_of(texts: Column, size: int) -> Column:
+    """Column of the digests of the texts' shingle sets; null counts as empty."""
+    return text_column(lambda values: [set_digest(shingle_set((t or "").encode(), size)) for t in values], "string")(texts.cast("string"))
 
 
-def similar_documents(docs: DataFrame, size: int = 5, radius: int = 49, band_count: int = 12, band_rows: int = 2) -> DataFrame:
+def similar_documents(docs: DataFrame, size: int = 5, radius: int = 72, band_count: int = 12, band_rows: int = 2) -> DataFrame:
     """doc_id, fingerprint, root, component_id for near copies of 0.8 similarity and more.
 
-    256-bit fingerprints: sets with a Jaccard similarity of 0.8 have a cosine of 0.89, so
-    they differ in 39 of 256 bits on average, with a deviation of about 6; the radius leaves
-    room for nearly two deviations. Shards are 12 bands of two minima each; two such sets
-    miss all of them once in 200,000 times.
+    Candidates are sets whose 256-bit fingerprints are within the radius and that share one of
+    12 bands of two minima; two sets of similarity 0.8 miss all of them once in 200,000 times,
+    and differ in 39 bits on average with a deviation of about 6 (sets of four and five shingles
+    in 48), so the radius leaves room for nearly four deviations at the least. Each link is then
+    confirmed on the sets.
+
+    Texts travel to that once per group of candidates; only groups of more than TREE_BYTES are
+    cut by their bands again.
     """
-    prints = written(signatures(docs, size, 4, band_count, band_rows), "fingerprints")
-    return with_components(prints, radius, F.col("keys")).select("doc_id", "fingerprint", "root", "component_id")
+    digits = 64
+    prints = written(signatures(docs, size, 4, band_count, band_rows, of_sets=True), "fingerprints")
+    nodes = prints.groupBy("fingerprint").agg(F.min("keys").alias("keys"))
+    near = components(links(nodes, radius, digits)).withColumn("digest", F.substring("node", digits + 1, 32))
+    near = broadcast_checked(near.withColumnRenamed("node", "fingerprint"))
+    texts = documents(docs).select("text", digests_of(F.col("text"), size).alias("digest"))
+    texts = texts.join(near.select("digest"), "digest", "left_semi").groupBy("digest").agg(F.first("text").alias("text"))
+    groups = written(texts.join(near, "digest").join(nodes, "fingerprint"), "candidates")
+    held = broadcast_checked(groups.groupBy("root").agg(F.sum(F.octet_length("text")).alias("held")))
+    keys = F.when(F.coalesce("held", F.lit(0)) <= TREE_BYTES, F.array(F.xxhash64("root"))).otherwise(F.col("keys"))
+    confirmed = links(groups.join(held, "root").select("fingerprint", keys.alias("keys"), "text"), radius, digits, size)
+    return with_components(prints.select("doc_id", "fingerprint"), confirmed).select("doc_id", "fingerprint", "root", "component_id")
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
@@ -343,17 +407,10 @@ def one_of_each(docs: DataFrame, **options) -> DataFrame:
     All columns stay. Ties in the id fall to the smallest fingerprint, then to any one of the
     equal rows; null ids count as larger than all others.
     """
-    row = "__fingerprint"
-    size, words = options.get("size", 5), 4
-
-    def prints(texts):
-        return [majority(shingle_digests((t or "").encode(), size), words).hex() for t in texts]
-
-    from scorewatch.llm.common import text_column
-
-    marked = docs.withColumn(row, text_column(prints, "string")(F.col("text").cast("string")))
+    row = "__digest"
+    marked = docs.withColumn(row, digests_of(F.col("text"), options.get("size", 5)))
     groups = similar_documents(docs, **options)
     keep = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fingerprint")).alias("k"))
-    keep = keep.select(F.col("k.doc_id").alias("__id"), F.col("k.fingerprint").alias("__print"))
-    kept = marked.join(keep, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col(row) == F.col("__print")), "left_semi")
+    keep = keep.select(F.col("k.doc_id").alias("__id"), F.right(F.col("k.fingerprint"), F.lit(32)).alias("__set"))
+    kept = marked.join(keep, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col(row) == F.col("__set")), "left_semi")
     return kept.dropDuplicates(["doc_id", row]).drop(row)

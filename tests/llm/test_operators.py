@@ -194,6 +194,36 @@ def test_one_of_each_group_stays(docs, rows, spark):
     assert simhash.one_of_each(empty(spark)).count() == 0
 
 
+def test_near_copies_are_those_of_brute_force(spark, monkeypatch):
+    """Shingle sets of similarity 0.6 to 0.9, repeated lines and short texts: groups by exact Jaccard."""
+    draw = random.Random(12)
+    rows = []
+    for base in range(25):
+        words = prose(draw, draw.choice([8, 9, 12, 150, 300])).split()
+        rows.append((len(rows), " ".join(words)))
+        n = max(1, len(words) - 4)
+        for share in (0.6, 0.7, 0.75, 0.79, 0.8, 0.81, 0.85, 0.9):
+            kept = round(2 * share / (1 + share) * n)  # shingles in common of two sets of n
+            rows.append((len(rows), " ".join(words[: kept + 4] + prose(draw, n - kept).split())))
+    line = prose(draw, 9) + " "
+    rows += [(len(rows) + i, line * 300 + prose(draw, 60)) for i in range(4)]
+    sets = []
+    for _, text in rows:
+        words = text.split()
+        sets.append({" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))})
+    root = list(range(len(rows)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if 5 * len(a & b) >= 4 * len(a | b):
+                root = [root[j] if r == root[i] else r for r in root]
+    least = {r: min(i for i, x in enumerate(root) if x == r) for r in root}
+    want = {i: least[r] for i, r in enumerate(root)}
+    for most in (simhash.TREE_BYTES, 20_000):  # the second cuts groups by bands
+        monkeypatch.setattr(simhash, "TREE_BYTES", most)
+        assert {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(frame(spark, rows)).collect()} == want
+    assert {r["doc_id"] for r in simhash.one_of_each(frame(spark, rows)).collect()} == set(want.values())
+
+
 def plain_removal(rows):
     seen, out = {}, []
     for doc_id, text in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
