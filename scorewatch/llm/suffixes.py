@@ -16,7 +16,10 @@ earlier in the same document) is removed. The work is exact, but never looks at
    tries for those that still agree. In each node of the sorted order, members with equal
    bytes on the other side of the anchor are repeats. The same, mirrored, gives the other end.
 
-Rows that share an id are compared by where strings start; null ids come last.
+A row is known by its id, 64 bits of its text (`key`) and 15 more (`copy`); spans are grouped and
+joined by all three, so rows without an id are told apart and no array grows with their number.
+Rows that share an id are compared by where strings start; null ids come last. Rows equal in
+id and text are one row.
 """
 
 from __future__ import annotations
@@ -38,7 +41,8 @@ RANGES = ((0, 34), (35, 68))  # offsets of the anchor in a window
 SHALLOW = 8
 NO_ID = 2**63 - 1
 LOW = np.uint64(0xFFFFFFFF)
-COPY = 0x7FFF  # a short digest of the text tells rows that share an id apart
+COPY = 0x7FFF  # bits of a second digest of the text, packed with the position
+ROW = ["doc_id", "key", "copy"]
 
 
 class Hasher:
@@ -103,9 +107,9 @@ def anchors(data: np.ndarray, hasher: Hasher):
 
 
 def anchor_rows(docs: DataFrame) -> DataFrame:
-    """(gram, around, doc_id, packed) of all anchors.
+    """(gram, around, doc_id, key, packed) of all anchors.
 
-    `packed` holds position and offsets. Of equal surroundings in one batch only the first is
+    `packed` holds position, copy and offsets. Of equal surroundings in one batch only the first is
     compared further; the others are repeats already, marked by a negative `packed` and dealt
     by a hash of their own.
     """
@@ -113,29 +117,28 @@ def anchor_rows(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
         for batch in slices(batches):
-            ids = np.array(batch.column("doc_id").to_pylist(), dtype=np.int64)
             parts = []
-            for doc_id, text in zip(ids.tolist(), utf8_values(batch.column("text"))):
+            for *row, text in zip(*(batch.column(c).to_pylist() for c in ROW), utf8_values(batch.column("text"))):
+                doc_id, key, copy = row
                 found = anchors(np.frombuffer(text, np.uint8), hasher)
                 if found is not None:
                     gram, around, at, most, fewest = found
-                    parts.append((gram, around, np.full(len(gram), doc_id), (at << 29) | (copy_of(text) << 14) | (most << 7) | fewest))
+                    parts.append((gram, around, np.full(len(gram), doc_id, np.int64), np.full(len(gram), key, np.int64), (at << 29) | (copy << 14) | (most << 7) | fewest))
             if not parts:
                 continue
-            gram, around, doc, packed = (np.concatenate(x) for x in zip(*parts))
-            order = np.lexsort((packed, doc, around, gram))
-            gram, around, doc, packed = gram[order], around[order], doc[order], packed[order]
-            again = np.concatenate([[False], (gram[1:] == gram[:-1]) & (around[1:] == around[:-1]) & ((doc[1:] != doc[:-1]) | (packed[1:] != packed[:-1]))])
+            gram, around, doc, key, packed = (np.concatenate(x) for x in zip(*parts))
+            order = np.lexsort((key, packed, doc, around, gram))
+            gram, around, doc, key, packed = (x[order] for x in (gram, around, doc, key, packed))
+            equal = (gram[1:] == gram[:-1]) & (around[1:] == around[:-1])
+            other = np.concatenate([[True], ~equal | (doc[1:] != doc[:-1]) | (key[1:] != key[:-1]) | (packed[1:] != packed[:-1])])
+            again = np.concatenate([[False], equal])[other]  # rows equal in id and text count once
+            gram, around, doc, key, packed = (x[other] for x in (gram, around, doc, key, packed))
             with np.errstate(over="ignore"):
-                gram = np.where(again, (doc * 1_000_003 + packed) * 0x5851F42D4C957F2D, gram)
+                gram = np.where(again, ((doc * 1_000_003 + key) * 1_000_003 + packed) * 0x5851F42D4C957F2D, gram)
             packed = np.where(again, -1 - packed, packed)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (gram, around, doc, packed)], names=["gram", "around", "doc_id", "packed"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (gram, around, doc, key, packed)], names=["gram", "around", "doc_id", "key", "packed"])
 
-    return docs.mapInArrow(run, "gram long, around long, doc_id long, packed long")
-
-
-def copy_of(text: bytes) -> int:
-    return xxhash.xxh32_intdigest(text) & COPY
+    return docs.mapInArrow(run, "gram long, around long, doc_id long, key long, packed long")
 
 
 def unpacked(packed):
@@ -144,9 +147,9 @@ def unpacked(packed):
 
 
 def compare_surroundings(rows: DataFrame) -> DataFrame:
-    """Repeats (doc_id, copy, start, stop) and, with `packed` set, anchors whose bytes must be compared."""
+    """Repeats (doc_id, key, copy, start, stop) and, with `packed` set, anchors whose bytes must be compared."""
 
-    def answer(gram, around, doc, packed, open_run: bool):
+    def answer(gram, around, doc, key, packed, open_run: bool):
         """(batch, carried rows): carried are the first of each surroundings of an open last gram."""
         new_gram = np.concatenate([[True], gram[1:] != gram[:-1]])
         new = new_gram | np.concatenate([[True], around[1:] != around[:-1]])
@@ -154,7 +157,7 @@ def compare_surroundings(rows: DataFrame) -> DataFrame:
         kinds = np.bincount(run, new)
         sure = packed < 0
         # An equal row (repeated id and text) is no repeat of itself.
-        same = np.concatenate([[False], ~new[1:] & (doc[1:] == doc[:-1]) & (packed[1:] == packed[:-1])])
+        same = np.concatenate([[False], ~new[1:] & (doc[1:] == doc[:-1]) & (key[1:] == key[:-1]) & (packed[1:] == packed[:-1])])
         leader = new.copy()
         for i in np.flatnonzero(same & ~new).tolist():
             leader[i] = leader[i - 1]
@@ -162,31 +165,31 @@ def compare_surroundings(rows: DataFrame) -> DataFrame:
         carried = (run == run[-1]) & open_run
         ask = new & ~sure & (kinds[run] > 1) & ~carried
         at, copy, most, fewest = unpacked(np.where(sure, -1 - packed, packed))
-        take = repeat | ask
+        take = (repeat & ~same) | ask
         none = ~ask[take]
         out = pa.RecordBatch.from_arrays(
-            [pa.array(doc[take]), pa.array(copy[take]), pa.array((at - most)[take]), pa.array((at - fewest + LENGTH)[take]), pa.array(packed[take], mask=none)],
-            names=["doc_id", "copy", "start", "stop", "packed"],
+            [pa.array(doc[take]), pa.array(key[take]), pa.array(copy[take]), pa.array((at - most)[take]), pa.array((at - fewest + LENGTH)[take]), pa.array(packed[take], mask=none)],
+            names=[*ROW, "start", "stop", "packed"],
         )
         keep = carried & new & ~sure
-        return out, [x[keep] for x in (gram, around, doc, packed)]
+        return out, [x[keep] for x in (gram, around, doc, key, packed)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, np.int64)] * 4
+        held = [np.zeros(0, np.int64)] * 5
         for batch in batches:
             if batch.num_rows:
-                own = [np.concatenate([h, batch.column(c).to_numpy()]) for h, c in zip(held, ("gram", "around", "doc_id", "packed"))]
+                own = [np.concatenate([h, batch.column(c).to_numpy()]) for h, c in zip(held, ("gram", "around", "doc_id", "key", "packed"))]
                 out, held = answer(*own, True)
                 yield out
         if len(held[0]):
             yield answer(*held, False)[0]
 
-    sorted_rows = rows.repartition("gram").sortWithinPartitions("gram", "around", "doc_id", "packed")
-    return sorted_rows.mapInArrow(run, "doc_id long, copy long, start long, stop long, packed long")
+    sorted_rows = rows.repartition("gram").sortWithinPartitions("gram", "around", "doc_id", "packed", "key")
+    return sorted_rows.mapInArrow(run, "doc_id long, key long, copy long, start long, stop long, packed long")
 
 
 def cut_surroundings(asked: DataFrame) -> DataFrame:
-    """(core, doc_id, place, left, right): the bytes on both sides of each asked anchor, per range.
+    """(core, doc_id, key, place, left, right): the bytes on both sides of each asked anchor, per range.
 
     `place` holds position and copy.
     `left` runs outwards from the anchor; `core` is a hash of what all windows of the range share.
@@ -194,23 +197,24 @@ def cut_surroundings(asked: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            out = []
-            for doc_id, text, places in zip(batch.column("doc_id").to_pylist(), utf8_values(batch.column("text")), batch.column("asks").to_pylist()):
-                mine = copy_of(text)
+            out, seen = [], set()
+            for *row, text, places in zip(*(batch.column(c).to_pylist() for c in ROW), utf8_values(batch.column("text")), batch.column("asks").to_pylist()):
+                if tuple(row) in seen:
+                    continue
+                seen.add(tuple(row))
+                doc_id, key, _ = row
                 for packed in places:
                     at, copy, most, fewest = unpacked(packed)
-                    if copy != mine:
-                        continue
                     for number, (low, high) in enumerate(RANGES):
                         a, b = max(low, fewest), min(high, most)
                         if a <= b:
                             core = xxhash.xxh64_intdigest(text[at - low : at + LENGTH - high], number) - 2**63
-                            out.append((core, doc_id, at << 15 | copy, text[at - b : at][::-1], text[at : at + LENGTH - a]))
-            columns = list(zip(*out)) or [()] * 5
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["core", "doc_id", "place", "left", "right"])
+                            out.append((core, doc_id, key, at << 15 | copy, text[at - b : at][::-1], text[at : at + LENGTH - a]))
+            columns = list(zip(*out)) or [()] * 6
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["core", "doc_id", "key", "place", "left", "right"])
 
-    return asked.mapInArrow(run, "core long, doc_id long, place long, left binary, right binary")
+    return asked.mapInArrow(run, "core long, doc_id long, key long, place long, left binary, right binary")
 
 
 def common_prefix(a: bytes, b: bytes) -> int:
@@ -339,59 +343,60 @@ def longest_repeats(near: list[bytes], far: list[bytes], shared: int) -> list[in
     return best
 
 
-def settle_group(items: list[tuple[int, int, bytes, bytes]]) -> list[tuple[int, int, int, int]]:
-    """(doc_id, copy, start, stop) of the repeated stretches around the anchors of one core."""
+def settle_group(items: list[tuple[int, int, int, bytes, bytes]]) -> list[tuple[int, int, int, int, int]]:
+    """(doc_id, key, copy, start, stop) of the repeated stretches around the anchors of one core."""
     known: dict[tuple[bytes, bytes], int] = {}
     firsts, out = [], []
-    for doc_id, place, left, right in items:  # in order of id and position
+    for doc_id, key, place, left, right in items:  # in order of id and position
         if (left, right) in known:
-            if firsts[known[left, right]][:2] != (doc_id, place):
-                out.append((doc_id, place & COPY, (place >> 15) - len(left), (place >> 15) + len(right)))
+            if firsts[known[left, right]][:3] != (doc_id, key, place):
+                out.append((doc_id, key, place & COPY, (place >> 15) - len(left), (place >> 15) + len(right)))
         else:
             known[left, right] = len(firsts)
-            firsts.append((doc_id, place, left, right))
+            firsts.append((doc_id, key, place, left, right))
     if len(firsts) < 2:
         return out
-    lefts, rights = [f[2] for f in firsts], [f[3] for f in firsts]
+    lefts, rights = [f[3] for f in firsts], [f[4] for f in firsts]
     right_most = longest_repeats(rights, lefts, 0)
     left_most = longest_repeats(lefts, rights, 0)
-    for (doc_id, place, _, _), right, left in zip(firsts, right_most, left_most):
+    for (doc_id, key, place, _, _), right, left in zip(firsts, right_most, left_most):
         if right >= 0 and left >= 0:
-            out.append((doc_id, place & COPY, (place >> 15) - left, (place >> 15) + right))
+            out.append((doc_id, key, place & COPY, (place >> 15) - left, (place >> 15) + right))
     return out
 
 
 def compare_bytes(rows: DataFrame) -> DataFrame:
-    """Repeats (doc_id, copy, start, stop) among the cut surroundings."""
+    """Repeats (doc_id, key, copy, start, stop) among the cut surroundings."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         core, items, out = None, [], []
 
         def batch_of(rows_) -> pa.RecordBatch:
-            columns = list(zip(*rows_)) or [()] * 4
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "copy", "start", "stop"])
+            columns = list(zip(*rows_)) or [()] * 5
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=[*ROW, "start", "stop"])
 
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("core", "doc_id", "place", "left", "right"))):
+            for row in zip(*(batch.column(c).to_pylist() for c in ("core", "doc_id", "key", "place", "left", "right"))):
                 if row[0] != core:
                     if len(items) > 1:
                         out += settle_group(items)
                     core, items = row[0], []
-                items.append(row[1:])
+                if not items or items[-1][:3] != row[1:4]:
+                    items.append(row[1:])
             yield batch_of(out)
             out = []
         if len(items) > 1:
             yield batch_of(settle_group(items))
 
-    return rows.repartition("core").sortWithinPartitions("core", "doc_id", "place").mapInArrow(run, "doc_id long, copy long, start long, stop long")
+    return rows.repartition("core").sortWithinPartitions("core", "doc_id", "place", "key").mapInArrow(run, "doc_id long, key long, copy long, start long, stop long")
 
 
 def repeats(docs: DataFrame) -> DataFrame:
-    """(doc_id, copy, start, stop): stretches whose bytes are covered by repeated strings; may overlap."""
+    """(doc_id, key, copy, start, stop): stretches whose bytes are covered by repeated strings; may overlap."""
     compared = compare_surroundings(anchor_rows(docs))
-    sure = compared.where("packed is null").select("doc_id", "copy", "start", "stop")
-    asks = compared.where("packed is not null").groupBy("doc_id").agg(F.collect_set("packed").alias("asks"))
-    cut = cut_surroundings(docs.join(asks, "doc_id").select("doc_id", "text", "asks"))
+    sure = compared.where("packed is null").select(*ROW, "start", "stop")
+    asks = compared.where("packed is not null").groupBy(*ROW).agg(F.collect_set("packed").alias("asks"))
+    cut = cut_surroundings(docs.join(asks, ROW).select(*ROW, "text", "asks"))
     return sure.unionAll(compare_bytes(cut))
 
 
@@ -400,16 +405,18 @@ def remove_repeats(table: DataFrame, with_text: bool = False) -> DataFrame:
 
     Null texts count as empty. Texts shorter than LENGTH bytes keep everything.
     """
+    text = F.coalesce("text", F.lit(""))
     docs = documents(table).withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID)))
-    spans = repeats(docs).groupBy("doc_id").agg(F.collect_list(F.struct("copy", "start", "stop")).alias("spans"))
+    docs = docs.withColumns({"key": F.xxhash64(text), "copy": F.crc32(text.cast("binary")).bitwiseAND(F.lit(COPY))})
+    spans = repeats(docs).groupBy(*ROW).agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             rows = []
             for doc_id, text, cuts in zip(batch.column("doc_id").to_pylist(), utf8_values(batch.column("text")), batch.column("spans").to_pylist()):
-                removed, kept, runs, upto, mine = 0, [], 0, 0, copy_of(text)
+                removed, kept, runs, upto = 0, [], 0, 0
                 end = -1
-                for start, stop in sorted((c["start"], c["stop"]) for c in cuts or () if c["copy"] == mine):
+                for start, stop in sorted((c["start"], c["stop"]) for c in cuts or ()):
                     if stop <= end:
                         continue
                     if start > end:
@@ -427,4 +434,4 @@ def remove_repeats(table: DataFrame, with_text: bool = False) -> DataFrame:
     fields = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())]
     schema = pa.schema(fields + [("kept", pa.binary())] * with_text)
     kinds = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
-    return docs.join(spans, "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(run, kinds)
+    return docs.join(spans, ROW, "left").select("doc_id", "text", "spans").mapInArrow(run, kinds)

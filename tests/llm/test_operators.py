@@ -274,6 +274,25 @@ def test_repeats_in_odd_rows(docs, rows, spark):
     assert suffixes.remove_repeats(empty(spark)).count() == 0
 
 
+def test_repeats_among_rows_without_an_id(spark):
+    """1,500 null ids: 15 bits of digest would mix the spans of some 30 pairs of texts."""
+    draw = random.Random(13)
+    pool = [prose(draw, 60) for _ in range(5)]
+    rows = [(None if i % 3 else i, prose(draw, draw.randint(0, 25)) + draw.choice(pool)[: draw.randint(100, 250)] + prose(draw, draw.randint(0, 30))) for i in range(2250)]
+    rows += [(None, rows[1][1])] * 50 + [(7, pool[0]), (7, pool[0] + pool[1])]
+    same = {(i, t): (2**63 if i is None else i, t.encode()) for i, t in rows}
+    digest = {t: (zlib.crc32(t.encode()) & suffixes.COPY) for _, t in rows}
+    found = sorted((i, at, digest[t], t, data[at : at + 100]) for (_, t), (i, data) in same.items() for at in range(len(data) - 99))
+    seen, covered = set(), {key: bytearray(len(data)) for key, (_, data) in same.items()}
+    for i, at, _, t, part in found:
+        if part in seen:
+            covered[None if i == 2**63 else i, t][at : at + 100] = b"\1" * 100
+        seen.add(part)
+    want = [(i, sum(covered[i, t]), hashlib.sha256(bytes(x for x, c in zip(t.encode(), covered[i, t]) if not c)).hexdigest()) for i, t in rows]
+    got = [(r["doc_id"], r["n_removed"], r["kept_sha256"]) for r in suffixes.remove_repeats(frame(spark, rows)).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_string_tiling(spark):
     draw = random.Random(5)
     items = [prose(draw, 40) for _ in range(10)]
