@@ -15,6 +15,8 @@ earlier in the same document) is removed. The work is exact, but never looks at
    the anchor are sorted deep-shallow: multikey quicksort to `SHALLOW` more bytes, then blind
    tries for those that still agree. In each node of the sorted order, members with equal
    bytes on the other side of the anchor are repeats. The same, mirrored, gives the other end.
+   A core with more members than GROUP is not gathered in a task: its windows are dealt by two
+   hashes of their own bytes (128 bits), and those that are not the first of their kind are repeats.
 
 A row is known by its id, 64 bits of its text (`key`) and 15 more (`copy`); spans are grouped and
 joined by all three, so rows without an id are told apart and no array grows with their number.
@@ -33,12 +35,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scorewatch.llm.common import documents, slices, utf8_values
+from scorewatch.llm.common import documents, slices, utf8_values, written
 
 LENGTH, GRAM = 100, 32
 WINDOW = LENGTH - GRAM + 1
 RANGES = ((0, 34), (35, 68))  # offsets of the anchor in a window
 SHALLOW = 8
+GROUP = 5_000  # members of a core that are sorted in one task
 NO_ID = 2**63 - 1
 LOW = np.uint64(0xFFFFFFFF)
 COPY = 0x7FFF  # bits of a second digest of the text, packed with the position
@@ -149,12 +152,17 @@ def unpacked(packed):
 def compare_surroundings(rows: DataFrame) -> DataFrame:
     """Repeats (doc_id, key, copy, start, stop) and, with `packed` set, anchors whose bytes must be compared."""
 
-    def answer(gram, around, doc, key, packed, open_run: bool):
-        """(batch, carried rows): carried are the first of each surroundings of an open last gram."""
+    def answer(gram, around, doc, key, packed, asked: bool, open_run: bool):
+        """(batch, held row, whether it was asked).
+
+        Held is the first row of the last surroundings of an open last gram. It is asked once
+        the gram has other surroundings; `asked` tells so of the row held before, now the first.
+        """
         new_gram = np.concatenate([[True], gram[1:] != gram[:-1]])
         new = new_gram | np.concatenate([[True], around[1:] != around[:-1]])
         run = np.cumsum(new_gram) - 1
         kinds = np.bincount(run, new)
+        kinds[0] += asked
         sure = packed < 0
         # An equal row (repeated id and text) is no repeat of itself.
         same = np.concatenate([[False], ~new[1:] & (doc[1:] == doc[:-1]) & (key[1:] == key[:-1]) & (packed[1:] == packed[:-1])])
@@ -162,8 +170,8 @@ def compare_surroundings(rows: DataFrame) -> DataFrame:
         for i in np.flatnonzero(same & ~new).tolist():
             leader[i] = leader[i - 1]
         repeat = sure | ~leader
-        carried = (run == run[-1]) & open_run
-        ask = new & ~sure & (kinds[run] > 1) & ~carried
+        ask = new & ~sure & (kinds[run] > 1)
+        ask[0] &= not asked
         at, copy, most, fewest = unpacked(np.where(sure, -1 - packed, packed))
         take = (repeat & ~same) | ask
         none = ~ask[take]
@@ -171,18 +179,18 @@ def compare_surroundings(rows: DataFrame) -> DataFrame:
             [pa.array(doc[take]), pa.array(key[take]), pa.array(copy[take]), pa.array((at - most)[take]), pa.array((at - fewest + LENGTH)[take]), pa.array(packed[take], mask=none)],
             names=[*ROW, "start", "stop", "packed"],
         )
-        keep = carried & new & ~sure
-        return out, [x[keep] for x in (gram, around, doc, key, packed)]
+        keep = np.flatnonzero((run == run[-1]) & new & ~sure & open_run)[-1:]
+        return out, [x[keep] for x in (gram, around, doc, key, packed)], bool(len(keep)) and bool(kinds[-1] > 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, np.int64)] * 5
+        held, asked = [np.zeros(0, np.int64)] * 5, False
         for batch in batches:
             if batch.num_rows:
                 own = [np.concatenate([h, batch.column(c).to_numpy()]) for h, c in zip(held, ("gram", "around", "doc_id", "key", "packed"))]
-                out, held = answer(*own, True)
+                out, held, asked = answer(*own, asked, True)
                 yield out
         if len(held[0]):
-            yield answer(*held, False)[0]
+            yield answer(*held, asked, False)[0]
 
     sorted_rows = rows.repartition("gram").sortWithinPartitions("gram", "around", "doc_id", "packed", "key")
     return sorted_rows.mapInArrow(run, "doc_id long, key long, copy long, start long, stop long, packed long")
@@ -391,13 +399,48 @@ def compare_bytes(rows: DataFrame) -> DataFrame:
     return rows.repartition("core").sortWithinPartitions("core", "doc_id", "place", "key").mapInArrow(run, "doc_id long, key long, copy long, start long, stop long")
 
 
+def windows_of(rows: DataFrame) -> DataFrame:
+    """(doc_id, key, place, offset, low, high) of every window in the cut surroundings, with two hashes of its bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 500_000):
+            out = []
+            for doc_id, key, place, left, right in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "key", "place", "left", "right"))):
+                text = left[::-1] + right
+                for at in range(len(text) - LENGTH + 1):
+                    digest = xxhash.xxh3_128_intdigest(text[at : at + LENGTH])
+                    out.append((doc_id, key, place, len(left) - at, (digest >> 64) - 2**63, (digest & 2**64 - 1) - 2**63))
+            columns = list(zip(*out)) or [()] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "key", "place", "offset", "low", "high"])
+
+    return rows.mapInArrow(run, "doc_id long, key long, place long, offset long, low long, high long")
+
+
+def compare_windows(rows: DataFrame) -> DataFrame:
+    """Repeats (doc_id, key, copy, start, stop) among the cut surroundings of large cores.
+
+    The first of equal windows is found by an aggregate, so a popular window is no task of its
+    own; the offset is part of what is compared, as equal windows have equal anchors.
+    """
+    window, one = ["low", "high", "offset"], F.struct("doc_id", "place", "key")
+    all_of = written(windows_of(rows), "windows")
+    firsts = all_of.groupBy(*window).agg(F.min(one).alias("first"), F.max(one).alias("last")).where("first <> last")
+    start = F.shiftright("place", 15) - F.col("offset")
+    found = all_of.join(firsts.select(*window, "first"), window).where(one != F.col("first"))
+    return found.select("doc_id", "key", F.col("place").bitwiseAND(F.lit(COPY)).alias("copy"), start.alias("start"), (start + LENGTH).alias("stop"))
+
+
 def repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, key, copy, start, stop): stretches whose bytes are covered by repeated strings; may overlap."""
-    compared = compare_surroundings(anchor_rows(docs))
+    compared = written(compare_surroundings(anchor_rows(docs)), "compared")
     sure = compared.where("packed is null").select(*ROW, "start", "stop")
     asks = compared.where("packed is not null").groupBy(*ROW).agg(F.collect_set("packed").alias("asks"))
-    cut = cut_surroundings(docs.join(asks, ROW).select(*ROW, "text", "asks"))
-    return sure.unionAll(compare_bytes(cut))
+    cut = written(cut_surroundings(docs.join(asks, ROW).select(*ROW, "text", "asks")), "surroundings")
+    large = written(cut.groupBy("core").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > GROUP).select("core"), "cores")
+    if large.isEmpty():
+        return sure.unionAll(compare_bytes(cut))
+    small = cut.join(large, "core", "left_anti")
+    return sure.unionAll(compare_bytes(small)).unionAll(compare_windows(cut.join(large, "core", "left_semi")))
 
 
 def remove_repeats(table: DataFrame, with_text: bool = False) -> DataFrame:

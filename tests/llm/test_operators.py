@@ -264,6 +264,24 @@ def test_repeats_are_removed_exactly(spark, seed):
     assert sorted(got) == sorted(plain_removal(rows))
 
 
+def test_large_cores_are_not_gathered(spark, monkeypatch):
+    """A line of 80 bytes between different neighbours, and passages that repeat around it."""
+    draw = random.Random(14)
+    line, pool = prose(draw, 40)[:80], [prose(draw, 12) for _ in range(6)]
+    rows = [(i, prose(draw, 20) + draw.choice(["", *pool]) + line + draw.choice(["", *pool]) + prose(draw, 20)) for i in range(300)]
+    want = sorted(plain_removal(rows))
+    docs = frame(spark, rows)
+    for group in (suffixes.GROUP, 20):
+        monkeypatch.setattr(suffixes, "GROUP", group)
+        assert sorted(tuple(r) for r in suffixes.remove_repeats(docs).collect()) == want
+    # Rows of one gram in many batches: one row at most is held between them.
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        assert sorted(tuple(r) for r in suffixes.remove_repeats(docs).collect()) == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_repeats_in_odd_rows(docs, rows, spark):
     got = suffixes.remove_repeats(docs, with_text=True).collect()
     assert len(got) == len(rows)
