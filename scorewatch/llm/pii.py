@@ -9,7 +9,9 @@ numbers in any punctuation, addresses in any case, a surname with or without a g
 A surrogate is drawn from SHA-256 of key, type, attempt and canonical form: digits become
 digits and letters letters of the same case, numbers keep country code, length and check
 digits, names keep script and gender. Draws that equal another entity's surrogate or any
-original are rejected and drawn again, until all are distinct. Surrogates are written back
+original are rejected and drawn again, until all are distinct; phone and social security
+numbers, secrets and addresses grow longer after many rejected draws, as names do, so a class
+with few values does not run out. Surrogates are written back
 in the spelling (punctuation, case) of each mention.
 """
 
@@ -38,7 +40,7 @@ EMAIL = r"[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8
 IP = r"(?<!\.)(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\w)"
 SSN = r"(?<!-)\d{3}-\d{2}-\d{4}(?![\w-])"
 PHONE = (
-    r"(?<!\+)\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,4}(?:[ .-]?\d{2,4}){1,4}(?!\w)"
+    r"(?<!\+)\+(?=(?:[ .()-]{0,2}\d){7})\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,4}(?:[ .-]?\d{2,4}){1,4}(?!\w)"
     r"|\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\w)|(?<![.-])\d{3}[.-]\d{3}[.-]\d{4}(?!\w)"
 )
 CARD = r"(?<!\.)\d(?:[ -]?\d){12,18}(?!\w)"
@@ -177,18 +179,20 @@ def with_surrogate(df: DataFrame, attempt: int, key: str) -> DataFrame:
 
     domain, ending = F.substring_index(canon, "@", -1), F.substring_index(canon, ".", -1)
     host = F.substring(domain, F.lit(1), F.length(domain) - F.length(ending) - 1)
+    # One more character for every eight rejected draws.
+    more = F.translate(F.substring(_stream(F.concat_ws("|", seed, F.lit("more")), F.lit(1)), 1, attempt // 8), "abcdef", "012345")
     # The domain depends on the domain alone, so colleagues stay colleagues.
-    email = F.concat(F.substring_index(drawn, "@", 1), F.lit("@"), _same_shape(host, F.concat_ws("|", F.lit(key), F.lit("domain"), host)), F.lit("."), ending)
+    email = F.concat(F.substring_index(drawn, "@", 1), more, F.lit("@"), _same_shape(host, F.concat_ws("|", F.lit(key), F.lit("domain"), host)), F.lit("."), ending)
     code = F.when(~canon.startswith("+"), 0).when(F.substring(canon, 2, 1).isin("1", "7"), 2).otherwise(3)
     number = tail(drawn, code + 1)
-    phone = F.concat(F.substring(canon, F.lit(1), code), F.when(number.startswith("0"), F.concat(F.lit("5"), tail(number, 2))).otherwise(number))
+    phone = F.concat(F.substring(canon, F.lit(1), code), F.when(number.startswith("0"), F.concat(F.lit("5"), tail(number, 2))).otherwise(number), more)
     check = ((F.lit(10) - _luhn_sum(body) % 10) % 10).cast("string")
     card = F.concat(F.substring(body, F.lit(1), n - 1), F.when(_luhn_sum(canon) % 10 == 0, check).otherwise(F.substring(drawn, n, F.lit(1))))
     octets = _stream(seed, F.lit(4))
     ip = F.concat_ws(".", (_byte(octets, F.lit(1)) % 223 + 1).cast("string"), *[(_byte(octets, F.lit(i)) % 254 + 1).cast("string") for i in (2, 3, 4)])
     iban = F.concat(F.substring(canon, 1, 2), F.lpad((F.lit(98) - _mod97(account)).cast("string"), 2, "0"), tail(drawn, 5))
     kept = F.regexp_extract(canon, "^(AKIA|(?:sk|ghp|gho|xox[abp])[-_])", 1)
-    secret = F.concat(kept, tail(drawn, F.length(kept) + 1))
+    secret = F.concat(kept, tail(drawn, F.length(kept) + 1), more)
     return (
         df.withColumn("__seed", F.concat_ws("|", F.lit(key), kind, F.lit(str(attempt)), canon))
         .withColumn("__drawn", _same_shape(canon, seed))
@@ -197,7 +201,7 @@ def with_surrogate(df: DataFrame, attempt: int, key: str) -> DataFrame:
         .withColumn(
             "surrogate",
             F.when(kind == "email", email).when(kind == "phone", phone).when(kind == "card", card).when(kind == "ip", ip)
-            .when(kind == "ssn", F.concat(F.lit("9"), tail(drawn, 2))).when(kind == "iban", iban).when(kind == "secret", secret)
+            .when(kind == "ssn", F.concat(F.lit("9"), tail(drawn, 2), more)).when(kind == "iban", iban).when(kind == "secret", secret)
             .otherwise(_name(kind, canon, seed, F.lit(attempt))),
         )
         .drop("__seed", "__drawn", "__body", "__account")
@@ -209,7 +213,7 @@ def dictionary(found: DataFrame, key: str) -> DataFrame:
 
     Each round draws for all entities still open; of equal draws the smallest canonical form
     keeps it, and draws that an earlier round gave away or that are themselves an original
-    are not taken. Raises an error if a format is too small for distinct surrogates.
+    are not taken. Open entities get longer draws, so no format is too small.
     """
     originals = written(found.select("type", "canon").distinct(), "entities")
     taken: list[DataFrame] = []
@@ -242,7 +246,7 @@ def _spelled(match: Column, parts: Column) -> Column:
             (state["k"] + used.cast("int")).alias("k"),
         )
 
-    filled = F.aggregate(F.sequence(F.lit(1), F.length(match)), start, fill, lambda s: s["o"])
+    filled = F.aggregate(F.sequence(F.lit(1), F.length(match)), start, fill, lambda s: F.concat(s["o"], F.substring(first, s["k"] + 1, F.lit(1_000_000))))
     cased = F.when((match == F.upper(match)) & (match != F.lower(match)), F.upper(first)).otherwise(first)
     title = F.regexp_extract(match, rf"^((?:{TITLES})\.?[ ])\p{{Lu}}", 1)
     words = F.split(F.substring(match, F.length(title) + 1, F.lit(1_000_000)), " ")

@@ -382,6 +382,17 @@ def test_surrogates_stay_distinct_when_draws_collide(spark, monkeypatch):
     assert len(got) == len(people) + 1 and len(set(got.values())) == len(got) and not set(got) & set(got.values())
 
 
+def test_classes_with_few_values_do_not_run_out(spark):
+    """All numbers of a class are originals: distinct surrogates need one more digit."""
+    numbers = [f"+20{i:02}" for i in range(100)]
+    found = spark.createDataFrame([("phone", n) for n in numbers], "type string, canon string")
+    got = {r["canon"]: r["surrogate"] for r in pii.dictionary(found, "k").collect()}
+    assert len(got) == len(set(got.values())) == 100 and not set(got) & set(got.values()) and all(s.startswith("+20") for s in got.values())
+    texts = ["year +2012 and +20 15", "call +44 20 7946 0958."]
+    out = {r["doc_id"]: r for r in pii.replace_entities(frame(spark, list(enumerate(texts)))).collect()}
+    assert out[0]["text"] == texts[0] and out[1]["__entities"] == 1 and "7946" not in out[1]["text"]
+
+
 @pytest.fixture(scope="module")
 def labelled(spark):
     draw = random.Random(8)
