@@ -1,7 +1,8 @@
 """Personal data replaced by keyed, type-consistent surrogates, in DataFrame operations only.
 
 One pattern finds e-mail addresses, phone, card, social-security and account numbers, IP
-addresses, secrets and names (after a title, or a known given name before a surname). Every
+addresses, secrets and names (after a title, or a known given name before up to three names;
+then also the bare surname anywhere in the same document). Every
 different value of the corpus becomes an entity (type, canonical form); an entity has one
 surrogate everywhere, whatever its spelling, so mentions that belong together stay together:
 numbers in any punctuation, addresses in any case, a surname with or without a given name.
@@ -46,14 +47,17 @@ PHONE = (
 CARD = r"(?<!\.)\d(?:[ -]?\d){12,18}(?!\w)"
 IBAN = r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?!\w)"
 ASSIGNED = r"(?i:password|passwd|pwd|secret|token|api_?key|access_?key)[ ]{0,2}[=:][ ]{0,2}[\"']?"
-SECRET = r"AKIA[0-9A-Z]{16}(?!\w)|(?:sk|ghp|gho|xox[abp])[-_][A-Za-z0-9_-]{16,200}"
-NAME_WORD = r"\p{Lu}[\p{L}'’-]{1,40}"
+SECRET = r"AKIA[0-9A-Z]{16}(?!\w)|(?:sk|ghp|gho|xox[abp])[-_][A-Za-z0-9_-]{16,}+"
+# Values of symbols only hide nothing.
+ASSIGNED_VALUE = r"(?=[_/+.!@#$%^&*?~=:|-]*+[\p{L}\p{N}])[\p{L}\p{N}_/+.!@#$%^&*?~=:|-]{8,}+"
+NAME_WORD = r"\p{Lu}[\p{L}'’-]++"
 TITLES = "|".join(FEMALE_TITLES + MALE_TITLES + OPEN_TITLES)
 TITLED = rf"(?:{TITLES})(?!\p{{L}})\.?[ ]{NAME_WORD}(?:[ ]{NAME_WORD}){{0,2}}"
-GIVEN = rf"(?:{'|'.join(n for name in FEMALE + MALE for n in (name, name.upper()))})[ ]{NAME_WORD}"
+GIVEN = rf"(?:{'|'.join(n for name in FEMALE + MALE for n in (name, name.upper()))})[ ]{NAME_WORD}(?:[ ]{NAME_WORD}){{0,2}}"
+BARE = rf"{GUARD}\p{{Lu}}\p{{L}}++(?:['’-]\p{{L}}++)*+"
 PATTERN = (
     rf"{GUARD}(?:{EMAIL}|(?=[0-9+(])(?:{IP}|{SSN}|{PHONE}|{CARD})|(?=[A-Z][A-Z][0-9])(?:{IBAN})"
-    rf"|(?=[PpSsTtAaGgXx])(?:{ASSIGNED}[A-Za-z0-9_/+.-]{{8,200}}|{SECRET})|(?=\p{{Lu}})(?:{TITLED}|{GIVEN}))"
+    rf"|(?=[PpSsTtAaGgXx])(?:{ASSIGNED}{ASSIGNED_VALUE}|{SECRET})|(?=\p{{Lu}})(?:{TITLED}|{GIVEN}))"
 )
 
 CONSONANTS = "bdfgklmnprstvz"
@@ -63,6 +67,7 @@ CYRILLIC = [c + v for c in "бвгдзклмнпрстф" for v in "аеиоу"]
 GREEK = [c + v for c in "βγδζκλμνπρστφχ" for v in "αειου"]
 ENDINGS = {"latin": ("la", "ren", "lis"), "cyrillic": ("ла", "рен", "лис"), "greek": ("λα", "ρεν", "λις")}
 ROUNDS = 64
+SHAPED = 200  # characters; longer secrets get hexadecimal digits
 
 
 def _whole(value: Column, pattern: str) -> Column:
@@ -116,14 +121,15 @@ def _pick(letters: str, byte: Column) -> Column:
 
 
 def _same_shape(value: Column, seed: Column) -> Column:
-    """Digits for digits, letters for letters of the same case, the rest as it is."""
+    """Digits for digits, letters for letters of the same case, the rest of ASCII as it is."""
     stream = _stream(seed, F.length(value))
 
     def change(i: Column) -> Column:
         c, b = F.substring(value, i, F.lit(1)), _byte(stream, i)
         return (
             F.when(c.between("0", "9"), _pick("0123456789", b)).when(c.between("a", "z"), _pick("abcdefghijklmnopqrstuvwxyz", b))
-            .when(c.between("A", "Z"), _pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ", b)).otherwise(c)
+            .when(c.between("A", "Z"), _pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ", b))
+            .when(F.ascii(c) > 127, _pick("abcdefghijklmnopqrstuvwxyz", b)).otherwise(c)
         )
 
     return F.when(F.length(value) > 0, F.array_join(F.transform(F.sequence(F.lit(1), F.length(value)), change), "")).otherwise("")
@@ -195,7 +201,7 @@ def with_surrogate(df: DataFrame, attempt: int, key: str) -> DataFrame:
     secret = F.concat(kept, tail(drawn, F.length(kept) + 1), more)
     return (
         df.withColumn("__seed", F.concat_ws("|", F.lit(key), kind, F.lit(str(attempt)), canon))
-        .withColumn("__drawn", _same_shape(canon, seed))
+        .withColumn("__drawn", F.when(n > SHAPED, F.substring(_stream(seed, F.ceil(n / 2)), F.lit(1), n)).otherwise(_same_shape(canon, seed)))
         .withColumn("__body", F.concat(F.substring(canon, 1, 1), F.substring(drawn, F.lit(2), n - 2), F.lit("0")))
         .withColumn("__account", F.concat(tail(drawn, 5), F.substring(canon, 1, 2), F.lit("00")))
         .withColumn(
@@ -260,6 +266,20 @@ def _spelled(match: Column, parts: Column) -> Column:
     )
 
 
+def _bare(piece: Column, families: Column) -> tuple[Column, Column]:
+    """A piece between matches with bare surnames of its document replaced, and how many there are."""
+    words = F.regexp_extract_all(piece, F.lit(BARE), F.lit(0))
+
+    def surrogate(w: Column) -> Column:
+        base = F.regexp_replace(w, "['’][sS]$", "")
+        new = F.try_element_at(families, F.lower(base))
+        return F.concat(F.when((base == F.upper(base)) & (F.length(base) > 1), F.upper(new)).otherwise(F.initcap(new)), F.substring(w, F.length(base) + 1, F.lit(2)))
+
+    new = F.concat(F.transform(words, lambda w: F.coalesce(surrogate(w), w)), F.array(F.lit("")))
+    text = F.array_join(F.flatten(F.zip_with(F.split(piece, BARE, -1), new, lambda p, n: F.array(p, n))), "")
+    return text, F.size(F.filter(words, lambda w: surrogate(w).isNotNull()))
+
+
 def replace_entities(docs: DataFrame, text_col: str = "text", key: str = "surrogates") -> DataFrame:
     """`docs` with personal data in `text_col` replaced; all other columns stay.
 
@@ -277,9 +297,14 @@ def replace_entities(docs: DataFrame, text_col: str = "text", key: str = "surrog
     spelled = named.groupBy("__digest", "at", "match").agg(F.array_sort(F.collect_list(F.struct("part", "type", "surrogate"))).alias("parts"))
     spelled = spelled.select("__digest", "at", _spelled(F.col("match"), F.col("parts")).alias("new"))
     by_text = spelled.groupBy("__digest").agg(F.array_sort(F.collect_list(F.struct("at", "new"))).alias("__new"))
-    pieces = F.split(text, PATTERN, -1)
+    families = named.where("type = 'family'").groupBy("__digest").agg(F.map_from_entries(F.collect_set(F.struct("canon", "surrogate"))).alias("__families"))
+    by_text = by_text.join(families, "__digest", "left")
+    known = F.col("__families")
+    split = F.split(text, PATTERN, -1)
+    pieces = F.when(known.isNull(), split).otherwise(F.transform(split, lambda p: _bare(p, known)[0]))
+    bare = F.when(known.isNull(), 0).otherwise(F.aggregate(split, F.lit(0), lambda n, p: n + _bare(p, known)[1]))
     new = F.concat(F.transform("__new", lambda x: x["new"]), F.array(F.lit("")))
     rebuilt = F.array_join(F.flatten(F.zip_with(pieces, new, lambda p, n: F.array(p, n))), "")
-    changed = dirty.join(by_text, "__digest").withColumn("__entities", F.size("__new").cast("long")).withColumn(text_col, rebuilt)
+    changed = dirty.join(by_text, "__digest").withColumn("__entities", (F.size("__new") + bare).cast("long")).withColumn(text_col, rebuilt)
     clean = docs.where(text.isNull() | ~text.rlike(PATTERN)).withColumn("__entities", F.lit(0).cast("long"))
     return changed.select(*docs.columns, "__entities").unionAll(clean.select(*docs.columns, "__entities"))

@@ -382,6 +382,25 @@ def test_surrogates_stay_distinct_when_draws_collide(spark, monkeypatch):
     assert len(got) == len(people) + 1 and len(set(got.values())) == len(got) and not set(got) & set(got.values())
 
 
+def test_whole_entities_are_replaced(spark):
+    token = "".join(random.Random(15).choice("abcdefXYZ0123456789") for _ in range(300))
+    texts = [
+        f"token={token} end", f"sk-{token} end", "password: p@ss!w0rd99 end", "pwd=pässwort77 end", "password=******** end",
+        "Anna Maria Schmidt came. Later Schmidt left, SCHMIDT's bag stayed; Schmidthausen and schmidt are other words.",
+        "Schmidt alone is no person here.",
+    ]
+    got = {r["doc_id"]: r for r in pii.replace_entities(frame(spark, list(enumerate(texts)))).collect()}
+    for i, start in ((0, "token="), (1, "sk-")):
+        new = got[i]["text"]
+        assert new.startswith(start) and new.endswith(" end") and len(new) == len(texts[i]) and token[200:] not in new and token[-20:] not in new
+    assert "ss!w" not in got[2]["text"] and "w0rd99" not in got[2]["text"] and got[2]["__entities"] == 1
+    assert "ä" not in got[3]["text"] and got[3]["text"].endswith(" end") and got[4]["text"] == texts[4]
+    new = got[5]["text"]
+    assert "Maria" not in new and "Schmidt " not in new and "SCHMIDT" not in new and "Schmidthausen and schmidt are" in new and got[5]["__entities"] == 3
+    family = new.split()[2].rstrip(".")
+    assert f"Later {family} left, {family.upper()}'s bag" in new and got[6]["text"] == texts[6]
+
+
 def test_classes_with_few_values_do_not_run_out(spark):
     """All numbers of a class are originals: distinct surrogates need one more digit."""
     numbers = [f"+20{i:02}" for i in range(100)]
