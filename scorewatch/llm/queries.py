@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorewatch.llm import bpe, decontaminate, pii, quality, simhash, suffixes, token_files, toxicity, warc, winnow
+from scorewatch.llm import audit, bpe, decontaminate, pii, quality, simhash, suffixes, token_files, toxicity, warc, winnow
 from scorewatch.llm.common import crc_remainder, new_folder, table
 
 BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -64,7 +64,11 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), BYTE_RANKS)
 
 
-QUERIES = {f.__name__: f for f in (op1_surrogates, op2_byte_network, op3_deep_shallow, op4_toxicity, op5_simhash, op6_string_tiling, op7_winnowing, op8_warc, op9_token_files, op10_byte_bpe)}
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_surrogates, op2_byte_network, op3_deep_shallow, op4_toxicity, op5_simhash, op6_string_tiling, op7_winnowing, op8_warc, op9_token_files, op10_byte_bpe, op12_filter_audit)}
 
 # Base32 takes five bits at a time: four letters from every five hexadecimal digits.
 OP8_WARC = """
@@ -78,4 +82,41 @@ select page_id, payload_bytes,
   case when page_id = largest then null else largest end as refers_to
 from groups"""
 
-CHECKS = {"op8_warc": OP8_WARC}
+OP12_FILTER_AUDIT = r"""
+with docs as (select doc_id, coalesce(lang, '') as part, coalesce(text, '') as text from documents),
+worded as (select *, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda w: w <> '') as words from docs),
+marked as (
+  select doc_id, max((quality = 1)::int) as good, max((toxic = 1)::int) as toxic from labels group by doc_id),
+failing as (
+  select part, coalesce(good, 0) as good, coalesce(toxic, 0) as toxic,
+    (case when len(words) < 200 then 'A' else '' end)
+    || (case when 100 * len(list_distinct(words)) < 50 * len(words) then 'B' else '' end)
+    || (case when 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * length(text) then 'C' else '' end)
+    || (case when regexp_matches(text, '[#$%&*|]') then 'D' else '' end)
+    || (case when doc_id > min(doc_id) over (partition by text) then 'E' else '' end) as fails
+  from worded left join marked using (doc_id)),
+cells as (select part, fails, count(*) as n, sum(good) as good, sum(toxic) as toxic from failing group by all),
+letters as (select unnest(['A', 'B', 'C', 'D', 'E']) as x),
+orders as (
+  select a.x || b.x || c.x || d.x || e.x as filter_order from letters a, letters b, letters c, letters d, letters e
+  where len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+steps as (select filter_order, step, substr(filter_order, cast(step as int), 1) as letter from orders, range(1, 6) s(step)),
+met as (
+  select part, filter_order, step, letter, n, good, toxic, fails = letter as alone, contains(fails, letter) as fails_it,
+    step > 1 and regexp_matches(fails, '[' || filter_order[1:step - 1] || '_]') as gone
+  from steps, cells),
+counted as (
+  select part, filter_order, step, letter,
+    sum(case when not gone and not fails_it then n else 0 end) as kept,
+    sum(case when not gone and fails_it then n else 0 end) as removed,
+    sum(case when gone and fails_it then n else 0 end) as redundant,
+    sum(case when alone then n else 0 end) as unique_fails,
+    sum(case when not gone and fails_it then good else 0 end) as good_lost,
+    sum(case when not gone and fails_it then toxic else 0 end) as toxic_lost
+  from met group by all)
+select part, filter_order, cast(step as int) as step, cast(kept as bigint) as kept, cast(removed as bigint) as removed,
+  cast(redundant as bigint) as redundant, cast(unique_fails as bigint) as unique_fails, cast(good_lost as bigint) as good_lost,
+  cast(toxic_lost as bigint) as toxic_lost, cast(sum(removed) over (partition by part, letter) as bigint) as shapley
+from counted"""
+
+CHECKS = {"op8_warc": OP8_WARC, "op12_filter_audit": OP12_FILTER_AUDIT}
