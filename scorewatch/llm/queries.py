@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorewatch.llm import audit, bpe, decontaminate, pii, quality, simhash, suffixes, token_files, toxicity, warc, winnow
+from scorewatch.llm import audit, bpe, decontaminate, negatives, pii, quality, simhash, suffixes, token_files, toxicity, warc, winnow
 from scorewatch.llm.common import crc_remainder, new_folder, table
 
 BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -64,11 +64,16 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), BYTE_RANKS)
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings"), moved)
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_surrogates, op2_byte_network, op3_deep_shallow, op4_toxicity, op5_simhash, op6_string_tiling, op7_winnowing, op8_warc, op9_token_files, op10_byte_bpe, op12_filter_audit)}
+QUERIES = {f.__name__: f for f in (op1_surrogates, op2_byte_network, op3_deep_shallow, op4_toxicity, op5_simhash, op6_string_tiling, op7_winnowing, op8_warc, op9_token_files, op10_byte_bpe, op11_hard_negatives, op12_filter_audit)}
 
 # Base32 takes five bits at a time: four letters from every five hexadecimal digits.
 OP8_WARC = """
@@ -119,4 +124,22 @@ select part, filter_order, cast(step as int) as step, cast(kept as bigint) as ke
   cast(toxic_lost as bigint) as toxic_lost, cast(sum(removed) over (partition by part, letter) as bigint) as shapley
 from counted"""
 
-CHECKS = {"op8_warc": OP8_WARC, "op12_filter_audit": OP12_FILTER_AUDIT}
+OP11_HARD_NEGATIVES = """
+with fit as (
+  select row_number() over () as r, vec_id, cast(case when vec_id % 7 = 0 then (label + 1) % 10 else label end as int) as label,
+    list_transform(embedding, lambda x: floor(256 * cast(x as double))) as v
+  from embeddings
+  where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+scored as (
+  select a.r as anchor, a.vec_id as anchor_id, c.r as other, c.vec_id, a.label = c.label as same, cast(list_dot_product(a.v, c.v) as bigint) as score
+  from fit a, fit c where a.vec_id % 100 = 0 and a.r <> c.r),
+positives as (
+  select anchor, anchor_id, other, vec_id as positive_id, score as positive_score from scored where same
+  qualify row_number() over (partition by anchor order by score desc, vec_id) <= 5)
+select p.anchor_id, p.positive_id, cast(row_number() over (partition by p.anchor, p.other order by n.score desc, n.vec_id) as int) as rank,
+  n.vec_id as negative_id, p.positive_score, n.score as negative_score
+from positives p join scored n on n.anchor = p.anchor and not n.same
+  and 30 * p.positive_score <= 100 * n.score and 100 * n.score <= 90 * p.positive_score
+qualify rank <= 10"""
+
+CHECKS = {"op11_hard_negatives": OP11_HARD_NEGATIVES, "op8_warc": OP8_WARC, "op12_filter_audit": OP12_FILTER_AUDIT}
