@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorewatch.llm import audit, bpe, decontaminate, negatives, pii, quality, simhash, suffixes, token_files, toxicity, warc, winnow
+from scorewatch.llm import audit, bpe, decontaminate, negatives, pii, quality, simhash, suffixes, token_files, toxicity, warc, winnow, wrappers
 from scorewatch.llm.common import crc_remainder, new_folder, table
 
 BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -73,7 +73,11 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_surrogates, op2_byte_network, op3_deep_shallow, op4_toxicity, op5_simhash, op6_string_tiling, op7_winnowing, op8_warc, op9_token_files, op10_byte_bpe, op11_hard_negatives, op12_filter_audit)}
+def op13_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.main_texts(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op1_surrogates, op2_byte_network, op3_deep_shallow, op4_toxicity, op5_simhash, op6_string_tiling, op7_winnowing, op8_warc, op9_token_files, op10_byte_bpe, op11_hard_negatives, op12_filter_audit, op13_wrappers)}
 
 # Base32 takes five bits at a time: four letters from every five hexadecimal digits.
 OP8_WARC = """
