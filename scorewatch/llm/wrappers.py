@@ -2,7 +2,7 @@
 
 Pages of one host are mostly made from one template. Each page becomes a tree of its block
 elements in which runs of alike siblings are folded into one node; pages with the same folded
-tree are counted together, with the smallest and largest digest of the text at each node. The
+tree are counted together, with the smallest and largest digest of a page's text at each node. The
 trees of a host are aligned by simple tree matching (the largest order-preserving mapping of
 nodes with equal labels) and merged, some dozens at a time, until one wrapper is left. A node
 whose text is the same on all pages is template, one whose text varies is a slot.
@@ -37,6 +37,7 @@ BLOCKS = HEADINGS | set(
     figcaption figure footer form frameset head header hgroup html label legend li main map math menu nav object ol optgroup
     option p pre search section select summary svg table tbody td tfoot th thead tr ul video audio""".split()
 )
+CONTAINERS = set("html body main article section div center table thead tbody tfoot tr td th details fieldset".split())
 # An opening tag closes an open element of the first group unless one of the second stands between.
 CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
@@ -111,7 +112,6 @@ def parse(page: str) -> tuple[Node, list[str]]:
                     close(tags.index("head"))
                 leaf = Node("#text")
                 leaf.texts, leaf.chars, leaf.linked = [len(blocks)], len(text), min(linked, len(text))
-                leaf.least = leaf.most = xxhash.xxh3_64_intdigest(text) - 2**63
                 stack[-1].kids.append(leaf)
                 blocks.append(text)
             pieces.clear()
@@ -250,15 +250,10 @@ def merge(a: Node, b: Node, count) -> None:
 def in_a_page(a: Node, b: Node) -> None:
     a.texts += b.texts
     a.chars, a.linked = a.chars + b.chars, a.linked + b.linked
-    widen(a, b)
 
 
 def between_pages(a: Node, b: Node) -> None:
     a.pages, a.chars, a.linked = a.pages + b.pages, a.chars + b.chars, a.linked + b.linked
-    widen(a, b)
-
-
-def widen(a: Node, b: Node) -> None:
     if b.least is not None:
         a.least, a.most = (b.least, b.most) if a.least is None else (min(a.least, b.least), max(a.most, b.most))
 
@@ -347,16 +342,23 @@ def content_of(page: Node, slot: dict[int, Node]) -> list[Node]:
         if found:
             slots = [leaf for leaf in found if varies(leaf)]
             return slots or found
-    # No such element: the lowest node with most of the varying text that is no link.
-    node = page
-    fit = [leaf for leaf in leaves(node, False) if varies(leaf) and 2 * leaf.linked <= leaf.chars] or leaves(node, False)
-    total = sum(leaf.chars for leaf in fit)
-    while True:
-        here = {id(leaf) for leaf in fit}
-        inner = next((kid for kid in node.kids if 5 * sum(leaf.chars for leaf in leaves(kid, False) if id(leaf) in here) >= 4 * total and kid.kids), None) if total else None
-        if inner is None:
-            return [leaf for leaf in leaves(node, False) if id(leaf) in here]
-        node = inner
+    # No such element: the lowest container with most of the varying text that is no link, and
+    # the headings that stand before it.
+    fit = [leaf for leaf in leaves(page, False) if varies(leaf) and 2 * leaf.linked <= leaf.chars] or leaves(page, False)
+    here, total = {id(leaf) for leaf in fit}, sum(leaf.chars for leaf in fit)
+    node, before = page, []
+
+    def inside(kid: Node) -> list[Node]:
+        return [leaf for leaf in leaves(kid, False) if id(leaf) in here] if not not_content(kid, False) else []
+
+    while total:
+        own = [inside(kid) for kid in node.kids]
+        at = next((i for i, kid in enumerate(node.kids) if kid.label.partition(":")[0] in CONTAINERS and 5 * sum(x.chars for x in own[i]) >= 4 * total), None)
+        if at is None:
+            break
+        before += [leaf for kid, some in zip(node.kids[:at], own) if kid.label.partition(":")[0] in HEADINGS for leaf in some]
+        node = node.kids[at]
+    return before + inside(node)
 
 
 KINDS = "host string, key string, node int, parent int, label string, pages long, least long, most long, chars long, linked long"
@@ -399,8 +401,12 @@ def page_shapes(rows: DataFrame) -> DataFrame:
         for batch in slices(batches):
             found: dict[tuple, Node] = {}
             for host, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()):
-                root = fold(parse(page)[0])
-                at = (host, key_of(listed(root)))
+                root, texts = parse(page)
+                nodes = listed(fold(root))
+                for node, _ in nodes:
+                    if node.texts:
+                        node.least = node.most = xxhash.xxh3_64_intdigest("\n".join(texts[at] for at in node.texts)) - 2**63
+                at = (host, key_of(nodes))
                 if at in found:
                     merge(found[at], root, between_pages)
                 else:
