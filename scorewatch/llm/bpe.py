@@ -42,7 +42,9 @@ SYMBOL_EDGE = 8
 SYMBOLS = 9
 
 BLOCK = 64
-CACHE_ENTRIES = 300_000
+CACHE_BYTES = 24_000_000  # of pieces and their ids, as counted by ENTRY_BYTES
+ENTRY_BYTES = 180  # of two short byte strings and their place in the cache
+SLICE_BYTES = 2_000_000
 LONG_PIECE = 48
 
 
@@ -205,14 +207,14 @@ class PieceFinder:
 
 
 class Merges:
-    """Ids of a piece by rank-ordered pair merging, with a bounded cache."""
+    """Ids of a piece by rank-ordered pair merging, with a cache of bounded bytes."""
 
     def __init__(self, path: str) -> None:
         with open(path, "rb") as lines:
             self.ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-        self.tokens = {rank: token for token, rank in self.ranks.items()}
-        self.single = [self.ranks[bytes([b])] for b in range(256)]
-        self.cache: dict[bytes, tuple[bytes, int, list[int]]] = {}
+        self.tokens = {b"%d" % rank: token for token, rank in self.ranks.items()}
+        self.cache: dict[bytes, bytes] = {}
+        self.most = CACHE_BYTES // ENTRY_BYTES
 
     def ids(self, piece: bytes) -> list[int]:
         whole = self.ranks.get(piece)
@@ -257,12 +259,11 @@ class Merges:
                 heapq.heappush(heap, (r, before, stop))
         return [self.ranks[piece[i : end[i]]] for i in range(n) if end[i]]
 
-    def encoded(self, piece: bytes) -> tuple[bytes, int, list[int]]:
-        """(ids as decimal text, number of ids, ids) of a piece."""
-        ids = self.ids(piece)
-        entry = (" ".join(map(str, ids)).encode(), len(ids), ids)
+    def encoded(self, piece: bytes) -> bytes:
+        """Ids of a piece as decimal text, joined by spaces."""
+        entry = b" ".join([b"%d" % i for i in self.ids(piece)])
         if len(piece) <= LONG_PIECE:
-            if len(self.cache) >= CACHE_ENTRIES:
+            if len(self.cache) >= self.most:
                 self.cache.clear()
             self.cache[piece] = entry
         return entry
@@ -286,15 +287,26 @@ class Codec:
             low, high = bounds[k], bounds[k + 1]
             yield [data[a:b] for a, b in zip(cuts[low:high], cuts[low + 1 : high + 1])]
 
-    def encode(self, texts: Sequence[bytes]) -> Iterator[list[tuple[bytes, int, list[int]]]]:
-        """Cache entries of the pieces of each text, in order."""
+    def encode(self, texts: Sequence[bytes]) -> Iterator[bytes]:
+        """Ids of each text as decimal text, joined by spaces; empty for an empty text."""
         get, add = self.merges.cache.get, self.merges.encoded
         for pieces in self.pieces(texts):
-            yield [get(piece) or add(piece) for piece in pieces]
+            yield b" ".join([get(piece) or add(piece) for piece in pieces])
 
-    def decode(self, ids: Sequence[int]) -> bytes:
+    def decode(self, ids: bytes) -> bytes:
+        """Bytes of ids in decimal text."""
         tokens = self.merges.tokens
-        return b"".join([tokens[i] for i in ids])
+        return b"".join([tokens[i] for i in ids.split()])
+
+
+def numbers_of(ids: bytes) -> np.ndarray:
+    return np.array(ids.split(), dtype="S10").astype(np.int32)
+
+
+def lists_of(arrays: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
+    """A list column from one array a row, through one buffer."""
+    ends = np.cumsum([0, *(len(a) for a in arrays)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(arrays) if arrays else [], kind))
 
 
 def encode_ids(docs: DataFrame, path: str) -> DataFrame:
@@ -306,12 +318,12 @@ def encode_ids(docs: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(path)
         size = {rank: len(token) for rank, token in codec.merges.tokens.items()}
-        for batch in slices(batches):
+        for batch in slices(batches, SLICE_BYTES):
             texts = [b"" if x is None else x for x in batch.column("text").cast(pa.binary()).to_pylist()]
-            ids = [[i for e in entries for i in e[2]] for entries in codec.encode(texts)]
-            ends = [np.cumsum([size[i] for i in row], dtype=np.int64) for row in ids]
+            encoded = list(codec.encode(texts))
+            ends = [np.cumsum([size[i] for i in ids.split()], dtype=np.int64) for ids in encoded]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32())), pa.array(ends, pa.list_(pa.int64()))],
+                [batch.column("doc_id"), lists_of([numbers_of(ids) for ids in encoded], pa.int32()), lists_of(ends, pa.int64())],
                 names=["doc_id", "ids", "ends"],
             )
 
@@ -327,19 +339,18 @@ def round_trip(docs: DataFrame, path: str, keep_ids: bool = False) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(path)
-        for batch in slices(batches):
+        for batch in slices(batches, SLICE_BYTES):
             texts = [b"" if x is None else x for x in batch.column("text").cast(pa.binary()).to_pylist()]
             counts, digests, back, kept = [], [], [], []
-            for entries in codec.encode(texts):
-                counts.append(sum([e[1] for e in entries]))
-                digests.append(hashlib.sha256(b" ".join([e[0] for e in entries])).hexdigest())
-                ids = [i for e in entries for i in e[2]]
+            for ids in codec.encode(texts):
+                counts.append(ids.count(b" ") + 1 if ids else 0)
+                digests.append(hashlib.sha256(ids).hexdigest())
                 back.append(hashlib.sha256(codec.decode(ids)).hexdigest())
                 if keep_ids:
-                    kept.append(np.array(ids, dtype=np.int32))
+                    kept.append(numbers_of(ids))
             columns = {"doc_id": batch.column("doc_id"), "n_tokens": pa.array(counts, pa.int64()), "ids_sha256": pa.array(digests, pa.string()), "decoded_sha256": pa.array(back, pa.string())}
             if keep_ids:
-                columns["ids"] = pa.array(kept, pa.list_(pa.int32()))
+                columns["ids"] = lists_of(kept, pa.int32())
             yield pa.RecordBatch.from_pydict(columns)
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if keep_ids else "")

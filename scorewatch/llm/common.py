@@ -64,6 +64,14 @@ def crc_remainder(id_col: Column, mod: int) -> Column:
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % mod
 
 
+def share_by_hash(rows: DataFrame, total: int, most: int, *names: str) -> DataFrame:
+    """Rows whose hash falls below a bound that leaves about `most` of `total` (a fifth more)."""
+    if total <= most:
+        return rows
+    bound = int(2.0**64 * min(1.0, (1.2 * most + 50) / total)) - 2**63
+    return rows.where(F.xxhash64(*names) < F.lit(min(bound, 2**63 - 1)).cast("long"))
+
+
 def slices(batches: Iterator[pa.RecordBatch], most_bytes: int = 8_000_000) -> Iterator[pa.RecordBatch]:
     """Cut batches so that each holds at most about `most_bytes` (one row at least)."""
     for batch in batches:

@@ -22,13 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scorewatch.llm.common import crc_remainder, documents, slices, utf8_values
+from scorewatch.llm.common import crc_remainder, documents, share_by_hash, slices, utf8_values
 
 WIDTH, FILTERS, EMBEDDED = 8, 12, 6
 STEP, PARTS = 32, 3  # a chunk is PARTS blocks of STEP positions; chunks begin every PARTS - 1 blocks
 CHUNK = STEP * PARTS
 STRIDE = PARTS - 1
 MOST_OF_LABEL = 1_200
+LONGEST = 50_000  # bytes of a text that is trained on
 EPOCHS, BATCH_BYTES, RATE = 8, 150_000, 0.01
 THRESHOLD = 0.3
 PIECE = 4_096  # blocks worked on at a time: bounds the memory of long texts
@@ -205,10 +206,13 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int =
     totals = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(totals) < 2:
         return 1.0 if totals.get(1) else 0.0 if totals else 0.5
-    chosen = [r for y in (0, 1) for r in known.where(F.col("label") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).collect()]
+    chosen = [
+        r for y in (0, 1) for r in share_by_hash(known.where(F.col("label") == y), totals[y], most, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).collect()
+    ]
     ids = docs.sparkSession.createDataFrame([(r["doc_id"], r["label"]) for r in chosen], "doc_id long, label int")
-    # At most 2 x `most` rows: a broadcast and a collect of bounded size.
-    rows = documents(docs).join(F.broadcast(ids), "doc_id").collect()
+    # At most 2 x `most` rows, one per id and none above LONGEST bytes: a broadcast and a collect of bounded size.
+    short = documents(docs).where(F.coalesce(F.octet_length("text"), F.lit(0)) <= LONGEST)
+    rows = short.join(F.broadcast(ids), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text")).collect()
     rows = sorted(rows, key=lambda r: (r["doc_id"], r["text"] or ""))
     own = np.array([r["label"] for r in rows], float)
     counts = {y: max(1, int((own == y).sum())) for y in (0, 1)}

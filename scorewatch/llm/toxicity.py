@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scorewatch.llm.common import crc_remainder, documents, slices, text_column
+from scorewatch.llm.common import crc_remainder, documents, share_by_hash, slices, text_column, written
 
 WORD = re.compile(r"[^\W\d_]+")
 MOST_OF_LABEL = 4_000  # labelled rows of each label that are learnt from
@@ -226,7 +226,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = MO
     """Learn from the labelled rows that are not held out; tables without any give a flat model."""
     known = training_rows(labels, label)
     totals = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    sample = [r for y in (0, 1) for r in known.where(F.col("label") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).collect()]
+    sample = [
+        r for y in (0, 1) for r in share_by_hash(known.where(F.col("label") == y), totals.get(y, 0), most, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).collect()
+    ]
     own = documents(docs)
     flat = Model({}, [], [], [], [], (1.0, 1.0), 0.0, 0.0)
     if not sample:
@@ -234,15 +236,18 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = MO
     spark = docs.sparkSession
     # At most 2 x `most` rows: small enough to go to every task.
     chosen = F.broadcast(spark.createDataFrame([(r["doc_id"], r["label"]) for r in sample], "doc_id long, label int"))
-    learnt = own.join(chosen, "doc_id")
-    counted = [sum(r["label"] == y for r in sample) for y in (0, 1)]
+    # One row per id, the smallest text where an id repeats: at most 2 x `most` texts.
+    learnt = written(own.join(chosen, "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text")), "learnt")
+    found = {r["label"]: r["count"] for r in learnt.groupBy("label").count().collect()}
+    counted = [found.get(y, 0) for y in (0, 1)]
     share = [totals.get(y, 0) / max(1, counted[y]) for y in (0, 1)]  # rows that each sampled row stands for
     base = totals.get(1, 0) / sum(totals.values())
     n0, n1 = map(float, counted)
     a, b = F.col("positive").cast("double"), (F.col("n") - F.col("positive")).cast("double")
     odds = ((a + 0.5) * (n0 - b + 0.5)) / ((b + 0.5) * (n1 - a + 0.5))
     gap = a * (n0 - b) - b * (n1 - a)
-    chi = (n0 + n1) * gap * gap / ((a + b) * (n0 + n1 - a - b) * n0 * n1)
+    # A word that stands in every text tells nothing and has no value here.
+    chi = F.try_divide((n0 + n1) * gap * gap, (a + b) * (n0 + n1 - a - b) * n0 * n1)
     picked = (
         term_counts(learnt).withColumns({"odds": odds, "chi": chi})
         .where((F.col("n") >= LEAST_DOCUMENTS) & (F.col("chi") >= LEAST_CHI_SQUARE) & ((F.col("odds") >= LEAST_ODDS) | (F.col("odds") <= 1 / LEAST_ODDS)))

@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scorewatch.llm.common import bounded_batches, pieces_of, slices, utf8_values, written
+from scorewatch.llm.common import bounded_batches, pieces_of, share_by_hash, slices, utf8_values, written
 from scorewatch.llm.files import make_folder, open_store
 
 DICTIONARY_MAGIC = 0x184D2A5D
@@ -31,7 +31,7 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MANDATORY = ("warc-type", "warc-record-id", "warc-date", "content-length")
 RECORD_ID = "<urn:page:%s>"
 DATE = "2000-01-01T00:00:00Z"
-DICTIONARY_ROWS, DICTIONARY_ROW_BYTES, DICTIONARY_BYTES = 1_000, 65_536, 65_536
+DICTIONARY_ROWS, DICTIONARY_ROW_BYTES, DICTIONARY_BYTES = 1_000, 16_384, 65_536
 ARCHIVE_BYTES = 256_000_000
 READ_BYTES = 32_768
 
@@ -114,11 +114,11 @@ def page_of(headers: dict[str, str], block: bytes) -> dict:
 def train_dictionary(pages: DataFrame) -> bytes:
     """A dictionary from at most DICTIONARY_ROWS payloads of at most DICTIONARY_ROW_BYTES each.
 
-    Too few pages to train on give their own bytes as a raw dictionary; none give none.
+    The rows are those below a bound of a hash, set by their number; only they reach the driver. Too few pages to train on give their own bytes as a raw dictionary; none give none.
     """
     small = pages.where(F.octet_length("html").between(1, DICTIONARY_ROW_BYTES))
-    rows = small.orderBy(F.xxhash64("page_id"), "page_id").limit(DICTIONARY_ROWS).select("html").collect()
-    samples = [r["html"].encode() for r in rows]
+    few = share_by_hash(small, small.count(), DICTIONARY_ROWS, "page_id", "html")
+    samples = [r["html"].encode() for r in few.select("html").limit(DICTIONARY_ROWS).collect()]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
     except (zstandard.ZstdError, ValueError):

@@ -445,6 +445,27 @@ def test_toxicity(spark, labelled):
     assert toxicity.scored(empty(spark), model).count() == 0
 
 
+def test_a_word_in_every_labelled_text(spark, labelled):
+    docs, labels = labelled
+    headed = docs.withColumn("text", F.concat(F.lit("header "), F.coalesce("text", F.lit(""))))
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.scored(headed, toxicity.fit(headed, labels)).collect()}
+    assert all(got[i] == (i % 4 == 0) for i in range(600) if zlib.crc32(str(i).encode()) % 4 == 2)
+    same = frame(spark, [(i, "one and the same text") for i in range(40)])
+    assert {r["score"] for r in toxicity.scored(same, toxicity.fit(same, labels)).collect()} != set()
+
+
+def test_an_id_in_a_third_of_the_rows(spark, labelled):
+    docs, labels = labelled
+    many = docs.unionByName(frame(spark, [(4, f"vile nasty {i}") for i in range(900)] + [(5, f"word {i}") for i in range(900)]))
+    for fit, scored in ((toxicity.fit, toxicity.scored), (quality.fit, quality.scored)):
+        assert scored(many, fit(many, labels)).count() == docs.count() + 1800
+    # Few rows are drawn by the hash of their id, also where most share one.
+    from scorewatch.llm.common import share_by_hash
+
+    drawn = share_by_hash(spark.range(100_000).withColumnRenamed("id", "doc_id"), 100_000, 1_000, "doc_id").count()
+    assert 1_000 <= drawn <= 1_500
+
+
 def test_quality(spark, labelled):
     docs, labels = labelled
     model = quality.fit(docs, labels)

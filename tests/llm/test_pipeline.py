@@ -6,7 +6,7 @@ import pytest
 import __spark_entry__ as entry
 import corpus_pipeline
 from scorewatch.llm import queries
-from scorewatch.llm.common import table
+from scorewatch.llm.common import new_folder, table
 
 DATA = "/root/testdata/sf0.001"
 
@@ -25,6 +25,15 @@ def test_each_stage_keeps_the_columns_and_drops_only_what_it_should(spark):
     assert last.count() == before
 
 
+def test_documents_without_text_are_not_toxic(spark):
+    """Also where half of the labels say so and no word tells a label."""
+    rows = [(i, None if i % 3 == 0 else "" if i % 3 == 1 else " \n ", "en", "s", 0) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    folder = new_folder(spark, "half")
+    spark.createDataFrame([(i, 1, i % 2) for i in range(60)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    assert corpus_pipeline.drop_toxic(spark, docs, folder).count() == 60
+
+
 def test_pipeline_runs_as_a_query(spark):
     got = entry.queries()["pipeline"](spark, DATA)
     assert {"doc_id", "n_tokens", "ids"} <= set(got.columns) and got.count() > 100
@@ -36,9 +45,10 @@ def test_query_gives_a_row_per_document_or_its_check(spark, name):
     rows = got.collect()
     if name in queries.CHECKS:
         con = duckdb.connect()
-        con.execute(f"create view pages as select * from '{DATA}/pages.parquet'")
+        for view in ("documents", "labels", "pages", "embeddings"):
+            con.execute(f"create view {view} as select * from '{DATA}/{view}.parquet'")
         want = con.execute(queries.CHECKS[name])
         names = [d[0] for d in want.description]
         assert sorted(tuple(r[c] for c in names) for r in rows) == sorted(want.fetchall())
     elif name != "op6_string_tiling":
-        assert len(rows) == table(spark, DATA, "documents").count()
+        assert len(rows) == table(spark, DATA, "pages" if name == "op13_wrappers" else "documents").count()
