@@ -6,7 +6,7 @@ so the state before every position comes from a blocked scan over function numbe
 holds the composition of any two), without a regular expression and without a loop over
 characters. The state, the class and two looked-ahead classes decide where pieces begin.
 Pieces are slices of the UTF-8 bytes; their ids come from a cache or from merging the
-lowest-ranked neighbours. Offsets of the ids are kept, so ids can be decoded per document.
+lowest-ranked neighbours, for all pieces not in the cache at once. Offsets of the ids are kept, so ids can be decoded per document.
 """
 
 from __future__ import annotations
@@ -14,7 +14,9 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import struct
 import unicodedata
+from array import array
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -42,9 +44,11 @@ SYMBOL_EDGE = 8
 SYMBOLS = 9
 
 BLOCK = 64
-CACHE_BYTES = 24_000_000  # of pieces and their ids, as counted by ENTRY_BYTES
-ENTRY_BYTES = 180  # of two short byte strings and their place in the cache
-SLICE_BYTES = 2_000_000
+CACHE_BYTES = 12_000_000  # of pieces and their ids, as counted by ENTRY_BYTES
+ENTRY_BYTES = 190  # of a piece, its packed ids and their place in the cache
+MERGED_TOGETHER = 20_000  # pieces
+NO_RANK = np.int32(2**31 - 1)
+BATCH_BYTES, SLICE_BYTES = 8_000_000, 1_000_000
 LONG_PIECE = 48
 
 
@@ -207,38 +211,86 @@ class PieceFinder:
 
 
 class Merges:
-    """Ids of a piece by rank-ordered pair merging, with a cache of bounded bytes."""
+    """Ids of pieces by rank-ordered pair merging, many pieces at once, with a cache of bounded bytes."""
 
     def __init__(self, path: str) -> None:
         with open(path, "rb") as lines:
             self.ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-        self.tokens = {b"%d" % rank: token for token, rank in self.ranks.items()}
-        self.cache: dict[bytes, bytes] = {}
-        self.most = CACHE_BYTES // ENTRY_BYTES
-
-    def ids(self, piece: bytes) -> list[int]:
-        whole = self.ranks.get(piece)
-        if whole is not None:
-            return [whole]
-        if len(piece) > LONG_PIECE:
-            return self._long(piece)
-        get, none = self.ranks.get, 1 << 30
-        parts = [piece[i : i + 1] for i in range(len(piece))]
-        pairs = [get(piece[i : i + 2], none) for i in range(len(piece) - 1)]
-        while pairs:
-            low = min(pairs)
-            if low == none:
-                break
-            i = pairs.index(low)
-            parts[i : i + 2] = [joined := parts[i] + parts[i + 1]]
-            del pairs[i]
-            if i < len(pairs):
-                pairs[i] = get(joined + parts[i + 1], none)
-            if i:
-                pairs[i - 1] = get(parts[i - 1] + joined, none)
-        return [self.ranks[p] for p in parts]
-
-    def _long(self, piece: bytes) -> list[int]:
+        self.tokens = [b""] * (max(self.ranks.values()) + 1)
+        for token, rank in self.ranks.items():
+            self.tokens[rank] = token
+        self.spelled = [b"%d" % rank for rank in range(len(self.tokens))]
+        self.single = np.array([self.ranks[bytes([b])] for b in range(256)], dtype=np.int32)
+        # Every way to put a token together from two: left, right, the token's rank.
+        get = self.ranks.get
+        pairs = [
+            (left << 32 | right, rank)
+            for token, rank in self.ranks.items()
+            for i in range(1, len(token))
+            if (left := get(token[:i])) is not None and (right := get(token[i:])) is not None
+        ]
+        pairs.sort()
+        self.pair_keys, self.pair_ranks = np.array([k for k, _ in pairs], dtype=np.int64), np.array([r for _, r in pairs], dtype=np.int32)
+        self.known = {token: struct.pack("=i", rank) for token, rank in self.ranks.items()}
+        self.cache = dict(self.known)
+        self.most = len(self.known) + CACHE_BYTES // ENTRY_BYTES
+
+    def learn(self, pieces: Sequence[bytes]) -> None:
+        """Put the packed ids of all `pieces` into the cache."""
+        if len(self.cache) > self.most:
+            self.cache = dict(self.known)
+        missing = list(set(pieces).difference(self.cache))
+        short = [p for p in missing if len(p) <= LONG_PIECE]
+        for at in range(0, len(short), MERGED_TOGETHER):
+            part = short[at : at + MERGED_TOGETHER]
+            self.cache.update(zip(part, self.merged(part)))
+        self.cache.update((p, self._long(p)) for p in missing if len(p) > LONG_PIECE)
+
+    def ranks_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of what two neighbours make together, NO_RANK if nothing."""
+        keys = left.astype(np.int64) << 32 | right
+        at = np.minimum(np.searchsorted(self.pair_keys, keys), len(self.pair_keys) - 1)
+        return np.where(self.pair_keys[at] == keys, self.pair_ranks[at], NO_RANK)
+
+    def merged(self, pieces: list[bytes]) -> list[bytes]:
+        """Packed ids of each piece: rounds that merge the first of the lowest pairs in every piece."""
+        lengths = np.array([len(p) for p in pieces])
+        ids = self.single[np.frombuffer(b"".join(pieces), dtype=np.uint8)]
+        own = np.repeat(np.arange(len(pieces)), lengths)
+        ranks = np.full(len(ids), NO_RANK, dtype=np.int32)  # of each id with the next one of its piece
+        inner = np.flatnonzero(own[:-1] == own[1:])
+        ranks[inner] = self.ranks_of(ids[inner], ids[inner + 1])
+        out = [b""] * len(pieces)
+        while len(ids):
+            starts = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+            counts = np.diff(np.append(starts, len(ids)))
+            lowest = np.minimum.reduceat(ranks, starts)
+            done = lowest == NO_RANK
+            if done.any():
+                packed = ids.tobytes()
+                for piece, start, count in zip(own[starts[done]].tolist(), (4 * starts[done]).tolist(), (4 * counts[done]).tolist()):
+                    out[piece] = packed[start : start + count]
+                left = np.repeat(~done, counts)
+                ids, own, ranks = ids[left], own[left], ranks[left]
+                counts, lowest = counts[~done], lowest[~done]
+                if not len(ids):
+                    break
+            at = np.flatnonzero(ranks == np.repeat(lowest, counts))
+            at = at[np.concatenate([[True], own[at[1:]] != own[at[:-1]]])]
+            ids[at] = lowest
+            left = np.ones(len(ids), dtype=bool)
+            left[at + 1] = False
+            ids, own, ranks = ids[left], own[left], ranks[left]
+            at = at - np.arange(len(at))
+            # Only the merged id has new neighbours.
+            for one in (at, at[at > 0] - 1):
+                inside = one[(one + 1 < len(own))]
+                same = own[inside] == own[np.minimum(inside + 1, len(own) - 1)]
+                ranks[one] = NO_RANK
+                ranks[inside[same]] = self.ranks_of(ids[inside[same]], ids[inside[same] + 1])
+        return out
+
+    def _long(self, piece: bytes) -> bytes:
         """The same merges with a heap, for pieces of any length."""
         n, get = len(piece), self.ranks.get
         end = list(range(1, n + 1))  # a part that begins at i ends before end[i]; 0: merged away
@@ -257,16 +309,7 @@ class Merges:
                     heapq.heappush(heap, (r, i, end[stop]))
             if (before := left[i]) >= 0 and (r := get(piece[before:stop])) is not None:
                 heapq.heappush(heap, (r, before, stop))
-        return [self.ranks[piece[i : end[i]]] for i in range(n) if end[i]]
-
-    def encoded(self, piece: bytes) -> bytes:
-        """Ids of a piece as decimal text, joined by spaces."""
-        entry = b" ".join([b"%d" % i for i in self.ids(piece)])
-        if len(piece) <= LONG_PIECE:
-            if len(self.cache) >= self.most:
-                self.cache.clear()
-            self.cache[piece] = entry
-        return entry
+        return array("i", [self.ranks[piece[i : end[i]]] for i in range(n) if end[i]]).tobytes()
 
 
 class Codec:
@@ -275,32 +318,26 @@ class Codec:
     def __init__(self, path: str) -> None:
         self.finder, self.merges = PieceFinder(), Merges(path)
 
-    def pieces(self, texts: Sequence[bytes]) -> Iterator[list[bytes]]:
-        """The pieces of each text."""
+    def encode(self, texts: Sequence[bytes]) -> Iterator[np.ndarray]:
+        """Ids of each text."""
         data = b"".join(texts)
         lengths = np.array([len(t) for t in texts], dtype=np.int64)
         edges = np.concatenate([[0], np.cumsum(lengths)])
         starts = self.finder.starts(np.frombuffer(data, dtype=np.uint8), edges[:-1][lengths > 0])
         cuts = starts.tolist() + [len(data)]
         bounds = np.searchsorted(starts, edges).tolist()
-        for k in range(len(texts)):
-            low, high = bounds[k], bounds[k + 1]
-            yield [data[a:b] for a, b in zip(cuts[low:high], cuts[low + 1 : high + 1])]
-
-    def encode(self, texts: Sequence[bytes]) -> Iterator[bytes]:
-        """Ids of each text as decimal text, joined by spaces; empty for an empty text."""
-        get, add = self.merges.cache.get, self.merges.encoded
-        for pieces in self.pieces(texts):
-            yield b" ".join([get(piece) or add(piece) for piece in pieces])
-
-    def decode(self, ids: bytes) -> bytes:
-        """Bytes of ids in decimal text."""
-        tokens = self.merges.tokens
-        return b"".join([tokens[i] for i in ids.split()])
+        pieces = [data[a:b] for a, b in zip(cuts, cuts[1:])]
+        self.merges.learn(pieces)
+        get = self.merges.cache.__getitem__
+        for low, high in zip(bounds, bounds[1:]):
+            yield np.frombuffer(b"".join(map(get, pieces[low:high])), dtype=np.int32)
 
+    def spell(self, ids: np.ndarray) -> bytes:
+        """Ids as decimal text, joined by spaces."""
+        return b" ".join(map(self.merges.spelled.__getitem__, ids.tolist()))
 
-def numbers_of(ids: bytes) -> np.ndarray:
-    return np.array(ids.split(), dtype="S10").astype(np.int32)
+    def decode(self, ids: np.ndarray) -> bytes:
+        return b"".join(map(self.merges.tokens.__getitem__, ids.tolist()))
 
 
 def lists_of(arrays: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
@@ -317,17 +354,17 @@ def encode_ids(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(path)
-        size = {rank: len(token) for rank, token in codec.merges.tokens.items()}
+        size = np.array([len(token) for token in codec.merges.tokens])
         for batch in slices(batches, SLICE_BYTES):
             texts = [b"" if x is None else x for x in batch.column("text").cast(pa.binary()).to_pylist()]
             encoded = list(codec.encode(texts))
-            ends = [np.cumsum([size[i] for i in ids.split()], dtype=np.int64) for ids in encoded]
+            ends = [np.cumsum(size[ids], dtype=np.int64) for ids in encoded]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), lists_of([numbers_of(ids) for ids in encoded], pa.int32()), lists_of(ends, pa.int64())],
+                [batch.column("doc_id"), lists_of(encoded, pa.int32()), lists_of(ends, pa.int64())],
                 names=["doc_id", "ids", "ends"],
             )
 
-    return documents(docs).mapInArrow(run, "doc_id long, ids array<int>, ends array<long>")
+    return documents(docs, batch_bytes=BATCH_BYTES).mapInArrow(run, "doc_id long, ids array<int>, ends array<long>")
 
 
 def round_trip(docs: DataFrame, path: str, keep_ids: bool = False) -> DataFrame:
@@ -343,15 +380,15 @@ def round_trip(docs: DataFrame, path: str, keep_ids: bool = False) -> DataFrame:
             texts = [b"" if x is None else x for x in batch.column("text").cast(pa.binary()).to_pylist()]
             counts, digests, back, kept = [], [], [], []
             for ids in codec.encode(texts):
-                counts.append(ids.count(b" ") + 1 if ids else 0)
-                digests.append(hashlib.sha256(ids).hexdigest())
+                counts.append(len(ids))
+                digests.append(hashlib.sha256(codec.spell(ids)).hexdigest())
                 back.append(hashlib.sha256(codec.decode(ids)).hexdigest())
                 if keep_ids:
-                    kept.append(numbers_of(ids))
+                    kept.append(ids)
             columns = {"doc_id": batch.column("doc_id"), "n_tokens": pa.array(counts, pa.int64()), "ids_sha256": pa.array(digests, pa.string()), "decoded_sha256": pa.array(back, pa.string())}
             if keep_ids:
                 columns["ids"] = lists_of(kept, pa.int32())
             yield pa.RecordBatch.from_pydict(columns)
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if keep_ids else "")
-    return documents(docs).mapInArrow(run, schema)
+    return documents(docs, batch_bytes=BATCH_BYTES).mapInArrow(run, schema)

@@ -43,19 +43,25 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def bounded_batches(spark: SparkSession, most_bytes: int = 32_000_000) -> None:
+BATCH_BYTES = 32_000_000
+_bounds = {2**31 - 1, BATCH_BYTES}  # the default, and what this package has set
+
+
+def bounded_batches(spark: SparkSession, most_bytes: int = BATCH_BYTES) -> None:
     """Bound the bytes of the batches that Spark hands to Python, unless the user has done so.
 
-    The default bounds rows only, so very long texts could fill a worker's memory.
+    The default bounds rows only, so very long texts could fill a worker's memory. It is a
+    setting of the session; each operator sets its own bound for the jobs that follow.
     """
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(spark.conf.get(name, str(2**31 - 1))) >= 2**31 - 1:
+    _bounds.add(most_bytes)
+    if int(spark.conf.get(name, str(2**31 - 1))) in _bounds:
         spark.conf.set(name, str(most_bytes))
 
 
-def documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """Only id and text, as long and string; other columns of the table are left alone."""
-    bounded_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession, batch_bytes)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
