@@ -78,6 +78,33 @@ def _merchants(spark, sf_dir):
     return now.unionByName(now.withColumns({"created_dt": F.lit("2019-01-01"), "store_type": F.lit(9), "store_tagging": F.lit("old")}))
 
 
+DECIDED_FROM, SEGMENTS_AS_OF = "1996-06-01", "1998-12-31"
+
+
+def _risk(spark, sf_dir):
+    """Segments and final segments: customers stand for offers, every fifth order for a response."""
+    orders, customer = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
+    loans = orders.select(
+        F.col("o_orderkey").alias("digitalLoanAccountId"), F.col("o_orderdate").alias("decision_date"),
+        F.when(F.col("o_orderstatus") == "F", "Flex-up").otherwise("Quick").alias("new_loan_type"),
+        F.when(F.col("o_orderpriority") != "1-URGENT", F.col("o_custkey")).alias("offer_id"),
+    )
+    offers = customer.select(
+        F.col("c_custkey").alias("offer_id"), F.when(F.col("c_nationkey") % 2 == 0, "SEGMENTED_ACL").otherwise("OTHER").alias("offer_type"),
+        F.lit("2020-01-01").alias("created_date"), F.when(F.col("c_custkey") % 7 != 0, F.col("c_mktsegment")).alias("risk_segment"),
+    )
+    offers = offers.unionByName(offers.withColumns({"created_date": F.lit("2019-01-01"), "risk_segment": F.lit("old")}))
+    responses = orders.where(F.col("o_orderkey") % 5 == 0).select(
+        F.col("o_orderkey").alias("digitalLoanAccountId"), F.col("o_orderdate").alias("created_dt"),
+        F.when(F.col("o_orderkey") % 10 != 0, F.substring("o_orderpriority", 1, 1)).alias("risk_segment_final"),
+    )
+    responses = responses.unionByName(responses.withColumns({"created_dt": F.col("created_dt") - F.expr("interval 1 day"), "risk_segment_final": F.lit("old")}))
+    return (
+        plan.risk_segments(loans, offers, F.lit(DECIDED_FROM).cast("date")),
+        plan.final_segments(responses, F.lit(SEGMENTS_AS_OF).cast("date")),
+    )
+
+
 def _delinquency(spark, sf_dir):
     key = F.col("o_custkey")
     return table(spark, sf_dir, "orders").select(
@@ -117,6 +144,15 @@ LOANS = LOG + """, loans as (
   from orders left join customer on c_custkey = o_custkey and c_custkey % 2 = 0 and o_orderpriority <> '1-URGENT')"""
 
 
+RISK = f"""segmented as (
+  select o_orderkey as account, case when o_orderpriority = '1-URGENT' or c_nationkey is null or c_nationkey % 2 <> 0 or c_custkey % 7 = 0
+    then 'Unsegmented' else c_mktsegment end as risk_segment
+  from orders left join customer on c_custkey = o_custkey where o_orderstatus <> 'F' and o_orderdate >= timestamp '{DECIDED_FROM}'),
+finals as (
+  select o_orderkey as account, case when o_orderkey % 10 = 0 or cast(o_orderdate as date) > date '{SEGMENTS_AS_OF}' then 'old' else left(o_orderpriority, 1) end as risk_segment_final
+  from orders where o_orderkey % 5 = 0 and cast(o_orderdate as date) <= date '{SEGMENTS_AS_OF}' + 1)"""
+
+
 @query(
     "population_scored_log",
     f"""with {LOG} select account as "digitalLoanAccountId", customer as "customerId", 'alpha' as "modelDisplayName", ver as "modelVersionId",
@@ -149,6 +185,27 @@ def population_labelled(spark, sf_dir):
     )
 
 
+@query(
+    "population_risk_segments",
+    f"""with {LOANS}, {RISK}, rows_ as (
+  select distinct account, ver, score, trench, coalesce(sent, run) as submitted, paid, o_custkey % 2 as label
+  from log join loans on o_orderkey = account
+  where o_orderstatus <> 'P' and paid is not null and o_custkey % 3 >= 1),
+ranked as (select *, row_number() over (partition by account, ver order by submitted nulls last, score) as rn from rows_)
+select account as "digitalLoanAccountId", ver as "modelVersionId", score, cast(paid as date) as disbursementdate, cast(label as int) as label,
+  trench as "trenchCategory", coalesce(risk_segment, 'NA') as risk_segment, coalesce(risk_segment_final, 'NA') as risk_segment_final
+from ranked left join segmented using (account) left join finals using (account) where rn = 1""",
+)
+def population_risk_segments(spark, sf_dir):
+    """The labelled population with both risk segments."""
+    rows = plan.labelled_population(
+        _log(spark, sf_dir), _loans(spark, sf_dir), _delinquency(spark, sf_dir), _merchants(spark, sf_dir), risk=_risk(spark, sf_dir)
+    )
+    return rows.select(
+        "digitalLoanAccountId", "modelVersionId", "score", "disbursementdate", "label", "trenchCategory", "risk_segment", "risk_segment_final"
+    )
+
+
 PSI = LOANS + """, joined as (
   select customer, account, ver, trench, score, loan, product, device as system, coalesce(sent, run) as submitted, paid
   from log left join loans on o_orderkey = account),
@@ -167,6 +224,18 @@ def population_psi(spark, sf_dir):
     return plan.psi_population(_log(spark, sf_dir), _loans(spark, sf_dir), _merchants(spark, sf_dir)).drop("calcFeature")
 
 
+@query(
+    "population_psi_risk_segments",
+    f"""with {PSI}, {RISK} select customer as "customerId", account as "digitalLoanAccountId", ver as "modelVersionId", score,
+  coalesce(risk_segment, 'NA') as risk_segment, coalesce(risk_segment_final, 'NA') as risk_segment_final
+from latest left join segmented using (account) left join finals using (account)""",
+)
+def population_psi_risk_segments(spark, sf_dir):
+    """All scored applications with both risk segments."""
+    rows = plan.psi_population(_log(spark, sf_dir), _loans(spark, sf_dir), _merchants(spark, sf_dir), _risk(spark, sf_dir))
+    return rows.select("customerId", "digitalLoanAccountId", "modelVersionId", "score", "risk_segment", "risk_segment_final")
+
+
 @query(
     "population_train_and_test",
     f"""with {PSI}, both_ as (select *, case ver when 'F' then 'Train' else 'Test' end as selection from latest)

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scorewatch.functions.rules import one_if, other_segment_verdict
+from scorewatch.operators.joins import with_lookup
 from scorewatch.operators.ordered import quantiles
 
 
@@ -143,17 +144,17 @@ def user_types(
     """Smallest user-type label per customer (or loan) from the order of applications and payouts.
 
     Only the first application and the first payout of a customer matter, so both come from
-    one grouped minimum and no customer's loans have to be sorted in one task. Loans are
+    one grouped minimum and no customer's loans have to be sorted or met in one task. Loans are
     unique; `ties` decide between equal times.
     """
     columns = [F.col(t) for t in ties]
-    first = loans.groupBy(customer).agg(
+    first = loans.where(F.col(customer).isNotNull()).groupBy(customer).agg(
         F.min(F.struct(F.col(submitted), *columns)).alias("__first_application"),
         F.min(F.when(F.col(disbursed).isNotNull(), F.struct(F.col(disbursed), *columns))).alias("__first_payout"),
     )
     own_application = F.struct(F.col(submitted), *columns)
     own_payout = F.struct(F.col(disbursed), *columns)
-    placed = loans.join(first, customer, "left").withColumns(
+    placed = with_lookup(loans, first, [customer]).withColumns(
         {
             "__application": F.when(own_application.eqNullSafe(F.col("__first_application")), 1).otherwise(2),
             "__payout": F.when(

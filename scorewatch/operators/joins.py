@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,18 +12,41 @@ from scorewatch.operators.dedup import earliest_per_key, latest_per_key
 from scorewatch.operators.ordered import join_null_safe
 
 
-SALTS = 16
+def _tasks(df: DataFrame) -> int:
+    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
-def join_salted(df: DataFrame, lookup: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Left join to a small table with one row per key, null matching null.
+def heavy_keys(rows: DataFrame, keys: Sequence[str]) -> Column:
+    """Map from the hash of each key with more than a task's share of `rows` to the tasks it fills.
 
-    Each row of `df` draws one of `SALTS` numbers from its own columns and the lookup is
-    copied to all of them, so neither a popular key nor null puts its rows into one task.
+    Counted by a mergeable heavy-hitter sketch as a scalar subquery, so nothing runs before the
+    query itself. With n rows and t shuffle tasks at most t keys have more than n / t rows.
     """
+    tasks = _tasks(rows)
+    tracked = min(1_000_000, max(10_000, 10 * tasks))
+    found = rows.select(F.xxhash64(*keys).alias("__hash")).agg(
+        F.expr(f"approx_top_k(__hash, {min(tasks, tracked)}, {tracked})").alias("__top"), F.count(F.lit(1)).alias("__n")
+    )
+    fills = lambda item: F.ceil(item["count"] * F.lit(tasks) / F.col("__n")).cast("int")
+    heavy = F.filter("__top", lambda item: item["count"] * F.lit(tasks) > F.col("__n"))
+    entries = F.transform(heavy, lambda item: F.struct(item["item"], F.least(fills(item), F.lit(tasks))))
+    return found.select(F.map_from_entries(entries)).scalar()
+
+
+def with_lookup(df: DataFrame, lookup: DataFrame, keys: Sequence[str], spread_like: DataFrame | None = None) -> DataFrame:
+    """Left join to a lookup of any size with one row per key, null matching null.
+
+    Only keys that would fill more than one task are dealt: their rows draw a number from
+    their own columns, and the lookup's one row is copied to as many numbers as the key fills
+    tasks. `spread_like`: a frame whose keys are spread alike, where counting them in `df`
+    would compute many joins once more.
+    """
+    keys = list(keys)
+    tasks = F.coalesce(heavy_keys(df if spread_like is None else spread_like, keys)[F.xxhash64(*keys)], F.lit(1))
     own = [c for c, kind in df.dtypes if not kind.startswith(("map", "variant"))]
-    salted = df.withColumn("__salt", F.pmod(F.xxhash64(*own), F.lit(SALTS)).cast("int"))
-    copies = lookup.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salt = F.when(F.col("__tasks") > 1, F.pmod(F.xxhash64(*own), F.col("__tasks")).cast("int")).otherwise(F.lit(0))
+    salted = df.withColumn("__tasks", tasks).withColumn("__salt", salt).drop("__tasks")
+    copies = lookup.withColumn("__salt", F.explode(F.sequence(F.lit(0), tasks - 1)))
     return join_null_safe(salted, copies, [*keys, "__salt"], "left").drop("__salt")
 
 
@@ -34,11 +58,16 @@ def with_latest(
     by: str,
     columns: Sequence[str],
     ties: Sequence[str] = (),
+    spread_like: DataFrame | None = None,
 ) -> DataFrame:
-    """Left join to the latest dimension row per key; popular and null keys are dealt by a salt."""
+    """Left join to the latest dimension row per key; popular and null keys are dealt.
+
+    `spread_like` holds `left_key` too, spread as in `df` (see `with_lookup`).
+    """
     latest = latest_per_key(dimension.where(F.col(right_key).isNotNull()), [right_key], by, ties)
     lookup = latest.select(F.col(right_key).alias("__key"), *columns)
-    return join_salted(df.withColumn("__key", F.col(left_key)), lookup, ["__key"]).drop("__key")
+    like = None if spread_like is None else spread_like.select(F.col(left_key).alias("__key"))
+    return with_lookup(df.withColumn("__key", F.col(left_key)), lookup, ["__key"], like).drop("__key")
 
 
 def with_train_precedence(train: DataFrame, test: DataFrame, account: str) -> DataFrame:
@@ -58,12 +87,16 @@ def nearest_in_time(
 ) -> DataFrame:
     """The snapshot closest to each anchor, fewer than `within_days` days away.
 
-    `anchors` has one row per key, so the join yields at most one row per snapshot.
+    `anchors` has one row per key. Each anchor is stated for every date that is near enough, so
+    the join is on key and date and meets only snapshots that count.
     """
-    paired = anchors.join(snapshots, key, "inner").withColumn(
-        "day_gap", F.abs(F.datediff(F.col(snapshot_date), F.col(anchor_date)))
-    )
-    close = paired.where(F.col("day_gap") < within_days)
+    reach = within_days - 1
+    if reach < 0:
+        return anchors.join(snapshots, key).withColumn("day_gap", F.lit(0)).where("false")
+    day = F.to_date(F.col(anchor_date))
+    near = anchors.withColumn("__on", F.explode(F.sequence(F.date_sub(day, reach), F.date_add(day, reach))))
+    dated = snapshots.withColumn("__on", F.to_date(F.col(snapshot_date)))
+    close = near.join(dated, [key, "__on"], "inner").withColumn("day_gap", F.abs(F.datediff(F.col("__on"), day))).drop("__on")
     return earliest_per_key(close, [key], "day_gap", [snapshot_date, *ties])
 
 
@@ -96,35 +129,32 @@ def with_membership_flags(
 ) -> DataFrame:
     """0/1 columns telling whether `others` holds a row of the same key passing each test."""
     tests = {n: F.max(F.when(test, 1).otherwise(0)).alias(n) for n, test in flags.items()}
-    found = others.groupBy(key).agg(*tests.values())
-    joined = df.join(found, key, "left")
-    return joined.withColumns({n: F.coalesce(F.col(n), F.lit(0)) for n in flags})
+    found = others.where(F.col(key).isNotNull()).groupBy(key).agg(*tests.values())
+    return with_lookup(df, found, [key]).withColumns({n: F.coalesce(F.col(n), F.lit(0)) for n in flags})
 
 
 def with_first_value(df: DataFrame, others: DataFrame, key: str, value: str, name: str) -> DataFrame:
     """Smallest `value` among the rows of the same key in `others`."""
-    return df.join(others.groupBy(key).agg(F.min(value).alias(name)), key, "left")
+    least = others.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(value).alias(name))
+    return with_lookup(df, least, [key])
 
 
 def with_absence_flag(df: DataFrame, others: DataFrame, key: str, name: str) -> DataFrame:
-    """1 where `others` has no row of the key, else 0."""
-    known = others.select(F.col(key).alias("__key")).distinct()
-    joined = df.join(known, df[key] == F.col("__key"), "left")
-    return joined.withColumn(name, F.when(F.col("__key").isNull(), 1).otherwise(0)).drop("__key")
+    """1 where `others` has no row of the key, else 0; a null key has none."""
+    known = others.where(F.col(key).isNotNull()).select(key).distinct().withColumn(name, F.lit(0))
+    return with_lookup(df, known, [key]).withColumn(name, F.coalesce(F.col(name), F.lit(1)))
 
 
 def with_stage_flags(
     df: DataFrame, stages: Mapping[str, tuple[DataFrame, str]], key: str
 ) -> DataFrame:
-    """Funnel flags: 1 where the stage's table has a row of the key."""
-    for name, (stage, stage_key) in stages.items():
-        reached = stage.select(F.col(stage_key).alias("__key")).distinct()
-        df = (
-            df.join(reached, df[key] == F.col("__key"), "left")
-            .withColumn(name, F.col("__key").isNotNull().cast("int"))
-            .drop("__key")
-        )
-    return df
+    """Funnel flags: 1 where the stage's table has a row of the key; all stages in one join."""
+    marks = [
+        stage.where(F.col(stage_key).isNotNull()).select(F.col(stage_key).alias(key), *[F.lit(int(n == name)).alias(n) for n in stages])
+        for name, (stage, stage_key) in stages.items()
+    ]
+    reached = reduce(DataFrame.unionByName, marks).groupBy(key).agg(*[F.max(n).alias(n) for n in stages])
+    return with_lookup(df, reached, [key]).withColumns({n: F.coalesce(F.col(n), F.lit(0)) for n in stages})
 
 
 def recoded(

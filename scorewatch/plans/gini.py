@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from scorewatch.functions.dates import month_start, period_end, week_start
 from scorewatch.functions.text import number_or_null
 from scorewatch.operators.aggregates import pivoted
-from scorewatch.operators.joins import join_salted, outer_on
+from scorewatch.operators.joins import outer_on, with_lookup
 from scorewatch.operators.ordered import join_null_safe, numbered, running_totals
 from scorewatch.operators.segments import (
     all_combinations,
@@ -339,7 +339,7 @@ def with_combined_scores(
         )
         facts = outer_on([facts, weights], keys)
     if keys:
-        joined = join_salted(df, facts, keys)
+        joined = with_lookup(df, facts, keys)
     else:
         added = [c for c in facts.columns]
         joined = df.withColumn("__f", facts.select(F.struct(*added)).scalar()).select("*", "__f.*").drop("__f")
