@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from scorewatch.catalog.base import LINES, POPULATION, lines, population, quantile_at, r, rounded, table
+from scorewatch.catalog.population import RISK, risk_tables
 from scorewatch.catalog.registry import registry
 from scorewatch.operators.aggregates import account_summary, score_statistics, stacked
 from scorewatch.plans import gini
+from scorewatch.plans.population import ACCOUNT, with_risk_segments
 
 QUERIES, CHECKS, query = registry()
 
@@ -92,28 +94,30 @@ def gini_periodic(spark, sf_dir):
     return stacked([x.select(*columns) for x in results])
 
 
-def _cube_sql() -> str:
+def _cube_sql(dims=DIMS, source=POPULATION, name="population", least=LEAST) -> str:
     from itertools import combinations
 
-    columns = [c for _, c in DIMS]
+    columns = [c for _, c in dims]
+    names, first = ", ".join(columns), ", ".join(f"s.{c}" for c in columns)
+    order = ", ".join(f"{c} nulls first" for c in columns)
     parts = []
-    for depth in range(len(DIMS) + 1):
-        for number, chosen in enumerate(combinations(DIMS, depth)):
+    for depth in range(len(dims) + 1):
+        for number, chosen in enumerate(combinations(dims, depth)):
             active = [c for _, c in chosen]
             shown = ", ".join(c if c in active else f"cast(null as varchar) {c}" for c in columns)
             known = " and ".join(f"{c} is not null" for c in active) or "true"
-            name = " || '_' || ".join(f"'{n}_' || {c}" for n, c in chosen) or "'Overall'"
+            label = " || '_' || ".join(f"'{n}_' || {c}" for n, c in chosen) or "'Overall'"
             parts.append(
-                f"select {depth} dp, {number} nr, {name} segment_type, {shown}, score, label, disbursementdate, digitalLoanAccountId acct from population where {known}"
+                f"select {depth} dp, {number} nr, {label} segment_type, {shown}, score, label, disbursementdate, digitalLoanAccountId acct from {name} where {known}"
             )
-    keys = "dp, nr, segment_type, modelVersionId, trenchCategory, osType"
+    keys = f"dp, nr, segment_type, {names}"
     grouped = f"{keys}, period, start_date"
-    return f"""{POPULATION}, cu as ({' union all '.join(parts)}), {PERIODS.format(source='cu')},
+    return f"""{source}, cu as ({' union all '.join(parts)}), {PERIODS.format(source='cu')},
  s as ({auc_gini('pr', grouped, 'score', 'label')}),
  ac as (select dp, nr, segment_type, period, start_date, count(distinct acct) da, count(distinct acct) filter (where label = 1) ba from pr group by all),
- di as (select {keys}, row_number() over (order by dp, nr, modelVersionId nulls first, trenchCategory nulls first, osType nulls first) - 1 segment_id from (select distinct {keys} from s)),
- fa as (select segment_id, start_date, cast({END} as date) end_date, period, case when n >= {LEAST} then {r('gini')} end gini_value, da distinct_accounts, ba bad_count,
-   'score' Model_Name, 'FPD10' bad_rate, segment_type, s.modelVersionId, s.trenchCategory, s.osType
+ di as (select {keys}, row_number() over (order by dp, nr, {order}) - 1 segment_id from (select distinct {keys} from s)),
+ fa as (select segment_id, start_date, cast({END} as date) end_date, period, case when n >= {least} then {r('gini')} end gini_value, da distinct_accounts, ba bad_count,
+   'score' Model_Name, 'FPD10' bad_rate, segment_type, {first}
    from s join ac using (dp, nr, segment_type, period, start_date) join di using (dp, nr, segment_type))"""
 
 
@@ -124,6 +128,23 @@ def _cube(spark, sf_dir, **options):
     return gini.gini_cube(population(spark, sf_dir), "score", "label", "FPD10", DIMS, **options)
 
 
+RISK_DIMS = [("risk_segment", "risk_segment"), ("risk_segment_final", "risk_segment_final"), ("Trench", "trenchCategory")]
+RISK_SOURCE = f"""{POPULATION}, {RISK}, segmented_population as (
+  select p.*, coalesce(s.risk_segment, 'NA') as risk_segment, coalesce(f.risk_segment_final, 'NA') as risk_segment_final
+  from population p left join segmented s on s.account = digitalLoanAccountId left join finals f on f.account = digitalLoanAccountId)"""
+
+
+@query(
+    "gini_cube_risk_segments",
+    f"with {_cube_sql(RISK_DIMS, RISK_SOURCE, 'segmented_population', '0')} select * exclude (segment_id) from fa",
+)
+def gini_cube_risk_segments(spark, sf_dir):
+    """Every combination of both risk segments and the trench, no group left out for its size."""
+    rows = with_risk_segments(population(spark, sf_dir), *risk_tables(spark, sf_dir), table(spark, sf_dir, "orders").withColumnRenamed("o_orderkey", ACCOUNT))
+    fact, _ = gini.gini_cube(rows, "score", "label", "FPD10", RISK_DIMS, min_week=0, min_month=0)
+    return fact.withColumn("gini_value", rounded("gini_value")).drop("segment_id")
+
+
 @query("gini_cube_fact", f"with {CUBE} select * from fa")
 def gini_cube_fact(spark, sf_dir):
     fact, _ = _cube(spark, sf_dir)

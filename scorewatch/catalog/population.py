@@ -81,7 +81,7 @@ def _merchants(spark, sf_dir):
 DECIDED_FROM, SEGMENTS_AS_OF = "1996-06-01", "1998-12-31"
 
 
-def _risk(spark, sf_dir):
+def risk_tables(spark, sf_dir):
     """Segments and final segments: customers stand for offers, every fifth order for a response."""
     orders, customer = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
     loans = orders.select(
@@ -199,7 +199,7 @@ from ranked left join segmented using (account) left join finals using (account)
 def population_risk_segments(spark, sf_dir):
     """The labelled population with both risk segments."""
     rows = plan.labelled_population(
-        _log(spark, sf_dir), _loans(spark, sf_dir), _delinquency(spark, sf_dir), _merchants(spark, sf_dir), risk=_risk(spark, sf_dir)
+        _log(spark, sf_dir), _loans(spark, sf_dir), _delinquency(spark, sf_dir), _merchants(spark, sf_dir), risk=risk_tables(spark, sf_dir)
     )
     return rows.select(
         "digitalLoanAccountId", "modelVersionId", "score", "disbursementdate", "label", "trenchCategory", "risk_segment", "risk_segment_final"
@@ -232,7 +232,7 @@ from latest left join segmented using (account) left join finals using (account)
 )
 def population_psi_risk_segments(spark, sf_dir):
     """All scored applications with both risk segments."""
-    rows = plan.psi_population(_log(spark, sf_dir), _loans(spark, sf_dir), _merchants(spark, sf_dir), _risk(spark, sf_dir))
+    rows = plan.psi_population(_log(spark, sf_dir), _loans(spark, sf_dir), _merchants(spark, sf_dir), risk_tables(spark, sf_dir))
     return rows.select("customerId", "digitalLoanAccountId", "modelVersionId", "score", "risk_segment", "risk_segment_final")
 
 

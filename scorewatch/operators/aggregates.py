@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scorewatch.functions.rules import one_if, other_segment_verdict
@@ -13,8 +13,36 @@ from scorewatch.operators.joins import with_lookup
 from scorewatch.operators.ordered import quantiles
 
 
-def account_summary(df: DataFrame, keys: Sequence[str], account: str, label: str) -> DataFrame:
-    """Distinct accounts and distinct accounts with label 1."""
+SKETCH_BITS = 14  # of a distinct-count sketch: a standard error of some 0.8 %
+
+
+def account_sketches(account: str, label: str) -> list[Column]:
+    """Mergeable sketches of the distinct accounts and of those with label 1."""
+    held = F.col(account).cast("string")
+    return [
+        F.hll_sketch_agg(held, SKETCH_BITS).alias("__accounts"),
+        F.hll_sketch_agg(F.when(F.col(label) == 1, held), SKETCH_BITS).alias("__bads"),
+    ]
+
+
+def united_sketches() -> list[Column]:
+    return [F.hll_union_agg(c).alias(c) for c in ("__accounts", "__bads")]
+
+
+def with_estimates(df: DataFrame, bad: str = "bad_count") -> DataFrame:
+    """Replace the sketches by estimated counts; groups without any account drop out."""
+    counts = {"distinct_accounts": "__accounts", bad: "__bads"}
+    estimated = df.withColumns({name: F.hll_sketch_estimate(c) for name, c in counts.items()})
+    return estimated.drop("__accounts", "__bads").where(F.col("distinct_accounts") > 0)
+
+
+def account_summary(df: DataFrame, keys: Sequence[str], account: str, label: str, approx: bool = False) -> DataFrame:
+    """Distinct accounts and distinct accounts with label 1; `approx` estimates them from sketches.
+
+    The exact counts shuffle one row per account, the estimates one sketch per group and task.
+    """
+    if approx:
+        return with_estimates(df.groupBy(*keys).agg(*account_sketches(account, label)), "bad_accounts")
     bad = F.max(F.when(F.col(label) == 1, 1).otherwise(0)).alias("__bad")
     per_account = df.where(F.col(account).isNotNull()).groupBy(*keys, account).agg(bad)
     return per_account.groupBy(*keys).agg(

@@ -14,12 +14,13 @@ from pyspark.sql import functions as F
 
 from scorewatch.functions.dates import month_start, period_end, week_start
 from scorewatch.functions.text import number_or_null
-from scorewatch.operators.aggregates import pivoted
+from scorewatch.operators.aggregates import account_sketches, pivoted, united_sketches, with_estimates
 from scorewatch.operators.joins import outer_on, with_lookup
 from scorewatch.operators.ordered import join_null_safe, numbered, running_totals
+from scorewatch.operators.ranksums import Grouping, combined, rank_sums
 from scorewatch.operators.segments import (
+    LEVELS,
     all_combinations,
-    copied_to_sets,
     grouped_by_sets,
     hierarchical_copies,
     one_at_a_time,
@@ -77,22 +78,38 @@ def gini_of_counts(counts: DataFrame, keys: Sequence[str], score: str, method: s
         F.min(score).alias("__low"),
         F.max(score).alias("__high"),
     )
+    return _gini_of_sums(sums.withColumnsRenamed({"__area": "area", "__cumulated": "cumulated", "__low": "low", "__high": "high"}), method)
+
+
+def _gini_of_sums(sums: DataFrame, method: str) -> DataFrame:
+    """Add the Gini to one row per group with n, bad, good, area, cumulated, low and high, and drop the last four."""
     both = (F.col("bad") > 0) & (F.col("good") > 0)
     product = F.col("bad").cast("double") * F.col("good").cast("double")
-    auc = F.when(both, F.lit(2.0) * F.try_divide(F.col("__area"), product) - F.lit(1.0))
+    auc = F.when(both, F.lit(2.0) * F.try_divide(F.col("area"), product) - F.lit(1.0))
     if method == "auc":
         gini = auc
     elif method == "cumulative":
         size = F.col("n").cast("double") * F.col("bad").cast("double")
         gini = F.when(
             (F.col("n") >= 2) & (F.col("bad") > 0),
-            F.lit(1.0) - F.lit(2.0) * F.try_divide(F.col("__cumulated"), size),
+            F.lit(1.0) - F.lit(2.0) * F.try_divide(F.col("cumulated"), size),
         )
     elif method == "trapezoid":
         gini = F.coalesce(-auc, F.lit(0.0))
     else:
-        gini = F.when((F.col("__low") >= 0) & (F.col("__high") <= 1), auc).otherwise(-auc)
-    return sums.withColumn("gini", gini).drop("__area", "__cumulated", "__low", "__high")
+        gini = F.when((F.col("low") >= 0) & (F.col("high") <= 1), auc).otherwise(-auc)
+    return sums.withColumn("gini", gini).drop("area", "cumulated", "low", "high")
+
+
+def gini_by_groupings(counts: DataFrame, groupings: Sequence[Grouping], score: str, method: str = "auc") -> DataFrame:
+    """Gini of every group of every grouping: `__set`, the group columns, n, bad, good, gini.
+
+    As `gini_of_counts` on a copy of `counts` per grouping, without the copies.
+    """
+    if method not in METHODS:
+        raise ValueError(f"unknown Gini method {method!r}")
+    keys = ["__set", *dict.fromkeys(c for g in groupings for c in g.columns)]
+    return _gini_of_sums(combined(rank_sums(counts, groupings, score), keys), method)
 
 
 def gini_by(
@@ -127,11 +144,14 @@ def gini_cube(
     max_depth: int | None = None,
     method: str = "auc",
     model_name: str | None = None,
+    approx_accounts: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
     """(fact, dimension): weekly and monthly Gini for every combination of segment values.
 
-    `dims` are (name in segment_type, column). Groups below the minimum get a null Gini, or
-    are left out together with null results when `drop_small` is set.
+    `dims` are (name in segment_type, column), any number of them. Groups below the minimum get
+    a null Gini, or are left out together with null results when `drop_small` is set; minima
+    of 0 let all groups pass. `approx_accounts` estimates distinct accounts from sketches made
+    once per finest group and united per segment, instead of copying every account.
     """
     columns = [c for _, c in dims]
     rows = scored_outcomes(df.where(F.col(date).isNotNull()), score, label).withColumns(
@@ -142,13 +162,25 @@ def gini_cube(
     when = ["period", "start_date"]
 
     counts = collapse(rows, [*columns, "__week", "__month"], score, label)
-    dated = explode_periods(counts, periods).drop("__week", "__month")
-    by_set = copied_to_sets(dated, sets, columns)
     keys = ["set_id", *columns, *when]
-    ginis = gini_of_counts(by_set, keys, score, method).select(*keys, "n", F.col("gini").alias("gini_value"))
+    groupings, numbers = [], []
+    for chosen in sets:
+        inactive = sum(1 << (len(columns) - 1 - i) for i, c in enumerate(columns) if c not in chosen)
+        for period, start in (("Week", "__week"), ("Month", "__month")):
+            groupings.append(Grouping((*chosen, start)))
+            numbers.append((inactive, period))
+    set_ids, names = (F.array(*[F.lit(x) for x in side]) for side in zip(*numbers))
+    ginis = gini_by_groupings(counts, groupings, score, method).select(
+        F.get(set_ids, F.col("__set")).alias("set_id"), *columns, F.get(names, F.col("__set")).alias("period"),
+        F.coalesce("__week", "__month").alias("start_date"), "n", F.col("gini").alias("gini_value"),
+    )
 
     frames = [ginis]
-    if account:
+    if account and approx_accounts:
+        sketches = rows.groupBy(*columns, "__week", "__month").agg(*account_sketches(account, label))
+        seen = grouped_by_sets(explode_periods(sketches, periods), sets, columns, when, united_sketches())
+        frames.append(with_estimates(seen).select(*keys, "distinct_accounts", "bad_count"))
+    elif account:
         bad = F.max(F.when(F.col(label) == 1, 1).otherwise(0))
         people = rows.where(F.col(account).isNotNull()).groupBy(*columns, "__week", "__month", account).agg(bad.alias("__bad"))
         seen = grouped_by_sets(
@@ -497,11 +529,23 @@ def dashboard_metrics(
     """AUC, Gini and bad rate per hierarchical segment for all time, months and weeks."""
     rows = scored_outcomes(df, score, label).withColumn(date, F.to_date(date))
     counts = collapse(rows, [*DASHBOARD_DIMS, date], score, label)
-    timed = _dashboard_periods(counts, date)
-    keys = ["segment_type", *DASHBOARD_DIMS, "time_type", "time_period"]
-    by_segment = hierarchical_copies(timed, DASHBOARD_DIMS, known_trenches)
-    return gini_of_counts(by_segment, keys, score).select(
-        *keys,
+    timed = counts.withColumns({"__month": F.date_format(date, "yyyy-MM"), "__week": week_start(F.col(date)).cast("string")})
+    known = "__known_trench"
+    isin = F.lit(True) if known_trenches is None else F.col(DASHBOARD_DIMS[2]).isin(*known_trenches)
+    groupings, names = [], []
+    for level, active in LEVELS.items():
+        where = known if level == "Model_Level" else None
+        for time, column in (("Overall", ()), ("Month", ("__month",)), ("Week", ("__week",))):
+            groupings.append(Grouping((*(DASHBOARD_DIMS[i] for i in active), *column), where))
+            names.append((level, time))
+    levels, times = (F.array(*[F.lit(x) for x in side]) for side in zip(*names))
+    found = gini_by_groupings(timed.withColumn(known, isin), groupings, score)
+    return found.select(
+        F.get(levels, F.col("__set")).alias("segment_type"),
+        # A column that a level does not use is null in all its groups.
+        *[F.coalesce(F.col(c).cast("string"), F.lit("All")).alias(c) for c in DASHBOARD_DIMS],
+        F.get(times, F.col("__set")).alias("time_type"),
+        F.coalesce("__month", "__week", F.lit("Overall")).alias("time_period"),
         ((F.col("gini") + 1) / F.lit(2.0)).alias("auc"),
         "gini",
         F.col("n").alias("record_count"),
