@@ -1,10 +1,13 @@
-"""Rank sums of many groupings from one pass over ranges of scores.
+"""Rank sums and distinct accounts of many groupings, from one pass over the rows.
 
 What a rank statistic needs of a group within a range of scores are a few numbers: goods, bads,
 and the area between them (bads times the goods below, ties half). Ranges combine in order:
 the areas add up, plus the bads of the later times the goods of the earlier one. So the rows
 are range-partitioned by the score alone, each range is reduced for all groupings at once,
 and only the few numbers per group and range travel on. No row is copied per grouping.
+
+Distinct accounts work alike: an account's rows share a partition, so the counts of the
+partitions add up exactly.
 """
 
 from __future__ import annotations
@@ -28,9 +31,6 @@ class Grouping:
     where: str | None = None  # a boolean column
 
 
-SUMS = "__set int, __range int, n long, bad long, good long, area double, cumulated double, low double, high double"
-
-
 def _codes(column: pd.Series) -> tuple[np.ndarray, np.ndarray]:
     """Numbers of the values, -1 for null, and the values."""
     numbers, values = pd.factorize(column, use_na_sentinel=True)
@@ -53,29 +53,28 @@ def _reduced(group: np.ndarray, score: np.ndarray, bad: np.ndarray, good: np.nda
     return at[first], np.add.reduceat(bads, first), np.add.reduceat(goods, first), area, cumulated, low, high
 
 
-def rank_sums(counts: DataFrame, groupings: Sequence[Grouping], score: str) -> DataFrame:
-    """Per grouping (its number in `__set`), group and range of scores: n, bad, good, area, cumulated, low, high.
+def _by_grouping(
+    df: DataFrame, groupings: Sequence[Grouping], needed: Sequence[str], sums: str, sort: str | None, reduce
+) -> DataFrame:
+    """Rows of `reduce` for each grouping in each partition of `df`, whose rows are held at once.
 
-    `counts` holds the group columns, `score`, rows `n` and bads `bad`; scores may repeat.
-    cumulated: sum over rows of the bads below, the own score's bads at their average place.
-    Columns that a grouping does not use are null.
+    `reduce` gets the partition's columns, the numbers of the rows that take part and the
+    number of each one's group; it returns a row number per result row and the values of `sums`.
     """
     used = list(dict.fromkeys(c for g in groupings for c in g.columns))
-    conditions = list(dict.fromkeys(g.where for g in groupings if g.where))
-    schema = StructType([counts.schema[c] for c in used])
-    names = [*used, *(f.split()[0] for f in SUMS.split(", "))]
-    for field in schema:
-        field.nullable = True
+    schema = StructType([df.schema[c] for c in used])
+    values = [f.split()[0] for f in sums.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parts = [b for b in batches if len(b)]
         if not parts:
             return
         rows = pd.concat(parts, ignore_index=True)
-        rows = rows.iloc[np.argsort(rows[score].to_numpy(), kind="stable")].reset_index(drop=True)
+        if sort:
+            rows = rows.iloc[np.argsort(rows[sort].to_numpy(), kind="stable")].reset_index(drop=True)
         codes = {c: _codes(rows[c]) for c in used}
-        value, bad = rows[score].to_numpy(), rows["bad"].to_numpy(np.int64)
-        good = rows["n"].to_numpy(np.int64) - bad
+        # Names and the like are compared by number.
+        columns = {c: rows[c].to_numpy() if rows[c].dtype != object else _codes(rows[c])[0] for c in needed}
         for number, grouping in enumerate(groupings):
             keep = rows[grouping.where].fillna(False).to_numpy(bool) if grouping.where else np.ones(len(rows), dtype=bool)
             for c in grouping.columns:
@@ -88,22 +87,61 @@ def rank_sums(counts: DataFrame, groupings: Sequence[Grouping], score: str) -> D
             for c in grouping.columns:
                 group = group * max(1, len(codes[c][1])) + codes[c][0][taken]
                 group = np.unique(group, return_inverse=True)[1]
-            order = np.argsort(group, kind="stable")
-            at, bads, goods, area, cumulated, low, high = _reduced(group[order], value[taken][order], bad[taken][order], good[taken][order])
-            first = rows.iloc[taken[order][at]]
-            out = pd.DataFrame({c: first[c].to_numpy() if c in grouping.columns else np.full(len(at), None, dtype=object) for c in used})
-            yield out.assign(
-                __set=number, __range=TaskContext.get().partitionId(), n=bads + goods, bad=bads, good=goods, area=area, cumulated=cumulated, low=low, high=high
-            )[names]
+            at, *results = reduce(columns, taken, group)
+            shown = rows.iloc[taken[at]]
+            out = pd.DataFrame({c: shown[c].to_numpy() if c in grouping.columns else np.full(len(at), None, dtype=object) for c in used})
+            yield out.assign(__set=number, __part=TaskContext.get().partitionId(), **dict(zip(values, results)))
+
+    kinds = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in schema), "__set int, __part int", sums])
+    return df.mapInPandas(run, kinds)
+
+
+SUMS = "n long, bad long, good long, area double, cumulated double, low double, high double"
+
+
+def rank_sums(counts: DataFrame, groupings: Sequence[Grouping], score: str) -> DataFrame:
+    """Per grouping (its number in `__set`), group and range of scores (`__part`): the sums of SUMS.
+
+    `counts` holds the group columns, `score`, rows `n` and bads `bad`; scores may repeat.
+    cumulated: sum over rows of the bads below, the own score's bads at their average place.
+    Columns that a grouping does not use are null.
+    """
+
+    def reduce(columns: dict[str, np.ndarray], taken: np.ndarray, group: np.ndarray) -> tuple:
+        order = np.argsort(group, kind="stable")
+        rows = taken[order]
+        bad = columns["bad"][rows].astype(np.int64)
+        good = columns["n"][rows].astype(np.int64) - bad
+        at, bads, goods, area, cumulated, low, high = _reduced(group[order], columns[score][rows], bad, good)
+        return order[at], bads + goods, bads, goods, area, cumulated, low, high
+
+    ranged = counts.withColumn(score, F.col(score).cast("double")).repartitionByRange(F.col(score))
+    return _by_grouping(ranged, groupings, [score, "n", "bad"], SUMS, score, reduce)
+
+
+def account_counts(people: DataFrame, groupings: Sequence[Grouping], account: str, flag: str) -> DataFrame:
+    """Distinct accounts and those with a flagged row, per grouping (`__set`) and group, exactly.
+
+    `people` holds the group columns, `account` and `flag` (0 or 1), rows without repeats.
+    """
+
+    def reduce(columns: dict[str, np.ndarray], taken: np.ndarray, group: np.ndarray) -> tuple:
+        who = columns[account][taken]
+        order = np.lexsort((who, group))
+        group, who, flags = group[order], who[order], columns[flag][taken][order].astype(np.int64)
+        start = np.flatnonzero(np.concatenate([[True], (group[1:] != group[:-1]) | (who[1:] != who[:-1])]))
+        flagged, group = np.maximum.reduceat(flags, start), group[start]
+        first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+        return order[start[first]], np.diff(np.append(first, len(group))), np.add.reduceat(flagged, first)
 
-    wanted = counts.select(*used, *conditions, F.col(score).cast("double").alias(score), "n", "bad")
-    kinds = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in schema), *SUMS.split(", ")])
-    return wanted.repartitionByRange(F.col(score)).mapInPandas(run, kinds)
+    keys = ["__set", *dict.fromkeys(c for g in groupings for c in g.columns)]
+    parts = _by_grouping(people.repartition(account), groupings, [account, flag], "distinct_accounts long, bad_count long", None, reduce)
+    return parts.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in ("distinct_accounts", "bad_count")])
 
 
 def combined(sums: DataFrame, keys: Sequence[str]) -> DataFrame:
     """One row per group: the ranges' sums combined in the order of the scores."""
-    before = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     earlier = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0)).cast("double")
     placed = sums.withColumns({"__bads": earlier("bad"), "__goods": earlier("good")})
     return placed.groupBy(*keys).agg(

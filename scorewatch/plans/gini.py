@@ -17,7 +17,7 @@ from scorewatch.functions.text import number_or_null
 from scorewatch.operators.aggregates import account_sketches, pivoted, united_sketches, with_estimates
 from scorewatch.operators.joins import outer_on, with_lookup
 from scorewatch.operators.ordered import join_null_safe, numbered, running_totals
-from scorewatch.operators.ranksums import Grouping, combined, rank_sums
+from scorewatch.operators.ranksums import Grouping, account_counts, combined, rank_sums
 from scorewatch.operators.segments import (
     LEVELS,
     all_combinations,
@@ -170,10 +170,12 @@ def gini_cube(
             groupings.append(Grouping((*chosen, start)))
             numbers.append((inactive, period))
     set_ids, names = (F.array(*[F.lit(x) for x in side]) for side in zip(*numbers))
-    ginis = gini_by_groupings(counts, groupings, score, method).select(
-        F.get(set_ids, F.col("__set")).alias("set_id"), *columns, F.get(names, F.col("__set")).alias("period"),
-        F.coalesce("__week", "__month").alias("start_date"), "n", F.col("gini").alias("gini_value"),
-    )
+
+    def named(found: DataFrame, values: Sequence[str]) -> DataFrame:
+        start = F.coalesce("__week", "__month").alias("start_date")
+        return found.select(F.get(set_ids, F.col("__set")).alias("set_id"), *columns, F.get(names, F.col("__set")).alias("period"), start, *values)
+
+    ginis = named(gini_by_groupings(counts, groupings, score, method).withColumnRenamed("gini", "gini_value"), ["n", "gini_value"])
 
     frames = [ginis]
     if account and approx_accounts:
@@ -183,14 +185,7 @@ def gini_cube(
     elif account:
         bad = F.max(F.when(F.col(label) == 1, 1).otherwise(0))
         people = rows.where(F.col(account).isNotNull()).groupBy(*columns, "__week", "__month", account).agg(bad.alias("__bad"))
-        seen = grouped_by_sets(
-            explode_periods(people, periods), sets, columns, [*when, account], [F.max("__bad").alias("__bad")]
-        )
-        frames.append(
-            seen.groupBy(*keys).agg(
-                F.count(F.lit(1)).alias("distinct_accounts"), F.sum("__bad").alias("bad_count")
-            )
-        )
+        frames.append(named(account_counts(people, groupings, account, "__bad"), ["distinct_accounts", "bad_count"]))
     fact = outer_on(frames, keys).where(F.col("n").isNotNull())
     if not account:
         none = F.lit(None).cast("long")
