@@ -23,12 +23,13 @@ def compare_bins(
     bin_column: str = "Bin",
     denominator: str = "all",
     attributes: Sequence[str] = (),
+    written: bool = False,
 ) -> DataFrame:
     """One row per (groups, period, bin) with the baseline's and the period's share.
 
     `counts` holds (groups, period, bin, n); baseline rows have a null period, and rows of a
     period are unique per bin. Both sides come from this one frame, so its source is read
-    once. A null bin counts in the denominators when `denominator` is 'all' and is left out
+    once (`written`: they are a written table already). A null bin counts in the denominators when `denominator` is 'all' and is left out
     otherwise. Groups without baseline rows drop out.
 
     Adds e_n, a_n, e_total, a_total, raw shares e_share and a_share (null when the bin is
@@ -43,7 +44,7 @@ def compare_bins(
         raise ValueError(f"unknown denominator {denominator!r}")
 
     # Counts are as many as the bins of all periods; written once, they serve all that follows.
-    counts = materialise(counts.select("*", F.lit(0).alias(ALL)))
+    counts = (counts if written else materialise(counts)).select("*", F.lit(0).alias(ALL))
     keys = [ALL, *groups]
     baseline = F.col(period).isNull()
     per_bin = counts.groupBy(*keys, bin_column).agg(

@@ -14,6 +14,7 @@ from scorewatch.operators import binning
 from scorewatch.operators.ordered import quantiles
 from scorewatch.operators.segments import one_at_a_time
 from scorewatch.operators.shares import compare_bins, index_of, segment_accounts
+from scorewatch.session import materialise
 
 ACCOUNT, MONTH, SELECTION = "digitalLoanAccountId", "Application_month", "dataselection"
 SEGMENT = ["Segment_Column", "Segment_Value"]
@@ -36,21 +37,16 @@ def _counts(
         .agg(F.count(F.lit(1)).alias("n"))
     )
     by_segment = one_at_a_time(counts.where(F.col("__side").isin(train, test)), segments)
-    whole = Window.partitionBy(*SEGMENT, "feature")
     known = F.col("__side") == train
-    sized = (
-        by_segment.groupBy(*SEGMENT, "feature", month, "__side", "Bin")
-        .agg(F.sum("n").alias("n"))
-        .withColumns(
-            {
-                "__all": F.sum("n").over(whole),
-                "__train_n": F.sum(F.when(known, F.col("n"))).over(whole),
-                "__test_n": F.sum(F.when(~known, F.col("n"))).over(whole),
-            }
-        )
+    sized = by_segment.groupBy(*SEGMENT, "feature", month, "__side", "Bin").agg(F.sum("n").alias("n"))
+    # One row per segment and feature, however many bins there are.
+    totals = sized.groupBy(*SEGMENT, "feature").agg(
+        F.sum("n").alias("__all"),
+        F.sum(F.when(known, F.col("n"))).alias("__train_n"),
+        F.sum(F.when(~known, F.col("n"))).alias("__test_n"),
     )
     enough = (F.col("Segment_Column") == "Overall") | (F.col("__all") >= min_rows)
-    return sized.where(enough & (F.col("__train_n") > 0) & (F.col("__test_n") > 0)).select(
+    return sized.join(totals, [*SEGMENT, "feature"]).where(enough & (F.col("__train_n") > 0) & (F.col("__test_n") > 0)).select(
         *SEGMENT, "feature", month, "Bin", "n"
     )
 
@@ -87,20 +83,23 @@ def bin_csi(
     Bin shares are of all rows with a floor of 1e-4; the feature's CSI uses shares of the rows
     that have a bin, and 1e-4 for bins absent on one side.
     """
-    counts = _counts(df, features, segments, month, selection, train, test, min_rows)
+    counts = materialise(_counts(df, features, segments, month, selection, train, test, min_rows))
     groups = [*SEGMENT, "feature"]
-    per_bin = compare_bins(counts, groups, month, "floor_1e-4")
+    per_bin = compare_bins(counts, groups, month, "floor_1e-4", written=True)
     whole = index_of(
-        compare_bins(counts, groups, month, "absent_1e-4", denominator="binned"),
+        compare_bins(counts, groups, month, "absent_1e-4", denominator="binned", written=True),
         [*groups, month],
         "feature_csi",
     )
     now = segment_accounts(df.where(F.col(selection) == test), segments, [month], account, "account_count")
+    # Only the distinct months of a segment are ranked.
     order = Window.partitionBy(*SEGMENT).orderBy(month)
+    ranks = counts.where(F.col(month).isNotNull()).select(*SEGMENT, month).distinct().withColumn("__rank", F.dense_rank().over(order))
     monthly = (
         per_bin.join(whole, [*groups, month], "left")
         .join(now, [*SEGMENT, month], "left")
-        .withColumn("MonthSortKey", month_key(F.dense_rank().over(order), F.col(month)))
+        .join(ranks, [*SEGMENT, month], "left")
+        .withColumn("MonthSortKey", month_key(F.col("__rank"), F.col(month)))
         .select(
             *groups, F.col(month).alias("Month"), "MonthSortKey", F.col("Bin").alias("bin_value"),
             F.lit("b_Monthly").alias("DateCategory"), F.col("e").alias("train_pct"), F.col("a").alias("test_pct"),
@@ -112,11 +111,10 @@ def bin_csi(
     last_month = one_at_a_time(trained.select(*segments, month), segments).groupBy(*SEGMENT).agg(
         F.max(month).alias("Month")
     )
-    share = F.col("n") / F.sum("n").over(Window.partitionBy(*groups))
+    trained_counts = counts.where(F.col(month).isNull()).drop(month)
     training = (
-        counts.where(F.col(month).isNull())
-        .drop(month)
-        .withColumn("share", share)
+        trained_counts.join(trained_counts.groupBy(*groups).agg(F.sum("n").alias("__n")), groups)
+        .withColumn("share", F.col("n") / F.col("__n"))
         .where(F.col("Bin").isNotNull())
         .join(base, SEGMENT, "left")
         .join(last_month, SEGMENT, "left")
@@ -146,9 +144,9 @@ def pair_bin_csi(train: DataFrame, test: DataFrame, feature: str) -> DataFrame:
         bins = df.groupBy(F.col(feature).cast("string").alias("Bin")).agg(F.count(F.lit(1)).alias("n"))
         return bins.withColumn("side", F.lit(side).cast("string"))
 
-    counts = counted(train, None).unionByName(counted(test, "test"))
-    bins = compare_bins(counts, [], "side", "floor_1e-4")
-    whole = compare_bins(counts, [], "side", "absent_1e-4", denominator="binned").agg(F.sum("term"))
+    counts = materialise(counted(train, None).unionByName(counted(test, "test")))
+    bins = compare_bins(counts, [], "side", "floor_1e-4", written=True)
+    whole = compare_bins(counts, [], "side", "absent_1e-4", denominator="binned", written=True).agg(F.sum("term"))
     return bins.select(
         F.lit(feature).alias("feature"), F.col("Bin").alias("bin_value"), F.col("e").alias("train_pct"),
         F.col("a").alias("test_pct"), F.col("term").alias("bin_csi"), whole.scalar().alias("feature_csi"),
@@ -203,7 +201,7 @@ def psi_table(train: DataFrame, test: DataFrame, score: str, bins: int = 10) ->
     shares = compare_bins(counts, [], "side", "unprotected", denominator="binned")
     return shares.select(
         F.col("Bin").alias("bin"), F.col("e").alias("train_pct"), F.col("a").alias("test_pct"),
-        F.col("term").alias("psi"), F.sum("term").over(Window.partitionBy("side")).alias("total_psi"),
+        F.col("term").alias("psi"), shares.agg(F.sum("term")).scalar().alias("total_psi"),
     )
 
 

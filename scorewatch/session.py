@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,8 +53,24 @@ def use_checkpoint_folder(spark: SparkSession) -> str:
     return folder
 
 
+INTERIM = "scorewatch-tables"
+
+
 def materialise(df: DataFrame) -> DataFrame:
-    """Write `df` to the shared checkpoint folder and cut its lineage."""
+    """Write `df` as a table below the shared checkpoint folder and read it again.
+
+    Cuts the lineage and survives lost executors; unlike a checkpoint the table is read by
+    column and its size is known. Columns may have any name; tables stay until the
+    application's folder is cleared.
+    """
+    spark = df.sparkSession
+    path = f"{use_checkpoint_folder(spark)}/{INTERIM}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage of `df` in the shared checkpoint folder, partitions in their order."""
     use_checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 

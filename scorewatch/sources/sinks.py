@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from scorewatch.session import materialise
+from scorewatch.session import checkpointed
 from scorewatch.sources.files import FORMATS
 
 DISPOSITIONS = {"truncate": "overwrite", "append": "append"}
@@ -46,7 +46,7 @@ def load_table(
     """
     if disposition not in DISPOSITIONS:
         raise ValueError(f"unknown disposition {disposition!r}; use one of {tuple(DISPOSITIONS)}")
-    df = materialise(ordered(df, order))
+    df = checkpointed(ordered(df, order))
     if df.isEmpty():
         return False
     df.write.mode(DISPOSITIONS[disposition]).saveAsTable(table)
@@ -78,15 +78,33 @@ def rows_without(df: DataFrame, condition: Column) -> DataFrame:
 
 
 def delete_rows(spark: SparkSession, table: str, condition: Column) -> None:
-    """Rewrite a table without the rows meeting the condition.
+    """Delete the rows meeting the condition, in place: layout, properties and the table itself stay.
 
-    The remaining rows are written once, to a second table that then takes the first one's
-    name; until then the first one is untouched, and from then on the second one is whole.
+    Of a partitioned table only the partitions that hold such rows are read again and
+    overwritten; partitions left empty are dropped. What is kept is written to the checkpoint
+    folder first, so an interrupted overwrite can be repeated from there.
     """
-    interim = f"{table}__kept"
-    rows_without(spark.table(table), condition).write.mode("overwrite").saveAsTable(interim)
-    drop_table(spark, table)
-    spark.sql(f"ALTER TABLE {interim} RENAME TO {table}")
+    rows = spark.table(table)
+    parts = [c.name for c in spark.catalog.listColumns(table) if c.isPartition]
+    if not parts:
+        checkpointed(rows_without(rows, condition)).write.insertInto(table, overwrite=True)
+        return
+    # One row per partition.
+    touched = checkpointed(rows.where(condition).select(*parts).distinct())
+    same = reduce(lambda x, y: x & y, [F.col(f"__t.{c}").eqNullSafe(F.col(f"__r.{c}")) for c in parts])
+    inside = rows.alias("__r").join(F.broadcast(touched).alias("__t"), same, "left_semi")
+    kept = checkpointed(rows_without(inside, condition))
+    name = "spark.sql.sources.partitionOverwriteMode"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "dynamic")
+    try:
+        kept.select(*rows.columns).write.insertInto(table, overwrite=True)
+    finally:
+        spark.conf.set(name, before)
+    emptied = touched.alias("__t").join(kept.select(*parts).distinct().alias("__r"), same, "left_anti")
+    for row in emptied.select(*[F.col(c).cast("string") for c in parts]).collect():
+        spec = ", ".join(f"`{c}` = " + ("null" if v is None else "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'") for c, v in row.asDict().items())
+        spark.sql(f"ALTER TABLE {table} DROP IF EXISTS PARTITION ({spec})")
 
 
 def drop_table(spark: SparkSession, table: str) -> None:

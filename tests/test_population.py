@@ -10,7 +10,15 @@ from scorewatch.functions.rules import INDUSTRY_NAMES
 from scorewatch.operators import joins, payload
 from scorewatch.operators.aggregates import column_differences
 from scorewatch.operators.segments import subset_labels
-from scorewatch.plans.population import combined_population, labelled_population, psi_population, scored_log
+from scorewatch.plans.population import (
+    combined_population,
+    final_segments,
+    labelled_population,
+    psi_population,
+    risk_segments,
+    scored_log,
+    with_risk_segments,
+)
 from scorewatch.sources import files, sinks
 
 DAY = dt.datetime(2024, 5, 1, 10)
@@ -155,6 +163,65 @@ def test_tables(spark):
             sinks.drop_table(spark, t)
 
 
+def test_delete_keeps_partitions_and_properties(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b"), (4, "it's"), (5, None), (6, "c"), (7, "c")], "k long, p string")
+    try:
+        df.write.partitionBy("p").option("owner", "risk").saveAsTable("parted")
+        spark.sql("ALTER TABLE parted SET TBLPROPERTIES ('note' = 'kept')")
+        untouched = {r["f"] for r in spark.table("parted").where("p = 'c'").select(F.input_file_name().alias("f")).collect()}
+        sinks.delete_rows(spark, "parted", F.col("k").isin(2, 3, 4, 5))
+        assert sorted(map(tuple, spark.table("parted").select("k", "p").collect())) == [(1, "a"), (6, "c"), (7, "c")]
+        assert [c.name for c in spark.catalog.listColumns("parted") if c.isPartition] == ["p"]
+        assert {r["partition"] for r in spark.sql("SHOW PARTITIONS parted").collect()} == {"p=a", "p=c"}
+        assert spark.sql("SHOW TBLPROPERTIES parted ('note')").first()["value"] == "kept"
+        assert {r["f"] for r in spark.table("parted").where("p = 'c'").select(F.input_file_name().alias("f")).collect()} == untouched
+        sinks.delete_rows(spark, "parted", F.col("k") > 0)
+        assert spark.table("parted").count() == 0
+    finally:
+        sinks.drop_table(spark, "parted")
+
+
+def test_lookup_as_large_as_the_facts(spark):
+    """Nine tenths of the facts on one key, nulls on both sides; no task gets much more than its share."""
+    key = F.when(F.col("id") % 10 < 9, F.lit(5)).when(F.col("id") % 100 == 9, F.lit(None)).otherwise(F.col("id")).cast("long")
+    facts = spark.range(60_000).select("id", key.alias("key"))
+    lookup = spark.range(60_000).select(F.col("id").alias("key"), (F.col("id") * 2).alias("value"))
+    names = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "16"}
+    before = {k: spark.conf.get(k) for k in names}
+    try:
+        for k, v in names.items():
+            spark.conf.set(k, v)
+        joined = joins.with_lookup(facts, lookup, ["key"])
+        sizes = [r["count"] for r in joined.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+        wrong = joined.where(~F.col("value").eqNullSafe(F.col("key") * 2)).count()
+        assert sum(sizes) == 60_000 and wrong == 0 and max(sizes) < 4 * 60_000 / 16
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_risk_segments(spark):
+    loans = spark.createDataFrame(
+        [("A1", "2026-01-05", "Quick", 1), ("A1", "2026-02-05", "Quick", 2), ("A2", "2026-01-05", "Quick", 9), ("A3", "2025-01-05", "Quick", 1), ("A4", "2026-01-05", "Flex-up", 1)],
+        "digitalLoanAccountId string, decision_date string, new_loan_type string, offer_id long",
+    )
+    offers = spark.createDataFrame(
+        [(1, "SEGMENTED_ACL", "2026-01-01", "low"), (2, "SEGMENTED_ACL", "2026-01-01", "old"), (2, "SEGMENTED_ACL", "2026-01-02", "high"), (9, "OTHER", "2026-01-01", "x")],
+        "offer_id long, offer_type string, created_date string, risk_segment string",
+    )
+    finals = spark.createDataFrame(
+        [("A1", "2026-01-01", "F1"), ("A1", "2026-03-01", "F2"), ("A1", "2026-04-01", None), (None, "2026-04-01", "F9")], "digitalLoanAccountId string, created_dt string, risk_segment_final string"
+    )
+    accounts = spark.createDataFrame([("A1",), ("A2",), ("A3",), ("A4",), (None,)], "digitalLoanAccountId string")
+    segments = risk_segments(loans, offers, F.lit("2025-11-10").cast("date"))
+
+    def both(final):
+        return {r[0]: tuple(r)[1:] for r in with_risk_segments(accounts, segments, final).collect()}
+
+    assert both(final_segments(finals)) == {"A1": ("high", "F2"), "A2": ("Unsegmented", "NA"), "A3": ("NA", "NA"), "A4": ("NA", "NA"), None: ("NA", "NA")}
+    assert both(final_segments(finals, F.lit("2026-02-01").cast("date")))["A1"] == ("high", "F1")
+
+
 def test_files(spark, tmp_path):
     df = spark.createDataFrame([(1, "a"), (2, "b")], "k int, s string")
     paths = sinks.export(df, str(tmp_path), "out")
