@@ -16,7 +16,7 @@ from scorewatch.functions import bins as B
 from scorewatch.operators.aggregates import stacked
 from scorewatch.operators.dedup import top_per_key
 from scorewatch.operators.ordered import join_null_safe, quantiles, quantiles_of_counts, value_counts
-from scorewatch.session import broadcast_checked
+from scorewatch.session import broadcast_checked, materialise
 
 DECILES = [i / 10 for i in range(11)]
 # Positions of the three-bin step of the ladder, as published.
@@ -177,25 +177,10 @@ def category_spec(
     return best.groupBy(*groups).agg(F.array_sort(F.collect_list("category")).alias("top"))
 
 
-def feature_bin_counts(
-    long: DataFrame,
-    long_train: DataFrame,
-    types: dict[str, str],
-    by: Sequence[str],
-    keys: Sequence[str] = (),
-    policy: str = "ladder",
-    top: int = 6,
-    method: str = "exact",
-    include_lowest: bool = True,
-    others: str = B.OTHERS,
-    weight: str | None = None,
+def _bin_spec(
+    long_train: DataFrame, types: dict[str, str], keys: Sequence[str], policy: str, top: int, method: str, weight: str | None
 ) -> DataFrame:
-    """Rows `n` (or the sum of `weight`) per (by, Feature, Feature_Type, Bin) with Bin_Min and Bin_Max.
-
-    Bins come from the baseline rows of each key. Rows are counted by bin number in the task
-    that reads them; labels are made afterwards, on the counts.
-    """
-    groups = [*keys, "Feature"]
+    """(keys, Feature, edges, top): bins of each feature from the baseline rows of each key."""
     specs = []
     if "numerical" in types.values():
         specs.append(numeric_spec(long_train, keys, policy, method, weight))
@@ -205,38 +190,99 @@ def feature_bin_counts(
     for name, kind in (("edges", "array<double>"), ("top", "array<string>")):
         if name not in spec.columns:
             spec = spec.withColumn(name, F.lit(None).cast(kind))
+    return spec
+
+
+def _placed(long: DataFrame, spec: DataFrame, keys: Sequence[str], include_lowest: bool, others: str, mark: str) -> DataFrame:
+    """Each row's bin number or category and its edges, as columns ending in `mark`."""
     if keys:
-        placed = join_null_safe(long, broadcast_checked(spec), groups, "left")
+        joined = join_null_safe(long, broadcast_checked(spec), [*keys, "Feature"], "left")
     else:
         # Without keys the specification has one row per named feature.
-        placed = long.join(F.broadcast(spec), "Feature", "left")
+        joined = long.join(F.broadcast(spec), "Feature", "left")
     numerical = F.col("Feature_Type") == "numerical"
-    placed = placed.withColumns(
+    return joined.withColumns(
         {
-            "__position": F.when(
+            f"__position{mark}": F.when(
                 numerical, B.numeric_position(F.col("number"), F.col("edges"), len(DECILES), include_lowest)
             ),
-            "__category": F.when(~numerical, B.category_label(F.col("category"), F.col("top"), others)),
+            f"__category{mark}": F.when(~numerical, B.category_label(F.col("category"), F.col("top"), others)),
         }
-    )
-    position = F.col("__position")
-    counts = placed.groupBy(*by, "Feature", "Feature_Type", "__position", "__category").agg(
-        (F.sum(weight) if weight else F.count(F.lit(1))).alias("n"),
-        F.first(F.get("edges", F.greatest(position - 1, F.lit(0)))).alias("Bin_Min"),
-        F.first(F.get("edges", F.greatest(position, F.lit(0)))).alias("Bin_Max"),
-    )
+    ).withColumnRenamed("edges", f"__edges{mark}").drop("top")
+
+
+def _labelled_bins(counts: DataFrame, by: Sequence[str], mark: str) -> DataFrame:
+    position = F.col(f"__position{mark}")
     inside = position > 0
     return counts.select(
         *by,
         "Feature",
         "Feature_Type",
-        F.coalesce(B.numeric_label(position), "__category").alias("Bin"),
-        F.when(inside, F.col("Bin_Min")).alias("Bin_Min"),
-        F.when(inside, F.col("Bin_Max")).alias("Bin_Max"),
+        F.coalesce(B.numeric_label(position), f"__category{mark}").alias("Bin"),
+        F.when(inside, F.col(f"__low{mark}")).alias("Bin_Min"),
+        F.when(inside, F.col(f"__high{mark}")).alias("Bin_Max"),
         "n",
     )
 
 
+def feature_bin_counts(
+    long: DataFrame,
+    long_train: DataFrame,
+    types: dict[str, str],
+    by: Sequence[str],
+    keys: Sequence[str] = (),
+    policy: str = "ladder",
+    top: int = 6,
+    method: str = "exact",
+    include_lowest: bool = True,
+    others: str = B.OTHERS,
+    weight: str | None = None,
+    pooled: tuple[str, str] | None = None,
+) -> DataFrame:
+    """Rows `n` (or the sum of `weight`) per (by, Feature, Feature_Type, Bin) with Bin_Min and Bin_Max.
+
+    Bins come from the baseline rows of each key. Rows are counted by bin number in the task
+    that reads them; labels are made afterwards, on the counts. `pooled`: a key and a value of
+    it that stands for all rows, with bins of its own. The baseline's values are counted per
+    key once, bins of the whole come from the sums, and each row is counted by both bin numbers.
+    """
+    marks = [""]
+    if pooled:
+        column, whole = pooled
+        rest = [k for k in keys if k != column]
+        values = long_train.groupBy(*keys, "Feature", "Feature_Type", "number", "category").agg(
+            (F.sum(weight) if weight else F.count(F.lit(1))).alias("__n")
+        )
+        values = materialise(values)
+        own = _bin_spec(values, types, keys, policy, top, method, "__n")
+        both = _bin_spec(values, types, rest, policy, top, method, "__n")
+        placed = _placed(_placed(long, own, keys, include_lowest, others, ""), both, rest, include_lowest, others, "_whole")
+        marks.append("_whole")
+    else:
+        spec = _bin_spec(long_train, types, keys, policy, top, method, weight)
+        placed = _placed(long, spec, keys, include_lowest, others, "")
+    bounds = []
+    for mark in marks:
+        position, edges = F.col(f"__position{mark}"), f"__edges{mark}"
+        bounds += [
+            F.first(F.get(edges, F.greatest(position - 1, F.lit(0)))).alias(f"__low{mark}"),
+            F.first(F.get(edges, F.greatest(position, F.lit(0)))).alias(f"__high{mark}"),
+        ]
+    bins = [f"__{what}{mark}" for mark in marks for what in ("position", "category")]
+    counts = placed.groupBy(*by, "Feature", "Feature_Type", *bins).agg(
+        (F.sum(weight) if weight else F.count(F.lit(1))).alias("n"), *bounds
+    )
+    if not pooled:
+        return _labelled_bins(counts, by, "")
+    counts = materialise(counts)
+    # Rows of the key's own value `whole` are among all rows already.
+    separate = counts.where(~F.col(column).eqNullSafe(F.lit(whole)))
+    together = counts.withColumn(column, F.lit(whole))
+    what = [*by, "Feature", "Feature_Type", "Bin"]
+    sides = _labelled_bins(separate, by, "").unionByName(_labelled_bins(together, by, "_whole"))
+    return sides.groupBy(*what).agg(F.first("Bin_Min", True).alias("Bin_Min"), F.first("Bin_Max", True).alias("Bin_Max"), F.sum("n").alias("n"))
+
+
 # --- single score edges -------------------------------------------------------------------
 
 

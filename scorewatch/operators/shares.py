@@ -94,9 +94,13 @@ def distinct_accounts(df: DataFrame, keys: Sequence[str], account: str, name: st
 def segment_accounts(
     df: DataFrame, segments: Sequence[str], keys: Sequence[str], account: str, name: str,
     overall: tuple[str, str] = ("Overall", "All"),
+    pooled: tuple[str, str] | None = None,
 ) -> DataFrame:
-    """Distinct accounts per one-at-a-time segment and key."""
+    """Distinct accounts per one-at-a-time segment and key; `pooled`: a key and the value that stands for all of its values."""
     # Distinct before the copies, so that a row is copied once per account and not once per read.
     people = df.select(*dict.fromkeys([*segments, *keys, account])).distinct()
+    if pooled:
+        column, whole = pooled
+        people = people.withColumn(column, F.explode(F.array_distinct(F.array(F.col(column), F.lit(whole)))))
     rows = one_at_a_time(people, segments, overall)
     return distinct_accounts(rows, ["Segment_Column", "Segment_Value", *keys], account, name)

@@ -164,6 +164,7 @@ def _feature_counts(
     include_train_in_month: bool,
     within: Column | None,
     method: str,
+    pooled: tuple[str, str] | None = None,
 ) -> DataFrame:
     """Bin counts per segment, key, feature and month; the baseline has a null month.
 
@@ -178,7 +179,7 @@ def _feature_counts(
     counted = flagged if within is None else flagged.where(within)
     what = ["Feature", "Feature_Type", "Bin"]
     counts = binning.feature_bin_counts(
-        binning.long_features(counted, kinds, keep), train_long, kinds, keep, keys, policy, top, method
+        binning.long_features(counted, kinds, keep), train_long, kinds, keep, keys, policy, top, method, pooled=pooled
     )
     shared = [c for c in segments if c in keys]
     copies = counts.withColumns({f"__k_{c}": F.col(c) for c in shared})
@@ -211,6 +212,7 @@ def _with_account_counts(
     train: str,
     include_train_in_month: bool,
     within: Column | None,
+    pooled: tuple[str, str] | None = None,
 ) -> DataFrame:
     """Distinct accounts of the baseline and of each month, per segment, from one pass."""
     rows = df if within is None else df.where(within)
@@ -225,7 +227,7 @@ def _with_account_counts(
         }
     )
     inner = [named.get(k, k) for k in keys]
-    counts = segment_accounts(rows, segments, [*inner, "__period"], account, "__accounts")
+    counts = segment_accounts(rows, segments, [*inner, "__period"], account, "__accounts", pooled=pooled)
     counts = counts.withColumnsRenamed({v: k for k, v in named.items()})
     # All periods of a segment next to its baseline count.
     base = F.max(F.when(F.col("__period").isNull(), F.col("__accounts"))).over(
@@ -252,15 +254,16 @@ def feature_psi(
     include_train_in_month: bool = False,
     within: Column | None = None,
     method: str = "exact",
+    pooled: tuple[str, str] | None = None,
 ) -> DataFrame:
     """PSI of each feature per month against the train rows, overall and per segment value.
 
     Bins are common to all segments of a key. Expected and actual percentages are the mean
-    share of a non-empty bin.
+    share of a non-empty bin. `pooled`: a key and a value of it that stands for all its rows.
     """
     counts = _feature_counts(
         df, features, segments, keys, month, selection, train, types, bin_policy, top,
-        include_train_in_month, within, method,
+        include_train_in_month, within, method, pooled,
     )
     groups = [*SEGMENT, *keys, "Feature", "Feature_Type"]
     shares = compare_bins(counts, groups, month, policy)
@@ -275,7 +278,7 @@ def feature_psi(
         ],
     )
     counted = _with_account_counts(
-        values, df, segments, keys, account, month, selection, train, include_train_in_month, within
+        values, df, segments, keys, account, month, selection, train, include_train_in_month, within, pooled
     )
     return _named_months(counted, month)
 
@@ -348,11 +351,12 @@ def psi_by_config(
 ) -> DataFrame:
     """PSI per (model, version, trench) and per (model, version, 'ALL'), with a shift label."""
     own = F.coalesce(F.nullif(F.col(trench), F.lit("")), F.lit("ALL"))
-    copies = df.withColumn("config_trench", F.explode(F.array_distinct(F.array(own, F.lit("ALL")))))
+    rows = df.withColumn("config_trench", own)
     settings = {"bin_policy": "deciles", "top": 10, "policy": "floor_1e-10_renormalised"} | options
     if "types" not in settings:
         settings["types"] = binning.feature_types(df, features, "at_most_integers")
-    result = feature_psi(copies, features, segments, keys=[model, version, "config_trench"], **settings)
+    keys = [model, version, "config_trench"]
+    result = feature_psi(rows, features, segments, keys=keys, pooled=("config_trench", "ALL"), **settings)
     return result.withColumn("PSI_Interpretation", band(F.col("PSI"), "shift"))
 
 

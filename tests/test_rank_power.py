@@ -1,9 +1,13 @@
 """Gini variants: identities, ties, single classes and minimum sizes."""
 
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from scorewatch.operators.aggregates import account_summary
+from scorewatch.operators.ranksums import Grouping, account_counts
 from scorewatch.plans import gini
 
 
@@ -96,3 +100,54 @@ def test_overlapping_and_empty_periods(spark):
     got = {r["Period"]: r for r in gini.named_period_gini(df, "day", "label", ["score"], periods).collect()}
     assert got["one"]["sample_size"] == got["two"]["sample_size"] == 10
     assert got["none"]["sample_size"] == 0 and got["none"]["score_gini"] is None
+
+
+def test_groupings_equal_a_copy_per_grouping(spark):
+    """Ranges of scores reduced for all groupings against one query per grouping, ties and nulls included."""
+    draw = random.Random(5)
+    rows = [(draw.choice(["x", "y", None]), draw.choice([1, 2, None]), draw.random() < 0.8, draw.choice([round(draw.random(), 2), 0.5]), int(draw.random() < 0.3)) for _ in range(3_000)]
+    df = spark.createDataFrame(rows, "a string, b int, ok boolean, score double, label int")
+    counts = gini.collapse(df, ["a", "b", "ok"], "score", "label")
+    groupings = [Grouping(()), Grouping(("a",)), Grouping(("b",), "ok"), Grouping(("a", "b"))]
+    for method in gini.METHODS:
+        got = {tuple(r)[:3]: tuple(r)[3:] for r in gini.gini_by_groupings(counts, groupings, "score", method).collect()}
+        want = {}
+        for number, grouping in enumerate(groupings):
+            part = counts.where(grouping.where) if grouping.where else counts
+            for c in grouping.columns:
+                part = part.where(F.col(c).isNotNull())
+            for r in gini.gini_of_counts(part, list(grouping.columns), "score", method).collect():
+                own = r.asDict()
+                want[number, own.get("a"), own.get("b")] = tuple(own[c] for c in ("n", "bad", "good", "gini"))
+        assert got.keys() == want.keys()
+        assert all(got[k][:3] == want[k][:3] and got[k][3] == pytest.approx(want[k][3], abs=1e-12) for k in want)
+    none = gini.gini_by_groupings(counts.where("false"), groupings, "score")
+    assert none.count() == 0
+
+
+def test_account_counts_of_groupings(spark):
+    draw = random.Random(6)
+    rows = [(draw.choice(["x", "y", None]), f"A{draw.randint(0, 400) if draw.random() < 0.7 else 7}", int(draw.random() < 0.2)) for _ in range(4_000)]
+    people = spark.createDataFrame(rows, "a string, account string, bad int").groupBy("a", "account").agg(F.max("bad").alias("bad"))
+    got = {tuple(r)[:2]: tuple(r)[2:] for r in account_counts(people, [Grouping(()), Grouping(("a",))], "account", "bad").collect()}
+    want = {(0, None): (len({r[1] for r in rows}), len({r[1] for r in rows if r[2]}))}
+    for a in ("x", "y"):
+        want[1, a] = (len({r[1] for r in rows if r[0] == a}), len({r[1] for r in rows if r[0] == a and r[2]}))
+    assert got == want
+
+
+def test_estimated_accounts(spark):
+    """Sketches of the finest groups, united, stay within three standard errors of the exact counts."""
+    df = spark.range(60_000).select(
+        (F.col("id") % 20_000).cast("string").alias("account"), (F.col("id") % 3).cast("string").alias("g"), F.lit(0.5).alias("score"),
+        (F.col("id") % 7 == 0).cast("int").alias("label"), F.date_add(F.lit("2024-01-01").cast("date"), (F.col("id") % 60).cast("int")).alias("disbursementdate"),
+    )
+    exact = {r["g"]: tuple(r)[1:] for r in account_summary(df, ["g"], "account", "label").collect()}
+    near = {r["g"]: tuple(r)[1:] for r in account_summary(df, ["g"], "account", "label", approx=True).collect()}
+    assert exact.keys() == near.keys()
+    assert all(abs(near[g][i] - exact[g][i]) <= 0.025 * exact[g][i] for g in exact for i in (0, 1))
+    keys = ["segment_id", "period", "start_date"]
+    cubes = [gini.gini_cube(df, "score", "label", "FPD10", [("G", "g")], account="account", approx_accounts=approx)[0].select(*keys, "distinct_accounts", "bad_count") for approx in (False, True)]
+    own, other = ({tuple(r)[:3]: tuple(r)[3:] for r in c.collect()} for c in cubes)
+    assert own.keys() == other.keys() and all(abs(a - b) <= max(2, 0.03 * a) for k in own for a, b in zip(own[k], other[k]))
+    assert account_summary(df.where("false"), ["g"], "account", "label", approx=True).count() == 0
