@@ -1,7 +1,7 @@
 """Personal data replaced by keyed, type-consistent surrogates, in DataFrame operations only.
 
 One pattern finds e-mail addresses, phone, card, social-security and account numbers, IP
-addresses, secrets and names (after a title, or a known given name before up to three names;
+addresses of both versions, secrets and names (after a title, or a known given name before up to three names;
 then also the bare surname anywhere in the same document). Every
 different value of the corpus becomes an entity (type, canonical form); an entity has one
 surrogate everywhere, whatever its spelling, so mentions that belong together stay together:
@@ -37,27 +37,37 @@ OPEN_TITLES = ["Dr", "Prof"]
 # all of them, and the first character then leaves only the patterns that can begin with it, so
 # most positions of a text are passed with one look back.
 GUARD = r"(?<![\p{L}\p{N}_])"
-EMAIL = r"[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}(?![A-Za-z0-9-])"
+EMAIL = r"[\p{L}\p{N}._%+-]{1,64}+@[\p{L}\p{N}-]{1,63}(?:\.[\p{L}\p{N}-]{1,63}){0,8}\.\p{L}{2,24}(?![\p{L}\p{N}-])"
 IP = r"(?<!\.)(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\w)"
+IP6 = r"(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?=[A-Fa-f:]{0,20}[0-9])(?:[0-9A-Fa-f]{1,4}:){2,6}(?::[0-9A-Fa-f]{1,4}){1,5})(?![\w:])"
 SSN = r"(?<!-)\d{3}-\d{2}-\d{4}(?![\w-])"
 PHONE = (
     r"(?<!\+)\+(?=(?:[ .()-]{0,2}\d){7})\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,4}(?:[ .-]?\d{2,4}){1,4}(?!\w)"
     r"|\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\w)|(?<![.-])\d{3}[.-]\d{3}[.-]\d{4}(?!\w)"
+    r"|(?<![.,/-])0(?=(?:[ /-]?\d){8,12}(?!\d))\d{2,4}[ /-]\d{3,8}(?:[ -]\d{2,6}){0,3}(?![\w/-])"
 )
-CARD = r"(?<!\.)\d(?:[ -]?\d){12,18}(?!\w)"
+# Numbers of 13 to 15 digits are cards only with the first digits that cards of that length have.
+CARD = r"(?<!\.)(?:(?=[3-6])\d(?:[ -]?\d){12,18}|\d(?:[ -]?\d){15,18})(?!\w)"
 IBAN = r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?!\w)"
-ASSIGNED = r"(?i:password|passwd|pwd|secret|token|api_?key|access_?key)[ ]{0,2}[=:][ ]{0,2}[\"']?"
-SECRET = r"AKIA[0-9A-Z]{16}(?!\w)|(?:sk|ghp|gho|xox[abp])[-_][A-Za-z0-9_-]{16,}+"
+ASSIGNED = (
+    r"(?:(?:[A-Za-z0-9]{1,30}+_){0,4}(?i:password|passwd|pwd|secret|token|api_?key|access_?key)[\"']?[ ]{0,2}[=:][ ]{0,2}[\"']?"
+    r"|(?i:bearer)[ ](?=[A-Za-z0-9._~+/=-]{16})(?=[A-Za-z._~+/=-]{0,99}[0-9]))"
+)
+SECRET = r"eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+(?:\.[A-Za-z0-9_-]++)?|AKIA[0-9A-Z]{16}(?!\w)|(?:sk|ghp|gho|xox[abp])[-_][A-Za-z0-9_-]{16,}+"
 # Values of symbols only hide nothing.
 ASSIGNED_VALUE = r"(?=[_/+.!@#$%^&*?~=:|-]*+[\p{L}\p{N}])[\p{L}\p{N}_/+.!@#$%^&*?~=:|-]{8,}+"
+# Words after a title or given name that make it a post, a brand or a place. Fixed values.
+POSTS = ["Developer", "Engineer", "Manager", "Director", "Analyst", "Architect", "Consultant", "Officer", "Pepper", "Martens", "Quixote"]
+PLACES = ["Street", "Road", "Avenue", "Square", "Airport", "University", "Hospital", "Strasse", "Straße", "Platz", "Allee", "Weg"]
 NAME_WORD = r"\p{Lu}[\p{L}'’-]++"
+NO_PLACE = rf"(?![ ](?:{'|'.join(PLACES)})(?!\p{{L}}))"
 TITLES = "|".join(FEMALE_TITLES + MALE_TITLES + OPEN_TITLES)
-TITLED = rf"(?:{TITLES})(?!\p{{L}})\.?[ ]{NAME_WORD}(?:[ ]{NAME_WORD}){{0,2}}"
-GIVEN = rf"(?:{'|'.join(n for name in FEMALE + MALE for n in (name, name.upper()))})[ ]{NAME_WORD}(?:[ ]{NAME_WORD}){{0,2}}"
+TITLED = rf"(?:{TITLES})(?!\p{{L}})\.?[ ](?!(?:{'|'.join(POSTS)})(?!\p{{L}})){NAME_WORD}(?:[ ]{NAME_WORD}){{0,2}}+{NO_PLACE}"
+GIVEN = rf"(?:{'|'.join(n for name in FEMALE + MALE for n in (name, name.upper()))})[ ]{NAME_WORD}(?:[ ](?!(?:{'|'.join(PLACES)})(?!\p{{L}})){NAME_WORD}){{0,2}}+{NO_PLACE}"
 BARE = rf"{GUARD}\p{{Lu}}\p{{L}}++(?:['’-]\p{{L}}++)*+"
 PATTERN = (
-    rf"{GUARD}(?:{EMAIL}|(?=[0-9+(])(?:{IP}|{SSN}|{PHONE}|{CARD})|(?=[A-Z][A-Z][0-9])(?:{IBAN})"
-    rf"|(?=[PpSsTtAaGgXx])(?:{ASSIGNED}{ASSIGNED_VALUE}|{SECRET})|(?=\p{{Lu}})(?:{TITLED}|{GIVEN}))"
+    rf"{GUARD}(?:{EMAIL}|(?=[0-9+(])(?:{IP}|{SSN}|{PHONE}|{CARD})|(?=[0-9A-Fa-f]{{1,4}}:)(?:{IP6})|(?=[A-Z][A-Z][0-9])(?:{IBAN})"
+    rf"|(?=[A-Za-z0-9])(?:{ASSIGNED}{ASSIGNED_VALUE}|{SECRET})|(?=\p{{Lu}})(?:{TITLED}|{GIVEN}))"
 )
 
 CONSONANTS = "bdfgklmnprstvz"
@@ -91,11 +101,13 @@ def entities(match: Column) -> Column:
     )
     people = F.transform(
         names,
-        lambda x, i: F.struct(F.when(i == F.size(names) - 1, "family").otherwise(gender).alias("type"), F.lower(x).alias("canon")),
+        # A known given name alone after a title stays a given name, as where the whole name stands.
+        lambda x, i: F.struct(F.when((i == F.size(names) - 1) & ~((i == 0) & first.isin(FEMALE + MALE)), "family").otherwise(gender).alias("type"), F.lower(x).alias("canon")),
     )
     return (
         F.when(match.contains("@") & _whole(match, EMAIL), one("email", F.lower(match)))
         .when(_whole(match, IP), one("ip", match))
+        .when(match.contains(":") & _whole(match, IP6), one("ip6", F.lower(match)))
         .when(_whole(match, SSN), one("ssn", digits))
         .when(_whole(match, PHONE), one("phone", digits))
         .when(match.rlike(f"^{ASSIGNED}"), one("secret", F.regexp_replace(match, f"^{ASSIGNED}", "")))
@@ -191,13 +203,17 @@ def with_surrogate(df: DataFrame, attempt: int, key: str) -> DataFrame:
     email = F.concat(F.substring_index(drawn, "@", 1), more, F.lit("@"), _same_shape(host, F.concat_ws("|", F.lit(key), F.lit("domain"), host)), F.lit("."), ending)
     code = F.when(~canon.startswith("+"), 0).when(F.substring(canon, 2, 1).isin("1", "7"), 2).otherwise(3)
     number = tail(drawn, code + 1)
-    phone = F.concat(F.substring(canon, F.lit(1), code), F.when(number.startswith("0"), F.concat(F.lit("5"), tail(number, 2))).otherwise(number), more)
+    # Numbers within a country keep their leading 0.
+    home = F.concat(F.lit("0"), F.translate(F.substring(drawn, 2, 1), "0", "5"), tail(drawn, 3), more)
+    phone = F.when(canon.startswith("0"), home).otherwise(F.concat(F.substring(canon, F.lit(1), code), F.when(number.startswith("0"), F.concat(F.lit("5"), tail(number, 2))).otherwise(number), more))
     check = ((F.lit(10) - _luhn_sum(body) % 10) % 10).cast("string")
     card = F.concat(F.substring(body, F.lit(1), n - 1), F.when(_luhn_sum(canon) % 10 == 0, check).otherwise(F.substring(drawn, n, F.lit(1))))
     octets = _stream(seed, F.lit(4))
     ip = F.concat_ws(".", (_byte(octets, F.lit(1)) % 223 + 1).cast("string"), *[(_byte(octets, F.lit(i)) % 254 + 1).cast("string") for i in (2, 3, 4)])
+    # The documentation prefix, then groups of keyed digits.
+    ip6 = F.concat(F.lit("2001:db8"), F.regexp_replace(F.substring(_stream(seed, F.lit(12)), 1, 24), "(.{4})", ":$1"))
     iban = F.concat(F.substring(canon, 1, 2), F.lpad((F.lit(98) - _mod97(account)).cast("string"), 2, "0"), tail(drawn, 5))
-    kept = F.regexp_extract(canon, "^(AKIA|(?:sk|ghp|gho|xox[abp])[-_])", 1)
+    kept = F.regexp_extract(canon, "^(eyJ|AKIA|(?:sk|ghp|gho|xox[abp])[-_])", 1)
     secret = F.concat(kept, tail(drawn, F.length(kept) + 1), more)
     return (
         df.withColumn("__seed", F.concat_ws("|", F.lit(key), kind, F.lit(str(attempt)), canon))
@@ -206,7 +222,7 @@ def with_surrogate(df: DataFrame, attempt: int, key: str) -> DataFrame:
         .withColumn("__account", F.concat(tail(drawn, 5), F.substring(canon, 1, 2), F.lit("00")))
         .withColumn(
             "surrogate",
-            F.when(kind == "email", email).when(kind == "phone", phone).when(kind == "card", card).when(kind == "ip", ip)
+            F.when(kind == "email", email).when(kind == "phone", phone).when(kind == "card", card).when(kind == "ip", ip).when(kind == "ip6", ip6)
             .when(kind == "ssn", F.concat(F.lit("9"), tail(drawn, 2), more)).when(kind == "iban", iban).when(kind == "secret", secret)
             .otherwise(_name(kind, canon, seed, F.lit(attempt))),
         )
@@ -259,7 +275,7 @@ def _spelled(match: Column, parts: Column) -> Column:
     people = F.concat(title, F.array_join(F.zip_with(words, parts, lambda w, p: F.when(
         (w == F.upper(w)) & (F.length(w) > 1), F.upper(p["surrogate"])).otherwise(F.initcap(p["surrogate"]))), " "))
     return (
-        F.when(kind == "email", cased).when(kind == "ip", first)
+        F.when(kind == "email", cased).when(kind.isin("ip", "ip6"), first)
         .when(kind == "secret", F.concat(F.regexp_extract(match, f"^({ASSIGNED})", 1), first))
         .when(kind.isin("phone", "card", "ssn", "iban"), filled)
         .otherwise(people)

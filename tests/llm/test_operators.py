@@ -401,6 +401,29 @@ def test_whole_entities_are_replaced(spark):
     assert f"Later {family} left, {family.upper()}'s bag" in new and got[6]["text"] == texts[6]
 
 
+def test_spellings_of_entities(spark):
+    """Key words within names and quotes, tokens, national numbers, other scripts; posts and places stay."""
+    gone = [
+        ("DB_PASSWORD=hunter2hunter2 end", "hunter2"), ("my_api_key = abcdefgh1234 end", "efgh1234"), ('{"password": "hunter2hunter2"} end', "hunter2"),
+        ("Authorization: Bearer abcdefgh12345678ijkl end", "12345678"), ("eyJhbGciOiJIUzI1.eyJzdWIiOiIxMjM0.SflKxwRJSMeK end", "zdWIi"), ("call 0171 234567 end", "234567"),
+        ("call 020 7946 0958 end", "7946"), ("to jöhn@example.com end", "jöhn"), ("to x@münchen.de end", "münchen"), ("at 2001:0db8:85a3:0000:0000:8a2e:0370:7334 end", "85a3"),
+        ("at fe80:1::8a2e:370 end", "8a2e"), ("card 378282246310005 end", "8282"), ("Dr. Anna Smith end", "Smith"),
+    ]
+    kept = [
+        "Sr Developer and Dr Pepper stay", "Karl Marx Strasse Berlin stays", "order 1234567890123 stays", "the bearer certificates stay", "std::face::bad stays",
+        "at 10:20:30 it stays", "version 0.171 234567 stays", "their_token of love stays",
+    ]
+    texts = [t for t, _ in gone] + kept + ["Mrs Anna spoke; Anna Smith left"]
+    got = {r["doc_id"]: r for r in pii.replace_entities(frame(spark, list(enumerate(texts)))).collect()}
+    for i, (text, part) in enumerate(gone):
+        assert part not in got[i]["text"] and got[i]["__entities"] == 1 and got[i]["text"].endswith(" end"), got[i]["text"]
+    for i, text in enumerate(kept, len(gone)):
+        assert got[i]["text"] == text and got[i]["__entities"] == 0
+    assert got[0]["text"].startswith("DB_PASSWORD=") and got[2]["text"].startswith('{"password": "') and got[5]["text"].startswith("call 0")
+    words = got[len(texts) - 1]["text"].split()
+    assert words[1] == words[3] and words[1] != "Anna" and words[4] != "Smith"
+
+
 def test_classes_with_few_values_do_not_run_out(spark):
     """All numbers of a class are originals: distinct surrogates need one more digit."""
     numbers = [f"+20{i:02}" for i in range(100)]
