@@ -6,6 +6,10 @@ the areas add up, plus the bads of the later times the goods of the earlier one.
 are range-partitioned by the score alone, each range is reduced for all groupings at once,
 and only the few numbers per group and range travel on. No row is copied per grouping.
 
+Deciles need a row's place in its group: the rows of its range before it, and the sizes of the
+group in earlier ranges. The sizes are counted first; then each range meets its few offsets
+and is reduced to one row per group and decile.
+
 Distinct accounts work alike: an account's rows share a partition, so the counts of the
 partitions add up exactly.
 """
@@ -22,6 +26,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from scorewatch.session import materialise
+
 
 @dataclass(frozen=True)
 class Grouping:
@@ -53,6 +59,30 @@ def _reduced(group: np.ndarray, score: np.ndarray, bad: np.ndarray, good: np.nda
     return at[first], np.add.reduceat(bads, first), np.add.reduceat(goods, first), area, cumulated, low, high
 
 
+def _taking_part(rows: pd.DataFrame, groupings: Sequence[Grouping]) -> Iterator[tuple[int, Grouping, np.ndarray, np.ndarray]]:
+    """Per grouping that has any: its number, the numbers of the rows that take part, and of their groups."""
+    codes = {c: _codes(rows[c]) for c in dict.fromkeys(c for g in groupings for c in g.columns)}
+    for number, grouping in enumerate(groupings):
+        keep = rows[grouping.where].fillna(False).to_numpy(bool) if grouping.where else np.ones(len(rows), dtype=bool)
+        for c in grouping.columns:
+            keep &= codes[c][0] >= 0
+        taken = np.flatnonzero(keep)
+        if not len(taken):
+            continue
+        # Number the groups column by column, so that the numbers stay small.
+        group = np.zeros(len(taken), dtype=np.int64)
+        for c in grouping.columns:
+            group = group * max(1, len(codes[c][1])) + codes[c][0][taken]
+            group = np.unique(group, return_inverse=True)[1]
+        yield number, grouping, taken, group
+
+
+def _shown(rows: pd.DataFrame, at: np.ndarray, grouping: Grouping, used: Sequence[str]) -> pd.DataFrame:
+    """The group columns of the rows `at`; null where the grouping does not use them."""
+    own = rows.iloc[at]
+    return pd.DataFrame({c: own[c].to_numpy() if c in grouping.columns else np.full(len(at), None, dtype=object) for c in used})
+
+
 def _by_grouping(
     df: DataFrame, groupings: Sequence[Grouping], needed: Sequence[str], sums: str, sort: str | None, reduce
 ) -> DataFrame:
@@ -72,25 +102,11 @@ def _by_grouping(
         rows = pd.concat(parts, ignore_index=True)
         if sort:
             rows = rows.iloc[np.argsort(rows[sort].to_numpy(), kind="stable")].reset_index(drop=True)
-        codes = {c: _codes(rows[c]) for c in used}
         # Names and the like are compared by number.
         columns = {c: rows[c].to_numpy() if rows[c].dtype != object else _codes(rows[c])[0] for c in needed}
-        for number, grouping in enumerate(groupings):
-            keep = rows[grouping.where].fillna(False).to_numpy(bool) if grouping.where else np.ones(len(rows), dtype=bool)
-            for c in grouping.columns:
-                keep &= codes[c][0] >= 0
-            taken = np.flatnonzero(keep)
-            if not len(taken):
-                continue
-            # Number the groups column by column, so that the numbers stay small.
-            group = np.zeros(len(taken), dtype=np.int64)
-            for c in grouping.columns:
-                group = group * max(1, len(codes[c][1])) + codes[c][0][taken]
-                group = np.unique(group, return_inverse=True)[1]
+        for number, grouping, taken, group in _taking_part(rows, groupings):
             at, *results = reduce(columns, taken, group)
-            shown = rows.iloc[taken[at]]
-            out = pd.DataFrame({c: shown[c].to_numpy() if c in grouping.columns else np.full(len(at), None, dtype=object) for c in used})
-            yield out.assign(__set=number, __part=TaskContext.get().partitionId(), **dict(zip(values, results)))
+            yield _shown(rows, taken[at], grouping, used).assign(__set=number, __part=TaskContext.get().partitionId(), **dict(zip(values, results)))
 
     kinds = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in schema), "__set int, __part int", sums])
     return df.mapInPandas(run, kinds)
@@ -150,3 +166,64 @@ def combined(sums: DataFrame, keys: Sequence[str]) -> DataFrame:
         F.sum(F.col("cumulated") + F.col("n") * F.col("__bads")).alias("cumulated"),
         F.min("low").alias("low"), F.max("high").alias("high"),
     )
+
+
+DECILES = "decile int, low double, high double, total double, n long, bad long"
+
+
+def decile_sums(rows: DataFrame, groupings: Sequence[Grouping], score: str, ties: str, label: str) -> DataFrame:
+    """Per grouping (`__set`), group and decile: lowest, highest and total score, rows and bads.
+
+    Decile 10 has the lowest scores; equal scores are split by `ties`, then by `label` (0 or 1),
+    nulls first. Group columns are strings, `score` is not null. Groups with fewer than ten rows
+    lack deciles, and a group of one row has only the tenth.
+    """
+    used = list(dict.fromkeys(c for g in groupings for c in g.columns))
+    flags = list(dict.fromkeys(g.where for g in groupings if g.where))
+    wanted = rows.select(*used, *flags, F.col(score).cast("double").alias("__score"), F.col(ties).alias("__ties"), F.col(label).cast("long").alias("__label"))
+    order = ["__score", "__ties", "__label"]
+    ranged = materialise(wanted.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()))
+
+    def size(columns: dict[str, np.ndarray], taken: np.ndarray, group: np.ndarray) -> tuple:
+        _, at, counts = np.unique(group, return_index=True, return_counts=True)
+        return at, counts
+
+    within = [Grouping((*g.columns, "__range"), g.where) for g in groupings]
+    sizes = _by_grouping(ranged.select(*used, *flags, "__range"), within, [], "n long", None, size)
+    keys = ["__set", *used]
+    sizes = sizes.groupBy(*keys, "__range").agg(F.sum("n").alias("n"))
+    group = Window.partitionBy(*keys)
+    offsets = sizes.select(
+        *keys, "__range",
+        F.coalesce(F.sum("n").over(group.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"),
+        F.sum("n").over(group).alias("__all"),
+    )
+    schema = StructType([ranged.schema[c] for c in used])
+    names = [f.split()[0] for f in DECILES.split(", ")]
+
+    def place(rows: pd.DataFrame, offsets: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(order, kind="stable", na_position="first").reset_index(drop=True)
+        by_set = dict(list(offsets.groupby("__set")))
+        score, bad = rows["__score"].to_numpy(), rows["__label"].fillna(0).to_numpy(np.int64)
+        parts = []
+        for number, grouping, taken, group in _taking_part(rows, groupings):
+            sort = np.argsort(group, kind="stable")
+            taken, group = taken[sort], group[sort]
+            first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+            size = np.diff(np.append(first, len(group)))
+            own = by_set[number]
+            if grouping.columns:
+                own = _shown(rows, taken[first], grouping, grouping.columns).merge(own, on=list(grouping.columns), how="left")
+            before, every = (np.repeat(own[c].to_numpy(np.int64), size) for c in ("__before", "__all"))
+            rank = before + np.arange(len(group)) - np.repeat(first, size)  # from 0
+            decile = 11 - np.maximum(np.ceil(rank * 10.0 / np.maximum(every - 1, 1)), 1).astype(np.int64)
+            at = np.flatnonzero(np.concatenate([[True], (group[1:] != group[:-1]) | (decile[1:] != decile[:-1])]))
+            s = score[taken]
+            values = (decile[at], s[at], s[np.append(at[1:], len(s)) - 1], np.add.reduceat(s, at), np.diff(np.append(at, len(s))), np.add.reduceat(bad[taken], at))
+            parts.append(_shown(rows, taken[at], grouping, used).assign(__set=number, **dict(zip(names, values))))
+        return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame(columns=[*used, "__set", *names])
+
+    kinds = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in schema), "__set int", DECILES])
+    placed = ranged.groupBy("__range").cogroup(offsets.groupBy("__range")).applyInPandas(place, kinds)
+    return placed.groupBy(*keys, "decile").agg(
+        F.min("low").alias("low"), F.max("high").alias("high"), F.sum("total").alias("total"), F.sum("n").alias("n"), F.sum("bad").alias("bad"))

@@ -17,12 +17,11 @@ from scorewatch.functions.text import number_or_null
 from scorewatch.operators.aggregates import account_sketches, pivoted, united_sketches, with_estimates
 from scorewatch.operators.joins import outer_on, with_lookup
 from scorewatch.operators.ordered import join_null_safe, numbered, running_totals
-from scorewatch.operators.ranksums import Grouping, account_counts, combined, rank_sums
+from scorewatch.operators.ranksums import Grouping, account_counts, combined, decile_sums, rank_sums
 from scorewatch.operators.segments import (
     LEVELS,
     all_combinations,
     grouped_by_sets,
-    hierarchical_copies,
     one_at_a_time,
 )
 from scorewatch.session import materialise
@@ -473,6 +472,11 @@ def decile_gains(
         F.count(F.lit(1)).alias("records_in_decile"),
         F.sum(F.col(label).cast("long")).alias("bads_in_decile"),
     )
+    return _gains(per_decile, keys)
+
+
+def _gains(per_decile: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Goods, totals, shares and cumulative shares from the records and bads of each decile."""
     per_decile = per_decile.withColumn("goods_in_decile", F.col("records_in_decile") - F.col("bads_in_decile"))
     group = Window.partitionBy(*keys)
     upto = group.orderBy("decile").rowsBetween(Window.unboundedPreceding, 0)
@@ -504,14 +508,27 @@ def roc_points(df: DataFrame, keys: Sequence[str], score: str, label: str) -> Da
 DASHBOARD_DIMS = ("modelDisplayName", "modelVersionId", "trenchCategory", "new_loan_type", "loan_product_type")
 
 
-def _dashboard_periods(df: DataFrame, date: str) -> DataFrame:
-    """Copies per Overall, Month and Week."""
-    entries = F.array(
-        F.struct(F.lit("Overall").alias("time_type"), F.lit("Overall").alias("time_period")),
-        F.struct(F.lit("Month").alias("time_type"), F.date_format(date, "yyyy-MM").alias("time_period")),
-        F.struct(F.lit("Week").alias("time_type"), week_start(F.col(date)).cast("string").alias("time_period")),
+def _dashboard_groupings(df: DataFrame, date: str, known_trenches: Sequence[str] | None) -> tuple[DataFrame, list[Grouping], list[Column]]:
+    """`df` with months and weeks, a grouping per level and period, and the columns that name a group."""
+    isin = F.lit(True) if known_trenches is None else F.col(DASHBOARD_DIMS[2]).isin(*known_trenches)
+    timed = df.withColumns(
+        {"__month": F.date_format(date, "yyyy-MM"), "__week": week_start(F.col(date)).cast("string"), "__known_trench": isin}
     )
-    return df.select("*", F.inline(entries)).drop(date)
+    groupings, names = [], []
+    for level, active in LEVELS.items():
+        where = "__known_trench" if level == "Model_Level" else None
+        for time, column in (("Overall", ()), ("Month", ("__month",)), ("Week", ("__week",))):
+            groupings.append(Grouping((*(DASHBOARD_DIMS[i] for i in active), *column), where))
+            names.append((level, time))
+    levels, times = (F.array(*[F.lit(x) for x in side]) for side in zip(*names))
+    shown = [
+        F.get(levels, F.col("__set")).alias("segment_type"),
+        # A column that a level does not use is null in all its groups.
+        *[F.coalesce(F.col(c).cast("string"), F.lit("All")).alias(c) for c in DASHBOARD_DIMS],
+        F.get(times, F.col("__set")).alias("time_type"),
+        F.coalesce("__month", "__week", F.lit("Overall")).alias("time_period"),
+    ]
+    return timed, groupings, shown
 
 
 def dashboard_metrics(
@@ -524,23 +541,10 @@ def dashboard_metrics(
     """AUC, Gini and bad rate per hierarchical segment for all time, months and weeks."""
     rows = scored_outcomes(df, score, label).withColumn(date, F.to_date(date))
     counts = collapse(rows, [*DASHBOARD_DIMS, date], score, label)
-    timed = counts.withColumns({"__month": F.date_format(date, "yyyy-MM"), "__week": week_start(F.col(date)).cast("string")})
-    known = "__known_trench"
-    isin = F.lit(True) if known_trenches is None else F.col(DASHBOARD_DIMS[2]).isin(*known_trenches)
-    groupings, names = [], []
-    for level, active in LEVELS.items():
-        where = known if level == "Model_Level" else None
-        for time, column in (("Overall", ()), ("Month", ("__month",)), ("Week", ("__week",))):
-            groupings.append(Grouping((*(DASHBOARD_DIMS[i] for i in active), *column), where))
-            names.append((level, time))
-    levels, times = (F.array(*[F.lit(x) for x in side]) for side in zip(*names))
-    found = gini_by_groupings(timed.withColumn(known, isin), groupings, score)
+    timed, groupings, shown = _dashboard_groupings(counts, date, known_trenches)
+    found = gini_by_groupings(timed, groupings, score)
     return found.select(
-        F.get(levels, F.col("__set")).alias("segment_type"),
-        # A column that a level does not use is null in all its groups.
-        *[F.coalesce(F.col(c).cast("string"), F.lit("All")).alias(c) for c in DASHBOARD_DIMS],
-        F.get(times, F.col("__set")).alias("time_type"),
-        F.coalesce("__month", "__week", F.lit("Overall")).alias("time_period"),
+        *shown,
         ((F.col("gini") + 1) / F.lit(2.0)).alias("auc"),
         "gini",
         F.col("n").alias("record_count"),
@@ -558,12 +562,17 @@ def dashboard_deciles(
     account: str = ACCOUNT,
     known_trenches: Sequence[str] | None = ("Trench 1", "Trench 2", "Trench 3"),
 ) -> DataFrame:
-    """Gain tables for the segments and periods of `dashboard_metrics`."""
+    """Gain tables for the segments and periods of `dashboard_metrics`; no row is copied per segment."""
     rows = scored_outcomes(df, score, label).withColumn(date, F.to_date(date))
-    wanted = rows.select(*DASHBOARD_DIMS, date, score, account, label)
-    each = hierarchical_copies(_dashboard_periods(wanted, date), DASHBOARD_DIMS, known_trenches)
-    keys = ["segment_type", *DASHBOARD_DIMS, "time_type", "time_period"]
-    return decile_gains(each, keys, score, label, [account])
+    texts = rows.withColumns({c: F.col(c).cast("string") for c in DASHBOARD_DIMS})
+    timed, groupings, shown = _dashboard_groupings(texts, date, known_trenches)
+    per_decile = decile_sums(timed, groupings, score, account, label).select(
+        *shown, "decile",
+        F.col("low").alias("score_min"), F.col("high").alias("score_max"),
+        F.try_divide("total", F.col("n")).alias("score_avg"),
+        F.col("n").alias("records_in_decile"), F.col("bad").alias("bads_in_decile"),
+    )
+    return _gains(per_decile, ["segment_type", *DASHBOARD_DIMS, "time_type", "time_period"])
 
 
 def dashboard_segments(metrics: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scorewatch.operators.aggregates import account_summary
-from scorewatch.operators.ranksums import Grouping, account_counts
+from scorewatch.operators.ranksums import Grouping, account_counts, decile_sums
 from scorewatch.plans import gini
 
 
@@ -151,3 +151,39 @@ def test_estimated_accounts(spark):
     own, other = ({tuple(r)[:3]: tuple(r)[3:] for r in c.collect()} for c in cubes)
     assert own.keys() == other.keys() and all(abs(a - b) <= max(2, 0.03 * a) for k in own for a, b in zip(own[k], other[k]))
     assert account_summary(df.where("false"), ["g"], "account", "label", approx=True).count() == 0
+
+
+def test_decile_sums_of_many_groupings(spark):
+    """Against the definition: a hot score over several ranges, nulls in groups and ties, small groups."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for i in range(3000):
+        score = 0.5 if i % 2 else round(float(rng.random()), 2)
+        segment = None if i % 97 == 0 else "one" if i == 5 else "hot" if i % 3 else str(rng.choice(["a", "b"]))
+        rows.append((score, None if i % 50 == 0 else f"acc{int(rng.integers(0, 2000)):05}", int(rng.random() < score), segment, str(i % 4), i % 5 > 0))
+    df = spark.createDataFrame(rows, "score double, account string, label int, segment string, month string, known boolean").repartition(7)
+    groupings = [Grouping(()), Grouping(("segment",)), Grouping(("segment", "month"), "known"), Grouping(("month",))]
+    got = {}
+    for r in decile_sums(df, groupings, "score", "account", "label").collect():
+        key = (r["__set"], r["segment"], r["month"], r["decile"])
+        assert key not in got
+        got[key] = (r["low"], r["high"], round(r["total"], 6), r["n"], r["bad"])
+    places = {"segment": 3, "month": 4}
+    want = {}
+    for number, grouping in enumerate(groupings):
+        groups = {}
+        for row in rows:
+            name = {c: row[places[c]] for c in grouping.columns}
+            if None not in name.values() and (grouping.where is None or row[5]):
+                groups.setdefault((name.get("segment"), name.get("month")), []).append(row)
+        for name, members in groups.items():
+            members.sort(key=lambda r: (r[0], r[1] is not None, r[1] or "", r[2]))
+            deciles = {}
+            for rank, row in enumerate(members):
+                up = -(-rank * 10 // (len(members) - 1)) if len(members) > 1 else 1
+                deciles.setdefault(11 - max(up, 1), []).append(row)
+            for decile, own in deciles.items():
+                s = [r[0] for r in own]
+                want[(number, *name, decile)] = (min(s), max(s), round(sum(s), 6), len(own), sum(r[2] for r in own))
+    assert got == want
+    assert decile_sums(df.where("false"), groupings, "score", "account", "label").count() == 0
