@@ -4,7 +4,9 @@ What a rank statistic needs of a group within a range of scores are a few number
 and the area between them (bads times the goods below, ties half). Ranges combine in order:
 the areas add up, plus the bads of the later times the goods of the earlier one. So the rows
 are range-partitioned by the score alone, each range is reduced for all groupings at once,
-and only the few numbers per group and range travel on. No row is copied per grouping.
+and only the few numbers per group and range travel on. No row is copied per grouping. A range
+comes sorted and is streamed in pieces of a fixed size, whose numbers combine in the same way,
+so what a task holds does not grow with the range.
 
 Deciles need a row's place in its group: the rows of its range before it, and the sizes of the
 group in earlier ranges. The sizes are counted first; then each range meets its few offsets
@@ -22,6 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext, cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,6 +35,11 @@ from scorewatch.session import materialise
 # What runs in Python workers travels by value, so executors need no copy of the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+PIECE = 1 << 18  # rows of a partition that a task holds at once
+GROUPS = 500_000  # groups whose sums a task holds
+OUT = 50_000  # rows of a result batch
+RANGE_BITS = 19  # a range of deciles has at most so many bits of rows
+
 
 @dataclass(frozen=True)
 class Grouping:
@@ -47,6 +55,48 @@ def _codes(column: pd.Series) -> tuple[np.ndarray, np.ndarray]:
     return numbers.astype(np.int64), values
 
 
+def _numbered(codes: Sequence[np.ndarray], rows: int) -> np.ndarray:
+    """One number per different row of codes, column by column so that the numbers stay small."""
+    group = np.zeros(rows, dtype=np.int64)
+    for column in codes:
+        group = group * (int(column.max(initial=0)) + 1) + column
+        group = np.unique(group, return_inverse=True)[1]
+    return group
+
+
+def _pieces(batches: Iterator[pa.RecordBatch], whole: str | None) -> Iterator[pa.Table]:
+    """Pieces of PIECE rows or little more; neighbours with equal `whole` share a piece."""
+    held, rows, least = [], 0, PIECE
+    for batch in batches:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows < least:
+            continue
+        piece = pa.Table.from_batches(held).combine_chunks()
+        if whole is None:
+            yield piece
+            held, rows = [], 0
+            continue
+        values = _encoded(piece.column(whole))[0]
+        other = np.flatnonzero(values != values[-1])
+        if not len(other):
+            least = 2 * rows  # one value so far
+            continue
+        cut = int(other[-1]) + 1
+        yield piece.slice(0, cut)
+        # The rest is copied, so that the piece can be freed.
+        held = piece.slice(cut).take(pa.array(np.arange(rows - cut))).to_batches()
+        rows, least = rows - cut, PIECE
+    if rows:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _encoded(column: pa.ChunkedArray) -> tuple[np.ndarray, pa.Array]:
+    """Numbers of the values, -1 for null, and the values."""
+    made = column.combine_chunks().dictionary_encode()
+    return made.indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64), made.dictionary
+
+
 def _reduced(group: np.ndarray, score: np.ndarray, bad: np.ndarray, good: np.ndarray) -> tuple[np.ndarray, ...]:
     """First row and sums of each group, for rows in order of (group, score)."""
     start = np.concatenate([[True], (group[1:] != group[:-1]) | (score[1:] != score[:-1])])
@@ -87,33 +137,108 @@ def _shown(rows: pd.DataFrame, at: np.ndarray, grouping: Grouping, used: Sequenc
     return pd.DataFrame({c: own[c].to_numpy() if c in grouping.columns else np.full(len(at), None, dtype=object) for c in used})
 
 
-def _by_grouping(
-    df: DataFrame, groupings: Sequence[Grouping], needed: Sequence[str], sums: str, sort: str | None, reduce
-) -> DataFrame:
-    """Rows of `reduce` for each grouping in each partition of `df`, whose rows are held at once.
+class _Sums:
+    """Sums per group of one grouping, over the pieces of a partition so far.
 
-    `reduce` gets the partition's columns, the numbers of the rows that take part and the
-    number of each one's group; it returns a row number per result row and the values of `sums`.
+    Groups are rows of `codes`; `values` are the sums, one array each.
     """
-    used = list(dict.fromkeys(c for g in groupings for c in g.columns))
-    schema = StructType([df.schema[c] for c in used])
-    values = [f.split()[0] for f in sums.split(", ")]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parts = [b for b in batches if len(b)]
-        if not parts:
-            return
-        rows = pd.concat(parts, ignore_index=True)
-        if sort:
-            rows = rows.iloc[np.argsort(rows[sort].to_numpy(), kind="stable")].reset_index(drop=True)
-        # Names and the like are compared by number.
-        columns = {c: rows[c].to_numpy() if rows[c].dtype != object else _codes(rows[c])[0] for c in needed}
-        for number, grouping, taken, group in _taking_part(rows, groupings):
-            at, *results = reduce(columns, taken, group)
-            yield _shown(rows, taken[at], grouping, used).assign(__set=number, __part=TaskContext.get().partitionId(), **dict(zip(values, results)))
+    def __init__(self, merge) -> None:
+        self.codes: np.ndarray | None = None
+        self.values: list[np.ndarray] = []
+        self.merge = merge
 
-    kinds = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in schema), "__set int, __part int", sums])
-    return df.mapInPandas(run, kinds)
+    def __len__(self) -> int:
+        return 0 if self.codes is None else len(self.codes)
+
+    def add(self, codes: np.ndarray, values: Sequence[np.ndarray]) -> None:
+        if self.codes is None:
+            self.codes, self.values = codes, list(values)
+            return
+        codes = np.concatenate([self.codes, codes])
+        values = [np.concatenate(pair) for pair in zip(self.values, values)]
+        group = _numbered(codes.T, len(codes))
+        # The earlier of the at most two rows of a group comes first.
+        order = np.argsort(group, kind="stable")
+        first = np.flatnonzero(np.concatenate([[True], np.diff(group[order]) != 0]))
+        twice = np.diff(np.append(first, len(order))) > 1
+        earlier, later = order[first], order[first[twice] + 1]
+        merged = [v[earlier] for v in values]
+        both = self.merge([v[earlier[twice]] for v in values], [v[later] for v in values])
+        for column, sums in zip(merged, both):
+            column[twice] = sums
+        self.codes, self.values = codes[earlier], merged
+
+
+def _by_grouping(df: DataFrame, groupings: Sequence[Grouping], needed: Sequence[str], sums: str, whole: str | None, reduce, merge) -> DataFrame:
+    """Sums per grouping and group of each partition of `df`, whose rows are streamed in pieces.
+
+    Rows with equal `whole` follow each other and come into one piece. `reduce` gets a piece's
+    columns, the numbers of the rows that take part and the number of each one's group; it returns
+    a row number per group and the values of `sums`. `merge` unites the values of an earlier and a
+    later piece. What is held is one piece and at most GROUPS groups; beyond that the largest
+    grouping's sums go out, so a group may have several rows, in the order of `__part`.
+    """
+    used = list(dict.fromkeys(c for g in groupings for c in g.columns))
+    flags = list(dict.fromkeys(g.where for g in groupings if g.where))
+    schema = StructType([df.schema[c] for c in used])
+    names = [f.split()[0] for f in sums.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId() << 33
+        known: dict[str, dict] = {c: {} for c in used}
+        kinds: dict[str, pa.DataType] = {}
+        held = [_Sums(merge) for _ in groupings]
+
+        def out(number: int) -> Iterator[pa.RecordBatch]:
+            own, held[number] = held[number], _Sums(merge)
+            columns = groupings[number].columns
+            for low in range(0, len(own), OUT):
+                codes = own.codes[low : low + OUT]
+                shown = []
+                for c in used:
+                    if c in columns:
+                        shown.append(pa.array(list(known[c]), kinds[c]).take(pa.array(codes[:, columns.index(c)])))
+                    else:
+                        shown.append(pa.nulls(len(codes), kinds[c]))
+                fixed = [pa.array(np.full(len(codes), number, np.int32)), pa.array(np.full(len(codes), part, np.int64))]
+                values = [pa.array(v[low : low + OUT]) for v in own.values]
+                yield pa.RecordBatch.from_arrays([*shown, *fixed, *values], names=[*used, "__set", "__part", *names])
+
+        for piece in _pieces(batches, whole):
+            part += 1
+            codes = {}
+            for c in used:
+                numbers, values = _encoded(piece.column(c))
+                kinds[c] = piece.column(c).type
+                own = known[c]
+                # Neither null nor NaN makes a group.
+                places = np.array([own.setdefault(v, len(own)) if v == v else -1 for v in values.to_pylist()] + [-1], dtype=np.int32)
+                codes[c] = places[numbers]
+            columns = {}
+            for c in needed:
+                kind = piece.column(c).type
+                plain = pa.types.is_integer(kind) or pa.types.is_floating(kind)
+                columns[c] = piece.column(c).to_numpy() if plain else _encoded(piece.column(c))[0]
+            where = {c: piece.column(c).combine_chunks().fill_null(False).to_numpy(zero_copy_only=False) for c in flags}
+            for number, grouping in enumerate(groupings):
+                keep = where[grouping.where].copy() if grouping.where else np.ones(piece.num_rows, dtype=bool)
+                for c in grouping.columns:
+                    keep &= codes[c] >= 0
+                taken = np.flatnonzero(keep)
+                if not len(taken):
+                    continue
+                group = _numbered([codes[c][taken] for c in grouping.columns], len(taken))
+                at, *results = reduce(columns, taken, group)
+                own = [codes[c][taken[at]] for c in grouping.columns]
+                held[number].add(np.stack(own, axis=1) if own else np.zeros((len(at), 0), np.int32), results)
+            while sum(map(len, held)) > GROUPS:
+                yield from out(max(range(len(held)), key=lambda n: len(held[n])))
+        for number in range(len(held)):
+            yield from out(number)
+
+    kinds = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in schema), "__set int, __part long", sums])
+    return df.select(*dict.fromkeys([*used, *flags, *needed])).mapInArrow(run, kinds)
 
 
 SUMS = "n long, bad long, good long, area double, cumulated double, low double, high double"
@@ -135,8 +260,15 @@ def rank_sums(counts: DataFrame, groupings: Sequence[Grouping], score: str) -> D
         at, bads, goods, area, cumulated, low, high = _reduced(group[order], columns[score][rows], bad, good)
         return order[at], bads + goods, bads, goods, area, cumulated, low, high
 
-    ranged = counts.withColumn(score, F.col(score).cast("double")).repartitionByRange(F.col(score))
-    return _by_grouping(ranged, groupings, [score, "n", "bad"], SUMS, score, reduce)
+    def merge(a: list[np.ndarray], b: list[np.ndarray]) -> list[np.ndarray]:
+        (n, bad, good, area, cumulated, low, high), (n2, bad2, good2, area2, cumulated2, low2, high2) = a, b
+        return [
+            n + n2, bad + bad2, good + good2, area + area2 + bad2 * good.astype(float),
+            cumulated + cumulated2 + n2 * bad.astype(float), np.fmin(low, low2), np.maximum(high, high2),
+        ]
+
+    ranged = counts.withColumn(score, F.col(score).cast("double")).repartitionByRange(F.col(score)).sortWithinPartitions(score)
+    return _by_grouping(ranged, groupings, [score, "n", "bad"], SUMS, score, reduce, merge)
 
 
 def account_counts(people: DataFrame, groupings: Sequence[Grouping], account: str, flag: str) -> DataFrame:
@@ -154,8 +286,12 @@ def account_counts(people: DataFrame, groupings: Sequence[Grouping], account: st
         first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
         return order[start[first]], np.diff(np.append(first, len(group))), np.add.reduceat(flagged, first)
 
+    def merge(a: list[np.ndarray], b: list[np.ndarray]) -> list[np.ndarray]:
+        return [x + y for x, y in zip(a, b)]
+
     keys = ["__set", *dict.fromkeys(c for g in groupings for c in g.columns)]
-    parts = _by_grouping(people.repartition(account), groupings, [account, flag], "distinct_accounts long, bad_count long", None, reduce)
+    dealt = people.repartition(account).sortWithinPartitions(account)
+    parts = _by_grouping(dealt, groupings, [account, flag], "distinct_accounts long, bad_count long", account, reduce, merge)
     return parts.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in ("distinct_accounts", "bad_count")])
 
 
@@ -186,14 +322,16 @@ def decile_sums(rows: DataFrame, groupings: Sequence[Grouping], score: str, ties
     flags = list(dict.fromkeys(g.where for g in groupings if g.where))
     wanted = rows.select(*used, *flags, F.col(score).cast("double").alias("__score"), F.col(ties).alias("__ties"), F.col(label).cast("long").alias("__label"))
     order = ["__score", "__ties", "__label"]
-    ranged = materialise(wanted.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()))
+    # The number of a row in its partition and in order, cut to pieces: however large a partition is, a range is not.
+    numbers = F.shiftright(F.monotonically_increasing_id(), RANGE_BITS)
+    ranged = materialise(wanted.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__range", numbers))
 
     def size(columns: dict[str, np.ndarray], taken: np.ndarray, group: np.ndarray) -> tuple:
         _, at, counts = np.unique(group, return_index=True, return_counts=True)
         return at, counts
 
     within = [Grouping((*g.columns, "__range"), g.where) for g in groupings]
-    sizes = _by_grouping(ranged.select(*used, *flags, "__range"), within, [], "n long", None, size)
+    sizes = _by_grouping(ranged, within, [], "n long", None, size, lambda a, b: [a[0] + b[0]])
     keys = ["__set", *used]
     sizes = sizes.groupBy(*keys, "__range").agg(F.sum("n").alias("n"))
     group = Window.partitionBy(*keys)
