@@ -13,8 +13,9 @@ and so must not be broadcast.
 Links are united within a shard as soon as they are found and leave it as stars, never as all
 pairs; connected components follow by alternating star steps.
 
-Where copies are dropped, fingerprints only find candidates: a node is a set of shingles, and
-each link is confirmed on the sets themselves before its groups are united.
+Where copies are dropped, the same search of 64-bit fingerprints and one of wider ones find
+candidates: a node is a set of shingles, and each link is confirmed on the sets themselves
+before its groups are united.
 """
 
 from __future__ import annotations
@@ -108,16 +109,20 @@ def bands(digests: np.ndarray, count: int, rows: int) -> list[int]:
     return keys
 
 
-def signatures(docs: DataFrame, size: int, words: int = 1, band_count: int = 0, band_rows: int = 2, of_sets: bool = False) -> DataFrame:
+def signatures(
+    docs: DataFrame, size: int, words: int = 1, band_count: int = 0, band_rows: int = 2, of_sets: bool = False, plain: int = 0
+) -> DataFrame:
     """doc_id, fingerprint (hex) and, for bands, keys (array of long). Null texts count as empty.
 
     `of_sets`: repeated shingles vote once, and 32 digits that tell sets apart follow the bits.
+    `plain`: beside it the 64-bit fingerprint of shingles of so many words, as `plain`.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            prints, keys = [], []
+            prints, keys, plains = [], [], []
             for text in utf8_values(batch.column("text")):
+                plains.append(majority(shingle_digests(text, plain)).hex() if plain else None)
                 if of_sets:
                     values = shingle_set(text, size)
                     digests = values.astype(">u8").view(np.uint8).reshape(-1, 8)
@@ -127,11 +132,12 @@ def signatures(docs: DataFrame, size: int, words: int = 1, band_count: int = 0,
                     prints.append(majority(digests, words).hex())
                 keys.append(bands(digests, band_count, band_rows) if band_count else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(prints), pa.array(keys, pa.list_(pa.int64()))],
-                names=["doc_id", "fingerprint", "keys"],
+                [batch.column("doc_id"), pa.array(prints), pa.array(keys, pa.list_(pa.int64())), pa.array(plains, pa.string())],
+                names=["doc_id", "fingerprint", "keys", "plain"],
             )
 
-    return documents(docs).mapInArrow(run, "doc_id long, fingerprint string, keys array<long>")
+    found = documents(docs).mapInArrow(run, "doc_id long, fingerprint string, keys array<long>, plain string")
+    return found if plain else found.drop("plain")
 
 
 def bit_blocks(fingerprint: Column, bits: int, count: int) -> Column:
@@ -359,6 +365,20 @@ def with_components(prints: DataFrame, edges: DataFrame) -> DataFrame:
     return salted.join(copies, ["fingerprint", "salt"]).drop("salt")
 
 
+def plain_links(prints: DataFrame, radius: int = 2) -> DataFrame:
+    """Links (a, b) among `fingerprint`s whose 64-bit `plain` ones link, directly or over others.
+
+    One star around the least of each component. The same search of BK-trees as
+    `near_duplicates`.
+    """
+    pairs = written(prints.select("fingerprint", "plain").distinct(), "pairs")
+    nodes = pairs.select(F.col("plain").alias("fingerprint")).distinct().withColumn("keys", bit_blocks(F.col("fingerprint"), 64, radius + 1))
+    roots = components(links(nodes, radius)).withColumnsRenamed({"node": "plain", "root": "group"})
+    grouped = pairs.join(roots, "plain", "left").select("fingerprint", F.coalesce("group", "plain").alias("group")).distinct()
+    least = grouped.groupBy("group").agg(F.min("fingerprint").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    return grouped.join(least, "group").where("fingerprint <> b").select(F.col("fingerprint").alias("a"), "b")
+
+
 def near_duplicates(docs: DataFrame, size: int = 3, radius: int = 2) -> DataFrame:
     """doc_id, fingerprint, component_id by 64-bit fingerprints of word shingles.
 
@@ -375,11 +395,15 @@ def digests_of(texts: Column, size: int) -> Column:
     return text_column(lambda values: [set_digest(shingle_set((t or "").encode(), size)) for t in values], "string")(texts.cast("string"))
 
 
-def similar_documents(docs: DataFrame, size: int = 5, radius: int = 72, band_count: int = 12, band_rows: int = 2) -> DataFrame:
+def similar_documents(
+    docs: DataFrame, size: int = 5, radius: int = 72, band_count: int = 12, band_rows: int = 2, plain: int = 3, plain_radius: int = 2
+) -> DataFrame:
     """doc_id, fingerprint, root, component_id for near copies of 0.8 similarity and more.
 
-    Candidates are sets whose 256-bit fingerprints are within the radius and that share one of
-    12 bands of two minima; two sets of similarity 0.8 miss all of them once in 200,000 times,
+    Candidates are of two kinds. Those that `near_duplicates` links: 64-bit fingerprints of
+    `plain` words within `plain_radius`, found in BK-trees by blocks of their bits, which miss no
+    pair within the radius. And, as copies often lie beyond it, sets whose 256-bit fingerprints
+    are within `radius` and that share one of 12 bands of two minima; two sets of similarity 0.8 miss all of them once in 200,000 times,
     and differ in 39 bits on average with a deviation of about 6 (sets of four and five shingles
     in 48), so the radius leaves room for nearly four deviations at the least. Each link is then
     confirmed on the sets.
@@ -388,9 +412,10 @@ def similar_documents(docs: DataFrame, size: int = 5, radius: int = 72, band_cou
     cut by their bands again.
     """
     digits = 64
-    prints = written(signatures(docs, size, 4, band_count, band_rows, of_sets=True), "fingerprints")
+    prints = written(signatures(docs, size, 4, band_count, band_rows, of_sets=True, plain=plain), "fingerprints")
     nodes = prints.groupBy("fingerprint").agg(F.min("keys").alias("keys"))
-    near = components(links(nodes, radius, digits)).withColumn("digest", F.substring("node", digits + 1, 32))
+    candidates = links(nodes, radius, digits).unionByName(plain_links(prints, plain_radius))
+    near = components(candidates).withColumn("digest", F.substring("node", digits + 1, 32))
     near = broadcast_checked(near.withColumnRenamed("node", "fingerprint"))
     texts = documents(docs).select("text", digests_of(F.col("text"), size).alias("digest"))
     texts = texts.join(near.select("digest"), "digest", "left_semi").groupBy("digest").agg(F.first("text").alias("text"))

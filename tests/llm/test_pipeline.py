@@ -52,3 +52,14 @@ def test_query_gives_a_row_per_document_or_its_check(spark, name):
         assert sorted(tuple(r[c] for c in names) for r in rows) == sorted(want.fetchall())
     elif name != "op6_string_tiling":
         assert len(rows) == table(spark, DATA, "pages" if name == "op13_wrappers" else "documents").count()
+
+
+def test_near_copies_are_found_by_the_operators_fingerprints(spark):
+    """Bands of 64 minima miss nearly every near copy; the trees of 64-bit fingerprints do not."""
+    from scorewatch.llm import simhash
+
+    base = " ".join(f"w{i}" for i in range(201)) + " "
+    texts = [base * 30 + " ".join(f"{name}{i}" for i in range(15)) for name in ("a", "b")] + ["something else altogether"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs).collect()} == {0: 0, 1: 0, 2: 2}
+    assert sorted(r["doc_id"] for r in simhash.one_of_each(docs, band_count=1, band_rows=64).collect()) == [0, 2]
