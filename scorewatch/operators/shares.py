@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from scorewatch.functions.stability import ZeroPolicy, adjusted, policy_named, term
 from scorewatch.operators.ordered import join_null_safe
-from scorewatch.operators.segments import one_at_a_time
 from scorewatch.session import materialise
 
 ALL = "__all"  # one value: the key of groups without columns
@@ -86,9 +85,25 @@ def index_of(shares: DataFrame, keys: Sequence[str], name: str, extra: Sequence[
     return shares.groupBy(*keys).agg(F.sum("term").alias(name), *extra)
 
 
+HOME = "__home"  # by which accounts are dealt
+
+
+def per_account(df: DataFrame, columns: Sequence[str], account: str) -> DataFrame:
+    """HOME, `account` and `__seen`, the different combinations of `columns` it has, as structs.
+
+    One shuffle of the rows as they are: copies for segments are made afterwards, next to the
+    account, so they neither travel nor meet in a hash table. Rows without an account are dealt
+    by their columns.
+    """
+    columns = list(dict.fromkeys(columns))
+    home = F.when(F.col(account).isNotNull(), F.xxhash64(account)).otherwise(F.xxhash64(F.lit(0), *columns))
+    return df.select(*columns, account, home.alias(HOME)).repartition(HOME).groupBy(HOME, account).agg(F.collect_set(F.struct(F.lit(0).alias("__one"), *columns)).alias("__seen"))
+
+
 def distinct_accounts(df: DataFrame, keys: Sequence[str], account: str, name: str) -> DataFrame:
-    """Exact distinct accounts per key: one shuffle on (keys, account), then counts."""
-    return df.select(*keys, account).distinct().groupBy(*keys).agg(F.count(account).alias(name))
+    """Exact distinct accounts per key: one shuffle by account, then counts."""
+    seen = per_account(df, keys, account).select(account, F.explode("__seen").alias("__key"))
+    return seen.select(account, *[F.col("__key")[k].alias(k) for k in keys]).groupBy(*keys).agg(F.count(account).alias(name))
 
 
 def segment_accounts(
@@ -97,10 +112,17 @@ def segment_accounts(
     pooled: tuple[str, str] | None = None,
 ) -> DataFrame:
     """Distinct accounts per one-at-a-time segment and key; `pooled`: a key and the value that stands for all of its values."""
-    # Distinct before the copies, so that a row is copied once per account and not once per read.
-    people = df.select(*dict.fromkeys([*segments, *keys, account])).distinct()
-    if pooled:
-        column, whole = pooled
-        people = people.withColumn(column, F.explode(F.array_distinct(F.array(F.col(column), F.lit(whole)))))
-    rows = one_at_a_time(people, segments, overall)
-    return distinct_accounts(rows, ["Segment_Column", "Segment_Value", *keys], account, name)
+    def copies(seen: Column) -> Column:
+        made = []
+        for everyone in (False, True) if pooled else (False,):
+            shown = [(F.lit(pooled[1]) if everyone and k == pooled[0] else seen[k]).alias(k) for k in keys]
+            for c, v in [overall, *((c, seen[c].cast("string")) for c in segments)]:
+                value = F.lit(v) if isinstance(v, str) else v
+                made.append(F.struct(F.lit(c).alias("Segment_Column"), value.alias("Segment_Value"), *shown))
+        return F.array(*made)
+
+    # An account counts once per segment and key, however many of its rows fall there.
+    seen = per_account(df, [*segments, *keys], account)
+    each = F.array_distinct(F.flatten(F.transform("__seen", copies)))
+    rows = seen.select(account, F.explode(each).alias("__copy")).select(account, "__copy.*").where(F.col("Segment_Value").isNotNull())
+    return rows.groupBy("Segment_Column", "Segment_Value", *keys).agg(F.count(account).alias(name))

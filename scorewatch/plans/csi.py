@@ -63,7 +63,7 @@ def segmented_csi(
     now = segment_accounts(df.where(F.col(selection) == test), segments, [month], account, "account_count")
     monthly = values.join(now, [*SEGMENT, month], "left").withColumn("DateCategory", F.lit("Monthly"))
     base = segment_accounts(df.where(F.col(selection) == train), segments, [], account, "account_count")
-    last = df.where(F.col(selection) == train).select(*segments, month)
+    last = df.where(F.col(selection) == train).select(*segments, month).distinct()
     last_month = one_at_a_time(last, segments).groupBy(*SEGMENT).agg(F.max(month).alias(month))
     training = (
         counts.select(*groups).distinct()
@@ -108,7 +108,7 @@ def bin_csi(
     )
     trained = df.where(F.col(selection) == train)
     base = segment_accounts(trained, segments, [], account, "account_count")
-    last_month = one_at_a_time(trained.select(*segments, month), segments).groupBy(*SEGMENT).agg(
+    last_month = one_at_a_time(trained.select(*segments, month).distinct(), segments).groupBy(*SEGMENT).agg(
         F.max(month).alias("Month")
     )
     trained_counts = counts.where(F.col(month).isNull()).drop(month)

@@ -38,6 +38,36 @@ def build_session(
     return builder.getOrCreate()
 
 
+MB = 1024 * 1024
+TASK_INPUT = 8 * MB  # of a file that a task reads
+TASK_SHUFFLE = 16 * MB  # of a shuffle that a task reads
+SHUFFLE_PIECES = 200  # that a shuffle begins with; small ones are merged, and up to 200 are written without a sort
+
+
+def sized(spark: SparkSession) -> SparkSession:
+    """Settings that hold what one task reads steady while the data grow, on any session.
+
+    By default Spark merges pieces up to four times as large and no further than to one piece per
+    core, so on a session of few cores or shuffle partitions a task grows with the data. Settings
+    that are finer already stay.
+    """
+    pieces = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    begun = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(spark.conf.get(pieces, None) or 0))
+    if begun < SHUFFLE_PIECES or not spark.conf.get(pieces, None):
+        spark.conf.set(pieces, str(max(begun, SHUFFLE_PIECES)))
+    for name, most in (("spark.sql.files.maxPartitionBytes", TASK_INPUT), ("spark.sql.adaptive.advisoryPartitionSizeInBytes", TASK_SHUFFLE)):
+        if _bytes_of(spark.conf.get(name)) > most:
+            spark.conf.set(name, str(most))
+    return spark
+
+
+def _bytes_of(text: str) -> int:
+    """Bytes of a size as Spark's settings write it: 64MB, 128m, 1g, 1024b or a plain number."""
+    digits = text.strip().lower().rstrip("bkmgt")
+    unit = text.strip().lower()[len(digits) :].rstrip("b")
+    return int(digits) * 1024 ** ["", "k", "m", "g", "t"].index(unit)
+
+
 def use_checkpoint_folder(spark: SparkSession) -> str:
     """The folder the cluster names; a temporary one only for local sessions without it."""
     context = spark.sparkContext
