@@ -15,13 +15,15 @@ from scorewatch.operators import binning
 from scorewatch.operators.ordered import numbered, quantiles, quantiles_of_counts
 from scorewatch.operators.segments import grouped_by_sets, one_at_a_time, prefixes, subset_labels
 from scorewatch.operators.shares import (
+    HOME,
     compare_bins,
     distinct_accounts,
     index_of,
+    per_account,
     segment_accounts,
     with_baseline_copy,
 )
-from scorewatch.session import broadcast_checked
+from scorewatch.session import broadcast_checked, materialise
 
 ACCOUNT, MONTH, SELECTION = "digitalLoanAccountId", "Application_month", "Data_selection"
 SEGMENT = ["Segment_Column", "Segment_Value"]
@@ -150,6 +152,21 @@ def monthly_score_psi(
 # --- feature PSI ---------------------------------------------------------------------------
 
 
+INSIDE = "__inside"
+
+
+def _read_once(df: DataFrame, columns: Sequence[str], within: Column | None = None) -> tuple[DataFrame, Column | None]:
+    """The named columns that `df` has, written once for the passes that follow, and `within` on them.
+
+    Types, edges, counts and accounts each read the rows; a population of several tables would
+    be joined and shuffled for each of them.
+    """
+    shown = [c for c in dict.fromkeys(columns) if c in df.columns]
+    if within is None:
+        return materialise(df.select(*shown)), None
+    return materialise(df.select(*shown, within.alias(INSIDE))), F.col(INSIDE)
+
+
 def _feature_counts(
     df: DataFrame,
     features: Sequence[str],
@@ -255,12 +272,16 @@ def feature_psi(
     within: Column | None = None,
     method: str = "exact",
     pooled: tuple[str, str] | None = None,
+    typing: str = "few_integers",
 ) -> DataFrame:
     """PSI of each feature per month against the train rows, overall and per segment value.
 
     Bins are common to all segments of a key. Expected and actual percentages are the mean
     share of a non-empty bin. `pooled`: a key and a value of it that stands for all its rows.
+    `typing`: the rule for features without `types`.
     """
+    df, within = _read_once(df, [*features, *segments, *keys, account, month, selection], within)
+    types = binning.feature_types(df, features, typing) if types is None else types
     counts = _feature_counts(
         df, features, segments, keys, month, selection, train, types, bin_policy, top,
         include_train_in_month, within, method, pooled,
@@ -308,6 +329,7 @@ def feature_bin_psi(
     method: str = "exact",
 ) -> DataFrame:
     """The parts of `feature_psi` per bin, with bounds; empty bins count as 1e-4 unscaled."""
+    df, within = _read_once(df, [*features, *segments, *keys, account, month, selection], within)
     counts = _feature_counts(
         df, features, segments, keys, month, selection, train, types, bin_policy, top,
         include_train_in_month, within, method,
@@ -352,9 +374,7 @@ def psi_by_config(
     """PSI per (model, version, trench) and per (model, version, 'ALL'), with a shift label."""
     own = F.coalesce(F.nullif(F.col(trench), F.lit("")), F.lit("ALL"))
     rows = df.withColumn("config_trench", own)
-    settings = {"bin_policy": "deciles", "top": 10, "policy": "floor_1e-10_renormalised"} | options
-    if "types" not in settings:
-        settings["types"] = binning.feature_types(df, features, "at_most_integers")
+    settings = {"bin_policy": "deciles", "top": 10, "policy": "floor_1e-10_renormalised", "typing": "at_most_integers"} | options
     keys = [model, version, "config_trench"]
     result = feature_psi(rows, features, segments, keys=keys, pooled=("config_trench", "ALL"), **settings)
     return result.withColumn("PSI_Interpretation", band(F.col("PSI"), "shift"))
@@ -390,6 +410,7 @@ def psi_report(
 ) -> DataFrame:
     """PSI for every subset of trenches per version: the score, then all features per further segment."""
     every = list(dict.fromkeys([score, *features]))
+    df, _ = _read_once(df, [*every, version, trench, *further, account, month, selection])
     kinds = dict(types) if types is not None else binning.feature_types(df, every)
     flagged = df.withColumn("__train", F.coalesce(F.col(selection) == train, F.lit(False)))
     keep = [version, trench, *further, month, "__train"]
@@ -421,9 +442,7 @@ def psi_report(
             F.try_divide(F.lit(100.0), F.count("a_n")).alias("Actual_Percentage"),
         ],
     )
-    people = flagged.select(*keep, account).distinct()
-    seen = with_null_period(spread(people), month)
-    sized = distinct_accounts(seen, [*level_keys, month], account, "Actual_Count").withColumn(
+    sized = _subset_accounts(with_null_period(flagged, month), further, version, trench, month, account, subsets).withColumn(
         "Base_Count",
         F.max(F.when(F.col(month).isNull(), F.col("Actual_Count"))).over(Window.partitionBy(*level_keys)),
     )
@@ -445,6 +464,34 @@ def psi_report(
     return _named_months(full.join(ids, level_keys, "left"), month)
 
 
+def _subset_accounts(
+    df: DataFrame, segments: Sequence[str], version: str, trench: str, month: str, account: str, subsets: DataFrame
+) -> DataFrame:
+    """Distinct accounts per segment, version, subset of trenches and month, in Actual_Count.
+
+    An account belongs to a subset if one of its trenches does. So accounts are counted by the
+    set of their trenches, and only these counts are copied to the subsets that meet the set.
+    """
+    def copies(seen: Column) -> Column:
+        pairs = [("Overall", F.lit("All")), *((c, seen[c].cast("string")) for c in segments)]
+        rest = [seen[c].alias(c) for c in (version, month)]
+        return F.array(*[
+            F.struct(F.lit(c).alias("Segment_Column"), v.alias("Segment_Value"), *rest, seen[trench].cast("string").alias("__trench")) for c, v in pairs
+        ])
+
+    keys = [*SEGMENT, version, month]
+    seen = per_account(df.where(F.col(trench).isNotNull()), [version, trench, *segments, month], account)
+    each = F.array_distinct(F.flatten(F.transform("__seen", copies)))
+    rows = seen.select(HOME, account, F.explode(each).alias("__copy")).select(HOME, account, "__copy.*").where(F.col("Segment_Value").isNotNull())
+    # All rows of an account share a task already.
+    sets = rows.groupBy(HOME, account, *keys).agg(F.array_sort(F.collect_set("__trench")).alias("__set"))
+    counts = sets.groupBy(*keys, "__set").agg(F.count(account).alias("__n"))
+    subset = f"{trench}_set"
+    members = counts.withColumn(trench, F.explode("__set")).join(subsets, [version, trench], "inner")
+    met = members.select(*keys, subset, "__set", "__n").distinct()
+    return met.groupBy(*SEGMENT, version, subset, month).agg(F.sum("__n").alias("Actual_Count"))
+
+
 # --- other baselines -------------------------------------------------------------------------
 
 
