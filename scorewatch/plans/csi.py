@@ -51,11 +51,20 @@ def _counts(
     )
 
 
+def _read_once(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The named columns, written once for the counts, accounts and months that each read them.
+
+    A population of several tables would be joined for each, its sorts in the tasks that count.
+    """
+    return materialise(df.select(*dict.fromkeys(columns)))
+
+
 def segmented_csi(
     df: DataFrame, features: Sequence[str], segments: Sequence[str] = (), account: str = ACCOUNT,
     month: str = MONTH, selection: str = SELECTION, train: str = "Train", test: str = "Test", min_rows: int = 50,
 ) -> DataFrame:
     """CSI per feature and month with a Training row of 0, overall and per segment value."""
+    df = _read_once(df, [*features, *segments, account, month, selection])
     counts = _counts(df, features, segments, month, selection, train, test, min_rows)
     groups = [*SEGMENT, "feature"]
     shares = compare_bins(counts, groups, month, "absent_1e-4", denominator="binned")
@@ -83,6 +92,7 @@ def bin_csi(
     Bin shares are of all rows with a floor of 1e-4; the feature's CSI uses shares of the rows
     that have a bin, and 1e-4 for bins absent on one side.
     """
+    df = _read_once(df, [*features, *segments, account, month, selection])
     counts = materialise(_counts(df, features, segments, month, selection, train, test, min_rows))
     groups = [*SEGMENT, "feature"]
     per_bin = compare_bins(counts, groups, month, "floor_1e-4", written=True)

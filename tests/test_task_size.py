@@ -11,7 +11,7 @@ from scorewatch.operators import ranksums
 from scorewatch.operators.ranksums import Grouping
 from scorewatch.operators.segments import subset_labels
 from scorewatch.operators.shares import segment_accounts
-from scorewatch.plans import gini, psi
+from scorewatch.plans import csi, gini, psi
 from scorewatch.session import TASK_INPUT, TASK_SHUFFLE, _bytes_of
 
 
@@ -95,3 +95,15 @@ def test_reading_a_table_sets_the_size_of_tasks(spark, tmp_path):
     assert _bytes_of(spark.conf.get("spark.sql.files.maxPartitionBytes")) <= TASK_INPUT
     assert _bytes_of(spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")) <= TASK_SHUFFLE
     assert [_bytes_of(x) for x in ("64MB", "134217728b", "1g", "12", "8m", "3kb")] == [64 << 20, 134217728, 1 << 30, 12, 8 << 20, 3 << 10]
+
+
+def test_characteristic_stability_reads_its_population_once(spark):
+    rows = [(i % 40, "m0" if i % 2 else f"m{1 + i % 3}", "Train" if i % 2 else "Test", ["a", "b", None][i % 3]) for i in range(240)]
+    logged = spark.createDataFrame(rows, "marked_key long, month string, side string, bin string")
+    people = spark.range(40).select(F.col("id").alias("marked_key"), F.col("id").alias("account"), F.when(F.col("id") % 3 > 0, "s").alias("seg"))
+    both = logged.join(people, "marked_key")
+    for make in (csi.segmented_csi, csi.bin_csi):
+        made = make(both, ["bin"], ["seg"], "account", "month", "side")
+        assert "marked_key" not in made._jdf.queryExecution().analyzed().toString()  # the join has been left behind
+        kept = both.drop("marked_key").localCheckpoint()
+        assert sorted(map(str, made.collect())) == sorted(map(str, make(kept, ["bin"], ["seg"], "account", "month", "side").collect()))
