@@ -43,7 +43,7 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-BATCH_BYTES = 32_000_000
+BATCH_BYTES = 4_000_000  # both sides of a worker hold a batch several times over, and an executor has several workers
 _bounds = {2**31 - 1, BATCH_BYTES}  # the default, and what this package has set
 
 

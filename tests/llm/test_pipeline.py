@@ -1,12 +1,14 @@
 """The pipeline and the registered queries on the smallest tables."""
 
 import duckdb
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
 from scorewatch.llm import queries
-from scorewatch.llm.common import new_folder, table
+from scorewatch.llm.common import documents, new_folder, table
 
 DATA = "/root/testdata/sf0.001"
 
@@ -63,3 +65,15 @@ def test_near_copies_are_found_by_the_operators_fingerprints(spark):
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
     assert {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs).collect()} == {0: 0, 1: 0, 2: 2}
     assert sorted(r["doc_id"] for r in simhash.one_of_each(docs, band_count=1, band_rows=64).collect()) == [0, 2]
+
+
+def test_batches_of_long_texts_are_small(spark):
+    docs = spark.range(60).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 100_000).alias("text")).coalesce(1)
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": [batch.num_rows], "held": [batch.nbytes]})
+
+    found = documents(docs).mapInArrow(sizes, "n long, held long").collect()
+    assert sum(r.n for r in found) == 60
+    assert max(r.held for r in found) < 6_000_000
