@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scorewatch.llm.common import bounded_batches, documents, slices, text_column, utf8_values, written
+from scorewatch.llm.common import bounded_batches, documents, slices, utf8_values, written
 from scorewatch.session import broadcast_checked
 
 SEED = 42
@@ -70,13 +70,48 @@ def majority(digests: np.ndarray, words: int = 1) -> bytes:
                     mix *= np.uint64(0x94D049BB133111EB)
                     mix ^= mix >> np.uint64(32)
                     lanes.append(mix.astype(">u8").view(np.uint8).reshape(-1, 8))
-        votes += np.concatenate([np.unpackbits(x, axis=1).sum(axis=0, dtype=np.int64) for x in lanes])
+        votes += np.concatenate([bit_counts(x) for x in lanes])
     return np.packbits(2 * votes > len(digests)).tobytes()
 
 
-def shingle_set(text: bytes, size: int) -> np.ndarray:
+def bit_counts(rows: np.ndarray) -> np.ndarray:
+    """How many rows of 8 bytes have each bit set; 255 rows at a time fit a byte."""
+    bits = np.unpackbits(rows, axis=1)
+    whole = len(bits) // 255 * 255
+    counts = bits[whole:].sum(axis=0, dtype=np.uint8).astype(np.int64)
+    return counts + bits[:whole].reshape(-1, 255, 64).sum(axis=1, dtype=np.uint8).sum(axis=0, dtype=np.int64)
+
+
+BASE = 3  # words of the shingles whose hashes those of longer ones are mixed from
+
+
+def shingle_hashes(text: bytes, size: int, base: np.ndarray | None = None) -> np.ndarray:
+    """A hash of each word shingle; `base`: the text's digests of BASE words, if known.
+
+    A longer shingle is told by the shorter ones that cover it, so its words are not hashed again.
+    """
+    if base is None or size < BASE:
+        base = shingle_digests(text, min(size, BASE))
+    values = base.reshape(-1).view(">u8").astype(np.uint64)
+    if size <= BASE or not len(values):
+        return values
+    count = len(values) - (size - BASE)
+    if count < 1:  # fewer words than a shingle has
+        return np.array([xxhash.xxh64_intdigest(base.tobytes(), SEED)], np.uint64)
+    mixed = np.zeros(count, np.uint64)
+    with np.errstate(over="ignore"):
+        for at in [*range(0, size - BASE, BASE), size - BASE]:
+            mixed = (mixed ^ values[at : at + count]) * np.uint64(0x9FB21C651E98DF25)
+            mixed ^= mixed >> np.uint64(29)
+        mixed *= np.uint64(0x94D049BB133111EB)
+        mixed ^= mixed >> np.uint64(32)
+    return mixed
+
+
+def shingle_set(text: bytes, size: int, base: np.ndarray | None = None) -> np.ndarray:
     """The different hashes of the word shingles, in order."""
-    return np.unique(shingle_digests(text, size).reshape(-1).view(">u8").astype(np.uint64))
+    values = np.sort(shingle_hashes(text, size, base))
+    return values[np.concatenate([[True], values[1:] != values[:-1]])] if len(values) else values
 
 
 def set_digest(values: np.ndarray) -> str:
@@ -94,50 +129,68 @@ def alike(a: np.ndarray, b: np.ndarray) -> bool:
     return bool(5 * both >= 4 * (len(a) + len(b) - both))
 
 
+def band_factors(count: int) -> np.ndarray:
+    """Odd numbers without a relation to each other.
+
+    Were they multiples of one number, a hash whose product with that is small would be the least
+    under all of them, and where two sets differ in it they would share no band at all.
+    """
+    made = np.arange(1, count + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    with np.errstate(over="ignore"):
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            made = (made ^ made >> np.uint64(shift)) * np.uint64(factor)
+    return made ^ made >> np.uint64(31) | np.uint64(1)
+
+
 def bands(digests: np.ndarray, count: int, rows: int) -> list[int]:
     """One key per band: the minima of `rows` multiplications of the hashes, mixed together."""
     values = np.zeros(1, np.uint64) if not len(digests) else digests.reshape(-1).view(">u8").astype(np.uint64)
     keys = []
     with np.errstate(over="ignore"):
+        factors = band_factors(count * rows)
+        least = np.full(count * rows, 2**64 - 1, np.uint64)
+        for low in range(0, len(values), 4_096):
+            np.minimum(least, (values[None, low : low + 4_096] * factors[:, None]).min(axis=1), out=least)
         for band in range(count):
             key = np.uint64(band + 1)
             for row in range(rows):
-                factor = np.uint64((0x9E3779B97F4A7C15 * (2 * (band * rows + row) + 3)) % 2**64 | 1)
-                key = (key ^ (values * factor).min()) * np.uint64(0x94D049BB133111EB)
+                key = (key ^ least[band * rows + row]) * np.uint64(0x94D049BB133111EB)
                 key ^= key >> np.uint64(31)
             keys.append(int(key.astype(np.int64)))
     return keys
 
 
-def signatures(
-    docs: DataFrame, size: int, words: int = 1, band_count: int = 0, band_rows: int = 2, of_sets: bool = False, plain: int = 0
-) -> DataFrame:
-    """doc_id, fingerprint (hex) and, for bands, keys (array of long). Null texts count as empty.
-
-    `of_sets`: repeated shingles vote once, and 32 digits that tell sets apart follow the bits.
-    `plain`: beside it the 64-bit fingerprint of shingles of so many words, as `plain`.
-    """
+def signatures(docs: DataFrame, size: int) -> DataFrame:
+    """doc_id and fingerprint (64 bits in hex). Null texts count as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            prints, keys, plains = [], [], []
-            for text in utf8_values(batch.column("text")):
-                plains.append(majority(shingle_digests(text, plain)).hex() if plain else None)
-                if of_sets:
-                    values = shingle_set(text, size)
-                    digests = values.astype(">u8").view(np.uint8).reshape(-1, 8)
-                    prints.append(majority(digests, words).hex() + set_digest(values))
-                else:
-                    digests = shingle_digests(text, size)
-                    prints.append(majority(digests, words).hex())
-                keys.append(bands(digests, band_count, band_rows) if band_count else None)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(prints), pa.array(keys, pa.list_(pa.int64())), pa.array(plains, pa.string())],
-                names=["doc_id", "fingerprint", "keys", "plain"],
-            )
-
-    found = documents(docs).mapInArrow(run, "doc_id long, fingerprint string, keys array<long>, plain string")
-    return found if plain else found.drop("plain")
+            prints = [majority(shingle_digests(text, size)).hex() for text in utf8_values(batch.column("text"))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(prints, pa.string())], names=["doc_id", "fingerprint"])
+
+    return documents(docs).mapInArrow(run, "doc_id long, fingerprint string")
+
+
+def set_signature(text: Column, size: int, words: int, band_count: int, band_rows: int, plain: int) -> Column:
+    """fingerprint (`words` x 64 bits in hex, then 32 digits that tell sets apart), keys (of the bands) and
+    plain (the 64-bit fingerprint of `plain` words) of a text, as a struct. Null counts as empty.
+
+    Repeated shingles vote once, but for `plain`.
+    """
+
+    def apply(texts: pa.Array) -> pa.Array:
+        prints, keys, plains = [], [], []
+        for value in utf8_values(texts):
+            base = shingle_digests(value, plain)
+            values = shingle_set(value, size, base if plain == BASE else None)
+            digests = values.astype(">u8").view(np.uint8).reshape(-1, 8)
+            prints.append(majority(digests, words).hex() + set_digest(values))
+            keys.append(bands(digests, band_count, band_rows))
+            plains.append(majority(base).hex())
+        made = [pa.array(prints, pa.string()), pa.array(keys, pa.list_(pa.int64())), pa.array(plains, pa.string())]
+        return pa.StructArray.from_arrays(made, names=["fingerprint", "keys", "plain"])
+
+    return F.arrow_udf(apply, "fingerprint string, keys array<long>, plain string")(text.cast("string"))
 
 
 def bit_blocks(fingerprint: Column, bits: int, count: int) -> Column:
@@ -274,6 +327,7 @@ def dealt(rows: DataFrame) -> DataFrame:
     held = F.sum(F.octet_length("text")) / TREE_BYTES if text else F.lit(0)
     sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), held.alias("held")).where("n > 1")
     sizes = sizes.select("key", F.ceil(F.greatest(F.col("n") / TREE_NODES, F.coalesce("held", F.lit(0)))).cast("int").alias("trees"), F.ceil(F.col("n") / SEARCHES).cast("int").alias("parts"))
+    sizes = broadcast_checked(sizes)  # written, so that the rows of a popular key need not pass one task
     home, own = (F.pmod(F.xxhash64("fingerprint", F.lit(seed)), F.col(n)).cast("int") for seed, n in ((7, "trees"), (11, "parts")))
 
     def place(tree: Column, part: Column, kind: Column) -> Column:
@@ -385,57 +439,68 @@ def near_duplicates(docs: DataFrame, size: int = 3, radius: int = 2) -> DataFram
     Texts of fewer words than `size` are one shingle; texts without words (null too) have
     fingerprint zero and are linked like any other. Repeated rows give a row each.
     """
-    prints = written(signatures(docs, size).drop("keys"), "fingerprints")
+    prints = written(signatures(docs, size), "fingerprints")
     nodes = prints.select("fingerprint").distinct().withColumn("keys", bit_blocks(F.col("fingerprint"), 64, radius + 1))
     return with_components(prints, links(nodes, radius)).select("doc_id", "fingerprint", "component_id")
 
 
-def digests_of(texts: Column, size: int) -> Column:
-    """Column of the digests of the texts' shingle sets; null counts as empty."""
-    return text_column(lambda values: [set_digest(shingle_set((t or "").encode(), size)) for t in values], "string")(texts.cast("string"))
+ROW, SIGN = "__row", "__sign"
 
 
-def similar_documents(
-    docs: DataFrame, size: int = 5, radius: int = 72, band_count: int = 12, band_rows: int = 2, plain: int = 3, plain_radius: int = 2
-) -> DataFrame:
-    """doc_id, fingerprint, root, component_id for near copies of 0.8 similarity and more.
+def signed(docs: DataFrame, size: int = 5, band_count: int = 12, band_rows: int = 2, plain: int = 3) -> DataFrame:
+    """`docs` with ROW, a number that tells rows apart, and SIGN, what `set_signature` gives; written once."""
+    bounded_batches(docs.sparkSession)
+    sign = set_signature(F.col("text"), size, DIGITS // 16, band_count, band_rows, plain)
+    return written(docs.withColumns({ROW: F.monotonically_increasing_id(), SIGN: sign}), "signed")
+
+
+DIGITS = 64  # of the bits in a fingerprint of `set_signature`
+
+
+def copy_links(rows: DataFrame, size: int = 5, radius: int = 72, plain_radius: int = 2) -> DataFrame:
+    """Links (a, b) among fingerprints of `signed` documents whose sets of shingles are alike.
 
     Candidates are of two kinds. Those that `near_duplicates` links: 64-bit fingerprints of
     `plain` words within `plain_radius`, found in BK-trees by blocks of their bits, which miss no
     pair within the radius. And, as copies often lie beyond it, sets whose 256-bit fingerprints
     are within `radius` and that share one of 12 bands of two minima; two sets of similarity 0.8 miss all of them once in 200,000 times,
     and differ in 39 bits on average with a deviation of about 6 (sets of four and five shingles
-    in 48), so the radius leaves room for nearly four deviations at the least. Each link is then
-    confirmed on the sets.
+    in 48), so the radius leaves room for nearly four deviations at the least.
 
-    Texts travel to that once per group of candidates; only groups of more than TREE_BYTES are
-    cut by their bands again.
+    Every two sets that candidates connect, directly or over others, are then compared as sets,
+    however far their fingerprints lie apart and however large their group is: it is cut into
+    trees, and each is searched for all of its group. Texts travel to that once per tree.
     """
-    digits = 64
-    prints = written(signatures(docs, size, 4, band_count, band_rows, of_sets=True, plain=plain), "fingerprints")
-    nodes = prints.groupBy("fingerprint").agg(F.min("keys").alias("keys"))
-    candidates = links(nodes, radius, digits).unionByName(plain_links(prints, plain_radius))
-    near = components(candidates).withColumn("digest", F.substring("node", digits + 1, 32))
-    near = broadcast_checked(near.withColumnRenamed("node", "fingerprint"))
-    texts = documents(docs).select("text", digests_of(F.col("text"), size).alias("digest"))
-    texts = texts.join(near.select("digest"), "digest", "left_semi").groupBy("digest").agg(F.first("text").alias("text"))
-    groups = written(texts.join(near, "digest").join(nodes, "fingerprint"), "candidates")
-    held = broadcast_checked(groups.groupBy("root").agg(F.sum(F.octet_length("text")).alias("held")))
-    keys = F.when(F.coalesce("held", F.lit(0)) <= TREE_BYTES, F.array(F.xxhash64("root"))).otherwise(F.col("keys"))
-    confirmed = links(groups.join(held, "root").select("fingerprint", keys.alias("keys"), "text"), radius, digits, size)
-    return with_components(prints.select("doc_id", "fingerprint"), confirmed).select("doc_id", "fingerprint", "root", "component_id")
-
-
-def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """`docs` with one row of each group of near copies: the one with the smallest id.
+    nodes = rows.groupBy(f"{SIGN}.fingerprint").agg(F.min(f"{SIGN}.keys").alias("keys"), F.min(ROW).alias(ROW))
+    nodes = written(nodes, "nodes")
+    candidates = links(nodes.select("fingerprint", "keys"), radius, DIGITS).unionByName(plain_links(rows.select(f"{SIGN}.*"), plain_radius))
+    near = components(candidates).withColumnRenamed("node", "fingerprint")
+    wanted = broadcast_checked(nodes.join(near, "fingerprint").select(ROW, F.array(F.xxhash64("root")).alias("keys")))
+    texts = rows.select(ROW, f"{SIGN}.fingerprint", F.col("text").cast("string").alias("text"))
+    return links(texts.join(wanted, ROW).drop(ROW), 4 * DIGITS, DIGITS, size)
+
+
+def similar_documents(
+    docs: DataFrame, size: int = 5, radius: int = 72, band_count: int = 12, band_rows: int = 2, plain: int = 3, plain_radius: int = 2
+) -> DataFrame:
+    """doc_id, fingerprint, root, component_id for near copies of 0.8 similarity and more; see `copy_links`."""
+    rows = signed(docs, size, band_count, band_rows, plain)
+    prints = rows.select(F.col("doc_id").cast("long").alias("doc_id"), f"{SIGN}.fingerprint")
+    return with_components(prints, copy_links(rows, size, radius, plain_radius)).select("doc_id", "fingerprint", "root", "component_id")
+
+
+def one_of_each(
+    docs: DataFrame, size: int = 5, radius: int = 72, band_count: int = 12, band_rows: int = 2, plain: int = 3, plain_radius: int = 2
+) -> DataFrame:
+    """`docs` with one row of each group of near copies (see `copy_links`): the one with the smallest id.
 
     All columns stay. Ties in the id fall to the smallest fingerprint, then to any one of the
     equal rows; null ids count as larger than all others.
     """
-    row = "__digest"
-    marked = docs.withColumn(row, digests_of(F.col("text"), options.get("size", 5)))
-    groups = similar_documents(docs, **options)
-    keep = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fingerprint")).alias("k"))
-    keep = keep.select(F.col("k.doc_id").alias("__id"), F.right(F.col("k.fingerprint"), F.lit(32)).alias("__set"))
-    kept = marked.join(keep, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col(row) == F.col("__set")), "left_semi")
-    return kept.dropDuplicates(["doc_id", row]).drop(row)
+    rows = signed(docs, size, band_count, band_rows, plain)
+    roots = components(copy_links(rows, size, radius, plain_radius)).withColumnRenamed("node", "fingerprint")
+    doc_id = F.col("doc_id").cast("long")
+    order = F.struct(doc_id.isNull().alias("none"), doc_id.alias("id"), f"{SIGN}.fingerprint", F.col(ROW).alias("row"))
+    firsts = rows.groupBy(f"{SIGN}.fingerprint").agg(F.min(order).alias("k")).join(roots, "fingerprint", "left")
+    keep = firsts.groupBy(F.coalesce("root", "fingerprint")).agg(F.min("k").alias("k")).select(F.col("k.row").alias(ROW))
+    return rows.join(keep, ROW, "left_semi").drop(ROW, SIGN)

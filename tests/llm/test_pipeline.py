@@ -1,6 +1,9 @@
 """The pipeline and the registered queries on the smallest tables."""
 
+import random
+
 import duckdb
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -67,6 +70,34 @@ def test_near_copies_are_found_by_the_operators_fingerprints(spark):
     assert sorted(r["doc_id"] for r in simhash.one_of_each(docs, band_count=1, band_rows=64).collect()) == [0, 2]
 
 
+def test_candidates_are_compared_whatever_the_size_of_their_group(spark, monkeypatch):
+    """Copies that share no band, lie beyond the radius or are in a group of more than a tree are still confirmed."""
+    from scorewatch.llm import simhash
+
+    base = " ".join(f"w{i}" for i in range(201)) + " "
+    texts = [base * 30 + " ".join(f"{name}{i}" for i in range(15)) for name in ("a", "b", "c", "d")] + ["something else altogether"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    for most in (simhash.TREE_BYTES, 3_000):
+        monkeypatch.setattr(simhash, "TREE_BYTES", most)
+        assert sorted(r["doc_id"] for r in simhash.one_of_each(docs, band_count=1, band_rows=64, radius=0).collect()) == [0, 4]
+
+
+def test_sets_that_differ_in_one_hash_share_bands():
+    """Also where that hash is the inverse of what the factors were multiples of, so that it was the least in every band."""
+    from scorewatch.llm import simhash
+
+    draw = random.Random(8)
+    values = [draw.getrandbits(64) for _ in range(300)]
+    both = [simhash.bands(np.array(v, ">u8").view(np.uint8).reshape(-1, 8), 12, 2) for v in (values, [*values, pow(0x9E3779B97F4A7C15, -1, 2**64)])]
+    assert len(set(both[0]) & set(both[1])) >= 6
+    missed = 0
+    for _ in range(1_500):  # 267 of 333 hashes in common: 0.8
+        values = [draw.getrandbits(64) for _ in range(333)]
+        both = [simhash.bands(np.array(v, ">u8").view(np.uint8).reshape(-1, 8), 12, 2) for v in (values[:300], values[33:])]
+        missed += not set(both[0]) & set(both[1])
+    assert missed == 0
+
+
 def test_batches_of_long_texts_are_small(spark):
     docs = spark.range(60).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 100_000).alias("text")).coalesce(1)
 
