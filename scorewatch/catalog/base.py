@@ -62,9 +62,10 @@ def population(spark: SparkSession, sf_dir: str) -> DataFrame:
     customer = table(spark, sf_dir, "customer").select(
         F.col("c_custkey").alias("customerId"), F.col("c_mktsegment").alias("new_loan_type")
     )
-    return (
-        lines(spark, sf_dir).join(orders, "digitalLoanAccountId", "inner").join(customer, "customerId", "inner")
-    )
+    # The customer is joined to the orders first: there are fewer of them than lines.
+    item = lines(spark, sf_dir)
+    joined = item.join(orders.join(customer, "customerId", "inner"), "digitalLoanAccountId", "inner")
+    return joined.select("customerId", *item.columns, "trenchCategory", "osType", "new_loan_type")
 
 
 POPULATION = (

@@ -308,6 +308,71 @@ def combined(sums: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
+def quantiles_by_grouping(counts: DataFrame, groupings: Sequence[Grouping], score: str, probabilities: Sequence[float]) -> DataFrame:
+    """Per grouping (`__set`) and group: `quantiles` of `score`, exact and linearly interpolated.
+
+    `counts` holds the group columns as strings, `score`, not null, and the rows `n` it stands for.
+    As with deciles, ranges are counted first; each then finds the ranks that fall into it. No row
+    is copied per grouping.
+    """
+    used = list(dict.fromkeys(c for g in groupings for c in g.columns))
+    wanted = counts.select(*used, F.col(score).cast("double").alias("__score"), F.col("n").cast("long").alias("n"))
+    numbers = F.shiftright(F.monotonically_increasing_id(), RANGE_BITS)
+    # Equal scores may lie in several ranges: which of them a rank falls on makes no difference.
+    ranged = materialise(wanted.repartitionByRange("__score", *used).sortWithinPartitions("__score").withColumn("__range", numbers))
+    steps = [float(p) for p in probabilities]
+
+    def size(columns: dict[str, np.ndarray], taken: np.ndarray, group: np.ndarray) -> tuple:
+        order = np.argsort(group, kind="stable")
+        first = np.flatnonzero(np.concatenate([[True], np.diff(group[order]) != 0]))
+        return order[first], np.add.reduceat(columns["n"][taken][order], first)
+
+    keys = ["__set", *used]
+    within = [Grouping((*g.columns, "__range"), g.where) for g in groupings]
+    sizes = _by_grouping(ranged, within, ["n"], "n long", None, size, lambda a, b: [a[0] + b[0]])
+    sizes = sizes.groupBy(*keys, "__range").agg(F.sum("n").alias("n"))
+    group = Window.partitionBy(*keys)
+    offsets = sizes.select(
+        *keys, "__range",
+        F.coalesce(F.sum("n").over(group.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"),
+        F.sum("n").over(group).alias("__all"),
+    )
+    schema = StructType([ranged.schema[c] for c in used])
+
+    def place(rows: pd.DataFrame, offsets: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.iloc[np.argsort(rows["__score"].to_numpy(), kind="stable")].reset_index(drop=True)
+        by_set = dict(list(offsets.groupby("__set")))
+        score, n = rows["__score"].to_numpy(), rows["n"].to_numpy(np.int64)
+        parts = []
+        for number, grouping, taken, group in _taking_part(rows, groupings):
+            sort = np.argsort(group, kind="stable")
+            taken, group = taken[sort], group[sort]
+            first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+            last = np.append(first[1:], len(group))
+            own = by_set[number]
+            if grouping.columns:
+                own = _shown(rows, taken[first], grouping, grouping.columns).merge(own, on=list(grouping.columns), how="left")
+            upto = np.cumsum(n[taken])
+            found = []
+            for at, (low, high, before, every) in enumerate(zip(first, last, own["__before"].to_numpy(np.int64), own["__all"].to_numpy(np.int64))):
+                here = before + upto[low:high] - (upto[low - 1] if low else 0)
+                place = np.array(steps) * float(every - 1)
+                ranks = np.stack([np.floor(place), np.ceil(place)], axis=1).ravel().astype(np.int64)
+                slots = np.flatnonzero((ranks >= before) & (ranks < here[-1]))
+                found += [(at, slot, score[taken[low + i]], every) for slot, i in zip(slots, np.searchsorted(here, ranks[slots], side="right"))]
+            if found:
+                at, slot, value, every = zip(*found)
+                shown = _shown(rows, taken[first[list(at)]], grouping, used)
+                parts.append(shown.assign(__set=number, slot=slot, value=value, rows=every))
+        return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame(columns=[*used, "__set", "slot", "value", "rows"])
+
+    kinds = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in schema), "__set int, slot int, value double, rows long"])
+    picked = ranged.groupBy("__range").cogroup(offsets.groupBy("__range")).applyInPandas(place, kinds)
+    ends = [F.max(F.when(F.col("slot") == slot, F.col("value"))).alias(f"__{slot}") for slot in range(2 * len(steps))]
+    points = [f"__{2 * i} + (__{2 * i + 1} - __{2 * i}) * ({p}D * (rows - 1) - floor({p}D * (rows - 1)))" for i, p in enumerate(steps)]
+    return picked.groupBy(*keys).agg(F.max("rows").alias("rows"), *ends).select(*keys, F.expr(f"array({', '.join(points)}) AS quantiles"))
+
+
 DECILES = "decile int, low double, high double, total double, n long, bad long"
 
 

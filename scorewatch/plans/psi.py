@@ -13,7 +13,8 @@ from scorewatch.functions.stability import ZeroPolicy, band
 from scorewatch.functions.text import number_or_null
 from scorewatch.operators import binning
 from scorewatch.operators.ordered import numbered, quantiles, quantiles_of_counts
-from scorewatch.operators.segments import grouped_by_sets, one_at_a_time, prefixes, subset_labels
+from scorewatch.operators.ranksums import Grouping, quantiles_by_grouping
+from scorewatch.operators.segments import copied_to_sets, one_at_a_time, prefixes, subset_labels
 from scorewatch.operators.shares import (
     HOME,
     compare_bins,
@@ -56,35 +57,46 @@ def waterfall_score_psi(
     """
     segments = list(segments)
     rows = clean_scores(df.where(F.col(selection).isin(train, test)), score)
+    shown = [c for c in (month, selection, score, account) if c not in segments]
+    # Written once, without what is not needed: counts, edges, accounts and the last month each read the rows.
+    rows = materialise(rows.select(*[F.col(c).cast("string").alias(c) for c in segments], *shown))
     rows = rows.withColumn("__period", F.when(F.col(selection) == test, F.col(month)))
     sets = prefixes(segments) if segments else [[]]
+    numbers = [sum(1 << (len(segments) - 1 - i) for i, c in enumerate(segments) if c not in chosen) for chosen in sets]
     keys = ["set_id", *segments]
 
-    counts = rows.groupBy(*segments, selection, "__period", score).agg(F.count(F.lit(1)).alias("n"))
-    by_set = _labelled(
-        grouped_by_sets(counts, sets, segments, [selection, "__period", score], [F.sum("n").alias("n")]),
-        segments,
-    )
-    trained = by_set.where(F.col(selection) == train)
+    trained = rows.where(F.col(selection) == train).groupBy(*segments, score).agg(F.count(F.lit(1)).alias("n"))
     steps = [i / num_bins for i in range(num_bins + 1)]
-    edges = quantiles_of_counts(trained, keys, score, steps).select(
-        *keys, F.array_sort(F.array_distinct("quantiles")).alias("edges")
-    )
+    found = quantiles_by_grouping(trained, [Grouping(tuple(chosen)) for chosen in sets], score, steps)
+    found = _labelled(found.withColumn("set_id", F.get(F.array(*map(F.lit, numbers)), F.col("__set"))), segments)
+    edges = broadcast_checked(found.select(*keys, F.array_sort(F.array_distinct("quantiles")).alias("edges")))
+    # A row is copied to its segments in the task that reads it, and counted there.
+    by_set = _labelled(copied_to_sets(rows.select(*segments, "__period", score), sets, segments), segments)
     placed = (
         by_set.join(edges, keys, "inner")
         .withColumn("Bin", B.right_closed(F.col(score), F.col("edges"), num_bins + 1))
         .groupBy(*keys, "__period", "Bin")
-        .agg(F.sum("n").alias("n"))
+        .agg(F.count(F.lit(1)).alias("n"))
     )
     monthly = index_of(
         compare_bins(placed, keys, "__period", policy), [*keys, "__period"], "psivalues"
     )
 
-    people = rows.select(*segments, selection, "__period", account).distinct()
-    seen = _labelled(
-        grouped_by_sets(people, sets, segments, [selection, "__period", account], []), segments
-    )
-    accounts = seen.groupBy(*keys, selection, "__period").agg(F.countDistinct(account).alias("account_count"))
+    def copies(seen: Column) -> Column:
+        made = []
+        for number, chosen in zip(numbers, sets):
+            known = F.lit(True)
+            for c in chosen:
+                known = known & seen[c].isNotNull()
+            values = [(seen[c] if c in chosen else F.lit("NA")).alias(c) for c in segments]
+            made.append(F.when(known, F.struct(F.lit(number).alias("set_id"), *values, *[seen[c].alias(c) for c in (selection, "__period")])))
+        return F.array_compact(F.array(*made))
+
+    # An account counts once per segment and month, however many of its rows fall there.
+    seen = per_account(rows, [*segments, selection, "__period"], account)
+    each = F.array_distinct(F.flatten(F.transform("__seen", copies)))
+    people = seen.select(account, F.explode(each).alias("__copy")).select(account, "__copy.*")
+    accounts = people.groupBy(*keys, selection, "__period").agg(F.count(account).alias("account_count"))
     month_rows = monthly.join(
         accounts.where(F.col(selection) == test).drop(selection), [*keys, "__period"], "left"
     ).select(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from scorewatch.catalog.base import table
@@ -107,3 +108,41 @@ def test_characteristic_stability_reads_its_population_once(spark):
         assert "marked_key" not in made._jdf.queryExecution().analyzed().toString()  # the join has been left behind
         kept = both.drop("marked_key").localCheckpoint()
         assert sorted(map(str, made.collect())) == sorted(map(str, make(kept, ["bin"], ["seg"], "account", "month", "side").collect()))
+
+
+def test_quantiles_of_many_groupings_are_exact_over_many_ranges(spark, monkeypatch):
+    draw = random.Random(15)
+    rows = [(draw.choice(["x", "y", None]), draw.choice(["p", "q"]), float(draw.choice([5, 5, draw.randint(-50, 50)])), draw.randint(1, 4)) for _ in range(600)]
+    rows.append(("z", "p", 3.5, 1))
+    counts = spark.createDataFrame(rows, "k string, w string, s double, n long")
+    monkeypatch.setattr(ranksums, "RANGE_BITS", 4)
+    steps = [0.0, 0.1, 0.37, 0.5, 1.0]
+    groupings = [Grouping(()), Grouping(("k",)), Grouping(("k", "w"))]
+    found = ranksums.quantiles_by_grouping(counts, groupings, "s", steps).collect()
+    want = {}
+    for k, w, s, n in rows:
+        for key in [(0, None, None), *([(1, k, None), (2, k, w)] if k else [])]:
+            want.setdefault(key, []).extend([s] * n)
+    assert {(r["__set"], r["k"], r["w"]) for r in found} == set(want)
+    for r in found:
+        assert np.allclose(r["quantiles"], np.percentile(want[r["__set"], r["k"], r["w"]], [100 * p for p in steps]))
+
+
+def test_waterfall_reads_the_population_once_and_copies_no_score(spark):
+    draw = random.Random(16)
+    rows = [(draw.randint(1, 90), draw.choice(["A", "B", None]), draw.choice(["u", "v"]), f"m{draw.randint(1, 4)}", draw.choice(["Train", "Test"]), draw.random()) for _ in range(500)]
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(value):
+        read.add(1)
+        return value
+
+    df = spark.createDataFrame(rows, "account long, seg string, os string, month string, sel string, raw double").coalesce(2)
+    df = df.withColumn("score", F.udf(seen, "double").asNondeterministic()("raw"))
+    got = psi.waterfall_score_psi(df, "score", ["seg", "os"], "account", "month", "sel").collect()
+    assert read.value == len(rows)
+    for r in got:
+        train = r["DateCategory"] == "Training"
+        own = {a for a, seg, os, m, sel, _ in rows if seg == r["seg"] and r["os"] in (os, "NA") and sel == ("Train" if train else "Test") and (train or m == r["Month"])}
+        assert r["account_count"] == len(own)
+    assert {(r["seg"], r["os"]) for r in got} == {(s, o) for s in "AB" for o in ("NA", "u", "v")}
