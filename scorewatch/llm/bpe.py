@@ -44,9 +44,10 @@ SYMBOL_EDGE = 8
 SYMBOLS = 9
 
 BLOCK = 64
-CACHE_BYTES = 12_000_000  # of pieces and their ids, as counted by ENTRY_BYTES
+CACHE_BYTES = 24_000_000  # of pieces and their ids, as counted by ENTRY_BYTES
 ENTRY_BYTES = 190  # of a piece, its packed ids and their place in the cache
 MERGED_TOGETHER = 20_000  # pieces
+COPIED_TOGETHER = 16_384  # ids that are spelled or decoded at once
 NO_RANK = np.int32(2**31 - 1)
 BATCH_BYTES, SLICE_BYTES = 8_000_000, 1_000_000
 LONG_PIECE = 48
@@ -70,6 +71,13 @@ def class_table() -> np.ndarray:
     return table
 
 
+def class_runs() -> tuple[np.ndarray, np.ndarray]:
+    """The class table as classes and how many code points in a row have each."""
+    table = class_table()
+    at = np.flatnonzero(np.concatenate([[True], table[1:] != table[:-1]]))
+    return table[at], np.diff(np.append(at, len(table)))
+
+
 def _step(state: int, symbol: int) -> int:
     """Next state of the automaton."""
     if symbol == SYMBOL_EDGE:
@@ -161,8 +169,9 @@ def prefix_functions(numbers: np.ndarray, compose: np.ndarray) -> np.ndarray:
 class PieceFinder:
     """Boundaries of pieces in many texts at once."""
 
-    def __init__(self) -> None:
-        self.classes = class_table()
+    def __init__(self, runs: tuple[np.ndarray, np.ndarray] | None = None) -> None:
+        """`runs`: the class table as `class_runs` gives it, so that a task need not look up every code point."""
+        self.classes = class_table() if runs is None else np.repeat(*runs)
         self.of_symbol, self.compose, self.image, self.begins = scan_tables()
         broad = np.full(CLASSES, LETTER, dtype=np.uint8)
         broad[[NUMBER, OTHER, SPACE, BLANK, QUOTE]] = [NUMBER, OTHER, SPACE, BLANK, QUOTE]
@@ -231,15 +240,30 @@ class Merges:
         ]
         pairs.sort()
         self.pair_keys, self.pair_ranks = np.array([k for k, _ in pairs], dtype=np.int64), np.array([r for _, r in pairs], dtype=np.int32)
+        # As one array: what decoding and spelling copy from.
+        self.token_size = np.array([len(t) for t in self.tokens], dtype=np.int64)
+        self.token_at = np.cumsum(self.token_size) - self.token_size
+        self.token_bytes = np.frombuffer(b"".join(self.tokens), dtype=np.uint8)
+        self.digits = max(map(len, self.spelled)) + 1
+        self.spelled_bytes = np.frombuffer(b"".join(t.rjust(self.digits - 1) + b" " for t in self.spelled), dtype=np.uint8).reshape(-1, self.digits)
+        self.spelled_size = np.array([len(t) + 1 for t in self.spelled], dtype=np.int64)
+        pairs = np.arange(65_536)
+        self.first_ranks = self.ranks_of(self.single[pairs >> 8], self.single[pairs & 255])  # of two bytes
         self.known = {token: struct.pack("=i", rank) for token, rank in self.ranks.items()}
-        self.cache = dict(self.known)
-        self.most = len(self.known) + CACHE_BYTES // ENTRY_BYTES
+        self.cache, self.earlier = dict(self.known), {}
+        self.most = len(self.known) + CACHE_BYTES // ENTRY_BYTES // 2
 
     def learn(self, pieces: Sequence[bytes]) -> None:
-        """Put the packed ids of all `pieces` into the cache."""
+        """Put the packed ids of all `pieces` into the cache.
+
+        A full cache becomes the earlier one; what is met again is taken over from it.
+        """
         if len(self.cache) > self.most:
-            self.cache = dict(self.known)
-        missing = list(set(pieces).difference(self.cache))
+            self.cache, self.earlier = dict(self.known), self.cache
+        missing = set(pieces).difference(self.cache)
+        again = self.earlier.keys() & missing
+        self.cache.update((p, self.earlier[p]) for p in again)
+        missing = list(missing - again)
         short = [p for p in missing if len(p) <= LONG_PIECE]
         for at in range(0, len(short), MERGED_TOGETHER):
             part = short[at : at + MERGED_TOGETHER]
@@ -255,11 +279,12 @@ class Merges:
     def merged(self, pieces: list[bytes]) -> list[bytes]:
         """Packed ids of each piece: rounds that merge the first of the lowest pairs in every piece."""
         lengths = np.array([len(p) for p in pieces])
-        ids = self.single[np.frombuffer(b"".join(pieces), dtype=np.uint8)]
+        data = np.frombuffer(b"".join(pieces), dtype=np.uint8)
+        ids = self.single[data]
         own = np.repeat(np.arange(len(pieces)), lengths)
         ranks = np.full(len(ids), NO_RANK, dtype=np.int32)  # of each id with the next one of its piece
         inner = np.flatnonzero(own[:-1] == own[1:])
-        ranks[inner] = self.ranks_of(ids[inner], ids[inner + 1])
+        ranks[inner] = self.first_ranks[data[inner].astype(np.int32) << 8 | data[inner + 1]]
         out = [b""] * len(pieces)
         while len(ids):
             starts = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
@@ -315,8 +340,8 @@ class Merges:
 class Codec:
     """Encode texts of a batch and decode the ids again."""
 
-    def __init__(self, path: str) -> None:
-        self.finder, self.merges = PieceFinder(), Merges(path)
+    def __init__(self, path: str, runs: tuple[np.ndarray, np.ndarray] | None = None) -> None:
+        self.finder, self.merges = PieceFinder(runs), Merges(path)
 
     def encode(self, texts: Sequence[bytes]) -> Iterator[np.ndarray]:
         """Ids of each text."""
@@ -334,10 +359,23 @@ class Codec:
 
     def spell(self, ids: np.ndarray) -> bytes:
         """Ids as decimal text, joined by spaces."""
-        return b" ".join(map(self.merges.spelled.__getitem__, ids.tolist()))
+        merges, place = self.merges, np.arange(self.merges.digits)
+        parts = []
+        for low in range(0, len(ids), COPIED_TOGETHER):
+            part = ids[low : low + COPIED_TOGETHER]
+            parts.append(merges.spelled_bytes[part][place >= merges.digits - merges.spelled_size[part][:, None]].tobytes())
+        return b"".join(parts)[:-1]
 
     def decode(self, ids: np.ndarray) -> bytes:
-        return b"".join(map(self.merges.tokens.__getitem__, ids.tolist()))
+        merges, parts = self.merges, []
+        for low in range(0, len(ids), COPIED_TOGETHER):
+            part = ids[low : low + COPIED_TOGETHER]
+            size = merges.token_size[part]
+            ends = np.cumsum(size)
+            at = np.repeat(merges.token_at[part] - ends + size, size)
+            at += np.arange(ends[-1])
+            parts.append(merges.token_bytes[at].tobytes())
+        return b"".join(parts)
 
 
 def lists_of(arrays: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
@@ -352,8 +390,10 @@ def encode_ids(docs: DataFrame, path: str) -> DataFrame:
     Null texts count as empty and have no ids. Repeated rows and null ids give a row each.
     """
 
+    runs = class_runs()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(path)
+        codec = Codec(path, runs)
         size = np.array([len(token) for token in codec.merges.tokens])
         for batch in slices(batches, SLICE_BYTES):
             texts = [b"" if x is None else x for x in batch.column("text").cast(pa.binary()).to_pylist()]
@@ -374,8 +414,10 @@ def round_trip(docs: DataFrame, path: str, keep_ids: bool = False) -> DataFrame:
     `path`: ranks, one token a line. Null texts count as empty (no ids, digest of nothing).
     """
 
+    runs = class_runs()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(path)
+        codec = Codec(path, runs)
         for batch in slices(batches, SLICE_BYTES):
             texts = [b"" if x is None else x for x in batch.column("text").cast(pa.binary()).to_pylist()]
             counts, digests, back, kept = [], [], [], []

@@ -61,6 +61,13 @@ def sized(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def bounded_splits(spark: SparkSession, most: int) -> None:
+    """Tasks read at most `most` bytes of a file, unless the session's bound is finer already."""
+    name = "spark.sql.files.maxPartitionBytes"
+    if _bytes_of(spark.conf.get(name)) > most:
+        spark.conf.set(name, str(most))
+
+
 def _bytes_of(text: str) -> int:
     """Bytes of a size as Spark's settings write it: 64MB, 128m, 1g, 1024b or a plain number."""
     digits = text.strip().lower().rstrip("bkmgt")

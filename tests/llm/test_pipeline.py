@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from scorewatch.llm import queries
+from scorewatch.llm import bpe, queries, simhash
 from scorewatch.llm.common import documents, new_folder, table
 
 DATA = "/root/testdata/sf0.001"
@@ -61,8 +61,6 @@ def test_query_gives_a_row_per_document_or_its_check(spark, name):
 
 def test_near_copies_are_found_by_the_operators_fingerprints(spark):
     """Bands of 64 minima miss nearly every near copy; the trees of 64-bit fingerprints do not."""
-    from scorewatch.llm import simhash
-
     base = " ".join(f"w{i}" for i in range(201)) + " "
     texts = [base * 30 + " ".join(f"{name}{i}" for i in range(15)) for name in ("a", "b")] + ["something else altogether"]
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
@@ -72,8 +70,6 @@ def test_near_copies_are_found_by_the_operators_fingerprints(spark):
 
 def test_candidates_are_compared_whatever_the_size_of_their_group(spark, monkeypatch):
     """Copies that share no band, lie beyond the radius or are in a group of more than a tree are still confirmed."""
-    from scorewatch.llm import simhash
-
     base = " ".join(f"w{i}" for i in range(201)) + " "
     texts = [base * 30 + " ".join(f"{name}{i}" for i in range(15)) for name in ("a", "b", "c", "d")] + ["something else altogether"]
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
@@ -84,8 +80,6 @@ def test_candidates_are_compared_whatever_the_size_of_their_group(spark, monkeyp
 
 def test_sets_that_differ_in_one_hash_share_bands():
     """Also where that hash is the inverse of what the factors were multiples of, so that it was the least in every band."""
-    from scorewatch.llm import simhash
-
     draw = random.Random(8)
     values = [draw.getrandbits(64) for _ in range(300)]
     both = [simhash.bands(np.array(v, ">u8").view(np.uint8).reshape(-1, 8), 12, 2) for v in (values, [*values, pow(0x9E3779B97F4A7C15, -1, 2**64)])]
@@ -98,6 +92,44 @@ def test_sets_that_differ_in_one_hash_share_bands():
     assert missed == 0
 
 
+def test_near_copies_read_and_sign_their_documents_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(text):
+        read.add(1)
+        return text
+
+    rows = [(i, f"text of {i % 7} that some others have too") for i in range(40)] + [(None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("text", F.udf(seen, "string").asNondeterministic()("text"))
+    assert sorted(r["doc_id"] for r in simhash.one_of_each(docs).collect() if r["doc_id"] is not None) == list(range(7))
+    assert read.value == len(rows)
+
+
+def test_pieces_met_again_are_not_merged_again(monkeypatch):
+    codec = bpe.Codec(queries.BYTE_RANKS, bpe.class_runs())
+    merged, merges = [], codec.merges
+    plain = merges.merged
+    monkeypatch.setattr(merges, "merged", lambda pieces: merged.extend(pieces) or plain(pieces))
+    merges.most = len(merges.known) + 50
+    for number in range(20):  # more other pieces than the cache holds
+        texts = [" qzqxqjz".encode(), *(f" zq{number}x{i}qj".encode() for i in range(30))]
+        assert [codec.decode(ids) for ids in codec.encode(texts)] == texts
+    assert merged.count(b" qzqxqjz") == 1
+    assert len(merges.cache) + len(merges.earlier) <= 2 * (merges.most + 200)
+
+
+def test_stages_split_their_input(spark):
+    name = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "128m")
+    corpus_pipeline.encode(spark, table(spark, DATA, "documents"), DATA)
+    assert int(spark.conf.get(name)) == corpus_pipeline.SPLIT_BYTES
+    spark.conf.set(name, "1m")
+    corpus_pipeline.encode(spark, table(spark, DATA, "documents"), DATA)
+    assert spark.conf.get(name) == "1m"
+    spark.conf.set(name, before)
+
+
 def test_batches_of_long_texts_are_small(spark):
     docs = spark.range(60).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 100_000).alias("text")).coalesce(1)
 
