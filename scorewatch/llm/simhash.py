@@ -33,7 +33,8 @@ from scorewatch.session import broadcast_checked
 
 SEED = 42
 TREE_NODES = 50_000  # members of a tree
-TREE_BYTES = 32_000_000  # of their texts, where links are confirmed
+TREE_BYTES = 16_000_000  # of their texts, where links are confirmed
+FEW = 256  # members of a large group that a set is compared with first
 SEARCHES = 500_000  # searches of a tree in one task
 MEMBER, BOTH, SEARCH = range(3)  # what a row is in its task; members come first
 
@@ -118,15 +119,32 @@ def set_digest(values: np.ndarray) -> str:
     return xxhash.xxh3_128_hexdigest(values.tobytes())
 
 
-def alike(a: np.ndarray, b: np.ndarray) -> bool:
-    """Whether two sets have a Jaccard similarity of 0.8 at least; sets without members are equal."""
-    few, many = (a, b) if len(a) <= len(b) else (b, a)
-    if 5 * len(few) < 4 * len(many):
-        return False
-    if not len(few):
-        return True
-    both = np.count_nonzero(many[np.minimum(np.searchsorted(many, few), len(many) - 1)] == few)
-    return bool(5 * both >= 4 * (len(a) + len(b) - both))
+class SetIndex:
+    """Which of some sets have a Jaccard similarity of 0.8 at least with a given one; exact, over postings."""
+
+    def __init__(self, sets: list[np.ndarray], members: np.ndarray) -> None:
+        self.members, own = members, [sets[i] for i in members.tolist()]
+        self.lengths = np.array([len(x) for x in own], np.int64)
+        flat = np.concatenate([np.zeros(0, np.uint64), *own])
+        order = np.argsort(flat, kind="stable")
+        flat = flat[order]
+        self.owner = np.repeat(np.arange(len(own), dtype=np.int32), self.lengths)[order]
+        first = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]])) if len(flat) else np.zeros(0, np.int64)
+        self.values, self.starts = flat[first], np.append(first, len(flat))
+
+    def alike(self, mine: np.ndarray) -> list[int]:
+        """Members alike; sets without hashes are equal."""
+        if not len(mine):
+            return self.members[self.lengths == 0].tolist()
+        if not len(self.values):
+            return []
+        at = np.minimum(np.searchsorted(self.values, mine), len(self.values) - 1)
+        at = at[self.values[at] == mine]
+        size = self.starts[at + 1] - self.starts[at]
+        ends = np.cumsum(size)
+        held = np.repeat(self.starts[at] - ends + size, size) + np.arange(size.sum())
+        both = np.bincount(self.owner[held], minlength=len(self.members))
+        return self.members[5 * both >= 4 * (len(mine) + self.lengths - both)].tolist()
 
 
 def band_factors(count: int) -> np.ndarray:
@@ -243,6 +261,10 @@ class Shard:
     A search leaves out subtrees that lie in its own group as a whole, which makes a dense
     group cost little more than its nodes. Which subtrees do is noted anew whenever the number
     of united groups has doubled, and after so many searches that noting stays a small part.
+
+    With `size` the members are sets, not a tree: a search counts what it shares with each of
+    them (`SetIndex`). Here too the largest group is noted when the unions have doubled, and
+    what belongs to it is compared with the rest only.
     """
 
     def __init__(self, radius: int, digits: int | None = None, size: int | None = None) -> None:
@@ -262,7 +284,7 @@ class Shard:
                 self.sets.append(shingle_set(text or b"", self.size))
             return
         self._grow()
-        group = self._search(int(name[: self.digits], 16), mine=shingle_set(text or b"", self.size) if self.size else None)
+        group = self._search_sets(shingle_set(text or b"", self.size)) if self.size else self._search(int(name[: self.digits], 16))
         if group is not None:
             yield name, self.names[group]
 
@@ -276,12 +298,17 @@ class Shard:
     def _grow(self) -> None:
         if self.tree is not None:
             return
-        self.tree = BKTree([int(name[: self.digits], 16) for name in self.names])
+        self.tree = BKTree([] if self.size else [int(name[: self.digits], 16) for name in self.names])
         self.parent = list(range(len(self.names)))
-        self.whole: list[int | None] = [None if children else i for i, children in enumerate(self.tree.children)]
         self.united, self.next_note, self.count = 0, 8, 0
+        if self.size:
+            self.every, self.large = SetIndex(self.sets, np.arange(len(self.names))), None
+            for number in self.searched:
+                self._search_sets(self.sets[number], number)
+            return
+        self.whole: list[int | None] = [None if children else i for i, children in enumerate(self.tree.children)]
         for number in self.searched:
-            self._search(self.tree.values[number], number, self.sets[number] if self.size else None)
+            self._search(self.tree.values[number], number)
 
     def _root(self, x: int) -> int:
         parent = self.parent
@@ -296,25 +323,47 @@ class Shard:
             below = (self.whole[child] for child in self.tree.children[at].values())
             self.whole[at] = own if all(w is not None and self._root(w) == own for w in below) else None
 
-    def _search(self, value: int, own: int | None = None, mine: np.ndarray | None = None) -> int | None:
+    def _search(self, value: int, own: int | None = None) -> int | None:
         """The group that a value belongs to, after uniting all groups it links; None without a link."""
         group = None if own is None else self._root(own)
         whole, root = self.whole, self._root
         for at in self.tree.within(value, self.radius, lambda i: group is not None and whole[i] is not None and root(whole[i]) == group):
-            other = root(at)
-            if other == group or mine is not None and not alike(mine, self.sets[at]):
-                continue
-            if group is None:
-                group = other
-            else:
-                self.parent[max(group, other)] = group = min(group, other)
-                self.united += 1
+            group = self._with(group, at)
         self.count += 1
         if self.united >= self.next_note or self.count % (len(self.names) // 32 + 8) == 0:
             self._note()
             self.next_note = max(8, 2 * self.united)
         return group
 
+    def _with(self, group: int | None, at: int) -> int:
+        """The group united with that of a member."""
+        other = self._root(at)
+        if group is not None and other != group:
+            self.parent[max(group, other)] = other = min(group, other)
+            self.united += 1
+        return other
+
+    def _search_sets(self, mine: np.ndarray, own: int | None = None) -> int | None:
+        """As `_search`, for the members whose sets are alike."""
+        group, index = None if own is None else self._root(own), self.every
+        if self.large is not None:
+            if group != self._root(self.large):
+                for at in self.few.alike(mine):
+                    group = self._with(group, at)
+            if group == self._root(self.large):
+                index = self.rest
+        for at in index.alike(mine):
+            group = self._with(group, at)
+        if self.united >= self.next_note:
+            self.next_note = max(8, 2 * self.united)
+            roots = np.array([self._root(i) for i in range(len(self.names))])
+            found, counts = np.unique(roots, return_counts=True)
+            if 4 * counts.max() >= len(roots):
+                self.large = int(found[counts.argmax()])
+                self.few = SetIndex(self.sets, np.flatnonzero(roots == self.large)[:FEW])
+                self.rest = SetIndex(self.sets, np.flatnonzero(roots != self.large))
+        return group
+
 
 def dealt(rows: DataFrame) -> DataFrame:
     """A row per place (key, tree, slice) of each member and search: `rows` has key and fingerprint.
@@ -345,8 +394,8 @@ def links(nodes: DataFrame, radius: int, digits: int | None = None, size: int |
 
     `nodes`: fingerprint (each once) and keys (array). Distances are exact; the links leave
     out only those that others already imply. The first `digits` of a fingerprint are its bits.
-    With `size` the nodes have a text too, and only those whose sets of shingles of so many
-    words are alike are linked.
+    With `size` the nodes have a text too, and those are linked whose sets of shingles of so
+    many words are alike, however far their fingerprints lie apart.
     """
     bounded_batches(nodes.sparkSession)
     text = ["text"] if size else []
@@ -469,7 +518,7 @@ def copy_links(rows: DataFrame, size: int = 5, radius: int = 72, plain_radius: i
 
     Every two sets that candidates connect, directly or over others, are then compared as sets,
     however far their fingerprints lie apart and however large their group is: it is cut into
-    trees, and each is searched for all of its group. Texts travel to that once per tree.
+    parts of TREE_BYTES, and each is searched for all of its group. Texts travel to that once per part.
     """
     nodes = rows.groupBy(f"{SIGN}.fingerprint").agg(F.min(f"{SIGN}.keys").alias("keys"), F.min(ROW).alias(ROW))
     nodes = written(nodes, "nodes")
@@ -477,7 +526,7 @@ def copy_links(rows: DataFrame, size: int = 5, radius: int = 72, plain_radius: i
     near = components(candidates).withColumnRenamed("node", "fingerprint")
     wanted = broadcast_checked(nodes.join(near, "fingerprint").select(ROW, F.array(F.xxhash64("root")).alias("keys")))
     texts = rows.select(ROW, f"{SIGN}.fingerprint", F.col("text").cast("string").alias("text"))
-    return links(texts.join(wanted, ROW).drop(ROW), 4 * DIGITS, DIGITS, size)
+    return links(texts.join(wanted, ROW).drop(ROW), 0, DIGITS, size)
 
 
 def similar_documents(

@@ -5,6 +5,7 @@ import hashlib
 import random
 import zlib
 
+import numpy as np
 import pytest
 import public_tokenizers
 import tiktoken
@@ -170,6 +171,33 @@ def test_searches_of_a_tree_are_dealt_and_streamed(spark, monkeypatch):
     assert sorted(map(sorted, sets[0].values())) == sorted(map(sorted, sets[1].values()))
 
 
+def test_sets_are_compared_by_what_they_share_and_large_groups_with_the_rest_only(monkeypatch):
+    draw = random.Random(21)
+    words = prose(draw, 100).split()
+    changed = [[draw.randrange(100) for _ in range(draw.randint(1, 2))] for _ in range(150)]
+    texts = {" ".join(prose(draw, 1) if i in at else w for i, w in enumerate(words)).encode() for at in changed} | {prose(draw, 30).encode() for _ in range(20)} | {b"", b" "}
+    rows = sorted((f"{i:096x}", t) for i, t in enumerate(sorted(texts)))
+    sets = [simhash.shingle_set(t, 5) for _, t in rows]
+    near = [(a, b) for a in range(len(rows)) for b in range(a) if (not len(sets[a]) and not len(sets[b])) or 9 * len(np.intersect1d(sets[a], sets[b])) >= 4 * (len(sets[a]) + len(sets[b])) > 0]
+    counted = []
+    plain = simhash.SetIndex.alike
+    monkeypatch.setattr(simhash.SetIndex, "alike", lambda self, mine: counted.append(len(self.members)) or plain(self, mine))
+    monkeypatch.setattr(simhash, "FEW", 5)
+    for streamed in (0, 60):
+        counted.clear()
+        root = list(range(len(rows)))
+        for a, b in near:  # two that are streamed meet elsewhere
+            root = [root[a] if r == root[b] and a >= streamed else r for r in root]
+        shard = simhash.Shard(0, 64, 5)
+        links = [x for i, (name, t) in enumerate(rows) if i >= streamed for x in shard.take(simhash.BOTH, name, t)]
+        links += [x for name, t in rows[:streamed] for x in shard.take(simhash.SEARCH, name, t)] + list(shard.stars())
+        got = {name: name for name, _ in rows}
+        for a, b in links:
+            got = {n: got[a] if r == got[b] else r for n, r in got.items()}
+        assert len({(r, got[name]) for r, (name, _) in zip(root, rows)}) == len(set(root)) == len(set(got.values()))
+        assert max(root.count(r) for r in root) > 80 and sum(counted) < 0.8 * len(rows) ** 2
+
+
 def test_components_of_chains(spark):
     edges = [(f"{a:03}", f"{a + 1:03}") for a in range(60) if a % 20 != 19]
     got = dict(map(tuple, simhash.components(spark.createDataFrame(edges, "a string, b string")).collect()))
